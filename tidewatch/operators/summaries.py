@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.hashing import digest, hash_unit
-from tidewatch.schema import LABEL, feature_dictionary, features_by_importance
+from tidewatch.schema import CATEGORICAL, LABEL, feature_dictionary, features_by_importance
 
 
 def dataset_summary(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -94,8 +94,7 @@ def describe_features(features: DataFrame) -> DataFrame:
 
     Encoded slots such as ``service_http`` are looked up by their column.
     """
-    entries = feature_dictionary(features.sparkSession).withColumnRenamed("feature", "name")
-    match = (F.col("feature") == F.col("name")) | (
-        F.col("name").isin("protocol_type", "service", "flag")
-        & F.startswith(F.col("feature"), F.concat("name", F.lit("_"))))
-    return features.join(F.broadcast(entries), match, "left").drop("name")
+    entries = feature_dictionary(features.sparkSession).withColumnRenamed("feature", "__name")
+    name = F.coalesce(*[F.when(F.startswith("feature", F.lit(f"{c}_")), F.lit(c))
+                        for c in CATEGORICAL], F.col("feature"))
+    return features.withColumn("__name", name).join(entries, "__name", "left").drop("__name")
