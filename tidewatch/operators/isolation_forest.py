@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.hashing import digest, digest_below
 from tidewatch.functions.verdicts import verdict
-from tidewatch.operators.quantiles import SMALL_ROWS, exact_quantiles
-from tidewatch.session import scratch_path
+from tidewatch.operators.quantiles import SMALL_VALUES, exact_quantiles
+from tidewatch.session import drop_path, scratch_path
 
 KIND = "isolation_forest"
 NODE_SCHEMA = ("tree int, node long, depth int, feature int, threshold double, n long, "
@@ -93,34 +93,46 @@ class IsolationForest:
         self.train_filter = train_filter
 
     def sample(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """(tree, rank, x) with the psi lowest-hashed rows of each tree, and the row count."""
+        """(tree, rank, key, x) with the psi lowest-hashed rows of each tree, and the row count."""
         df = df if self.train_filter is None else df.filter(self.train_filter)
         spark = df.sparkSession
-        total = df.count()
-        if not total:
-            raise ValueError("cannot fit an isolation forest on no rows")
-        pool, size = self._pool(df, total)
-        if size < min(self.psi, total):
-            pool, size = self._pool(df, total, whole=True)
-        rows = self._rank(pool, size, 4.0 * self.psi / size)
+        total = self._count(df)
+        pool_path = scratch_path(spark, "pool")
+        size = self._write_pool(df, total, pool_path)
+        pool = spark.read.parquet(pool_path)
         path = scratch_path(spark, "sample")
-        rows.write.parquet(path)
+        self._rank(pool, size, 4.0 * self.psi / size).write.parquet(path)
         # Exact whatever the hashes are: a tree short of rows ranks the whole pool.
         need = min(self.psi, size)
-        short = spark.read.parquet(path).groupBy("tree").count().filter(F.col("count") >= need)
-        if short.count() < self.trees:
+        full = spark.read.parquet(path).groupBy("tree").count().filter(F.col("count") >= need)
+        if full.count() < self.trees:
             path = scratch_path(spark, "sample")
             self._rank(pool, size, 1.0).write.parquet(path)
+        drop_path(spark, pool_path)
         return spark.read.parquet(path), total
 
-    def _pool(self, df: DataFrame, total: int, whole: bool = False) -> tuple[DataFrame, int]:
+    def _count(self, df: DataFrame) -> int:
+        """Number of rows; rejects a key shared by many rows, which would be drawn together."""
+        n = F.count(F.lit(1))
+        if not self.key:
+            total, distinct = df.count(), None
+        else:
+            total, distinct = df.agg(
+                n, F.approx_count_distinct(F.struct(*self.key), 0.02)).first()
+        if not total:
+            raise ValueError("cannot fit an isolation forest on no rows")
+        if distinct is not None and distinct < 0.8 * total:
+            raise ValueError(f"{self.key} does not identify rows: about {distinct} keys "
+                             f"for {total} rows")
+        return total
+
+    def _write_pool(self, df: DataFrame, total: int, path: str) -> int:
         """A uniform draw of about POOL_FACTOR * trees * psi rows: one hash per input row.
 
         All trees then rank these rows only, so the work per input row does not grow with the
-        number of trees. The pool is written to the shared folder; its size is bounded.
+        number of trees.
         """
-        expected = POOL_FACTOR * self.trees * self.psi
-        share = 1.0 if whole else min(1.0, expected / total)
+        share = min(1.0, POOL_FACTOR * self.trees * self.psi / total)
         drawn = df
         if share < 1.0:
             drawn = df.filter(
@@ -128,15 +140,11 @@ class IsolationForest:
                 else F.rand(self.seed) < F.lit(share))
         key = (F.concat_ws("|", *[F.col(k).cast("string") for k in self.key]) if self.key
                else F.monotonically_increasing_id().cast("string"))
-        path = scratch_path(df.sparkSession, "pool")
+        spark = df.sparkSession
         (drawn.select(key.alias("key"), feature_array(df, self.features).alias("x"))
-         .repartition(df.sparkSession.sparkContext.defaultParallelism)
+         .repartition(spark.sparkContext.defaultParallelism)
          .write.parquet(path))
-        pool = df.sparkSession.read.parquet(path)
-        size = pool.count()
-        if share < 1.0 and size > 8 * expected:
-            raise ValueError(f"{self.key} does not identify rows: equal keys are drawn together")
-        return pool, size
+        return spark.read.parquet(path).count()
 
     def _rank(self, pool: DataFrame, size: int, share: float) -> DataFrame:
         trees = F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))
@@ -172,13 +180,14 @@ class IsolationForest:
         model = IsolationForestModel(spark, path, params)
         # Eight bytes a row: the quantile passes read these instead of scoring again.
         scores = model.score(rows).select("anomaly_score")
-        if total > SMALL_ROWS:
+        if total > SMALL_VALUES:
             scores.write.parquet(f"{path}/scores")
             scores = spark.read.parquet(f"{path}/scores")
         threshold = exact_quantiles(scores, ["anomaly_score"],
                                     [0.0, 1 - self.contamination, 1.0])["anomaly_score"]
         params["min_score"], params["threshold"], params["max_score"] = threshold
         _write_params(spark, path, params)
+        drop_path(spark, f"{path}/scores")
         return model
 
 

@@ -12,6 +12,8 @@ from tidewatch.schema import LABEL
 
 SCALINGS = ("standard", "minmax", "robust")
 ENCODINGS = ("onehot", "label")
+# A column of more distinct values is an identifier, not a category.
+MAX_CATEGORIES = 10_000
 
 
 def split_features(df: DataFrame, label: str = LABEL) -> tuple[DataFrame, DataFrame]:
@@ -86,6 +88,7 @@ class FlowPreprocessor:
                 f"(CAST(`{c}` AS DOUBLE) - CAST('{m!r}' AS DOUBLE)) / CAST('{s!r}' AS DOUBLE) "
                 f"AS `{c}__scaled`" for c, (m, s) in scale.items()) + " FROM __THIS__"))
         if self.categorical:
+            self._check_categories(df)
             index = [f"{c}__index" for c in self.categorical]
             indexer = StringIndexer(inputCols=self.categorical, outputCols=index,
                                     handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
@@ -106,6 +109,14 @@ class FlowPreprocessor:
                                       handleInvalid="error"))
         return PipelineModel(stages)
 
+    def _check_categories(self, df: DataFrame) -> None:
+        """The fitted categories go through the driver, so their number must be small."""
+        found = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c)
+                         for c in self.categorical]).first().asDict()
+        wide = {c: n for c, n in found.items() if n > MAX_CATEGORIES}
+        if wide:
+            raise ValueError(f"too many distinct values to encode: {wide}")
+
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return transform(self.fit(df), df)
 

@@ -7,14 +7,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Up to this many rows the built-in exact percentile is used: its state, one map of distinct
-# values per column in a single task, is then bounded by this count.
-SMALL_ROWS = 2_000_000
+# Up to this many values, all columns together, the built-in exact percentile is used: its state,
+# maps of distinct values in a single task, is then bounded by this count.
+SMALL_VALUES = 2_000_000
 BINS = 1024
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                    small_rows: int = SMALL_ROWS, bins: int = BINS) -> dict[str, list[float]]:
+                    small_values: int = SMALL_VALUES, bins: int = BINS) -> dict[str, list[float]]:
     """Linearly interpolated quantiles per column, NULLs ignored; NaN when a column has no value.
 
     Large inputs are narrowed: a histogram per wanted rank finds the bin that holds it, and
@@ -30,7 +30,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                   F.max(c).alias(f"hi_{c}"))
     ]).first()
     counts = {c: stats[f"n_{c}"] for c in names}
-    if max(counts.values(), default=0) <= small_rows:
+    if sum(counts.values()) <= small_values:
         row = doubles.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c)
                             for c in names]).first()
         return {col: list(row[c]) if row[c] is not None else [math.nan] * len(probs)

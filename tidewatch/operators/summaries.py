@@ -94,7 +94,8 @@ def describe_features(features: DataFrame) -> DataFrame:
 
     Encoded slots such as ``service_http`` are looked up by their column.
     """
-    entries = feature_dictionary(features.sparkSession).withColumnRenamed("feature", "__name")
+    entries = feature_dictionary(features.sparkSession).withColumnsRenamed(
+        {"feature": "__name", "importance": "importance_level"})
     name = F.coalesce(*[F.when(F.startswith("feature", F.lit(f"{c}_")), F.lit(c))
                         for c in CATEGORICAL], F.col("feature"))
     return features.withColumn("__name", name).join(entries, "__name", "left").drop("__name")

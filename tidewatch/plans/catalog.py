@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +20,7 @@ from tidewatch.operators.isolation_forest import (
 from tidewatch.operators.preprocess import (
     FlowPreprocessor, numeric_columns, scaling_parameters, split_features, transform,
 )
+from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.random_forest import RandomForestModel, fit_random_forest, top_features
 from tidewatch.operators.traffic import HOST_FEATURES, TIME_FEATURES, flow_features
 from tidewatch.plans.models import load_model, publish_model
@@ -29,7 +30,7 @@ from tidewatch.plans.standins import (
     request_vectors,
 )
 from tidewatch.schema import CATEGORICAL, FEATURE_NAMES
-from tidewatch.session import scratch_path
+from tidewatch.session import scratch_path, spread
 from tidewatch.sources.flows import process_labels, read_flows, read_requests
 from tidewatch.sources.sinks import (
     append_alerts, read_alerts, security_events, write_detections,
@@ -132,7 +133,7 @@ def feature_dictionary(spark, sf_dir):
     stats = flows.agg(*[F.avg(c).alias(c) for c in numeric])
     means = stats.unpivot([], numeric, "feature", "mean")
     return summaries.describe_features(means).select(
-        "ordinal", "feature", "description", "importance", "security_relevance",
+        "ordinal", "feature", "description", "importance_level", "security_relevance",
         rounded("mean"))
 
 
@@ -205,10 +206,8 @@ def scale_robust(spark, sf_dir):
 @query
 def robust_parameters(spark, sf_dir):
     # Narrowing by histograms, as for inputs beyond the built-in percentile.
-    from tidewatch.operators.quantiles import exact_quantiles
-
     rows = lineitem(spark, sf_dir).select(*NUMERIC)
-    found = exact_quantiles(rows, NUMERIC, [0.25, 0.5, 0.75], small_rows=0)
+    found = exact_quantiles(rows, NUMERIC, [0.25, 0.5, 0.75], small_values=0)
     return spark.createDataFrame(
         [(c, *map(float, q)) for c, q in found.items()],
         "feature string, q1 double, median double, q3 double",
@@ -268,16 +267,20 @@ def _once(spark, sf_dir, name, fit):
     return _FITTED[key]
 
 
+def items(spark, sf_dir) -> DataFrame:
+    return spread(lineitem(spark, sf_dir))
+
+
 def _forest() -> IsolationForest:
     return IsolationForest(NUMERIC, key=ROW_KEY)
 
 
 def item_forest(spark, sf_dir) -> IsolationForestModel:
-    return _once(spark, sf_dir, "items", lambda: _forest().fit(lineitem(spark, sf_dir)))
+    return _once(spark, sf_dir, "items", lambda: _forest().fit(items(spark, sf_dir)))
 
 
 def item_detections(spark, sf_dir) -> DataFrame:
-    return item_forest(spark, sf_dir).transform(lineitem(spark, sf_dir))
+    return item_forest(spark, sf_dir).transform(items(spark, sf_dir))
 
 
 def request_forest(spark, sf_dir) -> IsolationForestModel:
@@ -292,13 +295,13 @@ def request_detections(spark, sf_dir) -> DataFrame:
 
 @query
 def if_sample(spark, sf_dir):
-    sample, _ = _forest().sample(lineitem(spark, sf_dir))
+    sample, _ = _forest().sample(items(spark, sf_dir))
     return sample.select("tree", "rank", "key")
 
 
 @query
 def if_nodes(spark, sf_dir):
-    nodes = _forest().fit(lineitem(spark, sf_dir)).nodes
+    nodes = _forest().fit(items(spark, sf_dir)).nodes
     return nodes.select("tree", "node", "depth", "feature", rounded("threshold"), "n",
                         rounded("path"))
 
@@ -319,8 +322,8 @@ def if_threshold(spark, sf_dir):
 
 @query
 def if_detect(spark, sf_dir):
-    model = _forest().fit(lineitem(spark, sf_dir))
-    rows = model.transform(lineitem(spark, sf_dir))
+    model = _forest().fit(items(spark, sf_dir))
+    rows = model.transform(items(spark, sf_dir))
     return rows.select(*ROW_KEY, rounded("anomaly_score"), "prediction")
 
 
@@ -402,14 +405,14 @@ def security_event_log(spark, sf_dir):
 def model_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "model")
     item_forest(spark, sf_dir).save(path)
-    rows = load_model(spark, path).transform(lineitem(spark, sf_dir))
+    rows = load_model(spark, path).transform(items(spark, sf_dir))
     return rows.select(*ROW_KEY, rounded("anomaly_score"), "prediction")
 
 
 @query
 def detect_flows(spark, sf_dir):
     """Preprocess, fit, score and judge the 41 flow features end to end."""
-    flows = flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty")
+    flows = spread(flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty"))
     prep = FlowPreprocessor(CATEGORICAL, "minmax", exclude=ROW_KEY).fit(flows)
     model = IsolationForest("features", key=ROW_KEY, trees=50).fit(transform(prep, flows))
     return detect(flows, prep, model).select(*ROW_KEY, "prediction", rounded("anomaly_score"))
@@ -500,14 +503,12 @@ def class_report(spark, sf_dir):
 
 def _label_rows(spark, sf_dir):
     rows = request_vectors(read(spark, sf_dir, "embeddings"))
-    from pyspark.ml.functions import array_to_vector
-
     return rows.select("vec_id", "label", array_to_vector("features").alias("features"))
 
 
 def vector_classifier(spark, sf_dir) -> RandomForestModel:
     return _once(spark, sf_dir, "classes", lambda: fit_random_forest(
-        _label_rows(spark, sf_dir)))
+        spread(_label_rows(spark, sf_dir)), max_bins=32))
 
 
 @query
@@ -520,7 +521,7 @@ def rf_predict(spark, sf_dir):
 @query
 def rf_importance(spark, sf_dir):
     out = summaries.describe_features(top_features(vector_classifier(spark, sf_dir), 10))
-    return out.select("feature", rounded("importance"))
+    return out.select("feature", "importance_level", rounded("importance"))
 
 
 @query
@@ -536,7 +537,7 @@ def rf_evaluate(spark, sf_dir):
 def rf_flows(spark, sf_dir):
     """Attack categories of the flows by a balanced forest; metrics on held-out rows."""
     flows = process_labels(flow_records(spark, sf_dir, ROW_KEY).drop("difficulty"))
-    train, test = summaries.hash_split(flows, ROW_KEY)
+    train, test = summaries.hash_split(spread(flows), ROW_KEY)
     prep = FlowPreprocessor(CATEGORICAL, exclude=[*ROW_KEY, "label"]).fit(train)
     model = fit_random_forest(transform(prep, train), trees=10, max_depth=6)
     rows = model.transform(transform(prep, test)).select(
@@ -548,7 +549,7 @@ def rf_flows(spark, sf_dir):
 # --- windowed traffic features ----------------------------------------------------------------
 
 def _features(spark, sf_dir, names, window):
-    rows = flow_features(connections(read(spark, sf_dir, "events")), window)
+    rows = flow_features(spread(connections(read(spark, sf_dir, "events"))), window)
     return rows.select("conn_id", *[
         rounded(F.col(f"`{n}`").cast("double"), n) if n.endswith("rate") else F.col(f"`{n}`")
         for n in names])

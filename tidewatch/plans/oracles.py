@@ -71,7 +71,8 @@ WITH {FLOWS}, d(ordinal, feature, importance, description, security_relevance) A
            for i, (n, imp, desc, rel) in enumerate(DICTIONARY))}),
 m AS (SELECT {', '.join(f'avg("{c}"::double) AS "{c}"' for c in FLOW_NUMERIC)} FROM flows),
 u AS (UNPIVOT m ON COLUMNS(*) INTO NAME feature VALUE mean)
-SELECT d.ordinal::int AS ordinal, d.feature, d.description, d.importance, d.security_relevance,
+SELECT d.ordinal::int AS ordinal, d.feature, d.description, d.importance AS importance_level,
+  d.security_relevance,
   {r6('u.mean', 'mean')} FROM u JOIN d USING (feature)"""
 CONNS = """c AS (SELECT ts, event_id AS conn_id, (event_id * 7 % 40)::varchar AS src_ip,
   (props->>'$.k')::int AS src_port, user_id::varchar AS dst_ip,
@@ -282,6 +283,19 @@ ORACLES["stream_alerts"] = ORACLES["alerts"]
 ORACLES["recent_alerts"] = f"""{VECTORS}, {VECTOR_ROWS}, {ALERTS}
 SELECT id, timestamp, anomalies_found, total_samples, (SELECT count(*) FROM a) AS total_alerts
 FROM a ORDER BY timestamp DESC, id DESC LIMIT 5"""
+_minmax = [f"""((f."{c}"::double - m."lo_{c}"::double)
+  / CASE WHEN m."hi_{c}" = m."lo_{c}" THEN 1.0::double
+      ELSE (m."hi_{c}" - m."lo_{c}")::double END)""" for c in FLOW_NUMERIC]
+_onehot = [f"(f.{c} = '{v}')::int::double" for c, seen in (
+    ("protocol_type", ["icmp", "tcp", "udp"]),
+    ("service", ["domain", "ftp", "http", "private", "smtp"]), ("flag", ["REJ", "S0", "SF"]),
+) for v in seen]
+_limits = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in FLOW_NUMERIC)
+ORACLES["detect_flows"] = f"""
+WITH RECURSIVE {FLOWS}, m AS (SELECT {_limits} FROM flows),
+{forest(f"SELECT {ROW_TEXT} AS key, [{', '.join(_minmax + _onehot)}] AS x FROM flows f, m",
+        len(_minmax + _onehot), trees=50)}, {ITEM_ROWS}
+SELECT {KEYS}, prediction, {r6(NORMAL, 'anomaly_score')} FROM rows"""
 ORACLES["zscore_verdict"] = f"""
 WITH z AS (SELECT abs((l_extendedprice - avg(l_extendedprice) OVER ())
   / stddev_pop(l_extendedprice) OVER ()) > 1.5 AS hit FROM lineitem)

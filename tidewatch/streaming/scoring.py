@@ -46,10 +46,12 @@ def score_requests_stream(stream: DataFrame, root: str, path: str, checkpoint: s
     published = PublishedModel(stream.sparkSession, root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = published.current().transform(batch)
+        # Scored once, though read for the limits and for the rows.
+        scored = published.current().transform(batch).persist()
         normalise_score(scored, by=request).withColumn(
             "model_version", F.lit(published.version),
         ).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        scored.unpersist()
 
     return _each_batch(stream, write, checkpoint, trigger)
 

@@ -50,10 +50,13 @@ def flow_features_stream(stream: DataFrame, path: str, state: str, checkpoint: s
             seen = seen.unionByName(kept.withColumn("_new", F.lit(False)))
         else:
             kept = None
+        # Several scans follow; the micro-batch is read and matched with the log once.
+        seen = seen.persist()
         (flow_features(seen, window_seconds, last_n).filter("_new").drop("_new")
          .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
         merge = kept is not None and batch_id % merge_every == 0
         (_worth_keeping(rows.unionByName(kept) if merge else rows, window_seconds, last_n)
          .write.mode("overwrite").parquet(f"{state}/batch={batch_id}"))
+        seen.unpersist()
 
     return _each_batch(stream, write, checkpoint, trigger)
