@@ -1,13 +1,13 @@
-"""Scaling and encoding of flow features as one Spark ML pipeline."""
+"""Scaling and encoding of flow features as column expressions."""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.quantiles import exact_quantiles
+from tidewatch.operators.quantiles import column_stats, exact_quantiles
 from tidewatch.schema import LABEL
 
 SCALINGS = ("standard", "minmax", "robust")
@@ -27,7 +27,7 @@ def numeric_columns(df: DataFrame, categorical: list[str], exclude: list[str] =
 
 
 def scaling_parameters(df: DataFrame, columns: list[str], method: str) -> dict[str, tuple]:
-    """(centre, divisor) per column; a zero spread divides by 1. One aggregate job."""
+    """(centre, divisor) per column; a zero spread divides by 1."""
     if method not in SCALINGS:
         raise ValueError(f"scaling must be one of {SCALINGS}, not {method!r}")
     if not columns:
@@ -36,22 +36,13 @@ def scaling_parameters(df: DataFrame, columns: list[str], method: str) -> dict[s
         quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
         pairs = {c: (q[1], q[2] - q[0]) for c, q in quartiles.items()}
     else:
-        centre, spread = (
-            (F.avg, F.stddev_pop) if method == "standard"
-            else (F.min, lambda x: F.max(x) - F.min(x))
-        )
-        row = df.agg(*[
-            a for i, c in enumerate(columns)
-            for a in (centre(F.col(f"`{c}`").cast("double")).alias(f"c{i}"),
-                      spread(F.col(f"`{c}`").cast("double")).alias(f"s{i}"),
-                      F.min(f"`{c}`").alias(f"lo{i}"), F.max(f"`{c}`").alias(f"hi{i}"))
-        ]).first()
+        stats = column_stats(df, columns)
         # A constant column is told by min = max: its computed deviation may be a rounding rest.
         pairs = {
-            c: (row[f"c{i}"] if row[f"lo{i}"] != row[f"hi{i}"] else float(row[f"lo{i}"]),
-                row[f"s{i}"] if row[f"lo{i}"] != row[f"hi{i}"] else 0.0)
-            if row[f"lo{i}"] is not None else (None, None)
-            for i, c in enumerate(columns)
+            c: (s["min"], 0.0) if s["min"] == s["max"]
+            else (s["mean"], s["std"]) if method == "standard"
+            else (s["min"], s["max"] - s["min"])
+            for c, s in stats.items()
         }
     missing = [c for c, (m, _) in pairs.items() if m is None or m != m]
     if missing:
@@ -59,12 +50,29 @@ def scaling_parameters(df: DataFrame, columns: list[str], method: str) -> dict[s
     return {c: (float(m), float(s) if s else 1.0) for c, (m, s) in pairs.items()}
 
 
+def category_values(df: DataFrame, columns: list[str],
+                    limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
+    """The sorted distinct values per column; more than ``limit`` in one are an error.
+
+    Only distinct values leave the tasks, and no more than needed to tell that there are too many.
+    """
+    if not columns:
+        return {}
+    cells = F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
+    pairs = (df.select(cells.alias("i", "v")).filter(F.col("v").isNotNull()).distinct()
+             .limit(limit * len(columns) + 1).collect())
+    found = {c: sorted(r["v"] for r in pairs if r["i"] == i) for i, c in enumerate(columns)}
+    wide = [c for c, values in found.items() if len(values) > limit]
+    if wide or len(pairs) > limit * len(columns):
+        raise ValueError(f"more than {limit} distinct values to encode in {wide or columns}")
+    return found
+
+
 class FlowPreprocessor:
-    """Fits scaling and encoding; the result is a ``PipelineModel`` adding a ``features`` vector.
+    """Fits scaling and encoding; the fitted model adds one ``features`` array of doubles.
 
     Slots: scaled numerics in column order, then each categorical's encoding in the order given
     (sorted categories, unseen ones all zero; or one slot with the class number, unseen ones -1).
-    The model reads batch and stream alike, and is saved and loaded as any pipeline model.
     """
 
     def __init__(self, categorical: list[str] | None = None, scaling: str = "standard",
@@ -78,70 +86,67 @@ class FlowPreprocessor:
         self.scaling, self.encoding, self.output = scaling, encoding, output
         self.exclude = [LABEL] if exclude is None else list(exclude)
 
-    def fit(self, df: DataFrame) -> PipelineModel:
+    def fit(self, df: DataFrame) -> FlowPreprocessorModel:
         numeric = numeric_columns(df, self.categorical, self.exclude)
-        scale = scaling_parameters(df, numeric, self.scaling)
-        stages, slots = [], []
-        if scale:
-            slots += [f"{c}__scaled" for c in numeric]
-            stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
-                f"(CAST(`{c}` AS DOUBLE) - CAST('{m!r}' AS DOUBLE)) / CAST('{s!r}' AS DOUBLE) "
-                f"AS `{c}__scaled`" for c, (m, s) in scale.items()) + " FROM __THIS__"))
-        if self.categorical:
-            self._check_categories(df)
-            index = [f"{c}__index" for c in self.categorical]
-            indexer = StringIndexer(inputCols=self.categorical, outputCols=index,
-                                    handleInvalid="keep", stringOrderType="alphabetAsc").fit(df)
-            stages.append(indexer)
-            if self.encoding == "onehot":
-                encoded = [f"{c}__onehot" for c in self.categorical]
-                encoder = OneHotEncoder(inputCols=index, outputCols=encoded, dropLast=True)
-                # Fitted on the index metadata alone; the data is not read again.
-                stages.append(encoder.fit(indexer.transform(df)))
-            else:
-                encoded = [f"{c}__code" for c in self.categorical]
-                stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(
-                    f"CASE WHEN `{i}` = {len(seen)} THEN -1.0D ELSE `{i}` END AS `{e}`"
-                    for i, e, seen in zip(index, encoded, indexer.labelsArray))
-                    + " FROM __THIS__"))
-            slots += encoded
-        stages.append(VectorAssembler(inputCols=slots, outputCol=self.output,
-                                      handleInvalid="error"))
-        return PipelineModel(stages)
-
-    def _check_categories(self, df: DataFrame) -> None:
-        """The fitted categories go through the driver, so their number must be small."""
-        found = df.agg(*[F.approx_count_distinct(f"`{c}`").alias(c)
-                         for c in self.categorical]).first().asDict()
-        wide = {c: n for c, n in found.items() if n > MAX_CATEGORIES}
-        if wide:
-            raise ValueError(f"too many distinct values to encode: {wide}")
+        return FlowPreprocessorModel({
+            "scaling": self.scaling, "encoding": self.encoding, "output": self.output,
+            "numeric": [[c, *p] for c, p in scaling_parameters(df, numeric, self.scaling).items()],
+            "categorical": [[c, v] for c, v in category_values(df, self.categorical).items()],
+        })
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
-        return transform(self.fit(df), df)
+        return self.fit(df).transform(df)
+
+
+class FlowPreprocessorModel:
+    """Fitted scaling and encoding: a projection, for batch and stream alike."""
+
+    def __init__(self, params: dict):
+        self.params = params
+
+    @property
+    def slots(self) -> list[str]:
+        """Names of the feature slots."""
+        names = [c for c, _, _ in self.params["numeric"]]
+        for c, values in self.params["categorical"]:
+            names += [f"{c}_{v}" for v in values] if self.params["encoding"] == "onehot" else [c]
+        return names
+
+    def _slot_columns(self) -> list[Column]:
+        cols = [(F.col(f"`{c}`").cast("double") - F.lit(centre)) / F.lit(divisor)
+                for c, centre, divisor in self.params["numeric"]]
+        for c, values in self.params["categorical"]:
+            text = F.col(f"`{c}`").cast("string")
+            if self.params["encoding"] == "onehot":
+                cols += [text.eqNullSafe(F.lit(v)).cast("double") for v in values]
+            else:
+                known = F.array(*[F.lit(v) for v in values])
+                # The position counts from 1 and is 0 for an unseen value.
+                cols.append(F.coalesce(F.array_position(known, text) - 1, F.lit(-1))
+                            .cast("double"))
+        return cols
 
+    def transform(self, df: DataFrame, fill: dict | None = None) -> DataFrame:
+        """The input plus the feature array; ``fill`` replaces NULLs by column first."""
+        rows = df.fillna(fill) if fill else df
+        return rows.withColumn(self.params["output"], F.array(*self._slot_columns()))
 
-def transform(model: PipelineModel, df: DataFrame, output: str = "features",
-              fill: dict | None = None) -> DataFrame:
-    """The input plus the feature vector only; ``fill`` replaces NULLs by column first."""
-    return model.transform(df.fillna(fill) if fill else df).select(*df.columns, output)
+    def save(self, spark: SparkSession, path: str) -> None:
+        row = spark.createDataFrame([(json.dumps(self.params),)], "params string").coalesce(1)
+        row.write.mode("overwrite").json(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FlowPreprocessorModel:
+        row = spark.read.schema("params string").json(path).first()
+        return FlowPreprocessorModel(json.loads(row[0]))
 
 
 def preprocess(train: DataFrame, test: DataFrame, categorical: list[str],
                scaling: str = "standard", encoding: str = "onehot",
-               save_path: str | None = None, label: str = LABEL,
-               ) -> tuple[DataFrame, DataFrame, PipelineModel]:
+               save_path: str | None = None, exclude: list[str] | None = None,
+               ) -> tuple[DataFrame, DataFrame, FlowPreprocessorModel]:
     """Fit on train only, transform both, optionally save the fitted model."""
-    model = FlowPreprocessor(categorical, scaling, encoding, exclude=[label]).fit(train)
+    model = FlowPreprocessor(categorical, scaling, encoding, exclude).fit(train)
     if save_path:
-        model.write().overwrite().save(save_path)
-    return transform(model, train), transform(model, test), model
-
-
-def slot_names(df: DataFrame, features: str = "features") -> list[str]:
-    """Names of the vector's slots, from the assembler's metadata; ``feature_i`` where unnamed."""
-    meta = df.schema[features].metadata.get("ml_attr", {})
-    names = {a["idx"]: a.get("name") for group in meta.get("attrs", {}).values() for a in group}
-    size = meta.get("num_attrs", len(names))
-    return [(names.get(i) or f"feature_{i}").replace("__scaled", "").replace("__onehot", "")
-            .replace("__code", "") for i in range(size)]
+        model.save(train.sparkSession, save_path)
+    return model.transform(train), model.transform(test), model

@@ -9,8 +9,25 @@ from pyspark.sql import functions as F
 
 # Up to this many values, all columns together, the built-in exact percentile is used: its state,
 # maps of distinct values in a single task, is then bounded by this count.
-SMALL_VALUES = 2_000_000
+SMALL_VALUES = 200_000
 BINS = 1024
+# An interval of at most this many rows is read value by value.
+FEW = 2_000
+
+
+def column_stats(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """count, mean, population deviation, minimum and maximum per column, NULLs ignored.
+
+    Columns become rows before the aggregate: a few functions over one column compile well where
+    several for each of many columns do not, and the map side reduces to one row per column.
+    """
+    cells = F.posexplode(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]))
+    rows = df.select(cells.alias("i", "x")).filter(F.col("x").isNotNull()).groupBy("i").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
+        F.min("x").alias("min"), F.max("x").alias("max")).collect()
+    found = {r["i"]: r.asDict() for r in rows}
+    none = {"n": 0, "mean": None, "std": None, "min": None, "max": None}
+    return {c: found.get(i, none) for i, c in enumerate(columns)}
 
 
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
@@ -24,12 +41,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     doubles = df.select([F.col(f"`{c}`").cast("double").alias(f"c{i}")
                          for i, c in enumerate(columns)])
     names = doubles.columns
-    stats = doubles.agg(*[
-        a for c in names
-        for a in (F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"),
-                  F.max(c).alias(f"hi_{c}"))
-    ]).first()
-    counts = {c: stats[f"n_{c}"] for c in names}
+    stats = column_stats(doubles, names)
+    counts = {c: stats[c]["n"] for c in names}
     if sum(counts.values()) <= small_values:
         row = doubles.agg(*[F.percentile(c, F.array(*[F.lit(float(p)) for p in probs])).alias(c)
                             for c in names]).first()
@@ -43,10 +56,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                 position = (counts[c] - 1) * p
                 wanted[c, math.floor(position)] = None
                 wanted[c, math.ceil(position)] = None
-    # interval -> ranks inside it; an interval is (column, low, high, rows below it)
+    # interval -> ranks inside it; an interval is (column, low, high, rows below it, rows in it)
     intervals: dict[tuple, list[int]] = {}
     for c, rank in wanted:
-        intervals.setdefault((c, stats[f"lo_{c}"], stats[f"hi_{c}"], 0), []).append(rank)
+        key = (c, stats[c]["min"], stats[c]["max"], 0, counts[c])
+        intervals.setdefault(key, []).append(rank)
     while intervals:
         intervals = _narrow(doubles, intervals, wanted, bins)
 
@@ -66,10 +80,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
 
 
 def _narrow(doubles: DataFrame, intervals: dict, wanted: dict, bins: int) -> dict:
-    """One pass: resolve intervals of a single value, shrink the others to one bin."""
+    """One pass: resolve intervals of a single value, shrink the others to one bin or value."""
     open_intervals = {}
     for key, ranks in intervals.items():
-        c, low, high, _ = key
+        c, low, high, _, _ = key
         if low == high:
             for rank in ranks:
                 wanted[c, rank] = low
@@ -79,26 +93,29 @@ def _narrow(doubles: DataFrame, intervals: dict, wanted: dict, bins: int) -> dic
         return {}
     cells = []
     keys = list(open_intervals)
-    for i, (c, low, high, _) in enumerate(keys):
+    for i, (c, low, high, _, n) in enumerate(keys):
         # Halves keep the width finite for intervals as wide as the double range.
         step = (F.col(c) / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
         cell = F.least(F.floor(step * bins), F.lit(bins - 1)).cast("int")
-        cells.append(F.when(F.col(c).between(low, high),
-                            F.struct(F.lit(i).alias("i"), cell.alias("b"), F.col(c).alias("x"))))
+        few = n <= FEW
+        cells.append(F.when(F.col(c).between(low, high), F.struct(
+            F.lit(i).alias("i"), (F.lit(0) if few else cell).alias("b"),
+            (F.col(c) if few else F.lit(None).cast("double")).alias("v"), F.col(c).alias("x"))))
     rows = (
         doubles.select(F.explode(F.filter(F.array(*cells), lambda s: s.isNotNull())).alias("s"))
-        .groupBy("s.i", "s.b")
+        .groupBy("s.i", "s.b", "s.v")
         .agg(F.count(F.lit(1)).alias("n"), F.min("s.x").alias("lo"), F.max("s.x").alias("hi"))
-        .orderBy("i", "b")
         .collect()
     )
+    by_interval: dict[int, list] = {}
+    for row in sorted(rows, key=lambda r: (r["i"], r["lo"])):
+        by_interval.setdefault(row["i"], []).append(row)
     narrowed: dict[tuple, list[int]] = {}
     for i, key in enumerate(keys):
-        c, _, _, below = key
-        ranks = sorted(open_intervals[key])
-        for row in (r for r in rows if r["i"] == i):
-            inside = [r for r in ranks if below <= r < below + row["n"]]
+        c, _, _, below, _ = key
+        for row in by_interval.get(i, []):
+            inside = [r for r in open_intervals[key] if below <= r < below + row["n"]]
             if inside:
-                narrowed.setdefault((c, row["lo"], row["hi"], below), []).extend(inside)
+                narrowed.setdefault((c, row["lo"], row["hi"], below, row["n"]), []).extend(inside)
             below += row["n"]
     return narrowed

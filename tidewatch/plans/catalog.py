@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +16,7 @@ from tidewatch.operators.isolation_forest import (
     IsolationForest, IsolationForestModel, normalise_score,
 )
 from tidewatch.operators.preprocess import (
-    FlowPreprocessor, numeric_columns, scaling_parameters, split_features, transform,
+    FlowPreprocessor, FlowPreprocessorModel, numeric_columns, scaling_parameters, split_features,
 )
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.random_forest import RandomForestModel, fit_random_forest, top_features
@@ -67,14 +65,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @query
 def scan_flows(spark, sf_dir):
     path = scratch_path(spark, "flows")
-    flow_records(spark, sf_dir).write.csv(path)
+    spread(flow_records(spark, sf_dir)).write.csv(path)
     return process_labels(read_flows(spark, path))
 
 
 @query
 def scan_flows_binary(spark, sf_dir):
     path = scratch_path(spark, "flows")
-    flow_records(spark, sf_dir).write.parquet(path)
+    spread(flow_records(spark, sf_dir)).write.parquet(path)
     flows = process_labels(read_flows(spark, path, "parquet"), binary=True)
     return summaries.label_distribution(flows)
 
@@ -82,7 +80,7 @@ def scan_flows_binary(spark, sf_dir):
 @query
 def scan_unlabelled(spark, sf_dir):
     path = scratch_path(spark, "flows")
-    flow_records(spark, sf_dir).write.csv(path)
+    spread(flow_records(spark, sf_dir)).write.csv(path)
     return read_flows(spark, path, with_label=False)
 
 
@@ -182,9 +180,8 @@ def hash_split(spark, sf_dir):
 
 def _scaled(spark, sf_dir, method):
     rows = lineitem(spark, sf_dir).select(*ROW_KEY, *NUMERIC)
-    model = FlowPreprocessor(scaling=method, exclude=ROW_KEY).fit(rows)
-    x = vector_to_array("features")
-    return transform(model, rows).select(
+    x = F.col("features")
+    return FlowPreprocessor(scaling=method, exclude=ROW_KEY).fit_transform(rows).select(
         *ROW_KEY, *[rounded(x[i], f"{c}_scaled") for i, c in enumerate(NUMERIC)])
 
 
@@ -219,8 +216,8 @@ def _encoded(spark, sf_dir, encoding, names):
     # Fitted without flag N, so N is an unseen category.
     model = FlowPreprocessor(CATEGORY, encoding=encoding, exclude=ROW_KEY).fit(
         rows.filter(F.col("l_returnflag") != "N"))
-    x = vector_to_array("features")
-    return transform(model, rows).select(
+    x = F.col("features")
+    return model.transform(rows).select(
         *ROW_KEY, *[x[i].cast("int").alias(n) for i, n in enumerate(names)])
 
 
@@ -237,9 +234,9 @@ def encode_label(spark, sf_dir):
 @query
 def assemble_features(spark, sf_dir):
     rows = lineitem(spark, sf_dir).select(*ROW_KEY, *CATEGORY, *NUMERIC)
-    model = FlowPreprocessor(CATEGORY, exclude=ROW_KEY).fit(rows)
-    x = vector_to_array("features")
-    return transform(model, rows).select(*ROW_KEY, *[rounded(x[i], f"s{i}") for i in range(9)])
+    x = F.col("features")
+    return FlowPreprocessor(CATEGORY, exclude=ROW_KEY).fit_transform(rows).select(
+        *ROW_KEY, *[rounded(x[i], f"s{i}") for i in range(9)])
 
 
 @query
@@ -247,11 +244,10 @@ def flow_preprocess(spark, sf_dir):
     """Saved and loaded preprocessor over the 41 flow features."""
     flows = flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty")
     path = scratch_path(spark, "preprocessor")
-    FlowPreprocessor(CATEGORICAL, exclude=ROW_KEY).fit(flows).write().overwrite().save(path)
-    rows = transform(PipelineModel.load(path), flows)
-    x = vector_to_array("features")
-    total = F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    return rows.select(*ROW_KEY, F.size(x).alias("slots"), rounded(total, "slot_sum"))
+    FlowPreprocessor(CATEGORICAL, exclude=ROW_KEY).fit(flows).save(spark, path)
+    rows = FlowPreprocessorModel.load(spark, path).transform(flows)
+    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
+    return rows.select(*ROW_KEY, F.size("features").alias("slots"), rounded(total, "slot_sum"))
 
 
 # --- isolation forest -------------------------------------------------------------------------
@@ -414,7 +410,7 @@ def detect_flows(spark, sf_dir):
     """Preprocess, fit, score and judge the 41 flow features end to end."""
     flows = spread(flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty"))
     prep = FlowPreprocessor(CATEGORICAL, "minmax", exclude=ROW_KEY).fit(flows)
-    model = IsolationForest("features", key=ROW_KEY, trees=50).fit(transform(prep, flows))
+    model = IsolationForest("features", key=ROW_KEY, trees=50).fit(prep.transform(flows))
     return detect(flows, prep, model).select(*ROW_KEY, "prediction", rounded("anomaly_score"))
 
 
@@ -468,7 +464,7 @@ def if_confusion_matrix(spark, sf_dir):
 
 @query
 def if_evaluate(spark, sf_dir):
-    judged = _judged(spark, sf_dir)
+    judged = _judged(spark, sf_dir).persist()
     out = metrics.binary_metrics(judged, "truth", "flag")
     auc = metrics.roc_auc(judged, "truth", "score")
     return out.select(*[rounded(c) for c in out.columns],
@@ -502,8 +498,7 @@ def class_report(spark, sf_dir):
 # --- random forest (no SQL counterpart: seeded learner) ---------------------------------------
 
 def _label_rows(spark, sf_dir):
-    rows = request_vectors(read(spark, sf_dir, "embeddings"))
-    return rows.select("vec_id", "label", array_to_vector("features").alias("features"))
+    return request_vectors(read(spark, sf_dir, "embeddings")).select("vec_id", "label", "features")
 
 
 def vector_classifier(spark, sf_dir) -> RandomForestModel:
@@ -539,8 +534,8 @@ def rf_flows(spark, sf_dir):
     flows = process_labels(flow_records(spark, sf_dir, ROW_KEY).drop("difficulty"))
     train, test = summaries.hash_split(spread(flows), ROW_KEY)
     prep = FlowPreprocessor(CATEGORICAL, exclude=[*ROW_KEY, "label"]).fit(train)
-    model = fit_random_forest(transform(prep, train), trees=10, max_depth=6)
-    rows = model.transform(transform(prep, test)).select(
+    model = fit_random_forest(prep.transform(train), trees=10, max_depth=6)
+    rows = model.transform(prep.transform(test)).select(
         F.col("label").alias("actual"), "predicted")
     out = metrics.weighted_metrics(rows, "actual", "predicted")
     return out.select(*[rounded(c) for c in out.columns])
@@ -574,8 +569,10 @@ def win_last100(spark, sf_dir):
 
 def _table_stream(spark, sf_dir, table) -> DataFrame:
     schema = read(spark, sf_dir, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(
         sf_dir)
+    # A single file a micro-batch; spread it as a folder of many files would be.
+    return stream.repartition(spark.sparkContext.defaultParallelism)
 
 
 def _run(start: Callable[[str, str], object], spark) -> str:
