@@ -154,7 +154,7 @@ SELECT {KEYS}, ({len(FLOW_NUMERIC)} + k)::int AS slots,
 
 def forest(source: str, width: int, trees: int = 100, psi: int = 256, seed: int = 42,
            contamination: float = 0.1, depth: int = 8) -> str:
-    """CTEs of a forest over ``source``, a query giving ``key`` (text) and ``x`` (list).
+    """CTEs of a forest over ``source``, a query giving ``key`` (text), ``x`` (list) and more.
 
     ``grow`` carries the sampled rows down, ``splits`` the split of each inner node, ``nodes``
     the node table, ``scores`` the score of every row, ``cut`` threshold, least and greatest.
@@ -178,7 +178,7 @@ def forest(source: str, width: int, trees: int = 100, psi: int = 256, seed: int
             WHERE lo < hi GROUP BY tree, node, depth))))"""
 
     return f"""
-src AS MATERIALIZED (SELECT row_number() OVER () AS id, key, x FROM ({source})),
+src AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM ({source})),
 pool AS MATERIALIZED (SELECT id, key, x FROM src WHERE {unit(f"'{seed}|pool|' || key")}
   < least(1.0, {pool}::double / (SELECT count(*) FROM src))),
 sample AS MATERIALIZED (SELECT * FROM (
@@ -216,13 +216,11 @@ cut AS MATERIALIZED (SELECT quantile_cont(score, {1 - contamination}) AS thresho
   min(score) AS low, max(score) AS high FROM scores)"""
 
 
-ITEM_SOURCE = (f"SELECT {ROW_TEXT} AS key, [{', '.join(NUMERIC)}] AS x, * "
-               "FROM lineitem")
-ITEMS = f"WITH RECURSIVE {forest(f'SELECT {ROW_TEXT} AS key, [{chr(44).join(NUMERIC)}] AS x FROM lineitem', 4)}"
-ITEM_ROWS = f"""rows AS (SELECT i.*, s.score, cut.threshold, cut.low, cut.high,
+ITEM_SOURCE = f"SELECT {ROW_TEXT} AS key, [{', '.join(NUMERIC)}] AS x, * FROM lineitem"
+ITEMS = f"WITH RECURSIVE {forest(ITEM_SOURCE, 4)}"
+ITEM_ROWS = """rows AS (SELECT src.*, s.score, cut.threshold, cut.low, cut.high,
   CASE WHEN s.score > cut.threshold THEN 'anomaly' ELSE 'normal' END AS prediction
-  FROM (SELECT *, {ROW_TEXT} AS key FROM lineitem) i JOIN src USING (key)
-  JOIN scores s ON s.id = src.id, cut)"""
+  FROM src JOIN scores s ON s.id = src.id, cut)"""
 NORMAL = "(score - low) / (high - low)"
 
 ORACLES["if_sample"] = f"{ITEMS} SELECT tree, rank, key FROM sample"
@@ -293,7 +291,7 @@ _onehot = [f"(f.{c} = '{v}')::int::double" for c, seen in (
 _limits = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in FLOW_NUMERIC)
 ORACLES["detect_flows"] = f"""
 WITH RECURSIVE {FLOWS}, m AS (SELECT {_limits} FROM flows),
-{forest(f"SELECT {ROW_TEXT} AS key, [{', '.join(_minmax + _onehot)}] AS x FROM flows f, m",
+{forest(f"SELECT {ROW_TEXT} AS key, [{', '.join(_minmax + _onehot)}] AS x, {KEYS} FROM flows f, m",
         len(_minmax + _onehot), trees=50)}, {ITEM_ROWS}
 SELECT {KEYS}, prediction, {r6(NORMAL, 'anomaly_score')} FROM rows"""
 ORACLES["zscore_verdict"] = f"""
