@@ -21,6 +21,9 @@ REJECT_FLAGS = ["REJ"]
 
 MICROS = 1_000_000
 BLOCK = 10_000
+# Rows a cell would hold if one host had all the traffic, and the limits of a cell in seconds.
+CELL_ROWS = 2_000_000
+SHORTEST_CELL, LONGEST_CELL = 0.001, 10.0
 
 TIME_FEATURES = ["count", "srv_count", "serror_rate", "srv_serror_rate", "rerror_rate",
                  "srv_rerror_rate", "same_srv_rate", "diff_srv_rate", "srv_diff_host_rate"]
@@ -38,19 +41,31 @@ def rejected(flag: Column) -> Column:
     return F.coalesce(flag.isin(REJECT_FLAGS), F.lit(False)).cast("int")
 
 
+def cell_length(conns: DataFrame, rows: int = CELL_ROWS) -> float:
+    """Seconds of log per task, by the mean rate of the whole log. Reads the times only."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    n, first, last = conns.agg(F.count(at), F.min(at), F.max(at)).first()
+    if not n:
+        return LONGEST_CELL
+    return min(LONGEST_CELL, max(SHORTEST_CELL, (last - first) / MICROS * rows / n))
+
+
 def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 100,
-                  cell_seconds: float = 10.0, block: int = BLOCK) -> DataFrame:
+                  cell_seconds: float | None = None, block: int = BLOCK) -> DataFrame:
     """The connections plus the 9 time-window and 10 last-n host features.
 
     Needs ``conn_id`` (unique), ``ts``, ``src_ip``, ``src_port``, ``dst_ip``, ``service``, ``flag``.
-    ``cell_seconds`` only sets the size of tasks, never a result.
+    ``cell_seconds`` and ``block`` only set the size of tasks, never a result; without
+    ``cell_seconds`` the rate of the log decides, so that a host with all of a fast log is split
+    as finely as needed.
     """
     if last_n > block:
         raise ValueError("last_n must not exceed block")
     payload = conns.columns
     base = conns.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))) \
         .withColumn("_syn", syn_error(F.col("flag"))).withColumn("_rej", rejected(F.col("flag")))
-    span, cell = int(window_seconds * MICROS), int(cell_seconds * MICROS)
+    seconds = cell_length(conns) if cell_seconds is None else cell_seconds
+    span, cell = int(window_seconds * MICROS), max(1, int(seconds * MICROS))
     timed = _service_window(_host_window(base, span, cell), base, span, cell)
     counted = _last_connections(timed, last_n, block)
     n_host, n_srv, n_pair = F.col("_h_n"), F.col("_s_n"), F.col("_p_n")

@@ -22,7 +22,7 @@ from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.random_forest import RandomForestModel, fit_random_forest, top_features
 from tidewatch.operators.traffic import HOST_FEATURES, TIME_FEATURES, flow_features
 from tidewatch.plans.models import load_model, publish_model
-from tidewatch.plans.pipelines import detect
+from tidewatch.plans.pipelines import detect, train
 from tidewatch.plans.standins import (
     CATEGORY, NUMERIC, ROW_KEY, connections, flow_records, labelled_events, lineitem,
     request_vectors,
@@ -39,6 +39,7 @@ from tidewatch.streaming.traffic import flow_features_stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 DIGITS = 6
+RATES = ["accuracy", "precision", "recall", "f1_score", "roc_auc"]
 
 
 def query(fn: Query) -> Query:
@@ -65,14 +66,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @query
 def scan_flows(spark, sf_dir):
     path = scratch_path(spark, "flows")
-    spread(flow_records(spark, sf_dir)).write.csv(path)
+    flow_records(spark, sf_dir).write.csv(path)
     return process_labels(read_flows(spark, path))
 
 
 @query
 def scan_flows_binary(spark, sf_dir):
     path = scratch_path(spark, "flows")
-    spread(flow_records(spark, sf_dir)).write.parquet(path)
+    flow_records(spark, sf_dir).write.parquet(path)
     flows = process_labels(read_flows(spark, path, "parquet"), binary=True)
     return summaries.label_distribution(flows)
 
@@ -80,7 +81,7 @@ def scan_flows_binary(spark, sf_dir):
 @query
 def scan_unlabelled(spark, sf_dir):
     path = scratch_path(spark, "flows")
-    spread(flow_records(spark, sf_dir)).write.csv(path)
+    flow_records(spark, sf_dir).write.csv(path)
     return read_flows(spark, path, with_label=False)
 
 
@@ -179,7 +180,7 @@ def hash_split(spark, sf_dir):
 # --- scaling and encoding ---------------------------------------------------------------------
 
 def _scaled(spark, sf_dir, method):
-    rows = lineitem(spark, sf_dir).select(*ROW_KEY, *NUMERIC)
+    rows = spread(lineitem(spark, sf_dir).select(*ROW_KEY, *NUMERIC))
     x = F.col("features")
     return FlowPreprocessor(scaling=method, exclude=ROW_KEY).fit_transform(rows).select(
         *ROW_KEY, *[rounded(x[i], f"{c}_scaled") for i, c in enumerate(NUMERIC)])
@@ -203,7 +204,7 @@ def scale_robust(spark, sf_dir):
 @query
 def robust_parameters(spark, sf_dir):
     # Narrowing by histograms, as for inputs beyond the built-in percentile.
-    rows = lineitem(spark, sf_dir).select(*NUMERIC)
+    rows = spread(lineitem(spark, sf_dir).select(*NUMERIC))
     found = exact_quantiles(rows, NUMERIC, [0.25, 0.5, 0.75], small_values=0)
     return spark.createDataFrame(
         [(c, *map(float, q)) for c, q in found.items()],
@@ -408,18 +409,31 @@ def model_roundtrip(spark, sf_dir):
 @query
 def detect_flows(spark, sf_dir):
     """Preprocess, fit, score and judge the 41 flow features end to end."""
-    flows = spread(flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty"))
+    flows = flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty")
     prep = FlowPreprocessor(CATEGORICAL, "minmax", exclude=ROW_KEY).fit(flows)
     model = IsolationForest("features", key=ROW_KEY, trees=50).fit(prep.transform(flows))
     return detect(flows, prep, model).select(*ROW_KEY, "prediction", rounded("anomaly_score"))
 
 
+@query
+def train_detector(spark, sf_dir):
+    """The whole training job: fit on four fifths of the flows, evaluate on the rest."""
+    flows = flow_records(spark, sf_dir, ROW_KEY).drop("difficulty")
+    parts = summaries.hash_split(process_labels(flows, binary=True), ROW_KEY)
+    found = train(*parts, scratch_path(spark, "trained"), key=ROW_KEY, scaling="minmax", trees=50)
+    (tn, fp), (fn, tp) = found.pop("confusion_matrix")
+    row = spark.createDataFrame(
+        [(tn, fp, fn, tp, *[found[c] for c in RATES])],
+        "tn long, fp long, fn long, tp long, " + ", ".join(f"{c} double" for c in RATES))
+    return row.select("tn", "fp", "fn", "tp", *[rounded(c) for c in RATES])
+
+
 @query
 def zscore_verdict(spark, sf_dir):
     """Verdicts by a cut on the standardised price."""
     rows = lineitem(spark, sf_dir).select("l_extendedprice")
-    centre, spread = scaling_parameters(rows, ["l_extendedprice"], "standard")["l_extendedprice"]
-    z = F.abs((F.col("l_extendedprice") - centre) / spread)
+    centre, divisor = scaling_parameters(rows, ["l_extendedprice"], "standard")["l_extendedprice"]
+    z = F.abs((F.col("l_extendedprice") - centre) / divisor)
     judged = with_verdict(rows.withColumn("z", z), "z", 1.5)
     out = summaries.anomaly_summary(judged)
     return out.select("total_samples", "anomalies_found", rounded("anomaly_rate"))
@@ -532,7 +546,7 @@ def rf_evaluate(spark, sf_dir):
 def rf_flows(spark, sf_dir):
     """Attack categories of the flows by a balanced forest; metrics on held-out rows."""
     flows = process_labels(flow_records(spark, sf_dir, ROW_KEY).drop("difficulty"))
-    train, test = summaries.hash_split(spread(flows), ROW_KEY)
+    train, test = summaries.hash_split(flows, ROW_KEY)
     prep = FlowPreprocessor(CATEGORICAL, exclude=[*ROW_KEY, "label"]).fit(train)
     model = fit_random_forest(prep.transform(train), trees=10, max_depth=6)
     rows = model.transform(prep.transform(test)).select(
@@ -544,7 +558,7 @@ def rf_flows(spark, sf_dir):
 # --- windowed traffic features ----------------------------------------------------------------
 
 def _features(spark, sf_dir, names, window):
-    rows = flow_features(spread(connections(read(spark, sf_dir, "events"))), window)
+    rows = flow_features(connections(read(spark, sf_dir, "events")), window)
     return rows.select("conn_id", *[
         rounded(F.col(f"`{n}`").cast("double"), n) if n.endswith("rate") else F.col(f"`{n}`")
         for n in names])

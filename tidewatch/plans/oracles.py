@@ -153,11 +153,12 @@ SELECT {KEYS}, ({len(FLOW_NUMERIC)} + k)::int AS slots,
 
 
 def forest(source: str, width: int, trees: int = 100, psi: int = 256, seed: int = 42,
-           contamination: float = 0.1, depth: int = 8) -> str:
+           contamination: float = 0.1, depth: int = 8, fit_on: str = "true") -> str:
     """CTEs of a forest over ``source``, a query giving ``key`` (text), ``x`` (list) and more.
 
     ``grow`` carries the sampled rows down, ``splits`` the split of each inner node, ``nodes``
     the node table, ``scores`` the score of every row, ``cut`` threshold, least and greatest.
+    Rows that are not ``fit_on`` are scored only.
     """
     pool = POOL_FACTOR * trees * psi
     path = ("depth + CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE "
@@ -179,8 +180,8 @@ def forest(source: str, width: int, trees: int = 100, psi: int = 256, seed: int
 
     return f"""
 src AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM ({source})),
-pool AS MATERIALIZED (SELECT id, key, x FROM src WHERE {unit(f"'{seed}|pool|' || key")}
-  < least(1.0, {pool}::double / (SELECT count(*) FROM src))),
+pool AS MATERIALIZED (SELECT id, key, x FROM src WHERE {fit_on} AND
+  {unit(f"'{seed}|pool|' || key")} < least(1.0, {pool}::double / (SELECT count(*) FROM src WHERE {fit_on}))),
 sample AS MATERIALIZED (SELECT * FROM (
   SELECT tree::int AS tree, key, x,
     row_number() OVER (PARTITION BY tree ORDER BY md5('{seed}|' || tree || '|' || key), key) AS rank
@@ -210,10 +211,10 @@ scores AS MATERIALIZED (
       / (2.0 * (ln(c - 1.0::double) + 0.5772156649015329::double) - 2.0 * (c - 1.0::double) / c))
     AS score
   FROM walk w JOIN nodes n ON w.tree = n.tree AND w.node = n.node AND n.feature = -1,
-    (SELECT least({psi}, count(*)) AS c FROM src)
+    (SELECT least({psi}, count(*)) AS c FROM src WHERE {fit_on})
   GROUP BY id, c),
 cut AS MATERIALIZED (SELECT quantile_cont(score, {1 - contamination}) AS threshold,
-  min(score) AS low, max(score) AS high FROM scores)"""
+  min(score) AS low, max(score) AS high FROM scores JOIN src USING (id) WHERE {fit_on})"""
 
 
 ITEM_SOURCE = f"SELECT {ROW_TEXT} AS key, [{', '.join(NUMERIC)}] AS x, * FROM lineitem"
@@ -311,7 +312,7 @@ FROM range(2) a(v), range(2) p(v)"""
 COUNTS = """k AS (SELECT count(*)::double AS n, count_if(truth = flag)::double AS hits,
   count_if(truth = 1 AND flag = 1)::double AS tp, count_if(flag = 1)::double AS flagged,
   count_if(truth = 1)::double AS pos FROM j),
-m AS (SELECT hits / n AS accuracy, CASE WHEN flagged = 0 THEN 0.0 ELSE tp / flagged END AS p,
+rates AS (SELECT hits / n AS accuracy, CASE WHEN flagged = 0 THEN 0.0 ELSE tp / flagged END AS p,
   CASE WHEN pos = 0 THEN 0.0 ELSE tp / pos END AS r FROM k)"""
 BINARY = ", ".join([r6("accuracy", "accuracy"), r6("p", '"precision"'), r6("r", "recall"),
                     r6("CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END", "f1_score")])
@@ -327,10 +328,10 @@ def auc(rows: str) -> str:
 
 
 ORACLES["confusion_matrix"] = f"WITH {QUALITY} {CELLS}"
-ORACLES["binary_metrics"] = f"WITH {QUALITY}, {COUNTS} SELECT {BINARY} FROM m"
+ORACLES["binary_metrics"] = f"WITH {QUALITY}, {COUNTS} SELECT {BINARY} FROM rates"
 ORACLES["if_confusion_matrix"] = f"{ITEMS}, {JUDGED} {CELLS}"
 ORACLES["if_evaluate"] = f"""{ITEMS}, {JUDGED}, {COUNTS}
-SELECT {BINARY}, {r6(auc('j'), 'roc_auc')} FROM m"""
+SELECT {BINARY}, {r6(auc('j'), 'roc_auc')} FROM rates"""
 ORACLES["roc_auc"] = f"""
 WITH j AS (SELECT (l_returnflag = 'R')::int AS truth, floor(l_extendedprice) AS score
   FROM lineitem)
@@ -360,6 +361,19 @@ UNION ALL SELECT 'weighted avg', 'weighted avg', sum(p * support) / sum(support)
 SELECT kind, class, {r6('p', '"precision"')}, {r6('r', 'recall')}, {r6('f', 'f1_score')}, support
 FROM o"""
 
+_train_limits = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in FLOW_NUMERIC)
+_in_train = f"""{unit("'42|split|' || " + ROW_TEXT)} >= 0.2"""
+ORACLES["train_detector"] = f"""
+WITH RECURSIVE {FLOWS}, m AS (SELECT {_train_limits} FROM flows WHERE {_in_train}),
+{forest(f"SELECT {ROW_TEXT} AS key, [{', '.join(_minmax + _onehot)}] AS x, {_in_train} AS train, "
+        f"({CLEAN} <> 'normal')::int AS truth FROM flows f, m",
+        len(_minmax + _onehot), trees=50, fit_on="train")}, {ITEM_ROWS},
+j AS (SELECT truth, (prediction = 'anomaly')::int AS flag, score FROM rows WHERE NOT train),
+{COUNTS}
+SELECT {', '.join(f"(SELECT count(*) FROM j WHERE truth = {t} AND flag = {f}) AS {n}"
+                  for n, t, f in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1)))},
+  {BINARY}, {r6(auc('j'), 'roc_auc')} FROM rates"""
+
 # --- windowed traffic features ----------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.schema import FLOW_SCHEMA, TAXONOMY
+from tidewatch.session import spread
 
 ROW_KEY = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -77,7 +78,7 @@ def raw_label(number: str) -> F.Column:
 
 def flow_records(spark: SparkSession, sf_dir: str, keep: list[str] = ()) -> DataFrame:
     """One 43-column flow record per lineitem row, in flow-file order."""
-    rows = lineitem(spark, sf_dir).withColumn("label", raw_label("l_orderkey"))
+    rows = spread(lineitem(spark, sf_dir)).withColumn("label", raw_label("l_orderkey"))
     return rows.select(*keep, *[
         (F.col("label") if f.name == "label" else F.expr(FLOW_EXPRESSIONS[f.name]))
         .cast(f.dataType).alias(f.name) for f in FLOW_SCHEMA])
