@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators.traffic import HOST_FEATURES, TIME_FEATURES, flow_features
+from tidewatch.operators.traffic import (
+    HOST_FEATURES, TIME_FEATURES, cell_length, flow_features,
+)
 from tidewatch.schema import CONNECTION_SCHEMA
 from tidewatch.streaming.traffic import flow_features_stream
 
@@ -99,13 +101,22 @@ def test_payload_and_guard(spark):
         flow_features(df, last_n=100, block=50)
 
 
-def test_plan_has_three_data_shuffles(spark, sf_dir):
-    """Host, service and block shuffles; no window without a partitioning, no Python."""
-    plan = flow_features(frame(spark, log(20, 1)))._jdf.queryExecution().executedPlan().toString()
+def test_plan(spark):
+    """Host, service and block shuffles of the log; cell totals are shuffled once and shared."""
+    df = flow_features(frame(spark, log(300, 1)), cell_seconds=1.0)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert "SinglePartition" not in plan and "Python" not in plan
-    hashes = [p for p in plan.split("Exchange hashpartitioning(")[1:]]
-    # Cell totals of host, pair and service add two small shuffles each.
-    assert len(hashes) == 3 + 3 * 2
+    reused = plan.count("ReusedExchange")
+    # Totals: by cell once, then by host, by service, and their three running sums.
+    assert reused == 2 and plan.count("Exchange hashpartitioning") - reused == 3 + 1 + 2 + 3
+
+
+def test_cell_length(spark):
+    df = frame(spark, log(200, 2, span=50.0))
+    assert 4.0 < cell_length(df, rows=20) < 6.0
+    assert cell_length(df) == 10.0
+    assert cell_length(df.filter("false")) == 10.0
 
 
 @pytest.mark.parametrize("merge_every", [2, 20])

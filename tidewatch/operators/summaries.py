@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.hashing import digest, hash_unit
+from tidewatch.functions.hashing import digest, digest_below
 from tidewatch.schema import CATEGORICAL, LABEL, feature_dictionary, features_by_importance
 
 
@@ -79,8 +79,8 @@ def recent_alerts(alerts: DataFrame, n: int = 50) -> DataFrame:
 def hash_split(df: DataFrame, key: list[str], test: float = 0.2, seed: int = 42,
                ) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by the hash of their key; the same on every partitioning."""
-    unit = hash_unit(digest(seed, F.lit("split"), *key))
-    return df.filter(unit >= test), df.filter(unit < test)
+    in_test = digest_below(digest(seed, F.lit("split"), *key), test)
+    return df.filter(~in_test), df.filter(in_test)
 
 
 def select_by_importance(flows: DataFrame, levels: tuple[str, ...] = ("HIGH", "CRITICAL"),

@@ -66,7 +66,8 @@ def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 1
         .withColumn("_syn", syn_error(F.col("flag"))).withColumn("_rej", rejected(F.col("flag")))
     seconds = cell_length(conns) if cell_seconds is None else cell_seconds
     span, cell = int(window_seconds * MICROS), max(1, int(seconds * MICROS))
-    timed = _service_window(_host_window(base, span, cell), base, span, cell)
+    totals = _cell_totals(base, span, cell)
+    timed = _service_window(_host_window(base, totals, span, cell), totals, span, cell)
     counted = _last_connections(timed, last_n, block)
     n_host, n_srv, n_pair = F.col("_h_n"), F.col("_s_n"), F.col("_p_n")
     n_last, n_same = F.col("_l_n"), F.col("_ls_n")
@@ -108,20 +109,38 @@ def _edges(rows: DataFrame, span: int, cell: int, payload: list[str]) -> DataFra
     })
 
 
-def _open_at_cell_start(edges: DataFrame, keys: list[str], cell: int,
-                        sums: dict[str, Column]) -> DataFrame:
-    """Per (keys, cell) the sums over all earlier cells, as one row at the cell's start."""
-    totals = edges.groupBy(*keys, "_cell").agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+def _cell_totals(base: DataFrame, span: int, cell: int) -> DataFrame:
+    """What enters and leaves per host, service and cell: one narrow pass, combined map-side."""
+    sign = F.col("_sign")
+    edges = _edges(base.select("dst_ip", "service", "_t", "_syn", "_rej"), span, cell, [])
+    return edges.groupBy("dst_ip", "service", "_cell").agg(
+        F.sum(sign).alias("_n"), F.sum(sign * F.col("_syn")).alias("_n_syn"),
+        F.sum(sign * F.col("_rej")).alias("_n_rej"),
+        F.sum(F.when(sign == 1, 1).otherwise(0)).alias("_entered"))
+
+
+def _open_at_cell_start(totals: DataFrame, keys: list[str], cell: int,
+                        names: dict[str, str]) -> DataFrame:
+    """Per (keys, cell) the sums over all earlier cells, as one row at the cell's start.
+
+    ``names`` maps measures to output columns. All callers compute all four measures, so that the
+    planner shares the shuffled totals between them.
+    """
+    measures = ["_n", "_n_syn", "_n_rej", "_entered"]
+    rolled = totals.groupBy(*keys, "_cell").agg(*[F.sum(m).alias(m) for m in measures])
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(
         Window.unboundedPreceding, -1)
-    running = totals.select(
-        *keys, "_cell", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
-    some = F.greatest(*[F.abs(F.col(n)) for n in sums]) if len(sums) > 1 else F.abs(
-        F.col(next(iter(sums))))
-    return running.filter(some > 0).withColumn("_at", F.col("_cell") * cell)
+    running = rolled.select(*keys, "_cell", *[F.sum(m).over(before).alias(m) for m in measures])
+    # Nothing is open before the first entry; rejections and errors are part of the entries.
+    some = (F.col("_entered") > 0) & (F.col("_n_syn") + F.col("_n_rej") >= 0)
+    if "_entered" not in names:
+        some = some & (F.col("_n") != 0)
+    return running.filter(some).select(
+        *keys, "_cell", (F.col("_cell") * cell).alias("_at"),
+        *[F.col(m).alias(n) for m, n in names.items()])
 
 
-def _host_window(base: DataFrame, span: int, cell: int) -> DataFrame:
+def _host_window(base: DataFrame, totals: DataFrame, span: int, cell: int) -> DataFrame:
     """Time-window sums per host and per host and service, and each row's number in its host.
 
     All windows share one shuffle by (host, cell).
@@ -131,11 +150,10 @@ def _host_window(base: DataFrame, span: int, cell: int) -> DataFrame:
     sign = F.col("_sign")
     host = {"_h_n": sign, "_h_syn": sign * F.col("_syn"), "_h_rej": sign * F.col("_rej"),
             "_number": F.when(sign == 1, 1).otherwise(0)}
-    pair = {"_p_n": sign}
-    narrow = _edges(base.select("dst_ip", "service", "_t", "_syn", "_rej"), span, cell, [])
-    host_open = _open_at_cell_start(narrow, ["dst_ip"], cell, host)
-    pair_open = _open_at_cell_start(narrow, ["dst_ip", "service"], cell, pair)
-    rows = _edges(base, span, cell, payload).withColumns({**host, **pair})
+    host_open = _open_at_cell_start(totals, ["dst_ip"], cell, {
+        "_n": "_h_n", "_n_syn": "_h_syn", "_n_rej": "_h_rej", "_entered": "_number"})
+    pair_open = _open_at_cell_start(totals, ["dst_ip", "service"], cell, {"_n": "_p_n"})
+    rows = _edges(base, span, cell, payload).withColumns({**host, "_p_n": sign})
     rows = (rows.unionByName(host_open, allowMissingColumns=True)
             .unionByName(pair_open, allowMissingColumns=True))
     to_now = (Window.unboundedPreceding, Window.currentRow)
@@ -151,13 +169,13 @@ def _host_window(base: DataFrame, span: int, cell: int) -> DataFrame:
     return out.filter(F.col("_sign") == 1).drop("_sign")
 
 
-def _service_window(rows: DataFrame, base: DataFrame, span: int, cell: int) -> DataFrame:
+def _service_window(rows: DataFrame, totals: DataFrame, span: int, cell: int) -> DataFrame:
     """Time-window sums per service, by a shuffle on (service, cell)."""
     payload = [c for c in rows.columns if c not in ("service", "_syn", "_rej")]
     sign = F.col("_sign")
     sums = {"_s_n": sign, "_s_syn": sign * F.col("_syn"), "_s_rej": sign * F.col("_rej")}
-    narrow = _edges(base.select("service", "_t", "_syn", "_rej"), span, cell, [])
-    opened = _open_at_cell_start(narrow, ["service"], cell, sums)
+    opened = _open_at_cell_start(totals, ["service"], cell, {
+        "_n": "_s_n", "_n_syn": "_s_syn", "_n_rej": "_s_rej"})
     edges = _edges(rows, span, cell, payload).withColumns(sums)
     edges = edges.unionByName(opened, allowMissingColumns=True)
     by_time = Window.partitionBy("service", "_cell").orderBy("_at").rangeBetween(
