@@ -114,9 +114,17 @@ def test_plan(spark):
 
 def test_cell_length(spark):
     df = frame(spark, log(200, 2, span=50.0))
-    assert 4.0 < cell_length(df, rows=20) < 6.0
     assert cell_length(df) == 10.0
     assert cell_length(df.filter("false")) == 10.0
+    # Half the log within one second: cells shrink until none holds more than 20 of a host.
+    burst = df.withColumn("ts", F.when(F.col("conn_id") % 2 == 0, F.timestamp_micros(
+        1704067200000000 + F.col("conn_id") * 4000)).otherwise(F.col("ts")))
+    seconds = cell_length(burst, rows=20)
+    cell = F.floor(F.unix_micros("ts") / int(seconds * 1e6))
+    for key in ("dst_ip", "service"):
+        assert burst.groupBy(key, cell).count().agg(F.max("count")).first()[0] <= 20
+    assert 0.01 < seconds < 0.5
+    assert cell_length(burst, rows=20, most_cells=25) == pytest.approx(2.0, abs=0.1)
 
 
 @pytest.mark.parametrize("merge_every", [2, 20])

@@ -21,8 +21,10 @@ REJECT_FLAGS = ["REJ"]
 
 MICROS = 1_000_000
 BLOCK = 10_000
-# Rows a cell would hold if one host had all the traffic, and the limits of a cell in seconds.
+# Rows one host or service may have in a cell, cells a log is cut into at most, and the limits of
+# a cell in seconds.
 CELL_ROWS = 2_000_000
+MOST_CELLS = 10_000_000
 SHORTEST_CELL, LONGEST_CELL = 0.001, 10.0
 
 TIME_FEATURES = ["count", "srv_count", "serror_rate", "srv_serror_rate", "rerror_rate",
@@ -41,13 +43,27 @@ def rejected(flag: Column) -> Column:
     return F.coalesce(flag.isin(REJECT_FLAGS), F.lit(False)).cast("int")
 
 
-def cell_length(conns: DataFrame, rows: int = CELL_ROWS) -> float:
-    """Seconds of log per task, by the mean rate of the whole log. Reads the times only."""
+def cell_length(conns: DataFrame, rows: int = CELL_ROWS, most_cells: int = MOST_CELLS) -> float:
+    """Seconds of log per task: no host or service has more than ``rows`` connections in a cell.
+
+    The running totals of a key take one row per cell, so there are no more than ``most_cells``.
+    A log of few rows is judged by its times alone, others by their fullest cells.
+    """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     n, first, last = conns.agg(F.count(at), F.min(at), F.max(at)).first()
-    if not n:
+    if n <= rows:
         return LONGEST_CELL
-    return min(LONGEST_CELL, max(SHORTEST_CELL, (last - first) / MICROS * rows / n))
+    span = (last - first) / MICROS
+    least = max(SHORTEST_CELL, span / most_cells)
+    seconds = max(least, min(LONGEST_CELL, span * rows / n))
+    while seconds > least:
+        cell = F.floor(at / int(seconds * MICROS)).alias("cell")
+        fullest = [conns.groupBy(key, cell).count().agg(F.max("count")).first()[0]
+                   for key in ("dst_ip", "service")]
+        if max(fullest) <= rows:
+            break
+        seconds = max(least, seconds / max(2.0, max(fullest) / rows))
+    return seconds
 
 
 def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 100,
@@ -56,8 +72,8 @@ def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 1
 
     Needs ``conn_id`` (unique), ``ts``, ``src_ip``, ``src_port``, ``dst_ip``, ``service``, ``flag``.
     ``cell_seconds`` and ``block`` only set the size of tasks, never a result; without
-    ``cell_seconds`` the rate of the log decides, so that a host with all of a fast log is split
-    as finely as needed.
+    ``cell_seconds`` the log's fullest cells decide, so that a flooded host or service is split as
+    finely as needed.
     """
     if last_n > block:
         raise ValueError("last_n must not exceed block")
