@@ -129,11 +129,14 @@ def high_importance(spark, sf_dir):
 def feature_dictionary(spark, sf_dir):
     flows = flow_records(spark, sf_dir).select(*FEATURE_NAMES)
     numeric = numeric_columns(flows, CATEGORICAL)
-    stats = flows.agg(*[F.avg(c).alias(c) for c in numeric])
-    means = stats.unpivot([], numeric, "feature", "mean")
-    return summaries.describe_features(means).select(
+    # Looked up for the fitted scale of each feature; a mean of two-digit rates would often lie
+    # exactly between two roundings.
+    fitted = scaling_parameters(flows, numeric, "standard")
+    scales = spark.createDataFrame([(c, s) for c, (_, s) in fitted.items()],
+                                   "feature string, scale double")
+    return summaries.describe_features(scales).select(
         "ordinal", "feature", "description", "importance_level", "security_relevance",
-        rounded("mean"))
+        rounded("scale"))
 
 
 @query
@@ -246,9 +249,10 @@ def flow_preprocess(spark, sf_dir):
     flows = flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty")
     path = scratch_path(spark, "preprocessor")
     FlowPreprocessor(CATEGORICAL, exclude=ROW_KEY).fit(flows).save(spark, path)
-    rows = FlowPreprocessorModel.load(spark, path).transform(flows)
-    total = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
-    return rows.select(*ROW_KEY, F.size("features").alias("slots"), rounded(total, "slot_sum"))
+    model = FlowPreprocessorModel.load(spark, path)
+    x = F.col("features")
+    return model.transform(flows).select(
+        *ROW_KEY, *[rounded(x[i], slot) for i, slot in enumerate(model.slots)])
 
 
 # --- isolation forest -------------------------------------------------------------------------

@@ -69,11 +69,11 @@ ORACLES["feature_dictionary"] = f"""
 WITH {FLOWS}, d(ordinal, feature, importance, description, security_relevance) AS (VALUES
 {', '.join(f'({i}, {text(n)}, {text(imp)}, {text(desc)}, {text(rel)})'
            for i, (n, imp, desc, rel) in enumerate(DICTIONARY))}),
-m AS (SELECT {', '.join(f'avg("{c}"::double) AS "{c}"' for c in FLOW_NUMERIC)} FROM flows),
-u AS (UNPIVOT m ON COLUMNS(*) INTO NAME feature VALUE mean)
+m AS (SELECT {', '.join(f'stddev_pop("{c}"::double) AS "{c}"' for c in FLOW_NUMERIC)} FROM flows),
+u AS (UNPIVOT m ON COLUMNS(*) INTO NAME feature VALUE scale)
 SELECT d.ordinal::int AS ordinal, d.feature, d.description, d.importance AS importance_level,
   d.security_relevance,
-  {r6('u.mean', 'mean')} FROM u JOIN d USING (feature)"""
+  {r6('CASE WHEN u.scale = 0 THEN 1.0 ELSE u.scale END', 'scale')} FROM u JOIN d USING (feature)"""
 CONNS = """c AS (SELECT ts, event_id AS conn_id, (event_id * 7 % 40)::varchar AS src_ip,
   (props->>'$.k')::int AS src_port, user_id::varchar AS dst_ip,
   ((props->>'$.k')::int % 5 * 10) AS dst_port, ((props->>'$.k')::int % 5)::varchar AS service,
@@ -137,17 +137,16 @@ _slots = [f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in NUMERIC
     f"(l_linestatus = '{v}')::int::double" for v in "FO"]
 ORACLES["assemble_features"] = f"""
 SELECT {KEYS}, {', '.join(r6(e, f's{i}') for i, e in enumerate(_slots))} FROM lineitem"""
-_spread = {c: f'(("{c}"::double - m."{c}") / CASE WHEN d."{c}" = 0 THEN 1 ELSE d."{c}" END)'
-           for c in FLOW_NUMERIC}
+_seen = (("protocol_type", ["icmp", "tcp", "udp"]),
+         ("service", ["domain", "ftp", "http", "private", "smtp"]), ("flag", ["REJ", "S0", "SF"]))
+_stats = ", ".join(f'avg("{c}"::double) AS "m_{c}", stddev_pop("{c}"::double) AS "d_{c}"'
+                   for c in FLOW_NUMERIC)
+_standard = [r6(f'(f."{c}"::double - m."m_{c}") / CASE WHEN m."d_{c}" = 0 THEN 1 ELSE m."d_{c}" END',
+                f'"{c}"') for c in FLOW_NUMERIC]
+_named = [f'(f.{c} = \'{v}\')::int::double AS "{c}_{v}"' for c, seen in _seen for v in seen]
 ORACLES["flow_preprocess"] = f"""
-WITH {FLOWS},
-m AS (SELECT {', '.join(f'avg("{c}"::double) AS "{c}"' for c in FLOW_NUMERIC)} FROM flows),
-d AS (SELECT {', '.join(f'stddev_pop("{c}"::double) AS "{c}"' for c in FLOW_NUMERIC)} FROM flows),
-k AS (SELECT count(DISTINCT protocol_type) + count(DISTINCT service) + count(DISTINCT flag) AS k
-  FROM flows)
-SELECT {KEYS}, ({len(FLOW_NUMERIC)} + k)::int AS slots,
-  {r6(' + '.join(_spread[c].replace(f'("{c}"::', f'(flows."{c}"::') for c in FLOW_NUMERIC) + ' + 3',
-      'slot_sum')} FROM flows, m, d, k"""
+WITH {FLOWS}, m AS (SELECT {_stats} FROM flows)
+SELECT {KEYS}, {', '.join(_standard + _named)} FROM flows f, m"""
 
 # --- isolation forest -------------------------------------------------------------------------
 
@@ -285,10 +284,7 @@ FROM a ORDER BY timestamp DESC, id DESC LIMIT 5"""
 _minmax = [f"""((f."{c}"::double - m."lo_{c}"::double)
   / CASE WHEN m."hi_{c}" = m."lo_{c}" THEN 1.0::double
       ELSE (m."hi_{c}" - m."lo_{c}")::double END)""" for c in FLOW_NUMERIC]
-_onehot = [f"(f.{c} = '{v}')::int::double" for c, seen in (
-    ("protocol_type", ["icmp", "tcp", "udp"]),
-    ("service", ["domain", "ftp", "http", "private", "smtp"]), ("flag", ["REJ", "S0", "SF"]),
-) for v in seen]
+_onehot = [f"(f.{c} = '{v}')::int::double" for c, seen in _seen for v in seen]
 _limits = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in FLOW_NUMERIC)
 ORACLES["detect_flows"] = f"""
 WITH RECURSIVE {FLOWS}, m AS (SELECT {_limits} FROM flows),
