@@ -121,6 +121,7 @@ def test_guards(spark, forest, cloud, model):
         IsolationForest(psi=1)
     with pytest.raises(ValueError):
         IsolationForest(contamination=0.0)
+    assert model.transform(cloud.filter("false")).collect() == []
     missing = cloud.withColumn("a", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="NULL"):
         model.score(missing).collect()

@@ -273,6 +273,8 @@ def walk(forest: dict, x: np.ndarray) -> np.ndarray:
 
 def to_matrix(x: pa.Array) -> np.ndarray:
     """Arrow lists of equal length as a matrix; a missing value is an error."""
+    if not len(x):
+        return np.zeros((0, 1))
     values = x.flatten()
     if x.null_count or values.null_count:
         raise ValueError("features must not be NULL; fill them before scoring")
