@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import read_documents
 from tidewatch.llm.exact_dedup import exact_dedup
+from tidewatch.llm.language_id import held_out, identify
+from tidewatch.llm.license_scan import scan_licenses
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.token_files import read_token_files, write_token_files
 from tidewatch.session import scratch_path
@@ -18,11 +20,20 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_documents(spark, sf_dir))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read_documents(spark, sf_dir), ["doc_id"]).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_documents(spark, sf_dir)
     path = scratch_path(spark, "token-files")
@@ -38,7 +49,9 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op3_license_scan": op3_license_scan,
     "op5_mixing": op5_mixing,
+    "op6_language_id": op6_language_id,
     "op7_token_files": op7_token_files,
     "op8_exact_dedup": op8_exact_dedup,
 }
