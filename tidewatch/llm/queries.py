@@ -10,6 +10,7 @@ from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.language_id import held_out, identify
 from tidewatch.llm.license_scan import scan_licenses
 from tidewatch.llm.mixing import mix_sources
+from tidewatch.llm.simhash import simhash_groups
 from tidewatch.llm.token_files import read_token_files, write_token_files
 from tidewatch.session import scratch_path
 
@@ -24,6 +25,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_documents(spark, sf_dir))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read_documents(spark, sf_dir)).select(
+        "doc_id", "fingerprint", "component_id", "group_size", "is_kept")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read_documents(spark, sf_dir)).select(
         "doc_id", "size", "source_size", "target", "taken", "copies")
@@ -50,6 +56,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op3_license_scan": op3_license_scan,
+    "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
     "op6_language_id": op6_language_id,
     "op7_token_files": op7_token_files,
