@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import read_documents
 from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.language_id import held_out, identify
+from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.license_scan import scan_licenses
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.simhash import simhash_groups
@@ -21,6 +22,12 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = dedup_lines(read_documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_lines", "n_dropped", "n_near",
+                          F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_documents(spark, sf_dir))
 
@@ -55,6 +62,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
@@ -64,6 +72,30 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op1_line_dedup": r"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS every FROM documents),
+        lines AS (SELECT doc_id, i AS line, every[i] AS content,
+                         regexp_extract_all(every[i], '[^\x20\x09-\x0D]+') AS words
+                  FROM split, unnest(range(1, len(every) + 1)) AS r(i)),
+        spelled AS (SELECT doc_id, line, content, words, len(words) AS n,
+                           array_to_string(words, ' ') AS spelling FROM lines),
+        classes AS (SELECT spelling, any_value(words) AS words, any_value(n) AS n,
+                           min((doc_id, line)) AS earliest FROM spelled WHERE n > 0 GROUP BY spelling),
+        variants AS (SELECT spelling, earliest, 0 AS i, spelling AS variant FROM classes WHERE n >= 4
+                     UNION ALL
+                     SELECT spelling, earliest, i,
+                            array_to_string(list_concat(words[1:i - 1], words[i + 1:]), ' ')
+                     FROM classes, unnest(range(1, n + 1)) AS r(i) WHERE n >= 5),
+        near AS (SELECT DISTINCT a.spelling FROM variants a JOIN variants b USING (variant)
+                 WHERE (a.i = b.i OR a.i = 0 OR b.i = 0) AND b.earliest < a.earliest),
+        judged AS (SELECT doc_id, line, content, near.spelling IS NOT NULL AS is_near,
+                          classes.earliest IS NOT NULL AND (doc_id, line) <> classes.earliest AS is_copy
+                   FROM spelled LEFT JOIN classes USING (spelling) LEFT JOIN near USING (spelling))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (is_near OR is_copy) AS n_dropped,
+               count(*) FILTER (is_near AND NOT is_copy) AS n_near,
+               sha256(coalesce(string_agg(content, chr(10) ORDER BY line)
+                               FILTER (NOT is_near AND NOT is_copy), '')) AS text_sha256
+        FROM judged GROUP BY doc_id""",
     "op8_exact_dedup": """
         WITH n AS (SELECT doc_id, sha256(translate(coalesce(text, ''),
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
