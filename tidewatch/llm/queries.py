@@ -11,6 +11,7 @@ from tidewatch.llm.language_id import held_out, identify
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.license_scan import scan_licenses
 from tidewatch.llm.mixing import mix_sources
+from tidewatch.llm.neighbours import nearest
 from tidewatch.llm.simhash import simhash_groups
 from tidewatch.llm.token_files import read_token_files, write_token_files
 from tidewatch.session import scratch_path
@@ -61,6 +62,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_license_scan": op3_license_scan,
@@ -69,6 +74,7 @@ LLM_QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_token_files": op7_token_files,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_neighbours": op9_neighbours,
 }
 
 LLM_ORACLES = {
