@@ -12,6 +12,7 @@ from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.license_scan import scan_licenses
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.neighbours import nearest
+from tidewatch.llm.packing import pack_documents
 from tidewatch.llm.simhash import simhash_groups
 from tidewatch.llm.token_files import read_token_files, write_token_files
 from tidewatch.session import scratch_path
@@ -66,6 +67,11 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_documents(spark, sf_dir), word_tokenizer(), end_id=1).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_license_scan": op3_license_scan,
@@ -75,6 +81,7 @@ LLM_QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_neighbours": op9_neighbours,
+    "op10_packing": op10_packing,
 }
 
 LLM_ORACLES = {
