@@ -22,8 +22,8 @@ class Encoder:
     """Ids of texts, equal to the tokenizer's own without special tokens.
 
     A tokenizer whose words end in a suffix drops white space and encodes every piece between
-    it by itself, so the ids of pieces met before are looked up. ``most`` bounds the pieces kept;
-    a full store starts anew. Other tokenizers encode whole texts.
+    it by itself, so the ids of pieces met before are looked up. About ``most`` pieces are kept,
+    and as many that were met before those. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str, most: int = 300_000):
@@ -40,44 +40,55 @@ class Encoder:
             self.ends = np.zeros(self.size, bool)
             self.ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
         self.pieces: dict[str, bytes] = {"": b""}
+        self.former: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``dtype``."""
         if self.ends is None:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(x.ids, self.dtype).tobytes() for x in found]
-        out = []
-        for text in texts:
-            for space in "\t\n\r\x0b\x0c":
-                text = text.replace(space, " ")
-            out.append(text.split(" "))
-        new = set().union(*out) - self.pieces.keys() if out else set()
-        if len(self.pieces) + len(new) > self.most:
-            self.pieces = {"": b""}
-            new = set().union(*out) - {""}
-        self._learn(new)
+        return [ids for k in range(0, len(texts), 128) for ids in self._looked_up(texts[k:k + 128])]
+
+    def _looked_up(self, texts: list[str]) -> list[bytes]:
+        out = [self._split(text) for text in texts]
+        met = set().union(*out)
+        if len(self.pieces) > self.most:
+            self.former, self.pieces = self.pieces, {"": b""}
+        new = met - self.pieces.keys()
+        former = self.former
+        again = new & former.keys()
+        self.pieces.update({piece: former[piece] for piece in again})
+        self._learn(new - again)
         return [b"".join(map(self.pieces.__getitem__, words)) for words in out]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Letters with a full stop or comma behind are two words, and their case is dropped."""
-        split, single, words = [], [], set()
-        for piece in pieces:
-            stem, tail = (piece[:-1], piece[-1]) if piece[-1] in ".," else (piece, "")
-            if not stem.isalpha():
-                single.append(piece)
-                continue
-            if stem.isascii():
-                stem = stem.lower()
-            elif tail and not unicodedata.is_normalized("NFC", stem):
-                single.append(piece)
-                continue
-            split.append((piece, stem, tail))
-            if stem not in self.pieces:
-                words.add(stem)
-        self._encode_words(sorted(words))
+    def _split(self, text: str) -> list[str]:
+        for space in "\t\n\r\x0b\x0c":
+            text = text.replace(space, " ")
+        # The tokenizer drops case itself; doing so before makes fewer pieces. Where that might
+        # not come to the same (special tokens, final sigma, marks to compose), it is left alone.
+        if "<|" not in text:
+            if text.isascii():
+                text = text.lower()
+            elif "\u03a3" not in text and unicodedata.is_normalized("NFC", text):
+                lower = text.lower()
+                if unicodedata.is_normalized("NFC", lower):
+                    text = lower
+        return text.split(" ")
+
+    def _learn(self, new: set[str]) -> None:
+        """Letters with a full stop or comma behind are two words of the tokenizer."""
+        words = {piece for piece in new if piece.isalpha()}
+        ended, single = [], []
+        for piece in new - words:
+            stem = piece[:-1]
+            (ended if piece[-1] in ".," and stem.isalpha() else single).append(piece)
+        stems = {piece[:-1] for piece in ended} - self.pieces.keys()
+        again = stems & self.former.keys()
+        self.pieces.update({stem: self.former[stem] for stem in again})
+        self._encode_words(sorted(words | stems - again))
         self._encode_each([*single, *({".", ","} - self.pieces.keys())])
-        for piece, stem, tail in split:
-            self.pieces[piece] = self.pieces[stem] + (self.pieces[tail] if tail else b"")
+        pieces = self.pieces
+        pieces.update({piece: pieces[piece[:-1]] + pieces[piece[-1]] for piece in ended})
 
     def _encode_each(self, pieces: list[str]) -> None:
         for piece, x in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
