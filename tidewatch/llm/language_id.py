@@ -217,23 +217,24 @@ class Scorer:
 
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with lang_pred and score (0 to 1) of every whole text.
+def predict_languages(docs: DataFrame, model: LanguageModel | None, keep: list[str],
+                      names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns of ``docs`` with lang_pred and score (0 to 1), or ``names``, of every whole text.
 
     Evidence of a text is the prior plus, for each word, its log frequency per language; unseen
     words use n-grams. The score is the posterior of the language predicted. Ties go to the
     language that sorts first. A text that is null or has no letter, or any text when nothing was
     learned: ``und`` with score 0.
     """
-    clash = {"lang_pred", "score"} & set(keep)
+    clash = set(names) & set(keep)
     if clash:
         raise ValueError(f"columns {sorted(clash)} would be overwritten")
     if model is None:
-        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(UNDETERMINED).alias(names[0]), F.lit(0.0).alias(names[1]))
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
     extra = [] if "text" in keep else ["text"]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
@@ -245,12 +246,13 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, keep: list[s
                 langs, scores = scorer.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                    names=[*keep, "lang_pred", "score"])
+                    names=[*keep, *names])
 
     return docs.select(*keep, *extra).mapInArrow(predict, schema)
 
 
-def identify(docs: DataFrame, keep: list[str], **settings) -> DataFrame:
+def identify(docs: DataFrame, keep: list[str], names: tuple[str, str] = ("lang_pred", "score"),
+             **settings) -> DataFrame:
     """Learn from the labelled rows that are not held out and predict all rows of ``docs``."""
     learned = docs.filter(~held_out(F.col("doc_id")))
-    return predict_languages(docs, fit_languages(learned, **settings), keep)
+    return predict_languages(docs, fit_languages(learned, **settings), keep, names)

@@ -140,7 +140,7 @@ def line_marks(docs: DataFrame) -> DataFrame:
     return marked.filter(F.col("near") | ~own).select("_row", "line", own.alias("near"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Documents without the lines that repeat an earlier one.
 
     Lines (split at line feeds) are sequences of words, runs of other than ASCII white space. A
@@ -149,20 +149,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     two has five words or more: a similarity of 0.8 or more. Earlier lines count whether or not
     they are dropped themselves. Lines without words always stay.
 
-    Returns _row, doc_id, text (the lines left, joined by line feeds; null stays null), n_lines,
-    n_dropped, n_near (dropped with no equal line before). Null doc_ids come last; rows with
+    Returns the columns ``keep`` (doc_id) of every row, text (the lines left, joined by line feeds; null stays null), and in
+    a struct ``lines`` all (lines), dropped, near (dropped with no equal line before) and words
+    (whether a line with words is left). Null doc_ids come last; rows with
     equal ids or texts are rows of their own, in the order of the scan. Empty table: no rows.
     """
+    keep = ["doc_id"] if keep is None else [c for c in keep if c != "text"]
+    if "lines" in keep:
+        raise ValueError("the column lines would be overwritten")
     marks = line_marks(docs).groupBy("_row").agg(
-        F.collect_list("line").alias("gone"), F.count(F.when(F.col("near"), 1)).alias("n_near"))
-    text = with_row(docs).select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined = text.join(marks, "_row", "left")
-    every = _lines(F.col("text"))
-    gone = F.size(F.coalesce("gone", F.array().cast("array<int>")))
-    parted = joined.withColumn("every", every).withColumn("n", F.coalesce(F.size("every"), F.lit(0)))
-    kept = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.col("gone"))
-    rest = F.array_join(F.transform(kept, lambda i: F.element_at(F.col("every"), i + 1)), "\n")
-    return parted.select(
-        "_row", "doc_id", F.when(F.col("gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(rest).alias("text"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n_lines"),
-        gone.cast("long").alias("n_dropped"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
+        F.collect_list("line").alias("_gone"), F.count(F.when(F.col("near"), 1)).alias("_near"))
+    text = with_row(docs.select(*keep, "text"))
+    every = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(_lines(F.col("text")))
+    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    parted = text.join(marks, "_row", "left").withColumn("_every", every).withColumn("_gone", gone)
+    number = F.size("_every")
+    stay = F.array_except(F.sequence(F.lit(0), number - 1), F.col("_gone"))
+    rest = F.array_join(F.transform(stay, lambda i: F.element_at(F.col("_every"), i + 1)), "\n")
+    left = F.when(F.size("_gone") == 0, F.col("text")).otherwise(rest)
+    return parted.withColumn("_left", left).select(*keep, F.col("_left").alias("text"), F.struct(
+        number.cast("long").alias("all"), F.size("_gone").cast("long").alias("dropped"),
+        F.coalesce("_near", F.lit(0)).cast("long").alias("near"),
+        F.coalesce(F.col("_left").rlike(WORD), F.lit(False)).alias("words")).alias("lines"))

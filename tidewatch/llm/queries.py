@@ -13,6 +13,7 @@ from tidewatch.llm.license_scan import scan_licenses
 from tidewatch.llm.mixing import mix_sources
 from tidewatch.llm.neighbours import nearest
 from tidewatch.llm.packing import pack_documents
+from tidewatch.llm.quality import score_quality
 from tidewatch.llm.simhash import simhash_groups
 from tidewatch.llm.token_files import read_token_files, write_token_files
 from tidewatch.session import scratch_path
@@ -26,10 +27,16 @@ def word_tokenizer() -> str:
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(read_documents(spark, sf_dir))
-    return cleaned.select("doc_id", "n_lines", "n_dropped", "n_near",
+    return cleaned.select("doc_id", F.col("lines.all").alias("n_lines"), F.col("lines.dropped").alias("n_dropped"),
+                          F.col("lines.near").alias("n_near"),
                           F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_quality(read_documents(spark, sf_dir), labels).drop("_row")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_documents(spark, sf_dir))
 
@@ -74,6 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LLM_QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality": op2_quality,
     "op3_license_scan": op3_license_scan,
     "op4_simhash": op4_simhash,
     "op5_mixing": op5_mixing,
