@@ -51,12 +51,13 @@ class Encoder:
 
     def _looked_up(self, texts: list[str]) -> list[bytes]:
         out = [self._split(text) for text in texts]
+        # difference() of a set and a dict looks up the set's items; "-" of a view goes over the dict.
         met = set().union(*out)
         if len(self.pieces) > self.most:
             self.former, self.pieces = self.pieces, {"": b""}
-        new = met - self.pieces.keys()
+        new = met.difference(self.pieces)
         former = self.former
-        again = new & former.keys()
+        again = {piece for piece in new if piece in former}
         self.pieces.update({piece: former[piece] for piece in again})
         self._learn(new - again)
         return [b"".join(map(self.pieces.__getitem__, words)) for words in out]
@@ -82,11 +83,11 @@ class Encoder:
         for piece in new - words:
             stem = piece[:-1]
             (ended if piece[-1] in ".," and stem.isalpha() else single).append(piece)
-        stems = {piece[:-1] for piece in ended} - self.pieces.keys()
-        again = stems & self.former.keys()
+        stems = {piece[:-1] for piece in ended}.difference(self.pieces)
+        again = {stem for stem in stems if stem in self.former}
         self.pieces.update({stem: self.former[stem] for stem in again})
         self._encode_words(sorted(words | stems - again))
-        self._encode_each([*single, *({".", ","} - self.pieces.keys())])
+        self._encode_each([*single, *{".", ","}.difference(self.pieces)])
         pieces = self.pieces
         pieces.update({piece: pieces[piece[:-1]] + pieces[piece[-1]] for piece in ended})
 
