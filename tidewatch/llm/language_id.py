@@ -27,8 +27,9 @@ class LanguageModel:
     prior: np.ndarray                   # languages
     words: dict[str, int]               # row of ``word_logp``
     word_logp: np.ndarray
-    grams: list[dict[str, int]]         # by length, from 1
-    gram_logp: list[np.ndarray]
+    grams: dict[str, int]               # row of ``gram_logp``, all lengths
+    gram_logp: np.ndarray
+    longest: int
 
 
 def words_of(text: str) -> list[str]:
@@ -72,35 +73,6 @@ def _count_words(most: int):
     return count
 
 
-def _count_grams(longest: int, most: int):
-    """n-grams of distinct words; a word counts by the number of binary digits of its count."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def flush():
-            keys = list(counts)
-            for k in range(0, len(keys), 1 << 16):
-                part = keys[k:k + (1 << 16)]
-                yield pa.record_batch([pa.array([x[0] for x in part], pa.string()),
-                                       pa.array([x[1] for x in part], pa.string()),
-                                       pa.array([counts[x] for x in part], pa.int64())],
-                                      names=["lang", "gram", "n"])
-
-        for batch in batches:
-            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-                weight = n.bit_length()
-                for length in range(1, longest + 1):
-                    for gram in grams_of(word, length):
-                        counts[lang, gram] += weight
-            if len(counts) > most:
-                yield from flush()
-                counts = Counter()
-        yield from flush()
-
-    return count
-
-
 def _table(rows: list, languages: list[str], smooth: float) -> tuple[dict[str, int], np.ndarray]:
     """Rows (item, {lang: n}) as log frequencies per language."""
     where = {lang: i for i, lang in enumerate(languages)}
@@ -112,31 +84,43 @@ def _table(rows: list, languages: list[str], smooth: float) -> tuple[dict[str, i
     return {row[0]: i for i, row in enumerate(rows)}, logp.astype(np.float32)
 
 
-def fit_languages(docs: DataFrame, max_words: int = 200_000, max_grams: int = 40_000,
-                  longest: int = 4, smooth: float = 0.5, task_words: int = 300_000) -> LanguageModel | None:
-    """Count words and n-grams of all rows of ``docs`` (text, lang), both non-null.
+def fit_languages(docs: DataFrame, max_documents: int = 20_000, max_words: int = 200_000,
+                  max_grams: int = 40_000, longest: int = 4, smooth: float = 0.5,
+                  task_words: int = 300_000) -> LanguageModel | None:
+    """Words and n-grams of rows of ``docs`` (doc_id, text, lang) whose text and lang are not null.
 
-    Counts are taken in each task and summed by Spark. The model keeps the ``max_words`` most
-    frequent words and, for each length up to ``longest``, the ``max_grams`` most frequent
-    n-grams of the distinct words. These bounds, times the number
-    of languages, are what comes to the driver and is broadcast; rarer words are the unseen ones
+    The model is fitted on a sample of about ``max_documents`` rows by a hash of doc_id; words are
+    counted in each task and summed by Spark. It keeps the ``max_words`` most frequent words and,
+    for each length up to ``longest``, the ``max_grams`` most frequent n-grams of those words, a
+    word counting by the number of binary digits of its count. These bounds, times the number of
+    languages, are what comes to the driver and is broadcast; other words are the unseen ones
     that back off. No rows: None.
     """
-    docs = docs.select("text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
+    docs = docs.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
     totals = sorted((r["lang"], r["n"]) for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not totals:
         return None
-    languages = [lang for lang, _ in totals]
-    prior = np.log(np.array([n for _, n in totals], float) / sum(n for _, n in totals))
-    counted = written(docs.mapInArrow(_count_words(task_words), "lang string, word string, n long")
+    languages, rows = [lang for lang, _ in totals], sum(n for _, n in totals)
+    prior = np.log(np.array([n for _, n in totals], float) / rows)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) / float(1 << 30)
+    sample = docs if rows <= max_documents else docs.filter(draw < max_documents / rows)
+    counted = written(sample.select("text", "lang").mapInArrow(_count_words(task_words), "lang string, word string, n long")
                       .groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
-    grams = written(counted.mapInArrow(_count_grams(longest, task_words), "lang string, gram string, n long")
-                    .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "lang-grams")
     words = _most_frequent(counted.select(F.lit(0).alias("kind"), F.col("word").alias("item"), "lang", "n"), max_words)
-    pieces = _most_frequent(grams.select(F.length("gram").alias("kind"), F.col("gram").alias("item"), "lang", "n"), max_grams)
     index, logp = _table(words, languages, smooth)
-    tables = [_table([r for r in pieces if len(r[0]) == n], languages, smooth) for n in range(1, longest + 1)]
-    return LanguageModel(languages, prior, index, logp, [t[0] for t in tables], [t[1] for t in tables])
+    grams, gram_logp = {}, []
+    for length in range(1, longest + 1):
+        counts: dict[str, Counter] = {}
+        for word, by_lang in words:
+            for gram in grams_of(word, length):
+                own = counts.setdefault(gram, Counter())
+                for lang, n in by_lang.items():
+                    own[lang] += n.bit_length()
+        best = sorted(counts.items(), key=lambda item: (-sum(item[1].values()), item[0]))[:max_grams]
+        rows_of, table = _table(best, languages, smooth)
+        grams |= {gram: len(grams) + i for gram, i in rows_of.items()}
+        gram_logp.append(table)
+    return LanguageModel(languages, prior, index, logp, grams, np.concatenate(gram_logp), longest)
 
 
 def _most_frequent(counts: DataFrame, most: int) -> list:
@@ -160,49 +144,56 @@ class Scorer:
 
     def __init__(self, model: LanguageModel, most: int = 200_000, backoff: float = 0.4):
         self.model, self.most, self.penalty = model, most, np.log(backoff)
-        # A word that no language knows at all says nothing.
         self.rows = model.word_logp
         self.seen: dict[str, int] = {}
-        self.extra = np.zeros((1024, len(model.languages)), np.float32)
+        self.extra = np.zeros((0, len(model.languages)), np.float32)
 
-    def unseen(self, word: str) -> np.ndarray:
-        """Mean over the word's places of the longest known n-gram that begins there.
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Mean over a word's places of the longest known n-gram that begins there.
 
         Every step to a shorter n-gram costs the log of the back-off factor, as in stupid
-        back-off; the cost is the same for all languages.
+        back-off. A word with no known n-gram says nothing.
         """
-        model = self.model
-        marked = f" {word} "
-        total, places = np.zeros(len(model.languages), np.float64), 0
-        for i in range(len(marked) - 1):
-            for n in range(min(len(model.grams), len(marked) - i), 0, -1):
-                row = model.grams[n - 1].get(marked[i:i + n])
-                if row is not None:
-                    total += model.gram_logp[n - 1][row] + self.penalty * (len(model.grams) - n)
-                    places += 1
-                    break
-        return (total / max(1, places)).astype(np.float32)
+        get, longest = self.model.grams.get, self.model.longest
+        rows, steps, ends = [], [], []
+        for word in words:
+            marked = f" {word} "
+            for i in range(len(marked) - 1):
+                for n in range(longest, 0, -1):
+                    row = get(marked[i:i + n])
+                    if row is not None:
+                        rows.append(row)
+                        steps.append(longest - n)
+                        break
+            ends.append(len(rows))
+        found = self.model.gram_logp[rows] + self.penalty * np.array(steps, np.float32)[:, None]
+        sums = np.concatenate([np.zeros((1, found.shape[1])), np.cumsum(found, axis=0, dtype=np.float64)])
+        ends = np.array(ends, np.int64)
+        places = np.diff(ends, prepend=0)
+        return ((sums[ends] - sums[ends - places]) / np.maximum(places, 1)[:, None]).astype(np.float32)
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.seen) > self.most:
             self.seen = {}
         known, seen, base = self.model.words, self.seen, len(self.model.words)
-        ids, ends, lettered = [], [], []
+        parts, lettered = [], []
         for text in texts:
             words = words_of(text or "")
             lettered.append(any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w))
-            for word in set(words) - known.keys() - seen.keys():
-                if len(seen) == len(self.extra):
-                    self.extra = np.concatenate([self.extra, np.zeros_like(self.extra)])
-                self.extra[len(seen)] = self.unseen(word)
-                seen[word] = base + len(seen)
+            parts.append(words)
+        fresh = sorted(set().union(*parts).difference(known).difference(seen))
+        if fresh:
+            self.extra = np.concatenate([self.extra[:len(seen)], self.unseen(fresh)])
+            seen.update(zip(fresh, range(base + len(seen), base + len(seen) + len(fresh)), strict=True))
+        ids, ends = [], []
+        for words in parts:
             ids += [known[w] if w in known else seen[w] for w in words]
             ends.append(len(ids))
         where = np.array(ids, np.int64)
         evidence = np.empty((len(where), len(self.model.languages)), np.float64)
-        fresh = where >= base
-        evidence[~fresh] = self.rows[where[~fresh]]
-        evidence[fresh] = self.extra[where[fresh] - base]
+        backed = where >= base
+        evidence[~backed] = self.rows[where[~backed]]
+        evidence[backed] = self.extra[where[backed] - base]
         sums = np.concatenate([np.zeros((1, evidence.shape[1])), np.cumsum(evidence, axis=0)])
         starts = np.array([0, *ends[:-1]], np.int64)
         total = sums[np.array(ends, np.int64)] - sums[starts] + self.model.prior
@@ -239,10 +230,8 @@ def predict_languages(docs: DataFrame, model: LanguageModel | None, keep: list[s
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            for k in range(0, max(1, batch.num_rows), 256):
+            for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                if not part.num_rows:
-                    continue
                 langs, scores = scorer.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
