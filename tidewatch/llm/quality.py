@@ -156,7 +156,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, host: str = "source", path
     prior = F.lit(0.5 if overall is None else float(overall))
     hosts = _posteriors(hosts, prior, least, most).select(
         F.col("host").alias("h"),
-        ((F.col("good") + F.col("strength") * F.col("prior")) / (F.col("n") + F.col("strength"))).alias("host_mean"))
+        ((F.col("good") + F.col("strength") * prior) / (F.col("n") + F.col("strength"))).alias("host_mean"))
     hosts = written(hosts, "hosts")
     within = _posteriors(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))), F.col("host_mean"), least, most)
     within = written(within.select(F.col("h"), F.col("path").alias("q"), "good", "n", "strength", "host_mean"), "sites")
