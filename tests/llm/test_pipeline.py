@@ -1,0 +1,77 @@
+"""The registered queries and the pipeline over whole tables."""
+
+import duckdb
+import pytest
+from helpers import HARD, documents, stored
+from oracle_check import compare, connect
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from tidewatch.llm.queries import LLM_ORACLES, LLM_QUERIES
+
+RESULT = {
+    "op3_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+    "op4_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op5_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op6_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+    "op7_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
+    "op8_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    "op9_neighbours": ["query_id", "rank", "vec_id", "score"],
+    "op10_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+}
+
+
+def test_all_are_registered():
+    assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert set(LLM_ORACLES) <= set(entry.oracle_sql())
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "simhash", "mixing", "packing"]
+
+
+@pytest.mark.parametrize("name", sorted(LLM_QUERIES))
+def test_query(spark, sf_dir, name):
+    if name in LLM_ORACLES:
+        problem, *_ = compare(spark, connect(sf_dir), sf_dir, name, LLM_QUERIES[name], LLM_ORACLES[name])
+        assert problem is None
+        return
+    df = LLM_QUERIES[name](spark, sf_dir)
+    assert df.columns[:len(RESULT.get(name, []))] == RESULT.get(name, [])
+    rows = df.collect()
+    if name == "op9_neighbours":
+        return
+    n = duckdb.sql(f"SELECT count(*) FROM '{sf_dir}/documents.parquet'").fetchone()[0]
+    assert len({r.doc_id for r in rows}) == n and (len(rows) == n or name == "op10_packing")
+
+
+def test_pipeline(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, counts = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, sf_dir), name)
+        assert docs.columns == columns
+        counts[name] = docs.count()
+    assert counts["language"] >= counts["lines"] >= counts["simhash"] > 0 < counts["mixing"]
+    rows = corpus_pipeline.run(spark, sf_dir).collect()
+    taken = {}
+    for r in docs.collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + 1
+    packed = {}
+    for r in rows:
+        packed[r.doc_id] = packed.get(r.doc_id, 0) + r.length / r.doc_tokens
+    assert {d: round(n, 6) for d, n in packed.items()} == {d: float(n) for d, n in taken.items()}
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_stages_of_hard_rows(spark, tmp_path, clash):
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stored(spark, documents(spark, HARD, clash), tmp_path / f"{k}")
+        out = stage(spark, docs, "")
+        n = out.count()
+        if k < 4:
+            assert out.columns == docs.columns
+        if name == "language":
+            assert n == sum(any(c.isalpha() for c in t or "") for _, t, *_ in HARD)
+        if name == "simhash":
+            assert n < len(HARD)
+        empty = stage(spark, documents(spark, []), "")
+        assert empty.count() == 0
