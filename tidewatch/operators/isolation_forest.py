@@ -21,15 +21,17 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.hashing import digest, digest_below
 from tidewatch.functions.verdicts import verdict
-from tidewatch.operators.quantiles import SMALL_VALUES, exact_quantiles
+from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.session import drop_path, scratch_path
 
 KIND = "isolation_forest"
 NODE_SCHEMA = ("tree int, node long, depth int, feature int, threshold double, n long, "
                "path double")
-POOL_FACTOR = 2
+# Nodes of a forest at most: the table is held by the driver and broadcast to score.
+MOST_NODES = 10_000_000
+# Copies of one row that are numbered by one task.
+COPIES = 100_000
 EULER = 0.5772156649015329
 
 # Executors get the tree code with the job; the package need not be installed there.
@@ -76,9 +78,10 @@ def grow_tree(x: np.ndarray, tree: int, seed: int, max_depth: int) -> list[tuple
 class IsolationForest:
     """Settings of a fit.
 
-    ``features`` is a vector or array column, or a list of numeric columns. ``key`` names columns
-    that identify a row. Without a key, rows are drawn by a seeded random number instead, frozen
-    by writing the drawn rows; that is fair to equal rows but depends on the partitioning.
+    ``features`` is a vector or array column, or a list of numeric columns. Every tree draws its
+    rows from all rows by a hash of ``key``, the columns that identify a row; rows that share a
+    key share their draws. Without a key a row is known by its features and, among equal rows, a
+    number, so the draw is the same on any partitioning.
     """
 
     def __init__(self, features: str | list[str] = "features", key: list[str] | None = None,
@@ -86,6 +89,8 @@ class IsolationForest:
                  train_filter: Column | None = None):
         if trees < 1 or psi < 2:
             raise ValueError("trees must be at least 1 and psi at least 2")
+        if trees * (2 * psi - 1) > MOST_NODES:
+            raise ValueError(f"trees * (2 psi - 1) must not exceed {MOST_NODES} nodes")
         if not 0 < contamination <= 0.5:
             raise ValueError("contamination must be in (0, 0.5]")
         self.features, self.key = features, list(key or [])
@@ -96,69 +101,55 @@ class IsolationForest:
         """(tree, rank, key, x) with the psi lowest-hashed rows of each tree, and the row count."""
         df = df if self.train_filter is None else df.filter(self.train_filter)
         spark = df.sparkSession
-        total = self._count(df)
-        pool_path = scratch_path(spark, "pool")
-        size = self._write_pool(df, total, pool_path)
-        pool = spark.read.parquet(pool_path)
-        path = scratch_path(spark, "sample")
-        self._rank(pool, size, 4.0 * self.psi / size).write.parquet(path)
-        # Exact whatever the hashes are: a tree short of rows ranks the whole pool.
-        need = min(self.psi, size)
+        total = df.count()
+        if not total:
+            raise ValueError("cannot fit an isolation forest on no rows")
+        rows, path = self._identified(df), scratch_path(spark, "sample")
+        self._rank(rows, 4.0 * self.psi / total).write.parquet(path)
+        # Exact whatever the hashes are: if a tree is short of rows, all rows are ranked.
+        need = min(self.psi, total)
         full = spark.read.parquet(path).groupBy("tree").count().filter(F.col("count") >= need)
         if full.count() < self.trees:
+            drop_path(spark, path)
             path = scratch_path(spark, "sample")
-            self._rank(pool, size, 1.0).write.parquet(path)
-        drop_path(spark, pool_path)
+            self._rank(rows, 1.0).write.parquet(path)
         return spark.read.parquet(path), total
 
-    def _count(self, df: DataFrame) -> int:
-        """Number of rows; rejects a key shared by many rows, which would be drawn together."""
-        n = F.count(F.lit(1))
-        if not self.key:
-            total, distinct = df.count(), None
-        else:
-            total, distinct = df.agg(
-                n, F.approx_count_distinct(F.struct(*self.key), 0.02)).first()
-        if not total:
-            raise ValueError("cannot fit an isolation forest on no rows")
-        if distinct is not None and distinct < 0.8 * total:
-            raise ValueError(f"{self.key} does not identify rows: about {distinct} keys "
-                             f"for {total} rows")
-        return total
-
-    def _write_pool(self, df: DataFrame, total: int, path: str) -> int:
-        """A uniform draw of about POOL_FACTOR * trees * psi rows: one hash per input row.
-
-        All trees then rank these rows only, so the work per input row does not grow with the
-        number of trees.
-        """
-        share = min(1.0, POOL_FACTOR * self.trees * self.psi / total)
-        drawn = df
+    def _identified(self, df: DataFrame) -> DataFrame:
+        """(key, x): the features of each row and a text that identifies it."""
+        x = feature_array(df, self.features).alias("x")
+        if self.key:
+            parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in self.key]
+            joined = [c for part in parts for c in (F.lit("|"), part)][1:]
+            return df.select(F.concat(*joined).alias("key"), x)
+        # Copies are counted map-side and numbered a chunk at a time, not in one task.
+        counted = df.select(x).groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+        chunk = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))).alias("chunk")
+        chunks = counted.select("x", "n", chunk).repartition("x", "chunk")
+        number = F.explode(F.sequence(F.col("chunk") * COPIES, F.least(
+            F.col("n"), (F.col("chunk") + 1) * COPIES) - 1)).alias("number")
+        return chunks.select("x", number).select(
+            F.concat(F.md5(F.array_join(F.col("x").cast("array<string>"), "|", "").cast("binary")),
+                     F.lit("|"), F.col("number").cast("string")).alias("key"), "x")
+
+    def _rank(self, rows: DataFrame, share: float) -> DataFrame:
+        """Row hashes of all trees from one digest: (a + tree * b) mod 2^32."""
+        digest = F.md5(F.concat(F.lit(f"{self.seed}|"), "key").cast("binary"))
+        a, b = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+        rows = rows.select("key", "x", a.alias("a"), b.alias("b"))
+        draws = F.transform(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.struct(
+            t.alias("tree"), ((F.col("a") + t * F.col("b")) % (1 << 32)).alias("h")))
         if share < 1.0:
-            drawn = df.filter(
-                digest_below(digest(self.seed, F.lit("pool"), *self.key), share) if self.key
-                else F.rand(self.seed) < F.lit(share))
-        key = (F.concat_ws("|", *[F.col(k).cast("string") for k in self.key]) if self.key
-               else F.monotonically_increasing_id().cast("string"))
-        spark = df.sparkSession
-        (drawn.select(key.alias("key"), feature_array(df, self.features).alias("x"))
-         .repartition(spark.sparkContext.defaultParallelism)
-         .write.parquet(path))
-        return spark.read.parquet(path).count()
-
-    def _rank(self, pool: DataFrame, size: int, share: float) -> DataFrame:
-        trees = F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))
-        ranked = pool.select("key", "x", trees.alias("tree")).withColumn(
-            "h", digest(self.seed, "tree", "key"))
-        if share < 1.0:
-            ranked = ranked.filter(digest_below(F.col("h"), share))
-        order = Window.partitionBy("tree").orderBy("h", "key")
-        return (ranked.withColumn("rank", F.row_number().over(order))
+            draws = F.filter(draws, lambda d: d["h"] < math.ceil(share * (1 << 32)))
+        drawn = rows.select("key", "x", F.explode(draws).alias("draw")).select(
+            "key", "x", "draw.tree", "draw.h")
+        order = Window.partitionBy("tree").orderBy("h", "key", "x")
+        return (drawn.withColumn("rank", F.row_number().over(order))
                 .filter(F.col("rank") <= self.psi).select("tree", "rank", "key", "x"))
 
-    def grow(self, sample: DataFrame) -> DataFrame:
-        """The node table; each task grows one tree from its psi rows."""
-        seed, depth = self.seed, math.ceil(math.log2(self.psi))
+    def grow(self, sample: DataFrame, total: int) -> DataFrame:
+        """The node table; each task grows one tree from its psi rows, or all if there are fewer."""
+        seed, depth = self.seed, math.ceil(math.log2(max(2, min(self.psi, total))))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
             rows = grow_tree(np.vstack(pdf["x"].to_numpy()), int(pdf["tree"].iloc[0]), seed, depth)
@@ -172,31 +163,32 @@ class IsolationForest:
         spark = df.sparkSession
         rows = df if self.train_filter is None else df.filter(self.train_filter)
         sample, total = self.sample(df)
-        path = scratch_path(spark, "forest")
-        self.grow(sample).write.parquet(f"{path}/nodes")
+        nodes = self.grow(sample, total).toPandas()
+        width = sample.agg(F.max(F.size("x"))).first()[0]
+        for path in {p.rsplit("/", 1)[0] for p in sample.inputFiles()}:
+            drop_path(spark, path)
         params = {"kind": KIND, "trees": self.trees, "psi": self.psi, "seed": self.seed,
                   "sample_size": min(self.psi, total), "contamination": self.contamination,
-                  "features": self.features, "key": self.key}
-        model = IsolationForestModel(spark, path, params)
-        # Eight bytes a row: the quantile passes read these instead of scoring again.
+                  "features": self.features, "key": self.key, "width": width}
+        model = IsolationForestModel(spark, nodes, params)
+        # The quantile passes read a written copy of the scores instead of scoring again.
         scores = model.score(rows).select("anomaly_score")
-        if total > SMALL_VALUES:
-            scores.write.parquet(f"{path}/scores")
-            scores = spark.read.parquet(f"{path}/scores")
         threshold = exact_quantiles(scores, ["anomaly_score"],
                                     [0.0, 1 - self.contamination, 1.0])["anomaly_score"]
         params["min_score"], params["threshold"], params["max_score"] = threshold
-        _write_params(spark, path, params)
-        drop_path(spark, f"{path}/scores")
         return model
 
 
 class IsolationForestModel:
-    """A fitted forest: node table and settings."""
+    """A fitted forest: node table (bounded, see ``MOST_NODES``) and settings, in memory."""
+
+    def __init__(self, spark: SparkSession, nodes: pd.DataFrame, params: dict):
+        self.spark, self.params, self._nodes = spark, params, nodes
+        self._forest = spark.sparkContext.broadcast(pack_forest(nodes))
 
-    def __init__(self, spark: SparkSession, path: str, params: dict):
-        self.spark, self.path, self.params = spark, path, params
-        self._forest = spark.sparkContext.broadcast(pack_forest(self.nodes.toPandas()))
+    def release(self) -> None:
+        """Drop the executors' copies; scoring sends them again."""
+        self._forest.unpersist()
 
     @property
     def threshold(self) -> float:
@@ -209,18 +201,20 @@ class IsolationForestModel:
 
     @property
     def nodes(self) -> DataFrame:
-        return self.spark.read.schema(NODE_SCHEMA).parquet(f"{self.path}/nodes")
+        names = [field.split()[0] for field in NODE_SCHEMA.split(", ")]
+        plain = self._nodes[names].astype(object).where(self._nodes[names].notna(), None)
+        return self.spark.createDataFrame(plain.values.tolist(), NODE_SCHEMA)
 
     def score(self, df: DataFrame, output: str = "anomaly_score") -> DataFrame:
         """The input plus the raw anomaly score 2^(-mean path / c(sample size)).
 
         Only the features go to the Python workers; all other columns stay in the JVM.
         """
-        forest = self._forest
+        forest, width = self._forest, self.params["width"]
 
         @F.arrow_udf("double")
         def mean_path(x: pa.Array) -> pa.Array:
-            return pa.array(walk(forest.value, to_matrix(x)))
+            return pa.array(walk(forest.value, to_matrix(x, width)))
 
         path = mean_path(feature_array(df, self.params["features"]))
         norm = average_path(self.params["sample_size"])
@@ -238,7 +232,8 @@ class IsolationForestModel:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> IsolationForestModel:
-        return IsolationForestModel(spark, path, read_params(spark, path))
+        nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").toPandas()
+        return IsolationForestModel(spark, nodes, read_params(spark, path))
 
 
 def pack_forest(nodes: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -271,14 +266,20 @@ def walk(forest: dict, x: np.ndarray) -> np.ndarray:
     return total / len(forest["root"])
 
 
-def to_matrix(x: pa.Array) -> np.ndarray:
-    """Arrow lists of equal length as a matrix; a missing value is an error."""
+def to_matrix(x: pa.Array, width: int) -> np.ndarray:
+    """Arrow lists of ``width`` numbers as a matrix; other widths, NULL and NaN are errors."""
     if not len(x):
-        return np.zeros((0, 1))
+        return np.zeros((0, width))
     values = x.flatten()
     if x.null_count or values.null_count:
         raise ValueError("features must not be NULL; fill them before scoring")
-    return values.to_numpy().reshape(len(x), -1)
+    lengths = np.diff(np.asarray(x.offsets))
+    if (lengths != width).any():
+        raise ValueError(f"the forest takes {width} features, not {lengths[lengths != width][0]}")
+    matrix = values.to_numpy().reshape(len(x), width)
+    if np.isnan(matrix).any():
+        raise ValueError("features must not be NaN; fill them before scoring")
+    return matrix
 
 
 def feature_array(df: DataFrame, features: str | list[str]) -> Column:
@@ -305,7 +306,8 @@ def normalise_score(df: DataFrame, score: str = "anomaly_score", scope: str = "b
                     output: str | None = None) -> DataFrame:
     """The score rescaled to [0, 1], all 0 where the batch is flat.
 
-    ``batch`` takes the least and greatest score of the rows given, or of each ``by`` group;
+    ``batch`` takes the least and greatest score of the rows given, or of each ``by`` group (NULL
+    is a group); the rows are written first, as scores are read twice and shall be computed once.
     ``train`` takes fixed ``bounds`` (a model's stored ones), clipped, and so works row by row.
     """
     output = output or score
@@ -317,15 +319,19 @@ def normalise_score(df: DataFrame, score: str = "anomaly_score", scope: str = "b
             _rescale(F.col(score), low, high), F.lit(0.0)), F.lit(1.0)))
     if scope != "batch":
         raise ValueError(f"scope must be 'batch' or 'train', not {scope!r}")
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "scored")
+    df.write.parquet(path)
+    df = spark.read.schema(df.schema).parquet(path)
     limits = [F.min(score).alias("__low"), F.max(score).alias("__high")]
     if by is None:
         # A one-row subquery over the score alone; no join, nothing collected.
         ends = df.agg(F.struct(*limits).alias("ends")).scalar()
         return df.withColumn(output, _rescale(F.col(score), ends["__low"], ends["__high"]))
     # Map-side combined, then joined back: a request with most of the rows is never one group.
-    joined = df.join(df.groupBy(by).agg(*limits), by)
+    groups = df.groupBy(F.col(f"`{by}`").alias("__by")).agg(*limits)
+    joined = df.join(groups, F.col(f"`{by}`").eqNullSafe(F.col("__by")))
     return (joined.withColumn(output, _rescale(F.col(score), F.col("__low"), F.col("__high")))
-            .drop("__low", "__high"))
+            .drop("__low", "__high", "__by"))
 
 
 def _rescale(score: Column, low: Column, high: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,6 @@ from tidewatch.schema import LABEL
 
 SCALINGS = ("standard", "minmax", "robust")
 ENCODINGS = ("onehot", "label")
-# A column of more distinct values is an identifier, not a category.
-MAX_CATEGORIES = 10_000
 
 
 def split_features(df: DataFrame, label: str = LABEL) -> tuple[DataFrame, DataFrame]:
@@ -47,25 +46,32 @@ def scaling_parameters(df: DataFrame, columns: list[str], method: str) -> dict[s
     missing = [c for c, (m, _) in pairs.items() if m is None or m != m]
     if missing:
         raise ValueError(f"no values to scale in {missing}")
+    endless = [c for c, pair in pairs.items() if not all(map(math.isfinite, pair))]
+    if endless:
+        raise ValueError(f"infinite values leave no {method} scale in {endless}")
     return {c: (float(m), float(s) if s else 1.0) for c, (m, s) in pairs.items()}
 
 
 def category_values(df: DataFrame, columns: list[str],
-                    limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """The sorted distinct values per column; more than ``limit`` in one are an error.
+                    most: int | None = None) -> dict[str, list[str]]:
+    """The sorted distinct values per column, NULLs ignored.
 
-    Only distinct values leave the tasks, and no more than needed to tell that there are too many.
+    They come to the driver, as they become the slots of the features. ``most`` makes a column of
+    more values an error, before they are fetched.
     """
     if not columns:
         return {}
     cells = F.posexplode(F.array(*[F.col(f"`{c}`").cast("string") for c in columns]))
-    pairs = (df.select(cells.alias("i", "v")).filter(F.col("v").isNotNull()).distinct()
-             .limit(limit * len(columns) + 1).collect())
-    found = {c: sorted(r["v"] for r in pairs if r["i"] == i) for i, c in enumerate(columns)}
-    wide = [c for c, values in found.items() if len(values) > limit]
-    if wide or len(pairs) > limit * len(columns):
-        raise ValueError(f"more than {limit} distinct values to encode in {wide or columns}")
-    return found
+    pairs = df.select(cells.alias("i", "v")).filter(F.col("v").isNotNull()).distinct()
+    if most is not None:
+        wide = [columns[r["i"]] for r in pairs.groupBy("i").count().filter(
+            F.col("count") > most).collect()]
+        if wide:
+            raise ValueError(f"more than {most} distinct values to encode in {wide}")
+    found = {c: [] for c in columns}
+    for r in pairs.collect():
+        found[columns[r["i"]]].append(r["v"])
+    return {c: sorted(values) for c, values in found.items()}
 
 
 class FlowPreprocessor:
@@ -73,11 +79,13 @@ class FlowPreprocessor:
 
     Slots: scaled numerics in column order, then each categorical's encoding in the order given
     (sorted categories, unseen ones all zero; or one slot with the class number, unseen ones -1).
+    NULL and NaN are left out of the fit. A NULL category counts as unseen; a NULL number stays
+    NULL, which scoring rejects. ``max_categories`` makes a wider column an error.
     """
 
     def __init__(self, categorical: list[str] | None = None, scaling: str = "standard",
                  encoding: str = "onehot", exclude: list[str] | None = None,
-                 output: str = "features"):
+                 output: str = "features", max_categories: int | None = None):
         if scaling not in SCALINGS:
             raise ValueError(f"scaling must be one of {SCALINGS}, not {scaling!r}")
         if encoding not in ENCODINGS:
@@ -85,13 +93,15 @@ class FlowPreprocessor:
         self.categorical = list(categorical or [])
         self.scaling, self.encoding, self.output = scaling, encoding, output
         self.exclude = [LABEL] if exclude is None else list(exclude)
+        self.max_categories = max_categories
 
     def fit(self, df: DataFrame) -> FlowPreprocessorModel:
         numeric = numeric_columns(df, self.categorical, self.exclude)
         return FlowPreprocessorModel({
             "scaling": self.scaling, "encoding": self.encoding, "output": self.output,
             "numeric": [[c, *p] for c, p in scaling_parameters(df, numeric, self.scaling).items()],
-            "categorical": [[c, v] for c, v in category_values(df, self.categorical).items()],
+            "categorical": [[c, v] for c, v in category_values(
+                df, self.categorical, self.max_categories).items()],
         })
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
@@ -112,24 +122,25 @@ class FlowPreprocessorModel:
             names += [f"{c}_{v}" for v in values] if self.params["encoding"] == "onehot" else [c]
         return names
 
-    def _slot_columns(self) -> list[Column]:
-        cols = [(F.col(f"`{c}`").cast("double") - F.lit(centre)) / F.lit(divisor)
-                for c, centre, divisor in self.params["numeric"]]
-        for c, values in self.params["categorical"]:
-            text = F.col(f"`{c}`").cast("string")
-            if self.params["encoding"] == "onehot":
-                cols += [text.eqNullSafe(F.lit(v)).cast("double") for v in values]
-            else:
-                known = F.array(*[F.lit(v) for v in values])
-                # The position counts from 1 and is 0 for an unseen value.
-                cols.append(F.coalesce(F.array_position(known, text) - 1, F.lit(-1))
-                            .cast("double"))
-        return cols
+    def _slots_of(self, name: str, values: list[str]) -> Column:
+        """The slots of one category as an array: one expression, however many values there are."""
+        text = F.col(f"`{name}`").cast("string")
+        # The position counts from 1; it is 0 for an unseen value and NULL for NULL.
+        place = F.coalesce(F.array_position(F.lit(values).cast("array<string>"), text), F.lit(0))
+        if self.params["encoding"] == "label":
+            return F.array((place - 1).cast("double"))
+        if not values:
+            return F.array().cast("array<double>")
+        return F.transform(F.sequence(F.lit(1), F.lit(len(values))),
+                           lambda i: (i == place).cast("double"))
 
     def transform(self, df: DataFrame, fill: dict | None = None) -> DataFrame:
         """The input plus the feature array; ``fill`` replaces NULLs by column first."""
         rows = df.fillna(fill) if fill else df
-        return rows.withColumn(self.params["output"], F.array(*self._slot_columns()))
+        numbers = F.array(*[(F.col(f"`{c}`").cast("double") - F.lit(centre)) / F.lit(divisor)
+                            for c, centre, divisor in self.params["numeric"]]).cast("array<double>")
+        codes = [self._slots_of(c, values) for c, values in self.params["categorical"]]
+        return rows.withColumn(self.params["output"], F.concat(numbers, *codes))
 
     def save(self, spark: SparkSession, path: str) -> None:
         row = spark.createDataFrame([(json.dumps(self.params),)], "params string").coalesce(1)

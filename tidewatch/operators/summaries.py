@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.hashing import digest, digest_below
 from tidewatch.schema import CATEGORICAL, LABEL, feature_dictionary, features_by_importance
+from tidewatch.session import scratch_path
 
 
 def dataset_summary(df: DataFrame, label: str = LABEL) -> DataFrame:
@@ -68,12 +69,20 @@ def request_alerts(detections: DataFrame, request: str = "request_id",
 
 
 def recent_alerts(alerts: DataFrame, n: int = 50) -> DataFrame:
-    """The latest n alerts in arrival order, with the number of all alerts; 0 gives none."""
+    """The latest n alerts in arrival order, with the number of all alerts; 0 gives none.
+
+    Alerts of one time are ordered by id, a shorter one first, so that ``alert_9`` comes before
+    ``alert_10``. The alerts are written first: they are read twice and may stand for a scoring.
+    """
     if n < 0:
         raise ValueError("n must not be negative")
+    spark, path = alerts.sparkSession, scratch_path(alerts.sparkSession, "alerts")
+    alerts.write.parquet(path)
+    alerts = spark.read.schema(alerts.schema).parquet(path)
     total = alerts.agg(F.count(F.lit(1)).alias("total")).scalar()
-    latest = alerts.orderBy(F.desc("timestamp"), F.desc("id")).limit(n)
-    return latest.orderBy("timestamp", "id").withColumn("total_alerts", total)
+    order = ["timestamp", F.length("id"), "id"]
+    latest = alerts.orderBy(*[F.desc(c) if isinstance(c, str) else c.desc() for c in order]).limit(n)
+    return latest.orderBy(*order).withColumn("total_alerts", total)
 
 
 def hash_split(df: DataFrame, key: list[str], test: float = 0.2, seed: int = 42,

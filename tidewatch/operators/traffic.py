@@ -73,10 +73,20 @@ def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 1
     Needs ``conn_id`` (unique), ``ts``, ``src_ip``, ``src_port``, ``dst_ip``, ``service``, ``flag``.
     ``cell_seconds`` and ``block`` only set the size of tasks, never a result; without
     ``cell_seconds`` the log's fullest cells decide, so that a flooded host or service is split as
-    finely as needed.
+    finely as needed. Connections without a time come back with NULL features.
     """
     if last_n > block:
         raise ValueError("last_n must not exceed block")
+    timed = _flow_features(conns.filter(F.col("ts").isNotNull()), window_seconds, last_n,
+                           cell_seconds, block)
+    # A connection without a time is in no window, its own included.
+    untimed = conns.filter(F.col("ts").isNull())
+    return timed.unionByName(untimed.select(*conns.columns, *[
+        F.lit(None).cast(timed.schema[n].dataType).alias(n) for n in TIME_FEATURES + HOST_FEATURES]))
+
+
+def _flow_features(conns: DataFrame, window_seconds: float, last_n: int,
+                   cell_seconds: float | None, block: int) -> DataFrame:
     payload = conns.columns
     base = conns.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))) \
         .withColumn("_syn", syn_error(F.col("flag"))).withColumn("_rej", rejected(F.col("flag")))

@@ -22,14 +22,14 @@ from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.random_forest import RandomForestModel, fit_random_forest, top_features
 from tidewatch.operators.traffic import HOST_FEATURES, TIME_FEATURES, flow_features
 from tidewatch.plans.models import load_model, publish_model
-from tidewatch.plans.pipelines import detect, train
+from tidewatch.plans.pipelines import detect, detect_job, evaluate_classifier, train
 from tidewatch.plans.standins import (
     CATEGORY, NUMERIC, ROW_KEY, connections, flow_records, labelled_events, lineitem,
     request_vectors,
 )
 from tidewatch.schema import CATEGORICAL, FEATURE_NAMES
 from tidewatch.session import scratch_path, spread
-from tidewatch.sources.flows import process_labels, read_flows, read_requests
+from tidewatch.sources.flows import load_flows, process_labels, read_flows, read_requests
 from tidewatch.sources.sinks import (
     append_alerts, read_alerts, security_events, write_detections,
 )
@@ -206,9 +206,8 @@ def scale_robust(spark, sf_dir):
 
 @query
 def robust_parameters(spark, sf_dir):
-    # Narrowing by histograms, as for inputs beyond the built-in percentile.
     rows = spread(lineitem(spark, sf_dir).select(*NUMERIC))
-    found = exact_quantiles(rows, NUMERIC, [0.25, 0.5, 0.75], small_values=0)
+    found = exact_quantiles(rows, NUMERIC, [0.25, 0.5, 0.75])
     return spark.createDataFrame(
         [(c, *map(float, q)) for c, q in found.items()],
         "feature string, q1 double, median double, q3 double",
@@ -415,7 +414,7 @@ def detect_flows(spark, sf_dir):
     """Preprocess, fit, score and judge the 41 flow features end to end."""
     flows = flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty")
     prep = FlowPreprocessor(CATEGORICAL, "minmax", exclude=ROW_KEY).fit(flows)
-    model = IsolationForest("features", key=ROW_KEY, trees=50).fit(prep.transform(flows))
+    model = IsolationForest("features", key=ROW_KEY).fit(prep.transform(flows))
     return detect(flows, prep, model).select(*ROW_KEY, "prediction", rounded("anomaly_score"))
 
 
@@ -424,7 +423,7 @@ def train_detector(spark, sf_dir):
     """The whole training job: fit on four fifths of the flows, evaluate on the rest."""
     flows = flow_records(spark, sf_dir, ROW_KEY).drop("difficulty")
     parts = summaries.hash_split(process_labels(flows, binary=True), ROW_KEY)
-    found = train(*parts, scratch_path(spark, "trained"), key=ROW_KEY, scaling="minmax", trees=50)
+    found = train(*parts, scratch_path(spark, "trained"), key=ROW_KEY, scaling="minmax")
     (tn, fp), (fn, tp) = found.pop("confusion_matrix")
     row = spark.createDataFrame(
         [(tn, fp, fn, tp, *[found[c] for c in RATES])],
@@ -432,6 +431,43 @@ def train_detector(spark, sf_dir):
     return row.select("tn", "fp", "fn", "tp", *[rounded(c) for c in RATES])
 
 
+@query
+def detect_report(spark, sf_dir):
+    """The whole detection job: saved models, detections on disk, count and rate returned."""
+    flows = flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty")
+    root = scratch_path(spark, "detect")
+    prep = FlowPreprocessor(CATEGORICAL, "minmax", exclude=ROW_KEY).fit(flows)
+    prep.save(spark, f"{root}/preprocessor")
+    IsolationForest("features", key=ROW_KEY).fit(prep.transform(flows)).save(f"{root}/model")
+    found = detect_job(flows, f"{root}/preprocessor", f"{root}/model", f"{root}/out")
+    back = spark.read.option("header", "true").csv(f"{root}/out")
+    return back.agg(F.count(F.lit(1)).alias("rows_written"),
+                    F.count_if(F.col("prediction") == "anomaly").alias("anomalies_written")).select(
+        "rows_written", "anomalies_written", F.lit(found["total_samples"]).alias("total_samples"),
+        F.lit(found["anomalies_found"]).alias("anomalies_found"),
+        rounded(F.lit(found["anomaly_rate"]), "anomaly_rate"))
+
+
+@query
+def detect_without_score(spark, sf_dir):
+    """Verdicts only."""
+    return detect(items(spark, sf_dir), None, item_forest(spark, sf_dir), with_score=False).select(
+        *ROW_KEY, "prediction")
+
+
+@query
+def load_flow_sets(spark, sf_dir):
+    """Train and test files by one call, labels cleaned and reduced to two."""
+    root = scratch_path(spark, "sets")
+    flows = flow_records(spark, sf_dir)
+    flows.write.csv(f"{root}/train")
+    flows.filter(F.col("protocol_type") == "tcp").write.csv(f"{root}/test")
+    parts = load_flows(spark, f"{root}/train", f"{root}/test", binary=True)
+    tagged = [p.select(F.lit(n).alias("part"), "label", "src_bytes") for n, p in zip(("train", "test"), parts)]
+    return tagged[0].unionByName(tagged[1]).groupBy("part", "label").agg(
+        F.count(F.lit(1)).alias("flows"), F.sum("src_bytes").alias("src_bytes"))
+
+
 @query
 def zscore_verdict(spark, sf_dir):
     """Verdicts by a cut on the standardised price."""
@@ -482,7 +518,9 @@ def if_confusion_matrix(spark, sf_dir):
 
 @query
 def if_evaluate(spark, sf_dir):
-    judged = _judged(spark, sf_dir).persist()
+    path = scratch_path(spark, "judged")
+    _judged(spark, sf_dir).write.parquet(path)
+    judged = spark.read.parquet(path)
     out = metrics.binary_metrics(judged, "truth", "flag")
     auc = metrics.roc_auc(judged, "truth", "score")
     return out.select(*[rounded(c) for c in out.columns],
@@ -513,50 +551,85 @@ def class_report(spark, sf_dir):
                       rounded("f1_score"), "support")
 
 
-# --- random forest (no SQL counterpart: seeded learner) ---------------------------------------
+# --- random forest ----------------------------------------------------------------------------
 
 def _label_rows(spark, sf_dir):
     return request_vectors(read(spark, sf_dir, "embeddings")).select("vec_id", "label", "features")
 
 
 def vector_classifier(spark, sf_dir) -> RandomForestModel:
-    return _once(spark, sf_dir, "classes", lambda: fit_random_forest(
-        spread(_label_rows(spark, sf_dir)), max_bins=32))
+    return _once(spark, sf_dir, "classes", lambda: fit_random_forest(spread(_label_rows(spark, sf_dir))))
+
+
+@query
+def rf_stump(spark, sf_dir):
+    """One tree of one split, saved and loaded: small enough to be worked out in SQL."""
+    rows = items(spark, sf_dir).withColumn("label", F.when(
+        F.col("l_quantity") + 3 * F.col("l_linenumber") > 45, "attack").otherwise("normal"))
+    slots = ["l_quantity", "l_linenumber", "l_discount"]
+    rows = rows.withColumn("features", F.array(*[F.col(c).cast("double") for c in slots]))
+    model = fit_random_forest(rows, trees=1, max_depth=1, bootstrap=False, feature_subset="all", slots=slots)
+    path = scratch_path(spark, "stump")
+    model.save(path)
+    model = load_model(spark, path)
+    used = top_features(model, 1).first()
+    return model.transform(rows).select(
+        *ROW_KEY, "label", "predicted",
+        *[rounded(F.col("class_probability")[i], f"p_{c}") for i, c in enumerate(model.classes)],
+        F.lit(used["feature"]).alias("top_feature"), rounded(F.lit(used["importance"]), "importance"))
 
 
 @query
 def rf_predict(spark, sf_dir):
-    rows = vector_classifier(spark, sf_dir).transform(_label_rows(spark, sf_dir))
-    return rows.select("vec_id", "label", "predicted",
-                       rounded(F.array_max("class_probability"), "probability"))
+    """What holds of any forest's predictions: sums, and the class of the greatest probability."""
+    model = vector_classifier(spark, sf_dir)
+    rows = model.transform(_label_rows(spark, sf_dir))
+    p = F.col("class_probability")
+    named = F.element_at(F.lit(model.classes).cast("array<string>"), F.array_position(p, F.array_max(p)).cast("int"))
+    return rows.select("vec_id", "label", F.size(p).alias("classes"),
+                       rounded(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), "probability_sum"),
+                       (named == F.col("predicted")).alias("predicts_likeliest"))
 
 
 @query
 def rf_importance(spark, sf_dir):
-    out = summaries.describe_features(top_features(vector_classifier(spark, sf_dir), 10))
-    return out.select("feature", "importance_level", rounded("importance"))
+    """Importances per slot: as many as features, none negative, adding up to 1."""
+    model = vector_classifier(spark, sf_dir)
+    rows = _label_rows(spark, sf_dir).agg(F.max(F.size("features")).alias("features"))
+    found = model.importances()
+    top = top_features(model, 10)
+    return rows.select(
+        "features", found.agg(F.count(F.lit(1))).scalar().alias("slots"),
+        rounded(found.agg(F.sum("importance")).scalar(), "importance_sum"),
+        (found.agg(F.min("importance")).scalar() >= 0).alias("none_negative"),
+        top.agg(F.count(F.lit(1))).scalar().alias("top"))
 
 
 @query
 def rf_evaluate(spark, sf_dir):
-    rows = vector_classifier(spark, sf_dir).transform(_label_rows(spark, sf_dir)).select(
-        F.col("label").cast("string").alias("actual"), "predicted")
-    out = metrics.class_report(rows, "actual", "predicted")
-    return out.select("kind", "class", rounded("precision"), rounded("recall"),
-                      rounded("f1_score"), "support")
+    """The per-class report of the training rows: support, and recall that beats the majority."""
+    rows = vector_classifier(spark, sf_dir).transform(_label_rows(spark, sf_dir))
+    found = evaluate_classifier(rows)
+    report = spark.createDataFrame(
+        [(r["kind"], r["class"], r["support"], r["recall"]) for r in found["class_report"]],
+        "kind string, class string, support long, recall double")
+    most = report.filter(F.col("kind") == "class").agg(F.max("support") / F.sum("support")).scalar()
+    return report.select("kind", "class", "support",
+                         (F.lit(found["accuracy"]) > most).alias("beats_majority"))
 
 
 @query
 def rf_flows(spark, sf_dir):
-    """Attack categories of the flows by a balanced forest; metrics on held-out rows."""
+    """A balanced forest of full size on held-out flows, labelled by their protocol and flag."""
     flows = process_labels(flow_records(spark, sf_dir, ROW_KEY).drop("difficulty"))
-    train, test = summaries.hash_split(flows, ROW_KEY)
+    told = F.when(F.col("flag") == "S0", "dos").when(F.col("protocol_type") == "icmp", "probe").otherwise("normal")
+    train, test = summaries.hash_split(flows.withColumn("label", told), ROW_KEY)
     prep = FlowPreprocessor(CATEGORICAL, exclude=[*ROW_KEY, "label"]).fit(train)
-    model = fit_random_forest(prep.transform(train), trees=10, max_depth=6)
-    rows = model.transform(prep.transform(test)).select(
-        F.col("label").alias("actual"), "predicted")
-    out = metrics.weighted_metrics(rows, "actual", "predicted")
-    return out.select(*[rounded(c) for c in out.columns])
+    model = fit_random_forest(prep.transform(train))
+    found = evaluate_classifier(model.transform(prep.transform(test)))
+    n = test.agg(F.count(F.lit(1)).alias("test_rows"))
+    return n.select("test_rows", F.lit(len(model.classes)).alias("classes"),
+                    F.lit(found["accuracy"] > 0.9).alias("accurate"))
 
 
 # --- windowed traffic features ----------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -10,6 +12,7 @@ from tidewatch.operators import isolation_forest, random_forest
 from tidewatch.operators.isolation_forest import IsolationForestModel, read_params
 from tidewatch.operators.random_forest import RandomForestModel
 
+LOG = logging.getLogger(__name__)
 LOADERS = {
     isolation_forest.KIND: IsolationForestModel.load,
     random_forest.KIND: RandomForestModel.load,
@@ -53,11 +56,15 @@ class PublishedModel:
         version = latest_version(self.spark, self.root)
         if version is not None and version != self.version:
             try:
-                self.model = load_model(self.spark, f"{self.root}/version={version}")
-                self.version = version
+                model = load_model(self.spark, f"{self.root}/version={version}")
             except Exception:
                 if self.model is None:
                     raise
+                LOG.exception("version %s cannot be loaded, version %s stays", version, self.version)
+            else:
+                if isinstance(self.model, IsolationForestModel):
+                    self.model.release()
+                self.model, self.version = model, version
         if self.model is None:
             raise FileNotFoundError(f"no published model below {self.root}")
         return self.model

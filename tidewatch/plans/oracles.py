@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tidewatch.operators.isolation_forest import POOL_FACTOR
 from tidewatch.plans.standins import FLOW_EXPRESSIONS, NUMERIC, RAW_LABELS, ROW_KEY
 from tidewatch.schema import (
     ATTACKS, CATEGORICAL, DICTIONARY, FEATURE_NAMES, FLOW_SCHEMA,
@@ -159,7 +158,6 @@ def forest(source: str, width: int, trees: int = 100, psi: int = 256, seed: int
     the node table, ``scores`` the score of every row, ``cut`` threshold, least and greatest.
     Rows that are not ``fit_on`` are scored only.
     """
-    pool = POOL_FACTOR * trees * psi
     path = ("depth + CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE "
             "2.0 * (ln(n - 1.0::double) + 0.5772156649015329::double) - 2.0 * (n - 1.0::double) / n END")
     name = f"'{seed}|' || tree || '|' || node || '|"
@@ -179,12 +177,13 @@ def forest(source: str, width: int, trees: int = 100, psi: int = 256, seed: int
 
     return f"""
 src AS MATERIALIZED (SELECT row_number() OVER () AS id, * FROM ({source})),
-pool AS MATERIALIZED (SELECT id, key, x FROM src WHERE {fit_on} AND
-  {unit(f"'{seed}|pool|' || key")} < least(1.0, {pool}::double / (SELECT count(*) FROM src WHERE {fit_on}))),
+hashed AS MATERIALIZED (SELECT key, x, ('0x' || substr(md5('{seed}|' || key), 1, 8))::bigint AS a,
+  ('0x' || substr(md5('{seed}|' || key), 9, 8))::bigint AS b FROM src WHERE {fit_on}),
+drawn AS (SELECT tree::int AS tree, key, x, (a + tree * b) % 4294967296 AS h
+  FROM hashed, range({trees}) t(tree)),
 sample AS MATERIALIZED (SELECT * FROM (
-  SELECT tree::int AS tree, key, x,
-    row_number() OVER (PARTITION BY tree ORDER BY md5('{seed}|' || tree || '|' || key), key) AS rank
-  FROM pool, range({trees}) t(tree)) WHERE rank <= {psi}),
+  SELECT tree, key, x, row_number() OVER (PARTITION BY tree ORDER BY h, key) AS rank
+  FROM drawn) WHERE rank <= {psi}),
 grow AS (
   SELECT tree, 1::bigint AS node, 0 AS depth, x FROM sample
   UNION ALL
@@ -280,7 +279,7 @@ SELECT id, timestamp, anomalies_found, total_samples FROM a"""
 ORACLES["stream_alerts"] = ORACLES["alerts"]
 ORACLES["recent_alerts"] = f"""{VECTORS}, {VECTOR_ROWS}, {ALERTS}
 SELECT id, timestamp, anomalies_found, total_samples, (SELECT count(*) FROM a) AS total_alerts
-FROM a ORDER BY timestamp DESC, id DESC LIMIT 5"""
+FROM a ORDER BY timestamp DESC, length(id) DESC, id DESC LIMIT 5"""
 _minmax = [f"""((f."{c}"::double - m."lo_{c}"::double)
   / CASE WHEN m."hi_{c}" = m."lo_{c}" THEN 1.0::double
       ELSE (m."hi_{c}" - m."lo_{c}")::double END)""" for c in FLOW_NUMERIC]
@@ -289,8 +288,58 @@ _limits = ", ".join(f'min("{c}") AS "lo_{c}", max("{c}") AS "hi_{c}"' for c in F
 ORACLES["detect_flows"] = f"""
 WITH RECURSIVE {FLOWS}, m AS (SELECT {_limits} FROM flows),
 {forest(f"SELECT {ROW_TEXT} AS key, [{', '.join(_minmax + _onehot)}] AS x, {KEYS} FROM flows f, m",
-        len(_minmax + _onehot), trees=50)}, {ITEM_ROWS}
+        len(_minmax + _onehot))}, {ITEM_ROWS}
 SELECT {KEYS}, prediction, {r6(NORMAL, 'anomaly_score')} FROM rows"""
+ORACLES["detect_report"] = f"""
+WITH d AS ({ORACLES["detect_flows"]})
+SELECT count(*) AS rows_written, count_if(prediction = 'anomaly') AS anomalies_written,
+  count(*) AS total_samples, count_if(prediction = 'anomaly') AS anomalies_found,
+  {r6("100.0 * count_if(prediction = 'anomaly') / count(*)", 'anomaly_rate')} FROM d"""
+ORACLES["detect_without_score"] = f"{ITEMS}, {ITEM_ROWS} SELECT {KEYS}, prediction FROM rows"
+ORACLES["load_flow_sets"] = f"""
+WITH {FLOWS}, b AS (SELECT *, CASE WHEN {CLEAN} = 'normal' THEN 'normal' ELSE 'attack' END AS kind
+  FROM flows)
+SELECT part, kind AS label, count(*) AS flows, sum(src_bytes)::bigint AS src_bytes
+FROM b, (VALUES ('train'), ('test')) p(part)
+WHERE part = 'train' OR protocol_type = 'tcp' GROUP BY ALL"""
+
+# --- random forest ----------------------------------------------------------------------------
+
+# Every cut of every feature, by the weighted Gini impurity of the two sides.
+ORACLES["rf_stump"] = f"""
+WITH l AS (SELECT *, (l_quantity + 3 * l_linenumber > 45)::int AS y FROM lineitem),
+k AS (SELECT y, count(*)::double AS n FROM l GROUP BY y),
+w AS (SELECT l.*, (SELECT count(*) FROM l) / (2.0 * k.n) AS w FROM l JOIN k USING (y)),
+long AS (UNPIVOT (SELECT y, w, l_quantity::double AS l_quantity, l_linenumber::double AS l_linenumber,
+  l_discount::double AS l_discount FROM w) ON l_quantity, l_linenumber, l_discount INTO NAME f VALUE v),
+cells AS (SELECT f, v, sum(w * y) AS a, sum(w) AS n FROM long GROUP BY f, v),
+sides AS (SELECT f, v, sum(a) OVER up AS a, sum(n) OVER up AS n, sum(a) OVER (PARTITION BY f) AS ta,
+  sum(n) OVER (PARTITION BY f) AS tn FROM cells WINDOW up AS (PARTITION BY f ORDER BY v)),
+cut AS (SELECT f, v, a / n AS left_p, (ta - a) / (tn - n) AS right_p FROM sides WHERE tn - n > 1e-9
+  ORDER BY n * 2 * (a / n) * (1 - a / n) + (tn - n) * 2 * ((ta - a) / (tn - n)) * (1 - (ta - a) / (tn - n))
+  LIMIT 1),
+p AS (SELECT l.*, cut.f, CASE WHEN (CASE cut.f WHEN 'l_quantity' THEN l_quantity
+    WHEN 'l_linenumber' THEN l_linenumber ELSE l_discount END) <= cut.v THEN left_p ELSE right_p END AS p
+  FROM l, cut)
+SELECT {KEYS}, CASE WHEN y = 1 THEN 'attack' ELSE 'normal' END AS label,
+  CASE WHEN p >= 0.5 THEN 'attack' ELSE 'normal' END AS predicted, {r6('p', 'p_attack')},
+  {r6('1 - p', 'p_normal')}, f AS top_feature, 1.0::double AS importance FROM p"""
+ORACLES["rf_predict"] = """
+SELECT vec_id, label, (SELECT count(DISTINCT label) FROM embeddings)::int AS classes,
+  1.0::double AS probability_sum, true AS predicts_likeliest FROM embeddings"""
+ORACLES["rf_importance"] = """
+SELECT max(len(embedding))::int AS features, max(len(embedding)) AS slots,
+  1.0::double AS importance_sum, true AS none_negative, 10::bigint AS top FROM embeddings"""
+ORACLES["rf_evaluate"] = """
+SELECT 'class' AS kind, label::varchar AS class, count(*) AS support, true AS beats_majority
+FROM embeddings GROUP BY label
+UNION ALL SELECT k, k, (SELECT count(*) FROM embeddings), true
+FROM (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(k)"""
+ORACLES["rf_flows"] = f"""
+WITH {FLOWS} SELECT count(*) AS test_rows, (SELECT count(DISTINCT CASE WHEN flag = 'S0' THEN 'dos'
+  WHEN protocol_type = 'icmp' THEN 'probe' ELSE 'normal' END) FROM flows)::int AS classes,
+  true AS accurate
+FROM flows WHERE {unit("'42|split|' || " + ROW_TEXT)} < 0.2"""
 ORACLES["zscore_verdict"] = f"""
 WITH z AS (SELECT abs((l_extendedprice - avg(l_extendedprice) OVER ())
   / stddev_pop(l_extendedprice) OVER ()) > 1.5 AS hit FROM lineitem)
@@ -363,7 +412,7 @@ ORACLES["train_detector"] = f"""
 WITH RECURSIVE {FLOWS}, m AS (SELECT {_train_limits} FROM flows WHERE {_in_train}),
 {forest(f"SELECT {ROW_TEXT} AS key, [{', '.join(_minmax + _onehot)}] AS x, {_in_train} AS train, "
         f"({CLEAN} <> 'normal')::int AS truth FROM flows f, m",
-        len(_minmax + _onehot), trees=50, fit_on="train")}, {ITEM_ROWS},
+        len(_minmax + _onehot), fit_on="train")}, {ITEM_ROWS},
 j AS (SELECT truth, (prediction = 'anomaly')::int AS flag, score FROM rows WHERE NOT train),
 {COUNTS}
 SELECT {', '.join(f"(SELECT count(*) FROM j WHERE truth = {t} AND flag = {f}) AS {n}"
