@@ -46,11 +46,13 @@ def test_sample_is_the_lowest_hashes(forest, cloud):
     sample, total = forest.sample(cloud)
     rows = sample.collect()
     assert total == 3000 and len(rows) == 20 * 64
-    # 2 * 20 * 64 rows are drawn first, by one hash per row.
-    drawn = [i for i in range(3000) if int(hashlib.md5(f"42|pool|{i}".encode()).hexdigest()[:8],
-             16) / 2**32 < 2560 / 3000]
+
+    def rank(i, tree):
+        digest = hashlib.md5(f"42|{i}".encode()).hexdigest()
+        return (int(digest[:8], 16) + tree * int(digest[8:16], 16)) % 2**32
+
     for tree in (0, 19):
-        want = sorted(drawn, key=lambda i: hashlib.md5(f"42|{tree}|{i}".encode()).hexdigest())[:64]
+        want = sorted(range(3000), key=lambda i: (rank(i, tree), str(i)))[:64]
         assert {r["key"] for r in rows if r["tree"] == tree} == {str(i) for i in want}
 
 
@@ -115,8 +117,8 @@ def test_save_load_and_publish(spark, model, cloud, tmp_path):
 def test_guards(spark, forest, cloud, model):
     with pytest.raises(ValueError, match="no rows"):
         forest.fit(cloud.filter("false"))
-    with pytest.raises(ValueError, match="does not identify"):
-        IsolationForest(["a"], key=["k"]).fit(cloud.withColumn("k", F.col("id") % 9))
+    with pytest.raises(ValueError, match="nodes"):
+        IsolationForest(trees=100_000, psi=256)
     with pytest.raises(ValueError):
         IsolationForest(psi=1)
     with pytest.raises(ValueError):
@@ -125,6 +127,38 @@ def test_guards(spark, forest, cloud, model):
     missing = cloud.withColumn("a", F.lit(None).cast("double"))
     with pytest.raises(Exception, match="NULL"):
         model.score(missing).collect()
+    with pytest.raises(Exception, match="NaN"):
+        model.score(cloud.withColumn("a", F.lit(float("nan")))).collect()
+
+
+def test_vectors_of_another_width_are_rejected(spark):
+    rows = spark.range(300).select("id", F.array(F.rand(1), F.rand(2)).alias("features"))
+    model = IsolationForest("features", ["id"], trees=3, psi=8).fit(rows)
+    for wrong in ([[1.0, 2.0, 3.0]] * 2, [[1.0] * 3, [1.0]], [[], [1.0, 2.0]]):
+        df = spark.createDataFrame([(x,) for x in wrong], "features array<double>").coalesce(1)
+        with pytest.raises(Exception, match="takes 2 features"):
+            model.score(df).collect()
+    model.release()
+    assert model.transform(rows).count() == 300
+
+
+def test_small_tables_and_any_partitioning(spark, cloud):
+    few = cloud.limit(40).select("a", "b", "c").cache()
+    model = IsolationForest(["a", "b", "c"], trees=4, psi=256).fit(few)
+    assert model.nodes.agg(F.max("depth")).first()[0] <= 6
+    sample, _ = IsolationForest(["a", "b", "c"], trees=4, psi=256).sample(few)
+    assert sample.groupBy("tree").count().collect() == [(t, 40) for t in range(4)] or \
+        {r["count"] for r in sample.groupBy("tree").count().collect()} == {40}
+    wide = cloud.select("a", "b", "c")
+    draws = [IsolationForest(["a", "b", "c"], trees=4, psi=32).sample(wide.repartition(p))[0]
+             .select("tree", "rank", "key").orderBy("tree", "rank").collect() for p in (1, 5)]
+    assert draws[0] == draws[1]
+
+
+def test_rows_that_share_a_key(spark, cloud):
+    shared = cloud.withColumn("k", F.col("id") % 9)
+    model = IsolationForest(["a"], key=["k"], trees=4, psi=16).fit(shared)
+    assert model.transform(shared).count() == cloud.count()
 
 
 def test_without_key_copies_are_drawn_apart(spark):
@@ -159,6 +193,9 @@ def test_normalise(spark):
     assert got == pytest.approx([0.0, 1 / 7, 1 / 7, 2 / 7, 1.0])
     got = [r["anomaly_score"] for r in normalise_score(df, scope="train", bounds=(3, 5)).collect()]
     assert got == [0.0, 0.5, 0.0, 0.0, 1.0]
+    nulls = df.withColumn("request_id", F.when(F.col("request_id") > 1, F.col("request_id")))
+    got = sorted(tuple(r) for r in normalise_score(nulls, by="request_id").filter("request_id IS NULL").collect())
+    assert got == [(None, 0.0), (None, 1.0)]
     with pytest.raises(ValueError):
         normalise_score(df, scope="train")
     with pytest.raises(ValueError):
@@ -173,6 +210,11 @@ def test_scoring_sends_only_features_to_python(spark, model, tmp_path):
     assert "ArrowEvalPython [mean_path(array(a#" in plan and "Exchange" not in plan
 
 
+def test_batch_scores_are_computed_once(model, cloud):
+    plan = normalise_score(model.transform(cloud))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan                 # scored when written, read twice
+
+
 @pytest.fixture(scope="module")
 def classes(spark):
     rng = np.random.default_rng(5)
@@ -207,6 +249,27 @@ def test_random_forest(spark, classes, tmp_path):
     assert loaded.importances().collect() == model.importances().collect()
 
 
+def test_class_weights_need_no_join(spark, classes):
+    seen = []
+    from pyspark.ml.classification import RandomForestClassifier
+
+    fit = RandomForestClassifier.fit
+    RandomForestClassifier.fit = lambda self, df, *a: seen.append(df) or fit(self, df, *a)
+    try:
+        fit_random_forest(classes, trees=1, max_depth=1)
+    finally:
+        RandomForestClassifier.fit = fit
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    weight = {r["__label"]: r["weight"] for r in seen[0].select("__label", "weight").distinct().collect()}
+    count = {r["label"]: r["count"] for r in classes.groupBy("label").count().collect()}
+    assert weight == pytest.approx({c: 600 / (3 * n) for c, n in count.items()})
+    with pytest.raises(ValueError):
+        fit_random_forest(classes, max_classes=2)
+    with pytest.raises(ValueError):
+        fit_random_forest(classes.filter("false"))
+
+
 def test_random_forest_default_names(classes):
     model = fit_random_forest(classes, trees=2, max_depth=2, balanced=False)
     assert model.params["slots"] == ["feature_0", "feature_1", "feature_2"]

@@ -56,7 +56,8 @@ def test_classifier(spark, split, tmp_path_factory):
         F.col("flag") == "SF", "dos").otherwise("probe")) for p in split]
     metrics = train(*parts, root, model="random_forest", key=ROW_KEY, trees=10, max_depth=8)
     assert metrics["accuracy"] > 0.9 and set(metrics) == {
-        "accuracy", "precision", "recall", "f1_score"}
+        "accuracy", "precision", "recall", "f1_score", "class_report"}
+    assert {r["class"] for r in metrics["class_report"] if r["kind"] == "class"} == {"normal", "dos", "probe"}
     model = load_model(spark, f"{root}/random_forest")
     prep = FlowPreprocessorModel.load(spark, f"{root}/preprocessor")
     rows = parts[1].select(*FEATURE_NAMES, "label")

@@ -60,7 +60,14 @@ def test_bad_settings(spark, numbers):
     with pytest.raises(ValueError):
         scaling_parameters(numbers.filter("false"), ["x"], "standard")
     with pytest.raises(ValueError):
-        category_values(spark.range(50).select(F.col("id").cast("string")), ["id"], limit=20)
+        category_values(spark.range(50).select(F.col("id").cast("string")), ["id"], most=20)
+    many = spark.range(20_000).select(F.col("id").cast("string"))
+    assert len(category_values(many, ["id"])["id"]) == 20_000
+    with pytest.raises(ValueError):
+        FlowPreprocessor(["id"], max_categories=9).fit(many)
+    for bad in (float("inf"), float("-inf")):
+        with pytest.raises(ValueError, match="infinite"):
+            scaling_parameters(numbers.select(F.lit(bad).alias("x")).unionByName(numbers.select("x")), ["x"], "minmax")
 
 
 def test_fit_on_train_only_save_load(spark, tmp_path, numbers):
@@ -92,7 +99,7 @@ def test_quantiles_by_narrowing(spark):
         [(float(a), float(b), float(c), None) for a, b, c in zip(skewed, tied, wide)],
         "a double, b double, c double, d double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
-    got = exact_quantiles(df, list("abcd"), probs, small_values=0, bins=16)
+    got = exact_quantiles(df, list("abcd"), probs, bins=16)
     for name, data in (("a", skewed), ("b", tied), ("c", wide)):
         assert got[name] == pytest.approx(np.quantile(data, probs).tolist(), rel=1e-12), name
     assert all(math.isnan(v) for v in got["d"])
@@ -101,6 +108,32 @@ def test_quantiles_by_narrowing(spark):
     assert all(math.isnan(v) for v in small["d"])
 
 
+@pytest.mark.parametrize("n", [1_000, 250_000])
+def test_quantiles_with_nan_and_infinities(spark, n):
+    x = F.when(F.col("id") == 7, float("inf")).when(F.col("id") == 8, float("-inf")).when(
+        F.col("id") == 9, float("nan")).otherwise(F.col("id") * 0.5)
+    df = spark.range(n).select(x.alias("x"), F.lit(float("inf")).alias("all"), F.lit(float("nan")).alias("none"),
+                               F.when(F.col("id") % 2 == 0, 0.0).otherwise(5e-324).alias("tiny"))
+    got = exact_quantiles(df, ["x", "all", "none", "tiny"], [0.0, 0.25, 0.5, 1.0])
+    data = np.array([i * 0.5 for i in range(n) if i not in (7, 8, 9)] + [np.inf, -np.inf])
+    assert got["x"][1:3] == np.quantile(data, [0.25, 0.5]).tolist()
+    assert got["x"][0] == -math.inf and got["x"][3] == math.inf
+    assert got["all"] == [math.inf] * 4 and all(map(math.isnan, got["none"]))
+    assert got["tiny"][0] == 0.0 and got["tiny"][3] == 5e-324
+
+
+def test_one_nan_leaves_the_column(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),)], "x double")
+    assert scaling_parameters(df, ["x"], "standard") == {"x": (2.0, 1.0)}
+    assert scaling_parameters(df, ["x"], "minmax") == {"x": (1.0, 2.0)}
+
+
+def test_null_categories_count_as_unseen(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "p string")
+    for encoding, want in (("onehot", [[1, 0], [0, 1], [0, 0]]), ("label", [[0], [1], [-1]])):
+        assert [r["features"] for r in FlowPreprocessor(["p"], encoding=encoding).fit_transform(df).collect()] == want
+
+
 def test_no_python_in_the_plan(spark, numbers):
     model = FlowPreprocessor(["k"], exclude=[]).fit(numbers)
     plan = model.transform(numbers)._jdf.queryExecution().executedPlan().toString()

@@ -4,9 +4,8 @@ import pytest
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-WITHOUT_SQL = {"rf_predict", "rf_importance", "rf_evaluate", "rf_flows"}
+from tidewatch.plans.catalog import QUERIES
+from tidewatch.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -14,9 +13,9 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-def test_all_have_sql_but_the_seeded_learner():
-    assert set(QUERIES) - set(ORACLES) == WITHOUT_SQL
-    assert set(ORACLES) <= set(QUERIES)
+def test_all_have_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators.isolation_forest import IsolationForest, normalise_score
-from tidewatch.operators.summaries import request_alerts, system_stats
+from tidewatch.operators.summaries import recent_alerts, request_alerts, system_stats
 from tidewatch.plans.models import publish_model
 from tidewatch.plans.standins import request_vectors
 from tidewatch.functions.verdicts import with_verdict
+from tidewatch.sources.sinks import append_alerts, read_alerts
 from tidewatch.streaming import scoring
 
 
@@ -28,8 +29,8 @@ class Feed:
         self.spark, self.vectors, self.path = spark, vectors, str(path)
         self.checkpoint = str(path) + "-checkpoint"
 
-    def add(self, low, high):
-        self.vectors.filter(F.col("request_id").between(low, high)).coalesce(1) \
+    def add(self, low, high, which="true"):
+        self.vectors.filter(F.col("request_id").between(low, high)).filter(which).coalesce(1) \
             .write.mode("append").parquet(self.path)
 
     def stream(self):
@@ -70,7 +71,7 @@ def test_request_scores_and_model_swap(spark, feed, vectors, model, tmp_path):
     publish_model(spark, other, root)
     feed.add(6, 9)
     scoring.score_requests_stream(feed.stream(), root, out, feed.checkpoint).awaitTermination()
-    got = spark.read.parquet(out)
+    got = scoring.read_request_scores(spark, out)
     for version, used, which in ((1, model, "request_id < 6"), (2, other, "request_id >= 6")):
         want = normalise_score(used.transform(vectors.filter(which)), by="request_id")
         part = got.filter(F.col("model_version") == version).select(want.columns)
@@ -88,7 +89,25 @@ def test_alerts(spark, feed, vectors, model, tmp_path):
     out = str(tmp_path / "alerts")
     run_twice(feed, lambda s: scoring.alert_stream(s, model, out, feed.checkpoint))
     want = request_alerts(model.transform(vectors))
-    assert rows(spark.read.parquet(out).select(want.columns)) == rows(want)
+    assert rows(read_alerts(spark, out).select(want.columns)) == rows(want)
+
+
+def test_requests_over_several_micro_batches(spark, feed, vectors, model, tmp_path):
+    """A request cut in three: one alert, and scores as if it came whole."""
+    feed.add(6, 9, "pos < 10")
+    out, scores, root = (str(tmp_path / n) for n in ("alerts", "scores", "models"))
+    publish_model(spark, model, root)
+    scoring.alert_stream(feed.stream(), model, out, feed.checkpoint).awaitTermination()
+    feed.add(6, 9, "pos BETWEEN 10 AND 30")
+    feed.add(6, 9, "pos > 30")
+    scoring.alert_stream(feed.stream(), model, out, feed.checkpoint).awaitTermination()
+    want = request_alerts(model.transform(vectors))
+    assert rows(read_alerts(spark, out).select(want.columns)) == rows(want)
+    append_alerts(want.limit(0), out)                    # the batch job shares the table
+    assert rows(recent_alerts(read_alerts(spark, out), 3)) == rows(recent_alerts(want, 3))
+    scoring.score_requests_stream(feed.stream(), root, scores, feed.checkpoint + "-2").awaitTermination()
+    whole = normalise_score(model.transform(vectors), by="request_id")
+    assert rows(scoring.read_request_scores(spark, scores).select(whole.columns)) == rows(whole)
 
 
 def test_stats(spark, feed, vectors, model, tmp_path):

@@ -91,6 +91,15 @@ def test_before_the_epoch(spark):
     check(flow_features(frame(spark, rows), 2.0, 6, cell_seconds=3.0), brute(rows, 2.0, 6))
 
 
+def test_connections_without_a_time(spark):
+    rows = log(80, 6)
+    df = frame(spark, rows)
+    untimed = df.filter("conn_id < 7").withColumns({"conn_id": F.col("conn_id") + 1000, "ts": F.lit(None).cast("timestamp")})
+    out = flow_features(df.unionByName(untimed), 2.0, 10)
+    check(out.filter("conn_id < 1000"), brute(rows, 2.0, 10))
+    assert [[r[c] for c in FEATURES] for r in out.filter("conn_id >= 1000").collect()] == [[None] * 19] * 7
+
+
 def test_payload_and_guard(spark):
     rows = log(30, 1)
     df = frame(spark, rows).withColumn("note", F.concat(F.lit("n"), "conn_id"))

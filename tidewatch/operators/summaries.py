@@ -58,12 +58,15 @@ def system_stats(detections: DataFrame) -> DataFrame:
 
 
 def request_alerts(detections: DataFrame, request: str = "request_id",
-                   ts: str = "ts") -> DataFrame:
-    """One alert per request with an anomaly. The id follows the request, so a rerun repeats it."""
+                   ts: str = "ts", partial: bool = False) -> DataFrame:
+    """One alert per request with an anomaly. The id follows the request, so a rerun repeats it.
+
+    ``partial`` also gives requests without one, whose further rows may still come.
+    """
     per_request = detections.groupBy(request).agg(
         F.max(ts).alias("timestamp"), _anomalies().alias("anomalies_found"),
         F.count(F.lit(1)).alias("total_samples"))
-    return per_request.filter(F.col("anomalies_found") > 0).select(
+    return per_request.filter(F.lit(partial) | (F.col("anomalies_found") > 0)).select(
         F.concat(F.lit("alert_"), F.col(request).cast("string")).alias("id"),
         "timestamp", "anomalies_found", "total_samples")
 

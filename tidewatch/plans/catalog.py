@@ -135,7 +135,7 @@ def feature_dictionary(spark, sf_dir):
     scales = spark.createDataFrame([(c, s) for c, (_, s) in fitted.items()],
                                    "feature string, scale double")
     return summaries.describe_features(scales).select(
-        "ordinal", "feature", "description", "importance_level", "security_relevance",
+        "ordinal", "feature", "description", "importance_level",
         rounded("scale"))
 
 
@@ -680,23 +680,42 @@ def stream_scores(spark, sf_dir):
     return spark.read.parquet(out).select(*ROW_KEY, rounded("anomaly_score"), "prediction")
 
 
+def _split_requests(spark, sf_dir) -> DataFrame:
+    """Requests as a stream of files, one a micro-batch, that cut every request in three."""
+    folder = scratch_path(spark, "requests")
+    rows = request_vectors(read(spark, sf_dir, "embeddings"))
+    for i in range(3):
+        rows.filter(F.col("pos") % 3 == i).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 @query
 def stream_request_scores(spark, sf_dir):
     root = scratch_path(spark, "published")
     publish_model(spark, request_forest(spark, sf_dir), root)
-    stream = request_vectors(_table_stream(spark, sf_dir, "embeddings"))
+    stream = _split_requests(spark, sf_dir)
     out = _run(lambda p, c: scoring.score_requests_stream(stream, root, p, c), spark)
-    return spark.read.parquet(out).select("request_id", "pos", "prediction",
-                                          rounded("anomaly_score"), "model_version")
+    return scoring.read_request_scores(spark, out).select(
+        "request_id", "pos", "prediction", rounded("anomaly_score"), "model_version")
+
+
+def _stream_alerts(spark, sf_dir) -> DataFrame:
+    model = request_forest(spark, sf_dir)
+    stream = _split_requests(spark, sf_dir)
+    return read_alerts(spark, _run(lambda p, c: scoring.alert_stream(stream, model, p, c), spark))
 
 
 @query
 def stream_alerts(spark, sf_dir):
-    model = request_forest(spark, sf_dir)
-    stream = request_vectors(_table_stream(spark, sf_dir, "embeddings"))
-    out = _run(lambda p, c: scoring.alert_stream(stream, model, p, c), spark)
-    return spark.read.parquet(out).select("id", naive("timestamp"), "anomalies_found",
-                                          "total_samples")
+    return _stream_alerts(spark, sf_dir).select("id", naive("timestamp"), "anomalies_found",
+                                                "total_samples")
+
+
+@query
+def stream_recent_alerts(spark, sf_dir):
+    """The latest alerts of the stream's table."""
+    return summaries.recent_alerts(_stream_alerts(spark, sf_dir), 5).select(
+        "id", naive("timestamp"), "anomalies_found", "total_samples", "total_alerts")
 
 
 @query

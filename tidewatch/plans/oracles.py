@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidewatch.plans.standins import FLOW_EXPRESSIONS, NUMERIC, RAW_LABELS, ROW_KEY
 from tidewatch.schema import (
-    ATTACKS, CATEGORICAL, DICTIONARY, FEATURE_NAMES, FLOW_SCHEMA,
+    CATEGORICAL, DICTIONARY, FEATURE_NAMES, FLOW_SCHEMA,
 )
 
 KEYS = ", ".join(ROW_KEY)
@@ -23,10 +23,34 @@ def raw_label(number: str) -> str:
     return f"list_extract([{', '.join(map(text, RAW_LABELS))}], ({number} % {len(RAW_LABELS)} + 1)::int)"
 
 
-CATEGORY_CASE = "CASE {0} " + " ".join(
-    f"WHEN lower({{0}}) IN ({', '.join(map(text, names))}) THEN {text(cat)}"
-    for cat, names in ATTACKS.items()) + " ELSE 'unknown' END"
-CATEGORY_CASE = CATEGORY_CASE.replace("CASE {0}", "CASE", 1)
+# Written out here, not taken from the package: a wrong value there must show.
+CATEGORY_CASE = """CASE lower({0})
+  WHEN 'normal' THEN 'normal'
+  WHEN 'back' THEN 'dos' WHEN 'land' THEN 'dos' WHEN 'neptune' THEN 'dos' WHEN 'pod' THEN 'dos'
+  WHEN 'smurf' THEN 'dos' WHEN 'teardrop' THEN 'dos' WHEN 'apache2' THEN 'dos'
+  WHEN 'udpstorm' THEN 'dos' WHEN 'processtable' THEN 'dos' WHEN 'mailbomb' THEN 'dos'
+  WHEN 'satan' THEN 'probe' WHEN 'ipsweep' THEN 'probe' WHEN 'nmap' THEN 'probe'
+  WHEN 'portsweep' THEN 'probe' WHEN 'mscan' THEN 'probe' WHEN 'saint' THEN 'probe'
+  WHEN 'guess_passwd' THEN 'r2l' WHEN 'ftp_write' THEN 'r2l' WHEN 'imap' THEN 'r2l'
+  WHEN 'phf' THEN 'r2l' WHEN 'multihop' THEN 'r2l' WHEN 'warezmaster' THEN 'r2l'
+  WHEN 'warezclient' THEN 'r2l' WHEN 'spy' THEN 'r2l' WHEN 'xlock' THEN 'r2l'
+  WHEN 'xsnoop' THEN 'r2l' WHEN 'snmpguess' THEN 'r2l' WHEN 'snmpgetattack' THEN 'r2l'
+  WHEN 'httptunnel' THEN 'r2l' WHEN 'sendmail' THEN 'r2l' WHEN 'named' THEN 'r2l'
+  WHEN 'buffer_overflow' THEN 'u2r' WHEN 'loadmodule' THEN 'u2r' WHEN 'rootkit' THEN 'u2r'
+  WHEN 'perl' THEN 'u2r' WHEN 'sqlattack' THEN 'u2r' WHEN 'xterm' THEN 'u2r' WHEN 'ps' THEN 'u2r'
+  ELSE 'unknown' END"""
+LEVELS = {
+    "CRITICAL": "land hot num_failed_logins num_compromised root_shell",
+    "HIGH": "duration protocol_type flag src_bytes dst_bytes wrong_fragment logged_in su_attempted "
+            "num_root num_shells num_access_files count srv_count serror_rate rerror_rate "
+            "dst_host_serror_rate",
+    "MEDIUM": "service urgent num_file_creations num_outbound_cmds is_guest_login srv_serror_rate "
+              "srv_rerror_rate same_srv_rate diff_srv_rate srv_diff_host_rate "
+              "dst_host_same_srv_rate dst_host_diff_srv_rate dst_host_srv_diff_host_rate "
+              "dst_host_srv_serror_rate dst_host_rerror_rate dst_host_srv_rerror_rate",
+    "LOW": "is_host_login dst_host_count dst_host_srv_count dst_host_same_src_port_rate",
+}
+LEVEL = {name: level for level, names in LEVELS.items() for name in names.split()}
 
 SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 FLOW_SELECT = ", ".join(
@@ -62,16 +86,15 @@ ORACLES["split_columns"] = f"""
 WITH {FLOWS} SELECT {', '.join(r6(f'sum("{c}"::double)', f'"{c}"') for c in FLOW_NUMERIC)}
 FROM flows"""
 ORACLES["high_importance"] = f"""
-WITH {FLOWS} SELECT {KEYS}, {', '.join(f'"{n}"' for n, level, _, _ in DICTIONARY
-                                       if level in ('HIGH', 'CRITICAL'))} FROM flows"""
+WITH {FLOWS} SELECT {KEYS}, {', '.join(f'"{n}"' for n in FEATURE_NAMES
+                                       if LEVEL[n] in ('HIGH', 'CRITICAL'))} FROM flows"""
 ORACLES["feature_dictionary"] = f"""
-WITH {FLOWS}, d(ordinal, feature, importance, description, security_relevance) AS (VALUES
-{', '.join(f'({i}, {text(n)}, {text(imp)}, {text(desc)}, {text(rel)})'
-           for i, (n, imp, desc, rel) in enumerate(DICTIONARY))}),
+WITH {FLOWS}, d(ordinal, feature, importance, description) AS (VALUES
+{', '.join(f'({i}, {text(n)}, {text(LEVEL[n])}, {text(note)})'
+           for i, (n, _, note) in enumerate(DICTIONARY))}),
 m AS (SELECT {', '.join(f'stddev_pop("{c}"::double) AS "{c}"' for c in FLOW_NUMERIC)} FROM flows),
 u AS (UNPIVOT m ON COLUMNS(*) INTO NAME feature VALUE scale)
 SELECT d.ordinal::int AS ordinal, d.feature, d.description, d.importance AS importance_level,
-  d.security_relevance,
   {r6('CASE WHEN u.scale = 0 THEN 1.0 ELSE u.scale END', 'scale')} FROM u JOIN d USING (feature)"""
 CONNS = """c AS (SELECT ts, event_id AS conn_id, (event_id * 7 % 40)::varchar AS src_ip,
   (props->>'$.k')::int AS src_port, user_id::varchar AS dst_ip,
@@ -280,6 +303,7 @@ ORACLES["stream_alerts"] = ORACLES["alerts"]
 ORACLES["recent_alerts"] = f"""{VECTORS}, {VECTOR_ROWS}, {ALERTS}
 SELECT id, timestamp, anomalies_found, total_samples, (SELECT count(*) FROM a) AS total_alerts
 FROM a ORDER BY timestamp DESC, length(id) DESC, id DESC LIMIT 5"""
+ORACLES["stream_recent_alerts"] = ORACLES["recent_alerts"]
 _minmax = [f"""((f."{c}"::double - m."lo_{c}"::double)
   / CASE WHEN m."hi_{c}" = m."lo_{c}" THEN 1.0::double
       ELSE (m."hi_{c}" - m."lo_{c}")::double END)""" for c in FLOW_NUMERIC]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 ALERT_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("timestamp", T.TimestampType()),
     T.StructField("anomalies_found", T.LongType()), T.StructField("total_samples", T.LongType()),
-    T.StructField("day", T.DateType()),
+    T.StructField("batch", T.StringType()), T.StructField("day", T.DateType()),
 ])
 
 
@@ -19,20 +21,27 @@ def write_detections(df: DataFrame, path: str, fmt: str = "csv", mode: str = "ov
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
 
 
-def append_alerts(alerts: DataFrame, path: str, mode: str = "append") -> None:
-    """Alerts to a Parquet table partitioned by day, so recent ones are found by pruning.
+def append_alerts(alerts: DataFrame, path: str, batch: str | None = None) -> None:
+    """Alerts to a Parquet table with a folder per writing, and in it per day for pruning.
 
-    The rebalance hint gathers a day's rows into few files but still splits a day that holds
-    most of them.
+    A writing named by ``batch`` replaces itself when it is repeated; others get a new name. The
+    rebalance hint gathers a day's rows into few files but still splits a day that holds most.
     """
     (alerts.withColumn("day", F.to_date("timestamp"))
      .hint("rebalance", "day")
-     .write.mode(mode).partitionBy("day").parquet(path))
+     .write.mode("overwrite").partitionBy("day")
+     .parquet(f"{path}/batch={batch or uuid.uuid4().hex}"))
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The alert table written by ``append_alerts``."""
-    return spark.read.schema(ALERT_SCHEMA).parquet(path).drop("day")
+    """The alert table: one alert per id, however many writings its request came in.
+
+    Counts are added up and the latest time is taken; a request without an anomaly is no alert.
+    """
+    parts = spark.read.schema(ALERT_SCHEMA).option("basePath", path).parquet(path)
+    return parts.groupBy("id").agg(
+        F.max("timestamp").alias("timestamp"), F.sum("anomalies_found").alias("anomalies_found"),
+        F.sum("total_samples").alias("total_samples")).filter("anomalies_found > 0")
 
 
 def security_events(detections: DataFrame, severity: Column, source_ip: Column,

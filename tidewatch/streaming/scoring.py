@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +16,7 @@ from tidewatch.functions.verdicts import anomaly_flag
 from tidewatch.operators.isolation_forest import IsolationForestModel, normalise_score
 from tidewatch.operators.summaries import request_alerts, system_stats
 from tidewatch.plans.models import PublishedModel
+from tidewatch.sources.sinks import append_alerts
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -36,33 +37,43 @@ def _each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], chec
 
 
 def score_requests_stream(stream: DataFrame, root: str, path: str, checkpoint: str,
-                          request: str = "request_id",
                           trigger: dict | None = None) -> StreamingQuery:
-    """Verdicts and scores rescaled within each request; the newest published model is used.
+    """Verdicts and raw scores by the newest published model, a folder per micro-batch.
 
-    A request must arrive whole in one micro-batch. Models are swapped between micro-batches
-    without a restart; without any model the query fails.
+    ``read_request_scores`` rescales them by request, whose rows may come in any number of
+    micro-batches. Models are swapped between micro-batches without a restart; without any model
+    the query fails.
     """
     published = PublishedModel(stream.sparkSession, root)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # Scored once, though read for the limits and for the rows.
-        scored = published.current().transform(batch).persist()
-        normalise_score(scored, by=request).withColumn(
-            "model_version", F.lit(published.version),
-        ).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        scored.unpersist()
+        scored = published.current().transform(batch)
+        scored.withColumn("model_version", F.lit(published.version)).write.mode(
+            "overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _each_batch(stream, write, checkpoint, trigger)
 
 
+def read_request_scores(spark: SparkSession, path: str, request: str = "request_id",
+                        which: Column | None = None) -> DataFrame:
+    """Scores rescaled within each request, over all micro-batches it came in.
+
+    ``which`` limits the rows read to some requests, e.g. those of a day.
+    """
+    rows = spark.read.option("basePath", path).parquet(path).drop("batch")
+    return normalise_score(rows if which is None else rows.filter(which), by=request)
+
+
 def alert_stream(stream: DataFrame, model: IsolationForestModel, path: str, checkpoint: str,
                  request: str = "request_id", ts: str = "ts",
                  trigger: dict | None = None) -> StreamingQuery:
-    """One alert per request with an anomaly; a request arrives whole in one micro-batch."""
+    """What each micro-batch found per request, into the alert table of the batch job.
+
+    ``read_alerts`` makes one alert of a request that came in several micro-batches.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        alerts = request_alerts(model.transform(batch), request, ts)
-        alerts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        append_alerts(request_alerts(model.transform(batch), request, ts, partial=True),
+                      path, str(batch_id))
 
     return _each_batch(stream, write, checkpoint, trigger)
 
