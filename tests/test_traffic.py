@@ -9,7 +9,9 @@ from tidewatch.operators.traffic import (
     HOST_FEATURES, TIME_FEATURES, cell_length, flow_features,
 )
 from tidewatch.schema import CONNECTION_SCHEMA
-from tidewatch.streaming.traffic import flow_features_stream
+from tidewatch.streaming.traffic import (
+    _bucket, _worth_keeping, flow_features_stream, within_reach,
+)
 
 FEATURES = TIME_FEATURES + HOST_FEATURES
 
@@ -136,7 +138,17 @@ def test_cell_length(spark):
     assert cell_length(burst, rows=20, most_cells=25) == pytest.approx(2.0, abs=0.1)
 
 
-@pytest.mark.parametrize("merge_every", [2, 20])
+def test_a_small_batch_reaches_only_its_hosts(spark):
+    """Ten rows after 20,000 of idle hosts: the rows of their hosts and of the last window."""
+    kept = frame(spark, [(1704067200.0 + i / 1000, i, "s", 1, f"idle{i % 4000}", 80, "http", "SF", 1.0) for i in range(20_000)])
+    rows = frame(spark, [(1704067400.0 + i, 50_000 + i, "s", 1, f"idle{i % 2}", 80, "http", "SF", 1.0) for i in range(10)])
+    kept = kept.withColumn("bucket", _bucket())
+    assert within_reach(kept, rows, 2.0, 100).count() == 10         # five rows of each of two hosts
+    assert within_reach(kept, rows, 181.0, 100).count() == 10 + 1000 - sum(i % 4000 < 2 for i in range(19_000, 20_000))
+    assert within_reach(kept, rows.filter("false"), 2.0, 100).count() == 0
+
+
+@pytest.mark.parametrize("merge_every", [(2, 2), (20, 20), (20, 2), (1, 3)])
 def test_stream_equals_batch(spark, tmp_path, merge_every):
     rows = sorted(log(240, 5))
     path, state, checkpoint = (str(tmp_path / n) for n in ("out", "state", "checkpoint"))
@@ -149,16 +161,27 @@ def test_stream_equals_batch(spark, tmp_path, merge_every):
                             & (F.col("ts").cast("double") < bounds[i + 1]))
         part.coalesce(1).write.mode("append").parquet(source)
 
-    def run():
+    def run(every):
         stream = spark.readStream.schema(conns.schema).option("maxFilesPerTrigger", 1) \
             .parquet(source)
         flow_features_stream(stream, path, state, checkpoint, 2.0, 10,
-                             merge_every=merge_every).awaitTermination()
+                             merge_every=every).awaitTermination()
 
     for i in range(3):
         add(i)
-    run()
-    for i in range(3, 5):  # a restart goes on from the checkpoint
+    run(merge_every[0])
+    for i in range(3, 5):  # a restart goes on from the checkpoint, perhaps with other merges
         add(i)
-    run()
+    run(merge_every[1])
     check(spark.read.parquet(path), brute(rows, 2.0, 10))
+    entries = sorted(int(p.name[6:]) for p in (tmp_path / "state").glob("batch=*"))
+    assert entries == ([0, 1, 2, 3, 4] if merge_every[0] == 20 == merge_every[1] else entries)
+    assert merge_every != (2, 2) or entries[0] > 0      # merged entries replace older ones
+
+
+def test_idle_hosts_are_forgotten(spark):
+    rows = frame(spark, [(1704067200.0 + t, i, "s", 1, h, 80, "http", "SF", 1.0)
+                         for i, (t, h) in enumerate([(0, "old"), (50, "new"), (60, "new")])])
+    kept = _worth_keeping(rows, 2.0, 100, 30.0)
+    assert {r["dst_ip"] for r in kept.collect()} == {"new"}
+    assert _worth_keeping(rows, 2.0, 100, None).count() == 3
