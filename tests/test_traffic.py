@@ -81,6 +81,18 @@ def test_batch(spark, cell, block):
     check(df, brute(rows, 2.0, 10))
 
 
+@pytest.mark.parametrize("cell,block", [(1.0, 16), (70.0, 10_000)])
+def test_host_features_alone(spark, cell, block):
+    rows = log(300, 8)
+    df = frame(spark, rows).withColumn("dst_ip", F.when(F.col("dst_ip") != "h1", F.col("dst_ip")))
+    rows = [(*r[:4], None if r[4] == "h1" else r[4], *r[5:]) for r in rows]
+    out = flow_features(df, 2.0, 10, cell_seconds=cell, block=block, time_windows=False)
+    assert out.columns == df.columns + HOST_FEATURES
+    want = brute(rows, 2.0, 10)
+    for r in out.collect():
+        assert [r[c] for c in HOST_FEATURES] == pytest.approx(want[r["conn_id"]][9:], abs=1e-9)
+
+
 def test_window_longer_than_cells_and_all_rows_at_one_time(spark):
     rows = log(150, 3, span=30.0)
     check(flow_features(frame(spark, rows), 11.0, 5, cell_seconds=2.0), brute(rows, 11.0, 5))

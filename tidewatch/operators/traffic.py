@@ -67,9 +67,13 @@ def cell_length(conns: DataFrame, rows: int = CELL_ROWS, most_cells: int = MOST_
 
 
 def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 100,
-                  cell_seconds: float | None = None, block: int = BLOCK) -> DataFrame:
+                  cell_seconds: float | None = None, block: int = BLOCK,
+                  time_windows: bool = True) -> DataFrame:
     """The connections plus the 9 time-window and 10 last-n host features.
 
+    Without ``time_windows`` the last-n host features only, by a plan of its own that numbers a
+    host's connections and knows no windows of time.
+
     Needs ``conn_id`` (unique), ``ts``, ``src_ip``, ``src_port``, ``dst_ip``, ``service``, ``flag``.
     ``cell_seconds`` and ``block`` only set the size of tasks, never a result; without
     ``cell_seconds`` the log's fullest cells decide, so that a flooded host or service is split as
@@ -78,25 +82,28 @@ def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 1
     if last_n > block:
         raise ValueError("last_n must not exceed block")
     timed = _flow_features(conns.filter(F.col("ts").isNotNull()), window_seconds, last_n,
-                           cell_seconds, block)
+                           cell_seconds, block, time_windows)
+    names = TIME_FEATURES + HOST_FEATURES if time_windows else HOST_FEATURES
     # A connection without a time is in no window, its own included.
     untimed = conns.filter(F.col("ts").isNull())
     return timed.unionByName(untimed.select(*conns.columns, *[
-        F.lit(None).cast(timed.schema[n].dataType).alias(n) for n in TIME_FEATURES + HOST_FEATURES]))
+        F.lit(None).cast(timed.schema[n].dataType).alias(n) for n in names]))
 
 
 def _flow_features(conns: DataFrame, window_seconds: float, last_n: int,
-                   cell_seconds: float | None, block: int) -> DataFrame:
+                   cell_seconds: float | None, block: int, time_windows: bool) -> DataFrame:
     payload = conns.columns
     base = conns.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))) \
         .withColumn("_syn", syn_error(F.col("flag"))).withColumn("_rej", rejected(F.col("flag")))
     seconds = cell_length(conns) if cell_seconds is None else cell_seconds
     span, cell = int(window_seconds * MICROS), max(1, int(seconds * MICROS))
+    if not time_windows:
+        return _last_connections(_numbered(base, cell), last_n, block).select(
+            *payload, *_host_features())
     totals = _cell_totals(base, span, cell)
     timed = _service_window(_host_window(base, totals, span, cell), totals, span, cell)
     counted = _last_connections(timed, last_n, block)
     n_host, n_srv, n_pair = F.col("_h_n"), F.col("_s_n"), F.col("_p_n")
-    n_last, n_same = F.col("_l_n"), F.col("_ls_n")
     return counted.select(
         *payload,
         n_host.alias("count"), n_srv.alias("srv_count"),
@@ -107,6 +114,13 @@ def _flow_features(conns: DataFrame, window_seconds: float, last_n: int,
         (n_pair / n_host).alias("same_srv_rate"),
         ((n_host - n_pair) / n_host).alias("diff_srv_rate"),
         ((n_srv - n_pair) / n_srv).alias("srv_diff_host_rate"),
+        *_host_features(),
+    )
+
+
+def _host_features() -> list[Column]:
+    n_last, n_same = F.col("_l_n"), F.col("_ls_n")
+    return [
         n_last.alias("dst_host_count"), n_same.alias("dst_host_srv_count"),
         (n_same / n_last).alias("dst_host_same_srv_rate"),
         ((n_last - n_same) / n_last).alias("dst_host_diff_srv_rate"),
@@ -116,7 +130,21 @@ def _flow_features(conns: DataFrame, window_seconds: float, last_n: int,
         (F.col("_ls_syn") / n_same).alias("dst_host_srv_serror_rate"),
         (F.col("_l_rej") / n_last).alias("dst_host_rerror_rate"),
         (F.col("_ls_rej") / n_same).alias("dst_host_srv_rerror_rate"),
-    )
+    ]
+
+
+def _numbered(base: DataFrame, cell: int) -> DataFrame:
+    """Each connection's number in its host: its place in a cell of time and all cells before."""
+    rows = base.withColumn("_cell", F.floor(F.col("_t") / cell))
+    counts = rows.groupBy("dst_ip", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("dst_ip").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = counts.select(F.col("dst_ip").alias("_host"), F.col("_cell").alias("_at"),
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("dst_ip", "_cell").orderBy("_t", "conn_id"))
+    numbered = rows.withColumn("_place", place).join(
+        earlier, F.col("dst_ip").eqNullSafe(F.col("_host")) & (F.col("_cell") == F.col("_at")))
+    return numbered.withColumn("_number", F.col("_place") + F.col("_before")).drop(
+        "_host", "_at", "_cell", "_place", "_before")
 
 
 def _edges(rows: DataFrame, span: int, cell: int, payload: list[str]) -> DataFrame:

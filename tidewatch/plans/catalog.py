@@ -635,7 +635,8 @@ def rf_flows(spark, sf_dir):
 # --- windowed traffic features ----------------------------------------------------------------
 
 def _features(spark, sf_dir, names, window):
-    rows = flow_features(connections(read(spark, sf_dir, "events")), window)
+    rows = flow_features(connections(read(spark, sf_dir, "events")), window,
+                         time_windows=names is TIME_FEATURES)
     return rows.select("conn_id", *[
         rounded(F.col(f"`{n}`").cast("double"), n) if n.endswith("rate") else F.col(f"`{n}`")
         for n in names])
