@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tidewatch
 from tidewatch.session import scratch_path
 
+_SHIPPED: set[str] = set()
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: A word: a run of characters other than ASCII white space.
@@ -43,3 +51,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for a broadcast if it has no more than ``rows`` rows; else Spark decides.
+
+    It is counted, so it should be a written table.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once a session.
+
+    Functions that run there are found by their module; a cluster that has the package installed
+    or was given it by ``--py-files`` does without.
+    """
+    context, root = spark.sparkContext, Path(tidewatch.__file__).parent
+    if context.applicationId in _SHIPPED or not root.is_dir():
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="tidewatch-code-"), "tidewatch_code.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, f"{root.name}/{source.relative_to(root)}")
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)

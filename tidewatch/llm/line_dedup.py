@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WORD, text_of, with_row, written
+from tidewatch.llm.common import WORD, small, text_of, with_row, written
 
 #: A line of this many words or more has deletion variants: one edit leaves a similarity of 0.8.
 FIVE = 5
@@ -15,16 +15,16 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1))
+def _spelling(line: Column) -> Column:
+    """The words of a line with one space between them. Most lines are spelled so already."""
+    other = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for space in "\t\r\x0b\x0c":
+        other = other | F.contains(line, F.lit(space))
+    words = F.regexp_extract_all(line, F.lit(f"({WORD})"), F.lit(1))
+    return F.when(other, F.array_join(words, " ")).otherwise(line)
 
 
-def _digests(words: Column) -> tuple[Column, Column]:
-    """Two independent 64-bit hashes of a sequence of words."""
-    return F.xxhash64(words), F.xxhash64(F.lit("line"), words, F.size(words))
-
-
-def _half_keys(words: Column, n: Column) -> Column:
+def _half_keys(spelling: Column, n: Column) -> Column:
     """Keys of which two lines within one edit share at least one.
 
     One edit of a word leaves the first or the second half as it is: with n and n' words, n' = n
@@ -32,37 +32,51 @@ def _half_keys(words: Column, n: Column) -> Column:
     """
     keys = []
     for m in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
-        keys.append(F.xxhash64(F.lit("head"), m, F.slice(words, F.lit(1), m)))
-        keys.append(F.xxhash64(F.lit("tail"), m, F.slice(words, n - m + 1, m)))
+        keys.append(F.xxhash64(F.lit("head"), m, F.call_function("substring_index", spelling, F.lit(" "), m)))
+        keys.append(F.xxhash64(F.lit("tail"), m, F.call_function("substring_index", spelling, F.lit(" "), -m)))
     return F.array_distinct(F.array(*keys))
 
 
 def _first(name: str = "first") -> Column:
     """Place of a line that orders occurrences: by doc_id (null last), then row, then line."""
-    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "line").alias(name)
-
+    return F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "_row", "line").alias(name)
 
-def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Occurrences of lines with words, and one row per distinct sequence of words.
 
-    Occurrences: _row, doc_id, line (from 0), n (words), h1, h2. Classes: h1, h2, n, first,
-    copies, halves.
-    """
+def line_table(docs: DataFrame) -> DataFrame:
+    """Lines with words: _row, doc_id, line (from 0), n (words), h1, h2 (digests), halves (keys)."""
     text = with_row(docs).select("_row", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     lines = text.select("_row", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "content"))
-    words = lines.select("_row", "doc_id", "line", _words(F.col("content")).alias("words")).filter(F.size("words") > 0)
-    h1, h2 = _digests(F.col("words"))
-    n = F.size("words")
-    halves = F.when(n >= FIVE - 1, _half_keys(F.col("words"), n))
-    seen = written(words.select("_row", "doc_id", "line", n.alias("n"), h1.alias("h1"), h2.alias("h2"),
-                                halves.alias("halves")), "lines")
-    classes = seen.groupBy("h1", "h2", "n").agg(
-        F.min(_first()).alias("first"), F.count("*").alias("copies"), F.min("halves").alias("halves"))
-    return seen.drop("halves"), classes
+    spelled = lines.select("_row", "doc_id", "line", _spelling(F.col("content")).alias("s")).filter("s <> ''")
+    n = F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1
+    spelled = spelled.withColumn("n", n)
+    return written(spelled.select(
+        "_row", "doc_id", "line", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("line"), "s", "n").alias("h2"),
+        F.when(F.col("n") >= FIVE - 1, _half_keys(F.col("s"), F.col("n"))).alias("halves")), "lines")
+
 
+def _candidates(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Classes that share a half with another: no (ascending with first), first, words.
+
+    The numbers come from ranges of ``first``, sorted within, so their order is that of ``first``.
+    """
+    halves = seen.filter("halves IS NOT NULL").select("h1", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi")
+    # Copies of a line have one h1, and a task sends each (line, half) once.
+    alike = written(halves.distinct().join(shared.select("half"), "half", "left_semi").select("h1").distinct(), "line-halves")
+    chosen = classes.join(alike, "h1", "left_semi").select("first")
+    numbered = written(chosen.repartitionByRange("first").sortWithinPartitions("first").select(
+        F.monotonically_increasing_id().alias("no"), "first"), "line-numbers")
+    wanted = numbered.groupBy(F.col("first._row").alias("_row")).agg(
+        F.collect_list(F.struct("no", "first")).alias("lines"))
+    text = with_row(docs).select("_row", text_of().alias("text"))
+    again = text.join(small(written(wanted, "line-wanted"), most), "_row").select(
+        _lines(F.col("text")).alias("all"), F.explode("lines").alias("one"))
+    return written(again.select("one.no", "one.first", F.split(
+        _spelling(F.element_at("all", F.col("one.first.line") + 1)), " ").alias("words")), "line-candidates")
 
-def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Classes within one word edit of an earlier class: first, partner (that class's first).
+
+def near_classes(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int) -> DataFrame:
+    """Firsts of the classes that are one word edit from an earlier class.
 
     1. Half keys: a class that shares neither half with another can have no partner. Only
        classes that share one go on, and only their words are read again.
@@ -72,51 +86,43 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     3. Per key and place only the earliest is kept, never the pairs; each line is compared with
        the earliest of its keys, and the edit distance of that pair is verified on the words.
     """
-    keyed = classes.filter("halves IS NOT NULL").select("first", F.explode("halves").alias("half"))
-    shared = keyed.groupBy("half").agg(F.count("*").alias("k")).filter("k > 1").select("half")
-    candidates = keyed.join(shared, "half", "left_semi").select("first").distinct()
-    wanted = candidates.groupBy(F.col("first._row").alias("_row")).agg(
-        F.collect_list(F.struct(F.col("first.line").alias("line"), "first")).alias("lines"))
-    text = with_row(docs).select("_row", text_of().alias("text"))
-    again = text.join(wanted, "_row").select(
-        _lines(F.col("text")).alias("all"), F.explode("lines").alias("one")).select(
-        F.col("one.first").alias("first"), F.element_at("all", F.col("one.line") + 1).alias("content"))
-    lines = written(again.select("first", _words(F.col("content")).alias("words")), "line-candidates")
+    lines = _candidates(docs, seen, classes, most)
 
     # A variant's hash is the sum of its words' hashes, each taken with its place in the variant:
     # words before the deleted one stay in place, those behind it move up. So all variants of a
     # line follow from running sums, and a line of any length takes time in proportion. Terms
     # have 44 bits; half a million words fit. The window sees one line at a time.
-    each = lines.select("first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    each = each.select("first", "n", (F.col("i") + 1).alias("i"), *[
+    each = lines.select("no", "words").repartition("no").select(
+        "no", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    each = each.select("no", "n", (F.col("i") + 1).alias("i"), *[
         F.shiftright(F.xxhash64(F.lit(s), "word", F.col("i") + shift), 20).alias(f"{side}{s}")
         for s in (1, 2) for side, shift in (("stay", 1), ("move", 0))])
-    so_far = Window.partitionBy("first").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    line = Window.partitionBy("first")
-    without = each
+    so_far = Window.partitionBy("no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("no")
+    sums = each
     for s in (1, 2):
-        without = without.withColumn(f"k{s}", F.sum(f"stay{s}").over(so_far) - F.col(f"stay{s}")
-                                     + F.sum(f"move{s}").over(line) - F.sum(f"move{s}").over(so_far))
-    deleted = without.filter(F.col("n") >= FIVE).select("first", "i", "k1", "k2", (F.col("n") - 1).alias("left"))
-    whole = each.groupBy("first", "n").agg(F.sum("stay1").alias("k1"), F.sum("stay2").alias("k2")).select(
-        "first", F.lit(0).alias("i"), "k1", "k2", F.col("n").alias("left"))
-    variants = deleted.unionByName(whole)
-
-    key = ["left", "k1", "k2"]
-    at_place = variants.groupBy(*key, "i").agg(F.min("first").alias("least"))
-    of_key = at_place.groupBy(*key).agg(
-        F.min(F.struct("least", "i")).alias("any"), F.min(F.when(F.col("i") == 0, F.col("least"))).alias("whole"))
-    best = at_place.withColumnRenamed("i", "place").join(of_key, key).select(
-        *key, F.col("place"), F.when(F.col("place") == 0, F.col("any")).otherwise(F.least(
-            F.struct("least", F.col("place").alias("i")),
-            F.struct(F.col("whole").alias("least"), F.lit(0).alias("i")))).alias("best"),
-        F.struct("least", F.col("place").alias("i")).alias("same"))
-    best = best.withColumn("best", F.when(F.col("best.least").isNull(), F.col("same")).otherwise(F.col("best")))
-    pairs = variants.withColumnRenamed("i", "place").join(best.drop("same"), [*key, "place"]).filter(
-        F.col("best.least") < F.col("first")).groupBy("first").agg(
-        F.min(F.struct(F.col("best.least").alias("partner"), F.col("place"), F.col("best.i").alias("other"))).alias("p"))
-    pairs = pairs.select("first", F.col("p.partner").alias("partner"), F.col("p.place").alias("place"),
-                         F.col("p.other").alias("other"))
+        sums = sums.withColumns({f"all{s}": F.sum(f"stay{s}").over(so_far), f"tail{s}": F.sum(
+            f"move{s}").over(line) - F.sum(f"move{s}").over(so_far)})
+    without = F.xxhash64(F.col("n") - 1, *[F.col(f"all{s}") - F.col(f"stay{s}") + F.col(f"tail{s}") for s in (1, 2)])
+    whole = F.xxhash64("n", "all1", "all2")
+    # The line itself comes with its last word.
+    place = F.struct(F.lit(0).alias("i"), whole.alias("key"))
+    variants = written(sums.select("no", F.explode(F.filter(F.array(
+        F.when(F.col("n") >= FIVE, F.struct("i", without.alias("key"))),
+        F.when(F.col("i") == F.col("n"), place)), lambda v: v.isNotNull())).alias("v")).select("no", "v.i", "v.key"), "line-variants")
+
+    of_key = variants.groupBy("key").agg(
+        F.count("*").alias("rows"), F.min(F.struct("no", "i")).alias("any"),
+        F.min(F.when(F.col("i") == 0, F.col("no"))).alias("whole")).filter("rows > 1").drop("rows")
+    met = written(variants.join(of_key, "key"), "line-met")
+    same = met.groupBy("key", "i").agg(F.min("no").alias("same"))
+    replaced = F.struct(F.col("same").alias("no"), F.col("i"))
+    inserted = F.struct(F.col("whole").alias("no"), F.lit(0).alias("i"))
+    best = F.when(F.col("i") == 0, F.col("any")).when(
+        F.col("whole").isNull() | (F.col("same") <= F.col("whole")), replaced).otherwise(inserted)
+    pairs = met.join(same, ["key", "i"]).select("no", "i", best.alias("best")).filter(
+        F.col("best.no") < F.col("no")).groupBy("no").agg(F.min(F.struct("best", "i")).alias("p")).select(
+        "no", F.col("p.i").alias("place"), F.col("p.best.no").alias("partner"), F.col("p.best.i").alias("other"))
 
     def dropped(words: str, place: str) -> Column:
         """The words without the one at ``place``; all of them at place 0."""
@@ -124,23 +130,25 @@ def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         return F.when(at == 0, w).otherwise(F.concat(
             F.slice(w, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(w, at + 1, F.size(w))))
 
-    own = pairs.join(lines.select("first", F.col("words").alias("w")), "first")
-    both = own.join(lines.select(F.col("first").alias("partner"), F.col("words").alias("v")), "partner")
-    return both.filter(dropped("w", "place") == dropped("v", "other")).select("first", "partner")
+    own = lines.select("no", "first", F.col("words").alias("w")).join(pairs, "no")
+    both = own.join(lines.select(F.col("no").alias("partner"), F.col("words").alias("v")), "partner")
+    return both.filter(dropped("w", "place") == dropped("v", "other")).select("first")
 
 
-def line_marks(docs: DataFrame) -> DataFrame:
-    """Lines to drop: _row, line, near (no equal line is earlier, one within an edit is)."""
-    seen, classes = line_classes(docs)
-    near = near_classes(docs, classes)
+def line_marks(docs: DataFrame, most: int) -> DataFrame:
+    """Lines to drop, by row: _row, _gone (line numbers), _near (how many only resemble a line)."""
+    seen = line_table(docs)
+    classes = written(seen.groupBy("h1", "h2", "n").agg(F.min(_first()).alias("first"), F.count("*").alias("copies")), "line-classes")
+    near = near_classes(docs, seen, classes.filter(F.col("n") >= FIVE - 1), most).withColumn("near", F.lit(True))
     judged = classes.join(near, "first", "left").select(
-        "h1", "h2", "n", "copies", "first", F.col("partner").isNotNull().alias("near")).filter("near OR copies > 1")
-    marked = seen.join(judged.select("h1", "h2", "n", "first", "near"), ["h1", "h2", "n"])
+        "h1", "h2", "n", "copies", "first", F.coalesce("near", F.lit(False)).alias("near")).filter("near OR copies > 1")
+    marked = seen.select("_row", "line", "h1", "h2", "n").join(judged, ["h1", "h2", "n"])
     own = (F.col("first._row") == F.col("_row")) & (F.col("first.line") == F.col("line"))
-    return marked.filter(F.col("near") | ~own).select("_row", "line", own.alias("near"))
+    return written(marked.filter(F.col("near") | ~own).groupBy("_row").agg(
+        F.collect_list("line").alias("_gone"), F.count(F.when(own, 1)).alias("_near")), "line-marks")
 
 
-def dedup_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, keep: list[str] | None = None, most: int = 500_000) -> DataFrame:
     """Documents without the lines that repeat an earlier one.
 
     Lines (split at line feeds) are sequences of words, runs of other than ASCII white space. A
@@ -153,12 +161,13 @@ def dedup_lines(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     a struct ``lines`` all (lines), dropped, near (dropped with no equal line before) and words
     (whether a line with words is left). Null doc_ids come last; rows with
     equal ids or texts are rows of their own, in the order of the scan. Empty table: no rows.
+    Tables of line numbers by row are broadcast if they have at most ``most`` rows (some 50 MB);
+    beyond that the texts are shuffled to them.
     """
     keep = ["doc_id"] if keep is None else [c for c in keep if c != "text"]
     if "lines" in keep:
         raise ValueError("the column lines would be overwritten")
-    marks = line_marks(docs).groupBy("_row").agg(
-        F.collect_list("line").alias("_gone"), F.count(F.when(F.col("near"), 1)).alias("_near"))
+    marks = small(line_marks(docs, most), most)
     text = with_row(docs.select(*keep, "text"))
     every = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(_lines(F.col("text")))
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
