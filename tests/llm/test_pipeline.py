@@ -39,7 +39,7 @@ def test_query(spark, sf_dir, name):
     rows = df.collect()
     if name == "op9_neighbours":
         return
-    n = duckdb.sql(f"SELECT count(*) FROM '{sf_dir}/documents.parquet'").fetchone()[0]
+    n = duckdb.sql(f"SELECT count(*) FROM '{sf_dir}/documents.parquet'").fetchall()[0][0]
     assert len({r.doc_id for r in rows}) == n and (len(rows) == n or name == "op10_packing")
 
 

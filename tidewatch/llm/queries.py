@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import read_documents
+from tidewatch.llm.common import read_documents, ship
 from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.language_id import held_out, identify
 from tidewatch.llm.line_dedup import dedup_lines
@@ -79,17 +82,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, after the executors have its code."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 LLM_QUERIES = {
-    "op1_line_dedup": op1_line_dedup,
-    "op2_quality": op2_quality,
-    "op3_license_scan": op3_license_scan,
-    "op4_simhash": op4_simhash,
-    "op5_mixing": op5_mixing,
-    "op6_language_id": op6_language_id,
-    "op7_token_files": op7_token_files,
-    "op8_exact_dedup": op8_exact_dedup,
-    "op9_neighbours": op9_neighbours,
-    "op10_packing": op10_packing,
+    "op1_line_dedup": shipped(op1_line_dedup),
+    "op2_quality": shipped(op2_quality),
+    "op3_license_scan": shipped(op3_license_scan),
+    "op4_simhash": shipped(op4_simhash),
+    "op5_mixing": shipped(op5_mixing),
+    "op6_language_id": shipped(op6_language_id),
+    "op7_token_files": shipped(op7_token_files),
+    "op8_exact_dedup": shipped(op8_exact_dedup),
+    "op9_neighbours": shipped(op9_neighbours),
+    "op10_packing": shipped(op10_packing),
 }
 
 LLM_ORACLES = {
