@@ -160,3 +160,16 @@ def test_hash_split_is_stable(spark):
     again = summaries.hash_split(df.repartition(7), ["id"])[1]
     assert train.count() + test.count() == 2000 and 300 < test.count() < 500
     assert set(test.collect()) == set(again.collect())
+
+
+def test_malformed_fields(spark, tmp_path):
+    from tidewatch.sources.flows import read_flows
+
+    good = ",".join(["0", "tcp", "http", "SF"] + ["1"] * 37 + ["normal.", "5"])
+    (tmp_path / "flows.csv").write_text(f"{good}\n{good.replace('0,tcp', 'long,tcp')}\n")
+    assert [r["duration"] for r in read_flows(spark, str(tmp_path)).select("duration").collect()] == [0, None]
+    assert read_flows(spark, str(tmp_path), malformed="drop").select("duration").collect() == [(0,)]
+    with pytest.raises(Exception):
+        read_flows(spark, str(tmp_path), malformed="fail").select("duration").collect()
+    with pytest.raises(ValueError):
+        read_flows(spark, str(tmp_path), malformed="other")

@@ -46,9 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer partitions than cores, spread over them; a larger one as it is."""
+    """A scan of fewer files than cores, spread over them; a larger one as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
