@@ -310,3 +310,16 @@ def test_crc_of_ids(spark):
     ids = np.array([1, 70000, 3], "<u4").tobytes()
     row = spark.createDataFrame([(bytearray(ids),)], "ids binary").select(F.crc32("ids").alias("c")).first()
     assert row.c == zlib.crc32(ids)
+
+
+def test_marks_beside_a_plain_version():
+    from tidewatch.llm.packing import _marks
+
+    rng = np.random.default_rng(6)
+    races = rng.exponential(size=(2, 50))
+    texts = [rng.integers(0, 50, n).astype("<u2") for n in (0, 1, 7, 300, 0, 40)]
+    got = _marks([t.tobytes() for t in texts], np.dtype("<u2"), races)
+    for i, t in enumerate(texts):
+        tokens, counts = np.unique(t, return_counts=True)
+        for race, marks in zip(races, got):
+            assert marks[i] == (tokens[(race[tokens] / counts).argmin()] if len(t) else -1)

@@ -130,15 +130,38 @@ def _tail(rows: list, window: int) -> list:
     return out
 
 
+def _marks(texts: list[bytes], dtype: np.dtype, races: np.ndarray) -> list[np.ndarray]:
+    """For each race and text the token id that wins it, times divided by counts; -1 if empty."""
+    lengths = [len(x) // dtype.itemsize for x in texts]
+    ids = np.frombuffer(b"".join(texts), dtype).astype(np.uint64)
+    pairs = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths) << np.uint64(32) | ids
+    out = [np.full(len(texts), -1, np.int64) for _ in races]
+    if not len(pairs):
+        return out
+    pairs.sort()
+    at = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    counts = np.diff(np.append(at, len(pairs)))
+    text = (pairs[at] >> np.uint64(32)).astype(np.int64)
+    token = (pairs[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    begin = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+    for race, winner in zip(races, out, strict=True):
+        times = race[token] / counts
+        best = np.minimum.reduceat(times, begin)
+        first = np.flatnonzero(times == np.repeat(best, np.diff(np.append(begin, len(text)))))[::-1]
+        winner[text[first]] = token[first]      # of equal times the smallest id is written last
+    return out
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 2048,
                    query_terms: int = 16, most: int = 16, shard_tokens: int = 1 << 20,
                    shard_documents: int = 8192) -> DataFrame:
     """Sequences of at most ``window`` ids from whole texts, related texts side by side.
 
-    1. Every text is encoded, with ``end_id`` behind it, and marked with the smallest hash of its
-       token ids, which texts that share words are likely to share.
-    2. Documents are dealt by ranges of that mark and a hash of their id, so that like texts come
-       to one task and a mark held by a third of all rows is cut like any other range.
+    1. Every text is encoded, with ``end_id`` behind it, and marked with two of its token ids, each
+       drawn in proportion to its count by random numbers that all texts share: texts with like
+       words are likely to draw the same, whatever their lengths.
+    2. Documents are dealt by ranges of the marks and a hash of their id, so that like texts come
+       to one task and marks held by a third of all rows are cut like any other range.
     3. A task reads its documents in order and indexes ``shard_tokens`` ids (or
        ``shard_documents`` documents) at a time with BM25. The first unused document is a seed; its unused neighbours by its
        ``query_terms`` rarest terms follow, best first, until the window is full. The one that
@@ -155,18 +178,18 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        mix = np.random.default_rng(1).integers(1, 1 << 31, enc.size, dtype=np.int64)
+        races = np.random.default_rng(1).exponential(size=(2, enc.size))
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 found = enc.encode(part.column("text").to_pylist())
-                marks = [int(mix[np.frombuffer(x, enc.dtype)].min()) if x else 0 for x in found]
+                marks = _marks(found, enc.dtype, races)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_row"), part.column("doc_id"), pa.array(marks, pa.int64()), pa.array(found, pa.binary())],
-                    names=["_row", "doc_id", "mark", "ids"])
+                    [part.column("_row"), part.column("doc_id"), *map(pa.array, marks),
+                     pa.array(found, pa.binary())], names=["_row", "doc_id", "mark", "second", "ids"])
 
     encoded = written(with_row(docs).select("_row", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        encode, "_row long, doc_id long, mark long, ids binary"), "encoded")
+        encode, "_row long, doc_id long, mark long, second long, ids binary"), "encoded")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
@@ -204,8 +227,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
                     yield from flush(False)
         yield from flush(True)
 
-    dealt = encoded.withColumn("salt", F.xxhash64("doc_id", "_row")).repartitionByRange("mark", "salt")
-    return dealt.sortWithinPartitions("mark", "salt").select("_row", "doc_id", "ids").mapInArrow(
+    dealt = encoded.withColumn("salt", F.xxhash64("doc_id", "_row")).repartitionByRange("mark", "second", "salt")
+    return dealt.sortWithinPartitions("mark", "second", "salt").select("_row", "doc_id", "ids").mapInArrow(
         pack, "_row long, doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
