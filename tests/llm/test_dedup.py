@@ -128,6 +128,50 @@ def test_a_line_with_one_varying_word_many_times(spark, tmp_path):
     check_lines(spark, rows, tmp_path / "d")
 
 
+def word_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("vocabulary", [6, 4000])
+def test_lines_within_a_share_of_edits(spark, tmp_path, vocabulary):
+    draw = random.Random(vocabulary)
+    words = [f"w{i}" for i in range(vocabulary)]
+    rows, bases = [], [[draw.choice(words) for _ in range(draw.randint(3, 60))] for _ in range(25)]
+    for i in range(60):
+        lines = []
+        for _ in range(draw.randint(1, 5)):
+            line = list(draw.choice(bases))
+            for _ in range(draw.randint(0, len(line) // 3)):
+                at, kind = draw.randrange(len(line)), draw.randrange(3)
+                line[at:at + (kind != 1)] = [draw.choice(words)] * (kind != 2)
+                line = line or ["w0"]
+            lines.append(" ".join(line))
+        rows.append((i, "\n".join(lines)))
+    rows += [(None, rows[3][1]), (70, rows[5][1] + "\n\n" + rows[6][1])]
+    docs = stored(spark, documents(spark, rows, partitions=0).coalesce(1), tmp_path / "d")
+    before, want, edits = [], {}, set()
+    for doc, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        left = []
+        for line in text.split("\n"):
+            w = line.split()
+            near = [k for b in before if (k := word_distance(w, b)) <= max(len(w), len(b)) // 5]
+            edits.update([min(near, default=0)])
+            if not w or not near:
+                left.append(line)
+            if w:
+                before.append(w)
+        want[doc] = "\n".join(left)
+    assert {r.doc_id: r.text for r in dedup_lines(docs, per_edit=5).collect()} == want
+    assert max(edits) > 1
+    with pytest.raises(ValueError):
+        dedup_lines(docs, per_edit=4)
+
+
 def test_lines_keep_other_columns(spark, tmp_path):
     docs = stored(spark, documents(spark, [(1, "a b\nc", "en", "s"), (2, "a b\nd", None, "t")], True), tmp_path / "d")
     got = {r.doc_id: r for r in dedup_lines(docs, docs.columns).collect()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from tidewatch.llm.common import WORD, small, text_of, with_row, written
 
 #: A line of this many words or more has deletion variants: one edit leaves a similarity of 0.8.
 FIVE = 5
+#: Buckets of words whose rough counts order the word pairs of a line.
+BUCKETS = 1 << 16
 
 
 def _lines(text: Column) -> Column:
@@ -42,36 +47,40 @@ def _first(name: str = "first") -> Column:
     return F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), "_row", "line").alias(name)
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """Lines with words: _row, doc_id, line (from 0), n (words), h1, h2 (digests), halves (keys)."""
+def line_table(docs: DataFrame, halves: bool = True) -> DataFrame:
+    """Lines with words: _row, doc_id, line (from 0), n (words), h1, h2 (digests), halves (keys, if wanted)."""
     text = with_row(docs).select("_row", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     lines = text.select("_row", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "content"))
     spelled = lines.select("_row", "doc_id", "line", _spelling(F.col("content")).alias("s")).filter("s <> ''")
     n = F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1
     spelled = spelled.withColumn("n", n)
+    keys = [F.when(F.col("n") >= FIVE - 1, _half_keys(F.col("s"), F.col("n"))).alias("halves")] if halves else []
     return written(spelled.select(
-        "_row", "doc_id", "line", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("line"), "s", "n").alias("h2"),
-        F.when(F.col("n") >= FIVE - 1, _half_keys(F.col("s"), F.col("n"))).alias("halves")), "lines")
+        "_row", "doc_id", "line", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit("line"), "s", "n").alias("h2"), *keys), "lines")
 
 
 def _candidates(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Classes that share a half with another: no (ascending with first), first, words.
-
-    The numbers come from ranges of ``first``, sorted within, so their order is that of ``first``.
-    """
+    """Classes that share a half with another: no (ascending with first), first, h1, words."""
     halves = seen.filter("halves IS NOT NULL").select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi")
     # Copies of a line have one h1, and a task sends each (line, half) once.
     alike = written(halves.distinct().join(shared.select("half"), "half", "left_semi").select("h1").distinct(), "line-halves")
-    chosen = classes.join(alike, "h1", "left_semi").select("first")
-    numbered = written(chosen.repartitionByRange("first").sortWithinPartitions("first").select(
-        F.monotonically_increasing_id().alias("no"), "first"), "line-numbers")
+    return _words_of(docs, classes.join(alike, "h1", "left_semi"), most)
+
+
+def _words_of(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """The words of the first lines of classes, read again: no (ascending with first), first, h1, words.
+
+    The numbers come from ranges of ``first``, sorted within, so their order is that of ``first``.
+    """
+    numbered = written(chosen.select("first", "h1").repartitionByRange("first").sortWithinPartitions("first").select(
+        F.monotonically_increasing_id().alias("no"), "first", "h1"), "line-numbers")
     wanted = numbered.groupBy(F.col("first._row").alias("_row")).agg(
-        F.collect_list(F.struct("no", "first")).alias("lines"))
+        F.collect_list(F.struct("no", "first", "h1")).alias("lines"))
     text = with_row(docs).select("_row", text_of().alias("text"))
     again = text.join(small(written(wanted, "line-wanted"), most), "_row").select(
         _lines(F.col("text")).alias("all"), F.explode("lines").alias("one"))
-    return written(again.select("one.no", "one.first", F.split(
+    return written(again.select("one.no", "one.first", "one.h1", F.split(
         _spelling(F.element_at("all", F.col("one.first.line") + 1)), " ").alias("words")), "line-candidates")
 
 
@@ -135,11 +144,119 @@ def near_classes(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int
     return both.filter(dropped("w", "place") == dropped("v", "other")).select("first")
 
 
-def line_marks(docs: DataFrame, most: int) -> DataFrame:
+def _rarity(docs: DataFrame) -> str:
+    """A character per bucket of words, larger the more often they come in an eighth of the texts.
+
+    It only orders word pairs so that few lines meet in one; the lines found are the same by any order.
+    """
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(8)) == 0)
+    words = some.select(F.explode(F.split(text_of(), "[ \n\t\r\x0b\x0c]+")).alias("word"))
+    counts = dict(words.groupBy(_bucket(F.col("word")).alias("b")).count().collect())
+    return "".join(chr(33 + min(93, int(3 * math.log2(1 + counts.get(b, 0))))) for b in range(BUCKETS))
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, not again for each element of an array within."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _rare_pairs(words: Column, n: Column, per_edit: int, rarity: str) -> Column:
+    """The rarest pairs of neighbouring words, of which lines within the bound share one: key, i (place).
+
+    With d = n / per_edit edits at most (n words in the longer line), at most 2 d of its n - 1 pairs are
+    lost, so of its 2 d + 1 first pairs by any order, and of as many of the shorter less the words it
+    lacks, one is common to both, no more than d places apart. A line is the longer or the shorter one;
+    the shorter needs one more if one word more allows one more edit.
+    """
+    table = F.lit(bytearray(rarity, "ascii"))
+
+    def grade(w: Column) -> Column:
+        return F.ascii(F.call_function("substring", table, _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
+
+    def pair(a: Column, b: Column, i: Column) -> Column:
+        grades = F.shiftleft(F.least(a["g"], b["g"]), 56).bitwiseOR(F.shiftleft(F.greatest(a["g"], b["g"]), 49))
+        return F.struct(grades.bitwiseOR(F.shiftrightunsigned(F.xxhash64(a["w"], b["w"]), 15)).alias("key"), i.alias("i"))
+
+    longer, shorter = 2 * F.floor(n / per_edit) + 1, 2 * F.floor((n + 1) / per_edit)
+    graded = F.transform(words, lambda w: F.struct(w.alias("w"), grade(w).alias("g")))
+    every = _once(graded, lambda g: F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(F.get(g, i - 1), F.get(g, i), i)))
+    return F.slice(F.sort_array(every), F.lit(1), F.greatest(longer, shorter).cast("int"))
+
+
+def _within(n: Column, m: Column, per_edit: int) -> Column:
+    """Edits allowed between lines of n and m words."""
+    return F.floor(F.greatest(n, m) / per_edit).cast("int")
+
+
+def word_edits(words: Column, others: Column, most: Column) -> Column:
+    """Word edit distance, -1 if above ``most``: each word becomes one character, numbered within the two lines."""
+    def spelled(line: Column, known: Column) -> Column:
+        codes = F.transform(line, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0"))
+        return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+
+    return _once(F.array_distinct(F.concat(words, others)), lambda known: F.call_function(
+        "levenshtein", spelled(words, known), spelled(others, known), most))
+
+
+def similar_classes(docs: DataFrame, classes: DataFrame, most: int, per_edit: int) -> DataFrame:
+    """Firsts of the classes within one word edit for every ``per_edit`` words of an earlier class.
+
+    1. Each line sends its rarest word pairs as keys (``_rare_pairs``); lines within the bound share one.
+    2. Each line is compared with the earliest of its keys. That settles families of like lines
+       without their pairs.
+    3. The lines left are compared with all earlier lines of their keys whose length and places fit.
+    """
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    lines = text.select("doc_id", F.explode(_lines(F.col("text"))).alias("content")).select(
+        "doc_id", _spelling(F.col("content")).alias("s")).filter("s <> ''")
+    lines = lines.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("s").alias("h1"),
+                         F.split("s", " ").alias("_words")).withColumn("n", F.size("_words")).filter(F.col("n") >= FIVE - 1)
+    pairs = _rare_pairs(F.col("_words"), F.col("n"), per_edit, _rarity(docs))
+    # Not explode: it adds a filter that works the pairs out a second time. No line here is without.
+    keys = lines.select("doc", "h1", "n", F.explode_outer(pairs).alias("p")).select("p.key", "p.i", "n", "doc", "h1")
+    by_key = Window.partitionBy("key").orderBy("doc", "h1")
+    # Rows of keys that only one line has go, without holding a key's rows; copies of a line have one h1.
+    met = keys.withColumns({"lo": F.first(F.struct("h1", "n", "i")).over(by_key), "before": F.lag("h1").over(by_key),
+                            "after": F.lead("h1").over(by_key)})
+    met = written(met.filter((F.col("lo.h1") != F.col("h1")) | (F.col("before") != F.col("h1")) | (
+        F.col("after") != F.col("h1"))).select("key", "i", "n", "h1", "lo"), "line-met").distinct()
+    read = _words_of(docs, classes.join(met.select("h1").distinct(), "h1", "left_semi"), most)
+
+    def fits(n: str, i: str, m: str, j: str) -> Column:
+        bound = _within(F.col(n), F.col(m), per_edit)
+        return (F.abs(F.col(n) - F.col(m)) <= bound) & (F.abs(F.col(i) - F.col(j)) <= bound)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The later line of each pair within the bound: no, first, h1."""
+        own = read.select("no", "first", "h1", F.col("words").alias("w")).join(pairs, "h1")
+        both = own.join(read.select(F.col("h1").alias("other"), F.col("no").alias("partner"), F.col("words").alias("v")), "other")
+        bound = _within(F.size("w"), F.size("v"), per_edit)
+        return written(both.filter(F.col("partner") < F.col("no")).filter(
+            word_edits(F.col("w"), F.col("v"), bound) >= 0).select("no", "first", "h1").distinct(), name)
+
+    first_pairs = written(met.filter(F.col("lo.h1") != F.col("h1")).filter(fits("n", "i", "lo.n", "lo.i")).select(
+        "h1", F.col("lo.h1").alias("other")).distinct(), "line-pairs")
+    # The earliest by doc_id and digest may come later within a document, so a pair is tried both ways.
+    turned = first_pairs.union(first_pairs.select(F.col("other").alias("h1"), F.col("h1").alias("other")))
+    one = verified(turned, "line-near")
+    left = met.join(one.select("h1").distinct(), "h1", "left_anti").select("key", "i", "n", "h1")
+    others = met.select("key", F.col("i").alias("j"), F.col("n").alias("m"), F.col("h1").alias("other"))
+    rest = left.join(others, "key").filter(F.col("h1") != F.col("other")).filter(fits("n", "i", "m", "j")).select(
+        "h1", "other").distinct().join(turned, ["h1", "other"], "left_anti")
+    return one.union(verified(rest, "line-near-rest")).select("first").distinct()
+
+
+def line_marks(docs: DataFrame, most: int, per_edit: int | None = None) -> DataFrame:
     """Lines to drop, by row: _row, _gone (line numbers), _near (how many only resemble a line)."""
-    seen = line_table(docs)
+    seen = line_table(docs, halves=per_edit is None)
     classes = written(seen.groupBy("h1", "h2", "n").agg(F.min(_first()).alias("first"), F.count("*").alias("copies")), "line-classes")
-    near = near_classes(docs, seen, classes.filter(F.col("n") >= FIVE - 1), most).withColumn("near", F.lit(True))
+    able = classes.filter(F.col("n") >= FIVE - 1)
+    near = near_classes(docs, seen, able, most) if per_edit is None else similar_classes(docs, able, most, per_edit)
+    near = near.withColumn("near", F.lit(True))
     judged = classes.join(near, "first", "left").select(
         "h1", "h2", "n", "copies", "first", F.coalesce("near", F.lit(False)).alias("near")).filter("near OR copies > 1")
     marked = seen.select("_row", "line", "h1", "h2", "n").join(judged, ["h1", "h2", "n"])
@@ -148,13 +265,15 @@ def line_marks(docs: DataFrame, most: int) -> DataFrame:
         F.collect_list("line").alias("_gone"), F.count(F.when(own, 1)).alias("_near")), "line-marks")
 
 
-def dedup_lines(docs: DataFrame, keep: list[str] | None = None, most: int = 500_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, keep: list[str] | None = None, most: int = 500_000, per_edit: int | None = None) -> DataFrame:
     """Documents without the lines that repeat an earlier one.
 
     Lines (split at line feeds) are sequences of words, runs of other than ASCII white space. A
     line is dropped if an earlier line anywhere, by doc_id, then row, then place, has the same
     words, or is one word edit (a word replaced, inserted or dropped) away and the longer of the
-    two has five words or more: a similarity of 0.8 or more. Earlier lines count whether or not
+    two has five words or more: a similarity of 0.8 or more. With ``per_edit`` (5 or more) the bound
+    grows with the line: one edit for every ``per_edit`` words of the longer line, so 5 stands for
+    a similarity of 0.8 at every length. Earlier lines count whether or not
     they are dropped themselves. Lines without words always stay.
 
     Returns the columns ``keep`` (doc_id) of every row, text (the lines left, joined by line feeds; null stays null), and in
@@ -167,7 +286,9 @@ def dedup_lines(docs: DataFrame, keep: list[str] | None = None, most: int = 500_
     keep = ["doc_id"] if keep is None else [c for c in keep if c != "text"]
     if "lines" in keep:
         raise ValueError("the column lines would be overwritten")
-    marks = small(line_marks(docs, most), most)
+    if per_edit is not None and per_edit < FIVE:
+        raise ValueError("per_edit must be 5 or more")
+    marks = small(line_marks(docs, most, per_edit), most)
     text = with_row(docs.select(*keep, "text"))
     every = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(_lines(F.col("text")))
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
