@@ -2,11 +2,12 @@
 
 import duckdb
 import pytest
-from helpers import HARD, documents, stored
+from helpers import HARD, documents, prose, stored
 from oracle_check import compare, connect
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tidewatch.llm import common, line_dedup, mixing, simhash
 from tidewatch.llm.queries import LLM_ORACLES, LLM_QUERIES
 
 RESULT = {
@@ -75,3 +76,30 @@ def test_stages_of_hard_rows(spark, tmp_path, clash):
             assert n < len(HARD)
         empty = stage(spark, documents(spark, []), "")
         assert empty.count() == 0
+
+
+@pytest.mark.parametrize("stage", ["lines", "simhash", "mixing"])
+def test_rows_stay_the_same_when_the_scan_is_cut_otherwise(spark, tmp_path, monkeypatch, stage):
+    rows = [(i, f"{prose(i % 50, 30)}\n{prose(100 + i, 8)}", "en", "ab"[i % 2]) for i in range(200)]
+    documents(spark, rows, partitions=5).write.parquet(str(tmp_path / "d"))
+    sizes, bytes_ = ["1k", "128m"], "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(bytes_)
+
+    def result(cut):
+        def write(df, name, put=common_written):
+            out = put(df, name)
+            if cut:
+                sizes.reverse()
+                spark.conf.set(bytes_, sizes[0])
+            return out
+
+        for module in (common, line_dedup, simhash, mixing):
+            monkeypatch.setattr(module, "written", write)
+        out = dict(corpus_pipeline.STAGES)[stage](spark, spark.read.parquet(str(tmp_path / "d")), "")
+        return sorted((r.doc_id, r.text) for r in out.collect())
+
+    common_written = common.written
+    try:
+        assert result(True) == result(False)
+    finally:
+        spark.conf.set(bytes_, was)

@@ -53,6 +53,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
+    """``docs`` written once with a number per row: jobs that read it see the same numbers.
+
+    A scan is cut by the cores there are when it is planned, so numbers given anew in each job
+    may differ if an executor comes or goes between them.
+    """
+    return written(with_row(docs, name), "rows")
+
+
+def rows_of(docs: DataFrame, row: str | None) -> DataFrame:
+    """``docs`` with its stored column ``row`` as _row, or with numbers of this scan."""
+    return with_row(docs) if row is None else docs.withColumn("_row", F.col(row))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """``df``, marked for a broadcast if it has no more than ``rows`` rows; else Spark decides.
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WORD, small, text_of, with_row, written
+from tidewatch.llm.common import WORD, numbered, small, text_of, written
 
 #: A line of this many words or more has deletion variants: one edit leaves a similarity of 0.8.
 FIVE = 5
@@ -48,8 +48,8 @@ def _first(name: str = "first") -> Column:
 
 
 def line_table(docs: DataFrame, halves: bool = True) -> DataFrame:
-    """Lines with words: _row, doc_id, line (from 0), n (words), h1, h2 (digests), halves (keys, if wanted)."""
-    text = with_row(docs).select("_row", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    """Lines with words, of numbered rows: _row, doc_id, line (from 0), n (words), h1, h2 (digests), halves (keys, if wanted)."""
+    text = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     lines = text.select("_row", "doc_id", F.posexplode(_lines(F.col("text"))).alias("line", "content"))
     spelled = lines.select("_row", "doc_id", "line", _spelling(F.col("content")).alias("s")).filter("s <> ''")
     n = F.octet_length("s") - F.octet_length(F.replace("s", F.lit(" "), F.lit(""))) + 1
@@ -77,7 +77,7 @@ def _words_of(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
         F.monotonically_increasing_id().alias("no"), "first", "h1"), "line-numbers")
     wanted = numbered.groupBy(F.col("first._row").alias("_row")).agg(
         F.collect_list(F.struct("no", "first", "h1")).alias("lines"))
-    text = with_row(docs).select("_row", text_of().alias("text"))
+    text = docs.select("_row", text_of().alias("text"))
     again = text.join(small(written(wanted, "line-wanted"), most), "_row").select(
         _lines(F.col("text")).alias("all"), F.explode("lines").alias("one"))
     return written(again.select("one.no", "one.first", "one.h1", F.split(
@@ -288,8 +288,8 @@ def dedup_lines(docs: DataFrame, keep: list[str] | None = None, most: int = 500_
         raise ValueError("the column lines would be overwritten")
     if per_edit is not None and per_edit < FIVE:
         raise ValueError("per_edit must be 5 or more")
-    marks = small(line_marks(docs, most, per_edit), most)
-    text = with_row(docs.select(*keep, "text"))
+    text = numbered(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])))
+    marks = small(line_marks(text, most, per_edit), most)
     every = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(_lines(F.col("text")))
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     parted = text.join(marks, "_row", "left").withColumn("_every", every).withColumn("_gone", gone)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WORD, text_of, with_row, written
+from tidewatch.llm.common import WORD, rows_of, text_of, written
 
 _STATE = ("_row long, doc_id long, source string, source_size long, target double, size long, "
           "base long, p double, leaf long, draw double, done boolean")
@@ -95,7 +95,7 @@ def _pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: float = 1.5,
                 most: float = 2.0, leaf_rows: int = 4096, fan_in: int = 16,
-                seed: int = 7) -> DataFrame:
+                seed: int = 7, row: str | None = None) -> DataFrame:
     """How often the mix takes each document.
 
     Every document of a source wants target / source size copies: the whole part at once, the
@@ -107,14 +107,14 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), s
     or loses are set off by turning over the one row of the source whose size is nearest. So a
     hot source is spread over all leaves, and no more than a batch is ever held.
 
-    Returns one row per input row: _row (as ``with_row`` numbers them), doc_id, size,
+    Returns one row per input row: _row (the stored column ``row``, or as ``with_row`` numbers them), doc_id, size,
     source_size, target, copies, taken (= copies * size <= most * size). All draws are hashes of
     ids: a rerun agrees. Empty or null texts have size 0 and no copies. Null is a source of its
     own. Rows whose doc_id is null or repeated are separate rows.
     """
     if not weights or min(weights) <= 0 or share < 0 or share > most:
         raise ValueError("weights must be positive and share between 0 and most")
-    sizes = written(with_row(docs).select(
+    sizes = written(rows_of(docs, row).select(
         "_row", F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size")), "sizes")

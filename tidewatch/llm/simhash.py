@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import with_row, written
+from tidewatch.llm.common import rows_of, written
 from tidewatch.llm.components import components
 from tidewatch.llm.golay import keys
 
@@ -174,16 +174,17 @@ def fingerprint_links(fingerprints: DataFrame, bits: int = 4, chunk: int = 4096)
     return found.filter("part IS NULL").select("a", "b").unionByName(_chunk_pairs(found, bits)).distinct()
 
 
-def simhash_groups(docs: DataFrame, bits: int = 4) -> DataFrame:
+def simhash_groups(docs: DataFrame, bits: int = 4, row: str | None = None) -> DataFrame:
     """Near-duplicate groups of whole texts.
 
     One row per input row: _row, doc_id, fp, fingerprint (16 hex digits), component_id (the
     smallest doc_id reachable by links of at most ``bits`` differing bits), group_size (rows),
     is_kept (one row per group, the first with the smallest doc_id). Equal fingerprints meet once,
     so copies never multiply. Null and empty texts have fingerprint zero. Null doc_ids are rows of
-    their own; a group of nothing else has a null component_id. Empty table: no rows.
+    their own; a group of nothing else has a null component_id. Empty table: no rows. _row is the stored
+    column ``row``, or as ``with_row`` numbers the rows.
     """
-    rows = written(with_row(docs).select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    rows = written(rows_of(docs, row).select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         _fingerprints, "_row long, doc_id long, fp long"), "fingerprints")
     classes = rows.groupBy("fp").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first"),
