@@ -165,11 +165,11 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _rare_pairs(words: Column, n: Column, per_edit: int, rarity: str) -> Column:
-    """The rarest pairs of neighbouring words, of which lines within the bound share one: key, i (place).
+    """The rarest pairs of neighbouring words, of which lines within the bound share two: key, i (place).
 
     With d = n / per_edit edits at most (n words in the longer line), at most 2 d of its n - 1 pairs are
-    lost, so of its 2 d + 1 first pairs by any order, and of as many of the shorter less the words it
-    lacks, one is common to both, no more than d places apart. A line is the longer or the shorter one;
+    lost, so of its 2 d + 2 first pairs by any order, and of as many of the shorter less the words it
+    lacks, two are common to both, no more than d places apart. A line is the longer or the shorter one;
     the shorter needs one more if one word more allows one more edit.
     """
     table = F.lit(bytearray(rarity, "ascii"))
@@ -181,7 +181,7 @@ def _rare_pairs(words: Column, n: Column, per_edit: int, rarity: str) -> Column:
         grades = F.shiftleft(F.least(a["g"], b["g"]), 56).bitwiseOR(F.shiftleft(F.greatest(a["g"], b["g"]), 49))
         return F.struct(grades.bitwiseOR(F.shiftrightunsigned(F.xxhash64(a["w"], b["w"]), 15)).alias("key"), i.alias("i"))
 
-    longer, shorter = 2 * F.floor(n / per_edit) + 1, 2 * F.floor((n + 1) / per_edit)
+    longer, shorter = 2 * F.floor(n / per_edit) + 2, 2 * F.floor((n + 1) / per_edit) + 1
     graded = F.transform(words, lambda w: F.struct(w.alias("w"), grade(w).alias("g")))
     every = _once(graded, lambda g: F.transform(F.sequence(F.lit(1), n - 1), lambda i: pair(F.get(g, i - 1), F.get(g, i), i)))
     return F.slice(F.sort_array(every), F.lit(1), F.greatest(longer, shorter).cast("int"))
@@ -205,49 +205,44 @@ def word_edits(words: Column, others: Column, most: Column) -> Column:
 def similar_classes(docs: DataFrame, classes: DataFrame, most: int, per_edit: int) -> DataFrame:
     """Firsts of the classes within one word edit for every ``per_edit`` words of an earlier class.
 
-    1. Each line sends its rarest word pairs as keys (``_rare_pairs``); lines within the bound share one.
-    2. Each line is compared with the earliest of its keys. That settles families of like lines
+    1. Each class sends its rarest word pairs as keys (``_rare_pairs``); classes within the bound share two.
+    2. Each is compared with the earliest of its keys. That settles families of like lines
        without their pairs.
-    3. The lines left are compared with all earlier lines of their keys whose length and places fit.
+    3. Those left are compared with all earlier ones that share two keys and whose length and places fit.
     """
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    lines = text.select("doc_id", F.explode(_lines(F.col("text"))).alias("content")).select(
-        "doc_id", _spelling(F.col("content")).alias("s")).filter("s <> ''")
-    lines = lines.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64("s").alias("h1"),
-                         F.split("s", " ").alias("_words")).withColumn("n", F.size("_words")).filter(F.col("n") >= FIVE - 1)
-    pairs = _rare_pairs(F.col("_words"), F.col("n"), per_edit, _rarity(docs))
+    read = _words_of(docs, classes, most)
+    n = F.size("words")
+    pairs = _rare_pairs(F.col("words"), n, per_edit, _rarity(docs))
     # Not explode: it adds a filter that works the pairs out a second time. No line here is without.
-    keys = lines.select("doc", "h1", "n", F.explode_outer(pairs).alias("p")).select("p.key", "p.i", "n", "doc", "h1")
-    by_key = Window.partitionBy("key").orderBy("doc", "h1")
-    # Rows of keys that only one line has go, without holding a key's rows; copies of a line have one h1.
-    met = keys.withColumns({"lo": F.first(F.struct("h1", "n", "i")).over(by_key), "before": F.lag("h1").over(by_key),
-                            "after": F.lead("h1").over(by_key)})
-    met = written(met.filter((F.col("lo.h1") != F.col("h1")) | (F.col("before") != F.col("h1")) | (
-        F.col("after") != F.col("h1"))).select("key", "i", "n", "h1", "lo"), "line-met").distinct()
-    read = _words_of(docs, classes.join(met.select("h1").distinct(), "h1", "left_semi"), most)
-
-    def fits(n: str, i: str, m: str, j: str) -> Column:
-        bound = _within(F.col(n), F.col(m), per_edit)
-        return (F.abs(F.col(n) - F.col(m)) <= bound) & (F.abs(F.col(i) - F.col(j)) <= bound)
+    keys = read.select("no", n.alias("n"), F.explode_outer(pairs).alias("p")).select(
+        "p.key", "no", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p.i")).alias("at"))
+    of_key = Window.partitionBy("key")
+    met = keys.withColumns({"lo": F.first(F.struct("no", "at")).over(of_key.orderBy("no")), "hi": F.max("no").over(of_key)})
+    met = written(met.filter(F.col("lo.no") < F.col("hi")).drop("hi"), "line-met")
+
+    def fits(a: str, b: str) -> Column:
+        (n, i), (m, j) = [(F.shiftright(x, 32), F.col(x).bitwiseAND(0xFFFFFFFF)) for x in (a, b)]
+        bound = _within(n, m, per_edit)
+        return (F.abs(n - m) <= bound) & (F.abs(i - j) <= bound)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The later line of each pair within the bound: no, first, h1."""
-        own = read.select("no", "first", "h1", F.col("words").alias("w")).join(pairs, "h1")
-        both = own.join(read.select(F.col("h1").alias("other"), F.col("no").alias("partner"), F.col("words").alias("v")), "other")
-        bound = _within(F.size("w"), F.size("v"), per_edit)
-        return written(both.filter(F.col("partner") < F.col("no")).filter(
-            word_edits(F.col("w"), F.col("v"), bound) >= 0).select("no", "first", "h1").distinct(), name)
-
-    first_pairs = written(met.filter(F.col("lo.h1") != F.col("h1")).filter(fits("n", "i", "lo.n", "lo.i")).select(
-        "h1", F.col("lo.h1").alias("other")).distinct(), "line-pairs")
-    # The earliest by doc_id and digest may come later within a document, so a pair is tried both ways.
-    turned = first_pairs.union(first_pairs.select(F.col("other").alias("h1"), F.col("h1").alias("other")))
-    one = verified(turned, "line-near")
-    left = met.join(one.select("h1").distinct(), "h1", "left_anti").select("key", "i", "n", "h1")
-    others = met.select("key", F.col("i").alias("j"), F.col("n").alias("m"), F.col("h1").alias("other"))
-    rest = left.join(others, "key").filter(F.col("h1") != F.col("other")).filter(fits("n", "i", "m", "j")).select(
-        "h1", "other").distinct().join(turned, ["h1", "other"], "left_anti")
-    return one.union(verified(rest, "line-near-rest")).select("first").distinct()
+        """The later line of each pair within the bound: no, first."""
+        wanted = written(pairs.select("no").union(pairs.select("other")).distinct(), f"{name}-wanted")
+        few = written(read.join(small(wanted, most), "no", "left_semi").select(
+            "no", "first", F.array_join("words", " ").alias("s")), f"{name}-words")
+        own = few.select("no", "first", "s").join(pairs, "no")
+        both = own.join(few.select(F.col("no").alias("other"), F.col("s").alias("t")), "other")
+        w, v = F.split("s", " "), F.split("t", " ")
+        return written(both.filter(word_edits(w, v, _within(F.size(w), F.size(v), per_edit)) >= 0).select("no", "first").distinct(), name)
+
+    tried = written(met.filter(F.col("lo.no") < F.col("no")).filter(fits("at", "lo.at")).select(
+        "no", F.col("lo.no").alias("other")).distinct(), "line-pairs")
+    one = verified(tried, "line-near")
+    left = met.select("key", "no", "at").join(one.select("no"), "no", "left_anti")
+    others = met.select("key", F.col("no").alias("other"), F.col("at").alias("there"))
+    rest = left.join(others, "key").filter(F.col("other") < F.col("no")).filter(fits("at", "there")).groupBy(
+        "no", "other").count().filter("count > 1").join(tried, ["no", "other"], "left_anti").select("no", "other")
+    return one.union(verified(written(rest, "line-pairs-rest"), "line-near-rest")).select("first")
 
 
 def line_marks(docs: DataFrame, most: int, per_edit: int | None = None) -> DataFrame:
