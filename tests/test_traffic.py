@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.operators.traffic import (
-    HOST_FEATURES, TIME_FEATURES, cell_length, flow_features,
+    HOST_FEATURES, TIME_FEATURES, flow_features,
 )
 from tidewatch.schema import CONNECTION_SCHEMA
 from tidewatch.streaming.traffic import (
@@ -125,29 +125,33 @@ def test_payload_and_guard(spark):
 
 
 def test_plan(spark):
-    """Host, service and block shuffles of the log; cell totals are shuffled once and shared."""
-    df = flow_features(frame(spark, log(300, 1)), cell_seconds=1.0)
+    """The log is shuffled by number cell, by (host, service, time) and by block; sums are narrow."""
+    df = flow_features(frame(spark, log(300, 1)).withColumn("note", F.lit("n")), cell_seconds=1.0)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
-    assert "SinglePartition" not in plan and "Python" not in plan
-    reused = plan.count("ReusedExchange")
-    # Totals: by cell once, then by host, by service, and their three running sums.
-    assert reused == 2 and plan.count("Exchange hashpartitioning") - reused == 3 + 1 + 2 + 3
-
-
-def test_cell_length(spark):
-    df = frame(spark, log(200, 2, span=50.0))
-    assert cell_length(df) == 10.0
-    assert cell_length(df.filter("false")) == 10.0
-    # Half the log within one second: cells shrink until none holds more than 20 of a host.
-    burst = df.withColumn("ts", F.when(F.col("conn_id") % 2 == 0, F.timestamp_micros(
-        1704067200000000 + F.col("conn_id") * 4000)).otherwise(F.col("ts")))
-    seconds = cell_length(burst, rows=20)
-    cell = F.floor(F.unix_micros("ts") / int(seconds * 1e6))
-    for key in ("dst_ip", "service"):
-        assert burst.groupBy(key, cell).count().agg(F.max("count")).first()[0] <= 20
-    assert 0.01 < seconds < 0.5
-    assert cell_length(burst, rows=20, most_cells=25) == pytest.approx(2.0, abs=0.1)
+    assert "SinglePartition" not in plan and "Python" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_a_burst_at_one_time_is_many_cells(spark):
+    """All of a host's connections at one instant: numbers come from many cells of few ids."""
+    rows = [(1704067200.0, i, f"s{i % 3}", i % 4, "hot", 80, "http" if i % 5 else "dns", "S0" if i % 7 else "SF", 1.0)
+            for i in range(200)] + [(1704067201.0, 300, "s", 1, "hot", 80, "http", "SF", 1.0)]
+    df = flow_features(frame(spark, rows), 2.0, 10, block=16, cell_ids=7)
+    check(df, brute(rows, 2.0, 10))
+    many = spark.range(40_000).select(
+        F.timestamp_micros(F.lit(1704067200000000)).alias("ts"), F.col("id").alias("conn_id"), F.lit("s").alias("src_ip"),
+        F.lit(1).alias("src_port"), F.lit("hot").alias("dst_ip"), F.lit(80).alias("dst_port"), F.lit("http").alias("service"),
+        F.lit("SF").alias("flag"), F.lit(1.0).alias("bytes"))
+    out = flow_features(many, cell_ids=1000, block=1000).agg(
+        F.min("count"), F.max("srv_count"), F.sum("dst_host_count"), F.min("same_srv_rate")).first()
+    assert list(out) == [40_000, 40_000, 99 * 100 // 2 + 100 * (40_000 - 99), 1.0]
+
+
+def test_a_stray_time_changes_nothing_for_others(spark):
+    """A connection of 1970 in a log of today leaves every other row, and every cell, as it was."""
+    rows = log(120, 12, span=5.0)
+    stray = [(0.0, 9999, "s0", 1, "hot", 80, "http", "SF", 1.0)]
+    check(flow_features(frame(spark, rows + stray), 2.0, 10), brute(rows + stray, 2.0, 10))
 
 
 def test_a_small_batch_reaches_only_its_hosts(spark):

@@ -1,13 +1,15 @@
 """Windowed traffic features of a raw connection log.
 
-Both kinds of window are split so that one flooded host or service is many tasks:
-
-* time windows are running sums. Every connection adds itself at its time and takes itself off
-  when it leaves the window. A task holds one key for one ``cell`` of time; what is open at the
-  start of a cell comes in as one row, from totals per (key, cell).
-* windows over the last n connections of a host need its connections numbered (running count
-  plus the count of earlier cells). Numbers cut a host into blocks of equal size, each with the
-  n - 1 rows before it.
+Both kinds of window are split so that one flooded host or service is many tasks, by fixed cells
+that no row can change for another:
+
+* time windows are the same for all connections of a key at one time. They are counted per key
+  and time first, so a burst at one instant is one row of sums; these enter a running sum at their
+  time and leave it after the window. A task holds one key for one cell of time; what is open at
+  the start of a cell comes in as one row, from totals per (key, cell).
+* windows over the last n connections of a host need its connections numbered: those at earlier
+  times by the same running sums, those at the same time by cells of ``conn_id``. Numbers cut a
+  host into blocks of equal size, each with the n - 1 rows before it.
 """
 
 from __future__ import annotations
@@ -21,11 +23,10 @@ REJECT_FLAGS = ["REJ"]
 
 MICROS = 1_000_000
 BLOCK = 10_000
-# Rows one host or service may have in a cell, cells a log is cut into at most, and the limits of
-# a cell in seconds.
-CELL_ROWS = 2_000_000
-MOST_CELLS = 10_000_000
-SHORTEST_CELL, LONGEST_CELL = 0.001, 10.0
+# A cell of time holds at most so many seconds' distinct microseconds of a key, a cell of numbers
+# at most so many connections of a host at one time.
+CELL_SECONDS = 2.0
+CELL_IDS = 1_000_000
 
 TIME_FEATURES = ["count", "srv_count", "serror_rate", "srv_serror_rate", "rerror_rate",
                  "srv_rerror_rate", "same_srv_rate", "diff_srv_rate", "srv_diff_host_rate"]
@@ -43,46 +44,21 @@ def rejected(flag: Column) -> Column:
     return F.coalesce(flag.isin(REJECT_FLAGS), F.lit(False)).cast("int")
 
 
-def cell_length(conns: DataFrame, rows: int = CELL_ROWS, most_cells: int = MOST_CELLS) -> float:
-    """Seconds of log per task: no host or service has more than ``rows`` connections in a cell.
-
-    The running totals of a key take one row per cell, so there are no more than ``most_cells``.
-    A log of few rows is judged by its times alone, others by their fullest cells.
-    """
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    n, first, last = conns.agg(F.count(at), F.min(at), F.max(at)).first()
-    if n <= rows:
-        return LONGEST_CELL
-    span = (last - first) / MICROS
-    least = max(SHORTEST_CELL, span / most_cells)
-    seconds = max(least, min(LONGEST_CELL, span * rows / n))
-    while seconds > least:
-        cell = F.floor(at / int(seconds * MICROS)).alias("cell")
-        fullest = [conns.groupBy(key, cell).count().agg(F.max("count")).first()[0]
-                   for key in ("dst_ip", "service")]
-        if max(fullest) <= rows:
-            break
-        seconds = max(least, seconds / max(2.0, max(fullest) / rows))
-    return seconds
-
-
 def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 100,
-                  cell_seconds: float | None = None, block: int = BLOCK,
-                  time_windows: bool = True) -> DataFrame:
+                  cell_seconds: float = CELL_SECONDS, block: int = BLOCK,
+                  time_windows: bool = True, cell_ids: int = CELL_IDS) -> DataFrame:
     """The connections plus the 9 time-window and 10 last-n host features.
 
-    Without ``time_windows`` the last-n host features only, by a plan of its own that numbers a
-    host's connections and knows no windows of time.
+    Without ``time_windows`` the last-n host features only, by a shorter plan.
 
     Needs ``conn_id`` (unique), ``ts``, ``src_ip``, ``src_port``, ``dst_ip``, ``service``, ``flag``.
-    ``cell_seconds`` and ``block`` only set the size of tasks, never a result; without
-    ``cell_seconds`` the log's fullest cells decide, so that a flooded host or service is split as
-    finely as needed. Connections without a time come back with NULL features.
+    ``cell_seconds``, ``cell_ids`` and ``block`` only set the size of tasks, never a result.
+    Connections without a time come back with NULL features.
     """
     if last_n > block:
         raise ValueError("last_n must not exceed block")
     timed = _flow_features(conns.filter(F.col("ts").isNotNull()), window_seconds, last_n,
-                           cell_seconds, block, time_windows)
+                           cell_seconds, block, time_windows, cell_ids)
     names = TIME_FEATURES + HOST_FEATURES if time_windows else HOST_FEATURES
     # A connection without a time is in no window, its own included.
     untimed = conns.filter(F.col("ts").isNull())
@@ -90,22 +66,33 @@ def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 1
         F.lit(None).cast(timed.schema[n].dataType).alias(n) for n in names]))
 
 
-def _flow_features(conns: DataFrame, window_seconds: float, last_n: int,
-                   cell_seconds: float | None, block: int, time_windows: bool) -> DataFrame:
+def _flow_features(conns: DataFrame, window_seconds: float, last_n: int, cell_seconds: float,
+                   block: int, time_windows: bool, cell_ids: int) -> DataFrame:
     payload = conns.columns
     base = conns.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))) \
         .withColumn("_syn", syn_error(F.col("flag"))).withColumn("_rej", rejected(F.col("flag")))
-    seconds = cell_length(conns) if cell_seconds is None else cell_seconds
-    span, cell = int(window_seconds * MICROS), max(1, int(seconds * MICROS))
+    span, cell = int(window_seconds * MICROS), max(1, int(cell_seconds * MICROS))
+    pairs = base.groupBy("dst_ip", "service", "_t").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_syn").alias("_syn"), F.sum("_rej").alias("_rej"))
+    sums = [F.sum(c).alias(c) for c in ("_n", "_syn", "_rej")]
+    hosts = _window_sums(pairs.groupBy("dst_ip", "_t").agg(*sums), ["dst_ip"], span, cell, "_h")
     if not time_windows:
-        return _last_connections(_numbered(base, cell), last_n, block).select(
+        return _last_connections(_numbered(base, hosts, cell_ids), last_n, block).select(
             *payload, *_host_features())
-    totals = _cell_totals(base, span, cell)
-    timed = _service_window(_host_window(base, totals, span, cell), totals, span, cell)
+    services = _window_sums(pairs.groupBy("service", "_t").agg(*sums), ["service"], span, cell, "_s")
+    both = _window_sums(pairs, ["dst_ip", "service"], span, cell, "_p").select(
+        "dst_ip", "service", "_t", "_p_n")
+    # A service's sums are joined to its pairs, of which there are fewer than connections.
+    both = _attached(both, services.drop("_s_before"), ["service", "_t"])
+    timed = _attached(_numbered(base, hosts, cell_ids), both, ["dst_ip", "service", "_t"])
     counted = _last_connections(timed, last_n, block)
+    return counted.select(*payload, *window_features())
+
+
+def window_features() -> list[Column]:
+    """The 19 features from the sums of a row's windows."""
     n_host, n_srv, n_pair = F.col("_h_n"), F.col("_s_n"), F.col("_p_n")
-    return counted.select(
-        *payload,
+    return [
         n_host.alias("count"), n_srv.alias("srv_count"),
         (F.col("_h_syn") / n_host).alias("serror_rate"),
         (F.col("_s_syn") / n_srv).alias("srv_serror_rate"),
@@ -115,7 +102,7 @@ def _flow_features(conns: DataFrame, window_seconds: float, last_n: int,
         ((n_host - n_pair) / n_host).alias("diff_srv_rate"),
         ((n_srv - n_pair) / n_srv).alias("srv_diff_host_rate"),
         *_host_features(),
-    )
+    ]
 
 
 def _host_features() -> list[Column]:
@@ -133,109 +120,57 @@ def _host_features() -> list[Column]:
     ]
 
 
-def _numbered(base: DataFrame, cell: int) -> DataFrame:
-    """Each connection's number in its host: its place in a cell of time and all cells before."""
-    rows = base.withColumn("_cell", F.floor(F.col("_t") / cell))
-    counts = rows.groupBy("dst_ip", "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("dst_ip").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = counts.select(F.col("dst_ip").alias("_host"), F.col("_cell").alias("_at"),
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("dst_ip", "_cell").orderBy("_t", "conn_id"))
-    numbered = rows.withColumn("_place", place).join(
-        earlier, F.col("dst_ip").eqNullSafe(F.col("_host")) & (F.col("_cell") == F.col("_at")))
-    return numbered.withColumn("_number", F.col("_place") + F.col("_before")).drop(
-        "_host", "_at", "_cell", "_place", "_before")
+def _attached(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the sums of their keys, which may be NULL; Spark splits a key with many rows."""
+    renamed = sums.select(*[F.col(k).alias(f"_of_{k}") for k in keys],
+                          *[c for c in sums.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return rows.join(renamed, same).drop(*[f"_of_{k}" for k in keys])
 
 
-def _edges(rows: DataFrame, span: int, cell: int, payload: list[str]) -> DataFrame:
-    """Each row twice: entering the window at its time, leaving just after ``span``.
+def _window_sums(peers: DataFrame, keys: list[str], span: int, cell: int, prefix: str) -> DataFrame:
+    """Per key and time what the window that ends there holds, and how many came before that time.
 
-    Leaving rows carry the keys and measures only.
+    ``peers`` has one row per key and time. Each enters at its time and leaves just after ``span``;
+    in a cell of time the running sum begins with what the totals of earlier cells leave open.
     """
+    measures = ["_n", "_syn", "_rej", "_before"]
     edge = F.explode(F.array(
         F.struct(F.col("_t").alias("_at"), F.lit(1).alias("_sign")),
         F.struct((F.col("_t") + span + 1).alias("_at"), F.lit(-1).alias("_sign"))))
-    out = rows.select("*", edge.alias("_edge")).select("*", "_edge.*").drop("_edge")
-    entering = F.col("_sign") == 1
-    return out.withColumns({
-        **{c: F.when(entering, F.col(f"`{c}`")) for c in payload},
-        "_cell": F.floor(F.col("_at") / cell),
-    })
-
-
-def _cell_totals(base: DataFrame, span: int, cell: int) -> DataFrame:
-    """What enters and leaves per host, service and cell: one narrow pass, combined map-side."""
-    sign = F.col("_sign")
-    edges = _edges(base.select("dst_ip", "service", "_t", "_syn", "_rej"), span, cell, [])
-    return edges.groupBy("dst_ip", "service", "_cell").agg(
-        F.sum(sign).alias("_n"), F.sum(sign * F.col("_syn")).alias("_n_syn"),
-        F.sum(sign * F.col("_rej")).alias("_n_rej"),
-        F.sum(F.when(sign == 1, 1).otherwise(0)).alias("_entered"))
-
-
-def _open_at_cell_start(totals: DataFrame, keys: list[str], cell: int,
-                        names: dict[str, str]) -> DataFrame:
-    """Per (keys, cell) the sums over all earlier cells, as one row at the cell's start.
-
-    ``names`` maps measures to output columns. All callers compute all four measures, so that the
-    planner shares the shuffled totals between them.
-    """
-    measures = ["_n", "_n_syn", "_n_rej", "_entered"]
-    rolled = totals.groupBy(*keys, "_cell").agg(*[F.sum(m).alias(m) for m in measures])
-    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(
-        Window.unboundedPreceding, -1)
-    running = rolled.select(*keys, "_cell", *[F.sum(m).over(before).alias(m) for m in measures])
-    # Nothing is open before the first entry; rejections and errors are part of the entries.
-    some = (F.col("_entered") > 0) & (F.col("_n_syn") + F.col("_n_rej") >= 0)
-    if "_entered" not in names:
-        some = some & (F.col("_n") != 0)
-    return running.filter(some).select(
-        *keys, "_cell", (F.col("_cell") * cell).alias("_at"),
-        *[F.col(m).alias(n) for m, n in names.items()])
-
-
-def _host_window(base: DataFrame, totals: DataFrame, span: int, cell: int) -> DataFrame:
-    """Time-window sums per host and per host and service, and each row's number in its host.
-
-    All windows share one shuffle by (host, cell).
-    """
-    payload = [c for c in base.columns
-               if c not in ("dst_ip", "service", "_syn", "_rej")]
-    sign = F.col("_sign")
-    host = {"_h_n": sign, "_h_syn": sign * F.col("_syn"), "_h_rej": sign * F.col("_rej"),
-            "_number": F.when(sign == 1, 1).otherwise(0)}
-    host_open = _open_at_cell_start(totals, ["dst_ip"], cell, {
-        "_n": "_h_n", "_n_syn": "_h_syn", "_n_rej": "_h_rej", "_entered": "_number"})
-    pair_open = _open_at_cell_start(totals, ["dst_ip", "service"], cell, {"_n": "_p_n"})
-    rows = _edges(base, span, cell, payload).withColumns({**host, "_p_n": sign})
-    rows = (rows.unionByName(host_open, allowMissingColumns=True)
-            .unionByName(pair_open, allowMissingColumns=True))
-    to_now = (Window.unboundedPreceding, Window.currentRow)
-    in_host = Window.partitionBy("dst_ip", "_cell")
-    # Rows opening a cell have no conn_id and sort first.
-    by_row = in_host.orderBy("_at", F.col("conn_id").asc_nulls_first()).rowsBetween(*to_now)
-    by_time = in_host.orderBy("_at").rangeBetween(*to_now)
-    in_pair = Window.partitionBy("dst_ip", "_cell", "service").orderBy("_at").rangeBetween(*to_now)
-    out = rows.select(
-        *base.columns, "_sign", F.sum("_number").over(by_row).alias("_number"),
-        *[F.sum(c).over(by_time).alias(c) for c in ("_h_n", "_h_syn", "_h_rej")],
-        F.sum("_p_n").over(in_pair).alias("_p_n"))
-    return out.filter(F.col("_sign") == 1).drop("_sign")
-
-
-def _service_window(rows: DataFrame, totals: DataFrame, span: int, cell: int) -> DataFrame:
-    """Time-window sums per service, by a shuffle on (service, cell)."""
-    payload = [c for c in rows.columns if c not in ("service", "_syn", "_rej")]
-    sign = F.col("_sign")
-    sums = {"_s_n": sign, "_s_syn": sign * F.col("_syn"), "_s_rej": sign * F.col("_rej")}
-    opened = _open_at_cell_start(totals, ["service"], cell, {
-        "_n": "_s_n", "_n_syn": "_s_syn", "_n_rej": "_s_rej"})
-    edges = _edges(rows, span, cell, payload).withColumns(sums)
-    edges = edges.unionByName(opened, allowMissingColumns=True)
-    by_time = Window.partitionBy("service", "_cell").orderBy("_at").rangeBetween(
+    edges = peers.select("*", edge.alias("_edge")).select(
+        *keys, "_edge.*", F.floor(F.col("_edge._at") / cell).alias("_cell"),
+        *[(F.col("_edge._sign") * F.col(m)).alias(m) for m in measures[:3]],
+        F.when(F.col("_edge._sign") == 1, F.col("_n")).otherwise(0).alias("_before"))
+    totals = edges.groupBy(*keys, "_cell").agg(*[F.sum(m).alias(m) for m in measures])
+    before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    opened = totals.select(*keys, "_cell", (F.col("_cell") * cell).alias("_at"), F.lit(0).alias("_sign"),
+                           *[F.sum(m).over(before).alias(m) for m in measures]).filter("_before > 0")
+    now = Window.partitionBy(*keys, "_cell").orderBy("_at").rangeBetween(
         Window.unboundedPreceding, Window.currentRow)
-    out = edges.select(*rows.columns, "_sign", *[F.sum(c).over(by_time).alias(c) for c in sums])
-    return out.filter(F.col("_sign") == 1).drop("_sign")
+    own = F.col("_n").alias("_own")
+    running = edges.unionByName(opened).select(
+        *keys, F.col("_at").alias("_t"), "_sign", own, *[F.sum(m).over(now).alias(m) for m in measures])
+    return running.filter("_sign = 1").select(
+        *keys, "_t", *[F.col(m).alias(prefix + m) for m in measures[:3]],
+        (F.col("_before") - F.col("_own")).alias(f"{prefix}_before"))
+
+
+def _numbered(base: DataFrame, hosts: DataFrame, ids: int) -> DataFrame:
+    """Each connection's number in its host, and its host's sums: by a shuffle on (host, time, cell).
+
+    A cell holds ``ids`` neighbouring ``conn_id``; of a host at one time that is mostly all.
+    """
+    keys = ["dst_ip", "_t", "_ids"]
+    rows = base.withColumn("_ids", F.floor(F.col("conn_id") / ids))
+    before = Window.partitionBy("dst_ip", "_t").orderBy("_ids").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_in")).select(
+        *keys, F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_lower"))
+    first = _attached(cells, hosts, ["dst_ip", "_t"])
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("conn_id"))
+    return _attached(rows.withColumn("_place", place), first, keys).withColumn(
+        "_number", F.col("_place") + F.col("_lower") + F.col("_h_before")).drop(
+        "_ids", "_place", "_lower", "_h_before")
 
 
 def _last_connections(rows: DataFrame, last_n: int, block: int) -> DataFrame:
