@@ -64,10 +64,8 @@ def test_stragglers_and_dropped_rows_are_tables(spark, tmp_path):
         for ids in ("(0, 1)", "(2, 3)", "(4, 5)"):
             feed.add(f"conn_id IN {ids}")
         got = feed.run(idle_seconds=1000.0, late="20 seconds")
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        listener.wait(1)
     finally:
-        import time
-        time.sleep(2)
         spark.streams.removeListener(listener)
     late = {r["conn_id"]: r["behind_seconds"] for r in read_stragglers(spark, str(tmp_path / "out")).collect()}
     assert late == {2: 2.0, 5: 0.5}

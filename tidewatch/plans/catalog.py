@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.labels import attack_category, binary_label, clean_label
@@ -34,6 +34,10 @@ from tidewatch.sources.sinks import (
     append_alerts, read_alerts, security_events, write_detections,
 )
 from tidewatch.streaming import scoring
+from tidewatch.streaming.flow_state import flow_state_stream
+from tidewatch.streaming.joins import enriched_stream, publish_table, truth_stream
+from tidewatch.streaming.progress import ProgressLog, read_progress
+from tidewatch.streaming.sessions import host_sessions, sent_once
 from tidewatch.streaming.traffic import flow_features_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -681,29 +685,36 @@ def stream_scores(spark, sf_dir):
     return spark.read.parquet(out).select(*ROW_KEY, rounded("anomaly_score"), "prediction")
 
 
-def _split_requests(spark, sf_dir) -> DataFrame:
-    """Requests as a stream of files, one a micro-batch, that cut every request in three."""
-    folder = scratch_path(spark, "requests")
-    rows = request_vectors(read(spark, sf_dir, "embeddings"))
-    for i in range(3):
-        rows.filter(F.col("pos") % 3 == i).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def _in_slices(spark, slices: list[DataFrame], start: Callable) -> str:
+    """Feed a stream a slice after the other, each written by Spark and run to its end; the output's path."""
+    path = scratch_path(spark, "stream")
+    for rows in slices:
+        rows.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        start(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return f"{path}/out"
+
+
+def _split_requests(spark, sf_dir) -> list[DataFrame]:
+    """Slices of requests that cut every request in three."""
+    rows = request_vectors(spread(read(spark, sf_dir, "embeddings")))
+    return [rows.filter(F.col("pos") % 3 == i) for i in range(3)]
 
 
 @query
 def stream_request_scores(spark, sf_dir):
     root = scratch_path(spark, "published")
     publish_model(spark, request_forest(spark, sf_dir), root)
-    stream = _split_requests(spark, sf_dir)
-    out = _run(lambda p, c: scoring.score_requests_stream(stream, root, p, c), spark)
+    out = _in_slices(spark, _split_requests(spark, sf_dir),
+                     lambda s, p, c: scoring.score_requests_stream(s, root, p, c))
     return scoring.read_request_scores(spark, out).select(
         "request_id", "pos", "prediction", rounded("anomaly_score"), "model_version")
 
 
 def _stream_alerts(spark, sf_dir) -> DataFrame:
     model = request_forest(spark, sf_dir)
-    stream = _split_requests(spark, sf_dir)
-    return read_alerts(spark, _run(lambda p, c: scoring.alert_stream(stream, model, p, c), spark))
+    return read_alerts(spark, _in_slices(spark, _split_requests(spark, sf_dir),
+                                         lambda s, p, c: scoring.alert_stream(s, model, p, c)))
 
 
 @query
@@ -712,6 +723,16 @@ def stream_alerts(spark, sf_dir):
                                                 "total_samples")
 
 
+@query
+def stream_alerts_resent(spark, sf_dir):
+    """Every slice is sent twice, and no alert changes."""
+    model = request_forest(spark, sf_dir)
+    slices = _split_requests(spark, sf_dir)
+    out = _in_slices(spark, [s for i, rows in enumerate(slices) for s in (rows, slices[i - 1] if i else rows)],
+                     lambda s, p, c: scoring.alert_stream(sent_once(s, ["vec_id"], within="30 days"), model, p, c))
+    return read_alerts(spark, out).select("id", naive("timestamp"), "anomalies_found", "total_samples")
+
+
 @query
 def stream_recent_alerts(spark, sf_dir):
     """The latest alerts of the stream's table."""
@@ -743,22 +764,108 @@ def stream_tumbling(spark, sf_dir):
         naive("window_start"), naive("window_end"), "total_samples", "anomalies_found")
 
 
+def _time_slices(rows: DataFrame, n: int = 4, ts: str = "ts") -> list[DataFrame]:
+    """Rows in ``n`` slices of equal time; the last also takes those without a time."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    part = F.coalesce(F.least(F.floor((at - first) * n / (last - first + 1)), F.lit(n - 1)), F.lit(n - 1))
+    return [rows.filter(part == i) for i in range(n)]
+
+
 @query
 def stream_flow_features(spark, sf_dir):
     """All windowed features, the log arriving in four slices of time."""
-    events = read(spark, sf_dir, "events")
-    ends = events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))),
-                      F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
-    log = scratch_path(spark, "log")
-    conns = connections(events)
-    part = F.least(F.floor((F.unix_micros("ts") - ends[0]) * 4 / (ends[1] - ends[0] + 1)),
-                   F.lit(3))
-    for i in range(4):
-        conns.filter(part == i).coalesce(1).write.mode("append").parquet(log)
-    stream = spark.readStream.schema(conns.schema).option("maxFilesPerTrigger", 1).parquet(log)
     state = scratch_path(spark, "state")
-    out = _run(lambda p, c: flow_features_stream(
-        stream, p, state, c, window_seconds=3600.0), spark)
+    conns = connections(spread(read(spark, sf_dir, "events")))
+    out = _in_slices(spark, _time_slices(conns), lambda s, p, c: flow_features_stream(
+        s, p, state, c, window_seconds=3600.0))
     names = [*TIME_FEATURES, *HOST_FEATURES]
     return spark.read.parquet(out).select("conn_id", *[
         rounded(n) if n.endswith("rate") else F.col(f"`{n}`") for n in names])
+
+
+@query
+def stream_flow_state(spark, sf_dir):
+    """The same features by keyed state per host and service."""
+    conns = connections(spread(read(spark, sf_dir, "events")))
+    out = _in_slices(spark, _time_slices(conns), lambda s, p, c: flow_state_stream(s, p, c, window_seconds=3600.0))
+    names = [*TIME_FEATURES, *HOST_FEATURES]
+    return spark.read.parquet(out).select("conn_id", "behind_seconds", *[
+        rounded(n) if n.endswith("rate") else F.col(f"`{n}`") for n in names])
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Rows taken in and dropped per micro-batch: the last of four slices comes before the third."""
+    conns = connections(spread(read(spark, sf_dir, "events")))
+    first, second, third, fourth = _time_slices(conns)
+    log = scratch_path(spark, "progress")
+    listener = ProgressLog(spark, log)
+    spark.streams.addListener(listener)
+    try:
+        _in_slices(spark, [first, second, fourth, third], lambda s, p, c: flow_state_stream(
+            s, p, c, idle_seconds=30 * 86400.0, late="2 days"))
+        listener.wait(4)
+    finally:
+        spark.streams.removeListener(listener)
+    # A dropped connection is missed by its host and by its service.
+    order = F.row_number().over(Window.orderBy("batch"))
+    return read_progress(spark, log).filter("input_rows > 0").select(
+        order.alias("slice"), "input_rows", (F.col("dropped_rows") / 2).cast("long").alias("dropped_rows"))
+
+
+@query
+def stream_truth(spark, sf_dir):
+    """Detections joined with labels that come before them, in time, too late or never."""
+    events = spread(read(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = with_verdict(events.select("event_id", "ts", "value"), "value", 100.0)
+    minutes = (F.col("event_id") % 7 - 1) * 15
+    labels = events.filter(F.col("event_id") % 7 != 0).select(
+        "event_id", (F.unix_micros("ts") + minutes * 60_000_000).alias("at"),
+        F.when(F.col("event_type") == "error", "attack").otherwise("normal").alias("label")).select(
+        "event_id", F.timestamp_micros("at").alias("labelled_at"), "label")
+    path = scratch_path(spark, "truth")
+    for mine, theirs in zip(_time_slices(found), _time_slices(labels, ts="labelled_at"), strict=True):
+        mine.write.mode("append").parquet(f"{path}/detections")
+        theirs.write.mode("append").parquet(f"{path}/labels")
+        truth_stream(spark.readStream.schema(found.schema).parquet(f"{path}/detections"),
+                     spark.readStream.schema(labels.schema).parquet(f"{path}/labels"), "event_id",
+                     f"{path}/out", f"{path}/checkpoint", within="40 minutes", late="10 minutes").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("event_id", "prediction", "label")
+
+
+@query
+def stream_enriched(spark, sf_dir):
+    """Events joined with customers, whose table changes between two micro-batches."""
+    customers = read(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
+    root = scratch_path(spark, "customers")
+    slices = _time_slices(spread(read(spark, sf_dir, "events")).select("event_id", "user_id", "ts"), 2)
+    tables = iter([customers, customers.withColumn("segment", F.lower("segment"))])
+
+    def start(stream, path, checkpoint):
+        publish_table(next(tables), root)
+        return enriched_stream(stream.drop("ts"), root, ["user_id"], path, checkpoint)
+
+    out = _in_slices(spark, slices, start)
+    return spark.read.parquet(out).select("event_id", "user_id", "segment", "table_version")
+
+
+@query
+def sessions(spark, sf_dir):
+    """Sessions of a host with no more than six hours between connections."""
+    found = host_sessions(connections(read(spark, sf_dir, "events")), "6 hours")
+    return found.select("dst_ip", naive("session_start"), naive("session_end"), "connections",
+                        rounded("bytes"), "syn_errors", "rejections")
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """The same on a stream: sessions that the watermark has closed."""
+    def start(stream, path, checkpoint):
+        return (host_sessions(stream, "6 hours", watermark="1 hour").writeStream.format("parquet")
+                .outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+
+    out = _in_slices(spark, _time_slices(connections(spread(read(spark, sf_dir, "events")))), start)
+    return spark.read.parquet(out).select("dst_ip", naive("session_start"), naive("session_end"), "connections")

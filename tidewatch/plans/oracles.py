@@ -483,3 +483,46 @@ WITH w AS (SELECT date_trunc('day', ts) AS window_start, value FROM events),
 g AS (SELECT window_start, window_start + INTERVAL 1 DAY AS window_end, count(*) AS total_samples,
   count_if(value > 100.0) AS anomalies_found FROM w GROUP BY 1)
 SELECT * FROM g WHERE window_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+ORACLES["stream_flow_state"] = f"""
+WITH {windows(3600)} SELECT conn_id, 0.0::double AS behind_seconds, {TIME_COLUMNS}, {HOST_COLUMNS} FROM v"""
+
+# Slices of equal time, in the order they are sent; a row is late if it is no later than two days
+# before the latest of the slices sent before.
+ORACLES["stream_late_rows"] = """
+WITH ends AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events),
+cut AS (SELECT epoch_us(ts) AS t, least((epoch_us(ts) - a) * 4 // (b - a + 1), 3) AS part FROM events, ends),
+sent AS (SELECT t, CASE part WHEN 2 THEN 4 WHEN 3 THEN 3 ELSE part + 1 END AS slice FROM cut),
+latest AS (SELECT slice, max(max(t)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t
+           FROM sent GROUP BY slice),
+marks AS (SELECT slice, (t // 1000 - 2 * 86400000) * 1000 AS mark FROM latest)
+SELECT slice::int AS slice, count(*) AS input_rows, count_if(mark IS NOT NULL AND t <= mark) AS dropped_rows
+FROM sent JOIN marks USING (slice) GROUP BY slice"""
+
+ORACLES["stream_truth"] = """
+WITH d AS (SELECT event_id, ts, CASE WHEN value > 100.0 THEN 'anomaly' WHEN value IS NOT NULL THEN 'normal' END AS prediction
+           FROM events),
+l AS (SELECT event_id, ts + INTERVAL 15 MINUTE * (event_id % 7 - 1) AS given,
+             CASE WHEN event_type = 'error' THEN 'attack' ELSE 'normal' END AS label
+      FROM events WHERE event_id % 7 <> 0),
+mark AS (SELECT least((SELECT max(ts) FROM d), (SELECT max(given) FROM l)) - INTERVAL 10 MINUTE AS w),
+j AS (SELECT event_id, prediction, label, ts FROM d LEFT JOIN (SELECT event_id AS k, given, label FROM l)
+      ON event_id = k AND given >= ts AND given <= ts + INTERVAL 40 MINUTE)
+SELECT event_id, prediction, label FROM j, mark WHERE label IS NOT NULL OR ts + INTERVAL 40 MINUTE < w"""
+
+ORACLES["stream_enriched"] = """
+WITH ends AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) AS b FROM events),
+cut AS (SELECT event_id, user_id, least((epoch_us(ts) - a) * 2 // (b - a + 1), 1) + 1 AS v FROM events, ends)
+SELECT event_id, user_id, CASE WHEN v = 1 THEN c_mktsegment ELSE lower(c_mktsegment) END AS segment,
+  v::int AS table_version FROM cut LEFT JOIN customer ON user_id = c_custkey"""
+
+SESSIONS = f"""WITH {CONNS}, g AS (SELECT c.*, value AS bytes,
+  CASE WHEN ts - lag(ts) OVER h <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh
+  FROM c JOIN (SELECT event_id AS conn_id, value FROM events) USING (conn_id) WINDOW h AS (PARTITION BY dst_ip ORDER BY ts)),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY dst_ip ORDER BY ts) AS session FROM g),
+s AS (SELECT dst_ip, min(ts) AS session_start, max(ts) AS session_end, count(*) AS connections,
+  sum(bytes) AS bytes, sum(syn)::bigint AS syn_errors, sum(rej)::bigint AS rejections FROM n GROUP BY dst_ip, session)"""
+ORACLES["sessions"] = f"""{SESSIONS} SELECT dst_ip, session_start, session_end, connections,
+  {r6("bytes", "bytes")}, syn_errors, rejections FROM s"""
+ORACLES["stream_sessions"] = f"""{SESSIONS} SELECT dst_ip, session_start, session_end, connections FROM s
+WHERE session_end + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM c)"""
+ORACLES["stream_alerts_resent"] = ORACLES["stream_alerts"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
@@ -20,6 +21,13 @@ class ProgressLog(StreamingQueryListener):
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.ended = 0
+
+    def wait(self, queries: int, seconds: float = 60.0) -> None:
+        """Until so many queries have ended: progress comes a little later than the rows."""
+        until = time.time() + seconds
+        while self.ended < queries and time.time() < until:
+            time.sleep(0.05)
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -44,7 +52,7 @@ class ProgressLog(StreamingQueryListener):
             out.close()
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        self.ended += 1
 
 
 def read_progress(spark: SparkSession, path: str) -> DataFrame:
