@@ -95,36 +95,62 @@ def _by_lang(batches: Iterator[pa.RecordBatch], letters: int) -> Iterator[tuple[
             yield lang, words_of(own)
 
 
-def _buckets(lang: str, words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words, and of all pairs of a word and the next (of the last: meaningless)."""
+def _hashes(lang: str, words: Words) -> list[np.ndarray]:
+    """Numbers of the phrases of one, two and three words that begin at each word."""
     seed = np.uint64(int.from_bytes(lang.encode(), "little") % (1 << 64))
     one = mixed(words.hashes() + mixed(np.array([seed], np.uint64)))
-    two = mixed(one * np.uint64(3) + np.append(one[1:], np.uint64(0)))
-    shift = np.uint64(64 - bits)
-    return (one >> shift).astype(np.int64), (two >> shift).astype(np.int64)
+    found = [one]
+    for k in range(1, LONGEST - 1):
+        found.append(mixed(found[-1] * np.uint64(3) + np.append(one[k:], np.zeros(min(k, len(one)), np.uint64))))
+    return found
 
 
-def frequent_buckets(docs: DataFrame, least: int, bits: int, letters: int) -> DataFrame:
-    """part, places: where the bitmap of buckets met ``least`` times or more is set.
+def _reach(words: Words, hashes: list[np.ndarray], bitmaps: list[np.ndarray], bits: int) -> np.ndarray:
+    """How many words on from each a phrase may go in its piece that is not surely rare.
 
-    A word or word pair that is not in such a bucket is surely rarer; one that is may be rare
-    too. The bitmap has ``2 ** bits`` places, whatever the corpus.
+    A phrase is surely rare if a part of it is, so four words need both their threes, three both
+    their pairs; what no bitmap tells of may be frequent.
+    """
+
+    def often(h: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+        return (bitmap[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+
+    fits = np.append(words.piece[1:] == words.piece[:-1], False)
+    reach = often(hashes[0], bitmaps[0]).astype(np.int8) if bitmaps else np.ones(len(words), np.int8)
+    for k in range(2, LONGEST + 1):
+        may = (reach == k - 1) & (np.append(reach[1:], 0) >= k - 1)
+        if k == 2:
+            may &= fits
+        if k <= len(bitmaps) and k < LONGEST:
+            may &= often(hashes[k - 1], bitmaps[k - 1])
+        reach[may] = k
+    return reach
+
+
+def _frequent(docs: DataFrame, least: int, bits: int, letters: int, sent, sizes: list[int]) -> DataFrame:
+    """bucket of phrases of the ``sizes`` met ``least`` times or more: size, part, places.
+
+    A phrase that is not in such a bucket is surely rarer; one that is may be rare too.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in _by_lang(batches, letters):
             if len(words):
-                one, two = _buckets(lang, words, bits)
-                found, n = np.unique(np.concatenate([one, two[:-1][words.piece[1:] == words.piece[:-1]]]), return_counts=True)
+                hashes = _hashes(lang, words)
+                reach = _reach(words, hashes, sent.value, bits)
+                met = [(hashes[k - 1][reach >= k] >> np.uint64(64 - bits)).astype(np.int64) | k << bits for k in sizes]
+                found, n = np.unique(np.concatenate(met), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], names=["bucket", "n"])
 
     often = docs.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    part = F.shiftright("bucket", 16).cast("int")
-    return often.groupBy(part.alias("part")).agg(F.collect_list(F.col("bucket").bitwiseAND(0xFFFF).cast("int")).alias("places"))
+    place = F.col("bucket").bitwiseAND((1 << bits) - 1)
+    return often.groupBy(F.shiftright("bucket", bits).cast("int").alias("size"), F.shiftright(place, 16).cast("int").alias("part")).agg(
+        F.collect_list(place.bitwiseAND(0xFFFF).cast("int")).alias("places"))
 
 
-def _bitmap(parts: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap: ``2 ** bits`` / 8 bytes on the driver, packed part by part on the executors."""
+def _bitmaps(parts: DataFrame, bits: int, sizes: list[int]) -> list[np.ndarray]:
+    """Bitmaps of ``2 ** bits`` / 8 bytes on the driver, packed part by part on the executors."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,43 +159,33 @@ def _bitmap(parts: DataFrame, bits: int) -> np.ndarray:
                 flags = np.zeros(1 << 16, bool)
                 flags[places.values.to_numpy()] = True
                 packed.append(np.packbits(flags).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(packed, pa.binary())], names=["part", "bytes"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("size"), batch.column("part"), pa.array(packed, pa.binary())], names=["size", "part", "bytes"])
 
-    whole = np.zeros((1 << max(bits - 16, 0), (1 << 16) // 8), np.uint8)
-    for row in parts.mapInArrow(pack, "part int, bytes binary").collect():
-        whole[row["part"]] = np.frombuffer(row["bytes"], np.uint8)
-    return whole.ravel()
+    whole = {k: np.zeros((1 << max(bits - 16, 0), (1 << 16) // 8), np.uint8) for k in sizes}
+    for row in parts.mapInArrow(pack, "size int, part int, bytes binary").collect():
+        whole[row["size"]][row["part"]] = np.frombuffer(row["bytes"], np.uint8)
+    return [bitmap.ravel() for bitmap in whole.values()]
 
 
-def _sums(docs: DataFrame, bitmap: np.ndarray, bits: int, letters: int) -> DataFrame:
-    """key (lang, line feed, phrase), n: edges, what stands at the ends of pieces, all words."""
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-    node = LONGEST - 1
+def _starts(docs: DataFrame, bits: int, letters: int, sent) -> DataFrame:
+    """key (lang, line feed, phrase), n: what begins at each word, as far as it may be frequent.
 
-    def often(bucket: np.ndarray) -> np.ndarray:
-        return (sent.value[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+    Four words are an edge. Fewer are where a path ends: its piece does, or all that follows is
+    rare. No word at all counts all words.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words in _by_lang(batches, letters):
             if not len(words):
                 continue
-            one, two = _buckets(lang, words, bits)
-            # A phrase over a rare word or pair is rare itself: pieces may as well end there.
-            some = often(one)
-            joined = np.append((words.piece[1:] == words.piece[:-1]) & often(two[:-1]), False)
-            joined &= some & np.append(some[1:], False)
-            at = np.arange(len(words))
-            last = np.flatnonzero(~joined)
-            left = last[np.searchsorted(last, at)] - at + 1          # words to the end of the run
-            run = np.append(0, last[:-1] + 1)
-            edges = np.flatnonzero(left >= LONGEST)
-            ends = last[some[last]]
-            tail = np.minimum(node, ends - run[some[last]] + 1)
-            number = pa.BinaryArray.from_buffers(
+            reach = _reach(words, _hashes(lang, words), sent.value, bits)
+            spelled = pa.BinaryArray.from_buffers(
                 pa.binary(), len(words), [None, pa.py_buffer(words.begins.astype(np.int32)), pa.py_buffer(words.letters)])
-            ids = number.dictionary_encode().indices.to_numpy().astype(np.int64)
+            ids = spelled.dictionary_encode().indices.to_numpy().astype(np.int64)
             out = [(pa.array([""]), np.array([len(words)]))]
-            for first, n in [(edges, LONGEST), *[(ends[tail == k] - k + 1, k) for k in range(1, LONGEST)]]:
+            for n in range(1, LONGEST + 1):
+                first = np.flatnonzero(reach == n)
                 key = ids[first]
                 for k in range(1, n):
                     _, key = np.unique(key * (len(words) + 1) + ids[first + k], return_inverse=True)
@@ -202,7 +218,7 @@ class PhraseGraph:
 
 
 def phrase_graph(docs: DataFrame, least: int = 30, lang: str = "lang", text: str = "text",
-                 bits: int = 27, letters: int = 1 << 21) -> PhraseGraph:
+                 bits: int = 27, letters: int = 1 << 20) -> PhraseGraph:
     """Count phrases of 1 to 4 words that occur ``least`` times or more in a language.
 
     Edges of the graph are phrases of four words within a piece, their nodes the three words they
@@ -210,31 +226,32 @@ def phrase_graph(docs: DataFrame, least: int = 30, lang: str = "lang", text: str
     ends in it gives the node's count; the same sums give two words and one. Paths of nodes with
     one way in and one out are compacted by pointer doubling; their counts are read off the paths.
 
-    Rare words and word pairs are left out first: their buckets are counted, and the fixed bitmap
-    of ``2 ** bits`` buckets (16 MB) that reach ``least`` is broadcast. Pieces are cut there, which
-    takes away rare phrases only, so counts are exact whatever the bitmap lets through.
+    What is surely rare is left out first: buckets of words and pairs are counted, then those of
+    three words of frequent pairs, and fixed bitmaps of ``2 ** bits`` buckets (16 MB each) that
+    reach ``least`` are broadcast. A path ends where only rare phrases go on, which changes no
+    other count, so counts are exact whatever the bitmaps let through.
 
     A null text is empty, a null language is ``und``. Other columns are not read. An empty table
     gives empty ones. Texts are read whole, about ``letters`` bytes at a time, longer ones alone. A
     passage lies within one piece of a text, so the rows of a path are bounded by the longest text.
     """
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), text_of(text).alias("text"))
-    bitmap = _bitmap(frequent_buckets(rows, least, bits, letters), bits)
+    context = docs.sparkSession.sparkContext
+    bitmaps = []
+    for sizes in ([1, 2], [3]):
+        bitmaps = bitmaps + _bitmaps(_frequent(rows, least, bits, letters, context.broadcast(bitmaps), sizes), bits, sizes)
     key = F.split("key", "\n")
     # A language may hold line feeds, a phrase none.
-    sums = written(_sums(rows, bitmap, bits, letters).select(
+    sums = written(_starts(rows, bits, letters, context.broadcast(bitmaps)).select(
         F.array_join(F.slice(key, 1, F.size(key) - 1), "\n").alias("lang"), F.element_at(key, -1).alias("phrase"), "n")
         .withColumn("words", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))), "edges")
     edges = sums.filter(F.col("words") == LONGEST).drop("words")
-    # A piece that ends "a b c" has "a b c", "b c" and "c" start there, with no edge behind.
-    ends = sums.filter(F.col("words").between(1, LONGEST - 1)).select(
-        "lang", F.explode(F.transform(F.sequence(F.lit(1), "words"), lambda k: _words("phrase", k, LONGEST))).alias("phrase"), "n")
     counts = {}
     flow = edges
     for k in range(LONGEST - 1, 0, -1):
         flow = written(
             flow.select("lang", _words("phrase", 1, k).alias("phrase"), "n")
-            .unionByName(ends.filter(F.size(F.split("phrase", " ")) == k))
+            .unionByName(sums.filter(F.col("words") == k).drop("words"))
             .groupBy("lang", "phrase").agg(F.sum("n").alias("n")), f"nodes-{k}")
         counts[k] = flow.filter(F.col("n") >= least)
     paths = _compacted(edges.filter(F.col("n") >= least), counts[LONGEST - 1])
