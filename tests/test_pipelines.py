@@ -73,3 +73,23 @@ def test_classifier(spark, split, tmp_path_factory):
 def test_unknown_model(split, tmp_path):
     with pytest.raises(ValueError):
         train(*split, str(tmp_path), model="other")
+
+
+def test_scratch_copies_go_with_their_detections(spark, tmp_path):
+    """A score relative to the batch is read from a copy without features, which can be dropped."""
+    import glob
+
+    from tidewatch.plans.pipelines import detect
+    from tidewatch.operators.isolation_forest import IsolationForest
+    from tidewatch.session import drop_scratch, shared_dir
+
+    rows = spark.range(60).select("id", F.array(F.col("id").cast("double"), (F.col("id") % 7).cast("double")).alias("features"))
+    model = IsolationForest("features", ["id"], trees=5, psi=16).fit(rows)
+    found = detect(rows, None, model)
+    paths = {p.rsplit("/", 1)[0] for p in found.inputFiles()}
+    assert len(paths) == 1 and "scored-" in next(iter(paths)) and found.count() == 60
+    drop_scratch(found, "scored")
+    assert not glob.glob(next(iter(paths)).replace("file:", "").replace("///", "/") + "/*")
+    assert shared_dir(spark)
+    verdicts = detect(rows, None, model, with_score=False)
+    assert not verdicts.inputFiles() and verdicts.columns == ["id", "features", "prediction"]

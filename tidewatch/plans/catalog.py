@@ -31,7 +31,8 @@ from tidewatch.schema import CATEGORICAL, FEATURE_NAMES
 from tidewatch.session import scratch_path, spread
 from tidewatch.sources.flows import load_flows, process_labels, read_flows, read_requests
 from tidewatch.sources.sinks import (
-    append_alerts, read_alerts, security_events, write_detections,
+    append_alerts, append_events, close_days, latest_alerts, read_alerts, read_events,
+    security_events, write_detections,
 )
 from tidewatch.streaming import scoring
 from tidewatch.streaming.flow_state import flow_state_stream
@@ -99,6 +100,20 @@ def scan_requests(spark, sf_dir):
         rounded(total, "feature_sum"))
 
 
+@query
+def scan_nested_requests(spark, sf_dir):
+    """Requests of 50 vectors as one record each; every other one wants scores."""
+    path = scratch_path(spark, "requests")
+    rows = request_vectors(read(spark, sf_dir, "embeddings"))
+    vectors = F.transform(F.sort_array(F.collect_list(F.struct("pos", "features"))), lambda x: x["features"])
+    rows.groupBy("request_id").agg(F.min("ts").alias("ts"), vectors.alias("features")).withColumn(
+        "return_scores", F.when(F.col("request_id") % 2 == 0, True)).write.json(path)
+    total = F.aggregate("features", F.lit(0.0), lambda a, x: a + x)
+    return read_requests(spark, path, nested=True).select(
+        "request_id", naive("ts"), "pos", F.size("features").alias("n_features"),
+        rounded(total, "feature_sum"), "return_scores")
+
+
 @query
 def label_clean(spark, sf_dir):
     rows = labelled_events(spark, sf_dir)
@@ -377,6 +392,31 @@ def alerts(spark, sf_dir):
                                            "total_samples")
 
 
+def _daily_alerts(spark, sf_dir) -> str:
+    """An alert table over five days, a writing for every two requests; its first three days are closed."""
+    path = scratch_path(spark, "alerts")
+    # A request's vectors come from two days.
+    day = F.expr("make_dt_interval(cast(request_id % 5 as int) + if(pos < 20, 0, 1))")
+    found = request_detections(spark, sf_dir).withColumn("ts", F.col("ts") + day)
+    parts = summaries.request_alerts(found.withColumn("half", F.col("pos") < 20).withColumn(
+        "request_id", F.struct("request_id", "half")), partial=True)
+    halves = parts.withColumn("id", F.regexp_replace("id", r"^alert_\{(\d+), .*$", "alert_$1")).persist()
+    first = F.expr("substring(id, 7) % 2 = 0")
+    append_alerts(halves.filter(first), path, "even")
+    append_alerts(halves.filter(~first), path, "odd")
+    halves.unpersist()
+    close_days(spark, path, "2024-01-03")
+    close_days(spark, path, "2024-01-04")
+    return path
+
+
+@query
+def latest_alerts_of_days(spark, sf_dir):
+    """The latest alerts of a table kept by days, its older days closed."""
+    found = latest_alerts(spark, _daily_alerts(spark, sf_dir), 5)
+    return found.select("id", naive("timestamp"), "anomalies_found", "total_samples", "total_alerts")
+
+
 @query
 def recent_alerts(spark, sf_dir):
     found = summaries.request_alerts(request_detections(spark, sf_dir))
@@ -405,6 +445,24 @@ def security_event_log(spark, sf_dir):
                         F.col("details")["line"].alias("details_line"))
 
 
+@query
+def security_events_stored(spark, sf_dir):
+    """Events appended to their table in two writings, one of them repeated, and read back."""
+    path = scratch_path(spark, "events")
+    rows = normalise_score(item_detections(spark, sf_dir))
+    found = security_events(
+        rows, severity(F.col("anomaly_score")), F.col("l_suppkey"), F.col("l_partkey"),
+        details={"order": F.col("l_orderkey"), "line": F.col("l_linenumber"), "day": F.trunc("l_shipdate", "year")})
+    day = F.col("details")["day"]
+    odd = F.expr("details['line'] % 2 = 1")
+    for which, batch in ((odd, "1"), (~odd, "2"), (~odd, "2")):
+        append_events(found.filter(which), path, day, batch)
+    stored = read_events(spark, path, F.col("day") >= F.lit("1999-01-01"))
+    return stored.select("event_type", "severity", "source_ip", "destination_ip",
+                         F.col("details")["order"].alias("details_order"),
+                         F.col("details")["line"].alias("details_line"), "day")
+
+
 @query
 def model_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "model")

@@ -76,6 +76,9 @@ REQUESTS = """q AS (SELECT vec_id // 50 AS request_id,
 ORACLES["scan_requests"] = f"""
 WITH {REQUESTS} SELECT request_id, ts, pos, len(features)::int AS n_features,
   {r6('list_sum(features)', 'feature_sum')} FROM q"""
+ORACLES["scan_nested_requests"] = f"""
+WITH {REQUESTS} SELECT request_id, min(ts) OVER (PARTITION BY request_id) AS ts, pos, len(features)::int AS n_features,
+  {r6('list_sum(features)', 'feature_sum')}, request_id % 2 = 0 AS return_scores FROM q"""
 ORACLES["label_clean"] = f"WITH {EVENT_LABELS} SELECT event_id, {CLEAN} AS label FROM e"
 ORACLES["label_binary"] = f"""
 WITH {EVENT_LABELS} SELECT event_id,
@@ -270,6 +273,11 @@ SELECT 'anomaly' AS event_type, {GRADE.format(NORMAL)} AS severity,
   l_suppkey::varchar AS source_ip, l_partkey::varchar AS destination_ip,
   l_orderkey::varchar AS details_order, l_linenumber::varchar AS details_line
 FROM rows WHERE prediction = 'anomaly'"""
+ORACLES["security_events_stored"] = f"""{ITEMS}, {ITEM_ROWS}
+SELECT 'anomaly' AS event_type, {GRADE.format(NORMAL)} AS severity,
+  l_suppkey::varchar AS source_ip, l_partkey::varchar AS destination_ip,
+  l_orderkey::varchar AS details_order, l_linenumber::varchar AS details_line, date_trunc('year', l_shipdate)::date AS day
+FROM rows WHERE prediction = 'anomaly' AND l_shipdate >= '1999-01-01'"""
 ORACLES["model_roundtrip"] = ORACLES["if_detect"]
 ORACLES["stream_scores"] = ORACLES["if_detect"]
 STATS = f"""SELECT count(*) AS total_traffic_analyzed,
@@ -304,6 +312,17 @@ ORACLES["recent_alerts"] = f"""{VECTORS}, {VECTOR_ROWS}, {ALERTS}
 SELECT id, timestamp, anomalies_found, total_samples, (SELECT count(*) FROM a) AS total_alerts
 FROM a ORDER BY timestamp DESC, length(id) DESC, id DESC LIMIT 5"""
 ORACLES["stream_recent_alerts"] = ORACLES["recent_alerts"]
+# Half a request's vectors are a day later; halves on both sides of a closing are two alerts, of
+# closed days (before the third, before the fourth) or open ones.
+ORACLES["latest_alerts_of_days"] = f"""{VECTORS}, {VECTOR_ROWS},
+p AS (SELECT request_id, prediction,
+        ts + to_days((request_id % 5 + CASE WHEN pos < 20 THEN 0 ELSE 1 END)::int) AS ts FROM rows),
+e AS (SELECT *, CASE WHEN ts < '2024-01-03' THEN 1 WHEN ts < '2024-01-04' THEN 2 ELSE 3 END AS era FROM (
+        SELECT request_id, prediction, max(ts) OVER (PARTITION BY request_id, ts::date) AS ts FROM p)),
+a AS (SELECT 'alert_' || request_id AS id, max(ts) AS timestamp, count_if(prediction = 'anomaly') AS anomalies_found,
+        count(*) AS total_samples FROM e GROUP BY request_id, era HAVING count_if(prediction = 'anomaly') > 0)
+SELECT id, timestamp, anomalies_found, total_samples, (SELECT count(*) FROM a) AS total_alerts
+FROM a ORDER BY timestamp DESC, length(id) DESC, id DESC LIMIT 5"""
 _minmax = [f"""((f."{c}"::double - m."lo_{c}"::double)
   / CASE WHEN m."hi_{c}" = m."lo_{c}" THEN 1.0::double
       ELSE (m."hi_{c}" - m."lo_{c}")::double END)""" for c in FLOW_NUMERIC]

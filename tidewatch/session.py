@@ -60,3 +60,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/tidewatch/{name}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(df: DataFrame, name: str) -> None:
+    """Remove the scratch tables called ``name`` that ``df`` reads; for when it has been written."""
+    marker = f"/tidewatch/{name}-"
+    found = {file[:file.index("/", file.index(marker) + len(marker))] for file in df.inputFiles() if marker in file}
+    for path in found:
+        drop_path(df.sparkSession, path)
