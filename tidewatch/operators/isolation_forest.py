@@ -115,9 +115,20 @@ class IsolationForest:
             self._rank(rows, 1.0).write.parquet(path)
         return spark.read.parquet(path), total
 
+    def _features(self, df: DataFrame) -> Column:
+        """The features as the array that is sampled."""
+        return feature_array(df, self.features)
+
+    @staticmethod
+    def _tree(x: pd.Series, tree: int, seed: int, depth: int) -> list[tuple]:
+        return grow_tree(np.vstack(x.to_numpy()), tree, seed, depth)
+
+    def _model(self, spark: SparkSession, nodes: pd.DataFrame, params: dict) -> IsolationForestModel:
+        return IsolationForestModel(spark, nodes, params)
+
     def _identified(self, df: DataFrame) -> DataFrame:
         """(key, x): the features of each row and a text that identifies it."""
-        x = feature_array(df, self.features).alias("x")
+        x = self._features(df).alias("x")
         if self.key:
             parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in self.key]
             joined = [c for part in parts for c in (F.lit("|"), part)][1:]
@@ -149,10 +160,10 @@ class IsolationForest:
 
     def grow(self, sample: DataFrame, total: int) -> DataFrame:
         """The node table; each task grows one tree from its psi rows, or all if there are fewer."""
-        seed, depth = self.seed, math.ceil(math.log2(max(2, min(self.psi, total))))
+        tree, seed, depth = self._tree, self.seed, math.ceil(math.log2(max(2, min(self.psi, total))))
 
         def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = grow_tree(np.vstack(pdf["x"].to_numpy()), int(pdf["tree"].iloc[0]), seed, depth)
+            rows = tree(pdf["x"], int(pdf["tree"].iloc[0]), seed, depth)
             return pd.DataFrame(rows, columns=["tree", "node", "depth", "feature", "threshold",
                                                "n", "path"])
 
@@ -170,7 +181,7 @@ class IsolationForest:
         params = {"kind": KIND, "trees": self.trees, "psi": self.psi, "seed": self.seed,
                   "sample_size": min(self.psi, total), "contamination": self.contamination,
                   "features": self.features, "key": self.key, "width": width}
-        model = IsolationForestModel(spark, nodes, params)
+        model = self._model(spark, nodes, params)
         # The quantile passes read a written copy of the scores instead of scoring again.
         scores = model.score(rows).select("anomaly_score")
         threshold = exact_quantiles(scores, ["anomaly_score"],
@@ -184,7 +195,10 @@ class IsolationForestModel:
 
     def __init__(self, spark: SparkSession, nodes: pd.DataFrame, params: dict):
         self.spark, self.params, self._nodes = spark, params, nodes
-        self._forest = spark.sparkContext.broadcast(pack_forest(nodes))
+        self._forest = spark.sparkContext.broadcast(self._packed(nodes))
+
+    def _packed(self, nodes: pd.DataFrame) -> dict:
+        return pack_forest(nodes)
 
     def release(self) -> None:
         """Drop the executors' copies; scoring sends them again."""

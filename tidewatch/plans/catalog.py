@@ -20,6 +20,7 @@ from tidewatch.operators.preprocess import (
 )
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.random_forest import RandomForestModel, fit_random_forest, top_features
+from tidewatch.operators.sparse import SparseFlowPreprocessor, SparseIsolationForest
 from tidewatch.operators.traffic import HOST_FEATURES, TIME_FEATURES, flow_features
 from tidewatch.plans.models import load_model, publish_model
 from tidewatch.plans.pipelines import detect, detect_job, evaluate_classifier, train
@@ -253,6 +254,26 @@ def encode_label(spark, sf_dir):
     return _encoded(spark, sf_dir, "label", ["flag_code", "status_code"])
 
 
+@query
+def encode_wide(spark, sf_dir):
+    """One-hot of a column with a value per order: sparse, by a lookup table."""
+    rows = spread(lineitem(spark, sf_dir)).select(*ROW_KEY, *NUMERIC, "l_returnflag", F.col("l_orderkey").alias("order"))
+    prep = SparseFlowPreprocessor(["order", "l_returnflag"], exclude=ROW_KEY).fit(rows)
+    x = F.col("features")
+    return prep.transform(rows).select(
+        *ROW_KEY, x["size"].alias("size"), F.size(x["indices"]).alias("filled"), x["indices"][4].alias("order_slot"),
+        x["indices"][5].alias("flag_slot"), rounded(x["values"][0], "s0"), rounded(x["values"][5], "s5"))
+
+
+@query
+def detect_flows_sparse(spark, sf_dir):
+    """``detect_flows`` on sparse features: the same forest and scores."""
+    flows = flow_records(spark, sf_dir, ROW_KEY).drop("label", "difficulty")
+    rows = SparseFlowPreprocessor(CATEGORICAL, "minmax", exclude=ROW_KEY).fit(flows).transform(flows)
+    model = SparseIsolationForest("features", key=ROW_KEY).fit(rows)
+    return detect(rows, None, model).select(*ROW_KEY, "prediction", rounded("anomaly_score"))
+
+
 @query
 def assemble_features(spark, sf_dir):
     rows = lineitem(spark, sf_dir).select(*ROW_KEY, *CATEGORY, *NUMERIC)

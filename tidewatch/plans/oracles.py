@@ -157,6 +157,12 @@ SELECT {KEYS}, (l_returnflag = 'A')::int AS flag_a, (l_returnflag = 'R')::int AS
 ORACLES["encode_label"] = f"""
 SELECT {KEYS}, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'R' THEN 1 ELSE -1 END AS flag_code,
   CASE l_linestatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE -1 END AS status_code FROM lineitem"""
+_orders = "(SELECT count(DISTINCT l_orderkey) FROM lineitem)"
+ORACLES["encode_wide"] = f"""
+SELECT {KEYS}, 4 + {_orders} + (SELECT count(DISTINCT l_returnflag) FROM lineitem) AS size, 6 AS filled,
+  3 + dense_rank() OVER (ORDER BY l_orderkey::varchar) AS order_slot,
+  3 + {_orders} + dense_rank() OVER (ORDER BY l_returnflag) AS flag_slot,
+  {r6(f"({NUMERIC[0]} - avg({NUMERIC[0]}) OVER ()) / stddev_pop({NUMERIC[0]}) OVER ()", 's0')}, 1.0::double AS s5 FROM lineitem"""
 _slots = [f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in NUMERIC] + [
     f"(l_returnflag = '{v}')::int::double" for v in "ANR"] + [
     f"(l_linestatus = '{v}')::int::double" for v in "FO"]
@@ -545,3 +551,4 @@ ORACLES["sessions"] = f"""{SESSIONS} SELECT dst_ip, session_start, session_end,
 ORACLES["stream_sessions"] = f"""{SESSIONS} SELECT dst_ip, session_start, session_end, connections FROM s
 WHERE session_end + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM c)"""
 ORACLES["stream_alerts_resent"] = ORACLES["stream_alerts"]
+ORACLES["detect_flows_sparse"] = ORACLES["detect_flows"]
