@@ -6,6 +6,11 @@ import json
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+
+#: ASCII white space, which ends a piece.
+_GAPS = np.zeros(256, bool)
+_GAPS[[9, 10, 11, 12, 13, 32]] = True
 
 #: Encoders of this Python worker, by file.
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -18,19 +23,36 @@ def encoder(path: str) -> "Encoder":
     return _ENCODERS[path]
 
 
+def _pieces(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The pieces of all texts, each with a space behind, and how many there are up to each text's end."""
+    raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    gap = _GAPS[raw]
+    closes = np.empty(len(gap), bool)           # the first gap behind a piece
+    closes[:1], closes[1:] = False, gap[1:] & ~gap[:-1]
+    keep = ~gap | closes
+    letters, closed = raw[keep], closes[keep]
+    letters[closed] = 32
+    offsets = np.append(0, np.flatnonzero(closed) + 1).astype(np.int32)
+    stops = np.cumsum([len(t) + 1 for t in texts]) - 1
+    pieces = pa.BinaryArray.from_buffers(
+        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    return pieces, np.searchsorted(np.flatnonzero(closes), stops, side="right")
+
+
 class Encoder:
     """Ids of texts, equal to the tokenizer's own without special tokens.
 
     A tokenizer whose words end in a suffix drops white space and encodes every piece between
-    it by itself, so the ids of pieces met before are looked up. About ``most`` pieces are kept,
-    and as many that were met before those. Other tokenizers encode whole texts.
+    it by itself, so the ids of pieces met before are looked up, for the distinct pieces of about
+    ``letters`` bytes of texts at a time. About ``most`` pieces are kept, and as many that were met
+    before those. Other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, letters: int = 1 << 23):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.most = most
+        self.most, self.letters = most, letters
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
@@ -47,24 +69,38 @@ class Encoder:
         if self.ends is None:
             found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
             return [np.array(x.ids, self.dtype).tobytes() for x in found]
-        return [ids for k in range(0, len(texts), 128) for ids in self._looked_up(texts[k:k + 128])]
-
-    def _looked_up(self, texts: list[str]) -> list[bytes]:
-        out = [self._split(text) for text in texts]
-        # difference() of a set and a dict looks up the set's items; "-" of a view goes over the dict.
-        met = set().union(*out)
+        out, part, size = [], [], 0
+        for text in texts:
+            part.append(self._plain(text))
+            size += len(part[-1])
+            if size >= self.letters:
+                out += self._looked_up(part)
+                part, size = [], 0
+        return out + self._looked_up(part) if part else out
+
+    def _looked_up(self, texts: list[bytes]) -> list[bytes]:
+        """All steps go over a batch of texts or its distinct pieces, none over its words."""
+        pieces, ends = _pieces(texts)
+        coded = pieces.dictionary_encode()
+        distinct = [piece[:-1] for piece in coded.dictionary.cast(pa.string()).to_pylist()]
         if len(self.pieces) > self.most:
             self.former, self.pieces = self.pieces, {"": b""}
-        new = met.difference(self.pieces)
+        new = {piece for piece in distinct if piece not in self.pieces}
         former = self.former
         again = {piece for piece in new if piece in former}
         self.pieces.update({piece: former[piece] for piece in again})
         self._learn(new - again)
-        return [b"".join(map(self.pieces.__getitem__, words)) for words in out]
-
-    def _split(self, text: str) -> list[str]:
-        for space in "\t\n\r\x0b\x0c":
-            text = text.replace(space, " ")
+        found = list(map(self.pieces.__getitem__, distinct))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        store, begins = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
+        piece = coded.indices.to_numpy()
+        size = sizes[piece]
+        stops = np.cumsum(size)
+        ids = store[np.arange(stops[-1] if len(stops) else 0) + np.repeat(begins[piece] - (stops - size), size)]
+        cuts = np.append(0, stops)[ends].tolist()
+        return [ids[i:j].tobytes() for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _plain(self, text: str) -> bytes:
         # The tokenizer drops case itself; doing so before makes fewer pieces. Where that might
         # not come to the same (special tokens, final sigma, marks to compose), it is left alone.
         if "<|" not in text:
@@ -74,7 +110,7 @@ class Encoder:
                 lower = text.lower()
                 if unicodedata.is_normalized("NFC", lower):
                     text = lower
-        return text.split(" ")
+        return text.encode()
 
     def _learn(self, new: set[str]) -> None:
         """Letters with a full stop or comma behind are two words of the tokenizer."""
