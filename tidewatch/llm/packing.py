@@ -180,8 +180,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
         enc = encoder(tokenizer_path)
         races = np.random.default_rng(1).exponential(size=(2, enc.size))
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
                 found = enc.encode(part.column("text").to_pylist())
                 marks = _marks(found, enc.dtype, races)
                 yield pa.RecordBatch.from_arrays(
