@@ -11,6 +11,7 @@ import hashlib
 import json
 import math
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -81,12 +82,13 @@ class IsolationForest:
     ``features`` is a vector or array column, or a list of numeric columns. Every tree draws its
     rows from all rows by a hash of ``key``, the columns that identify a row; rows that share a
     key share their draws. Without a key a row is known by its features and, among equal rows, a
-    number, so the draw is the same on any partitioning.
+    number, so the draw is the same on any partitioning. ``quantiles`` sets the threshold; it may
+    be ``sketches.approximate_quantiles``, which scores once and is near the threshold.
     """
 
     def __init__(self, features: str | list[str] = "features", key: list[str] | None = None,
                  trees: int = 100, psi: int = 256, contamination: float = 0.1, seed: int = 42,
-                 train_filter: Column | None = None):
+                 train_filter: Column | None = None, quantiles: Callable = exact_quantiles):
         if trees < 1 or psi < 2:
             raise ValueError("trees must be at least 1 and psi at least 2")
         if trees * (2 * psi - 1) > MOST_NODES:
@@ -95,7 +97,7 @@ class IsolationForest:
             raise ValueError("contamination must be in (0, 0.5]")
         self.features, self.key = features, list(key or [])
         self.trees, self.psi, self.contamination, self.seed = trees, psi, contamination, seed
-        self.train_filter = train_filter
+        self.train_filter, self.quantiles = train_filter, quantiles
 
     def sample(self, df: DataFrame) -> tuple[DataFrame, int]:
         """(tree, rank, key, x) with the psi lowest-hashed rows of each tree, and the row count."""
@@ -184,8 +186,8 @@ class IsolationForest:
         model = self._model(spark, nodes, params)
         # The quantile passes read a written copy of the scores instead of scoring again.
         scores = model.score(rows).select("anomaly_score")
-        threshold = exact_quantiles(scores, ["anomaly_score"],
-                                    [0.0, 1 - self.contamination, 1.0])["anomaly_score"]
+        threshold = self.quantiles(scores, ["anomaly_score"],
+                                   [0.0, 1 - self.contamination, 1.0])["anomaly_score"]
         params["min_score"], params["threshold"], params["max_score"] = threshold
         return model
 

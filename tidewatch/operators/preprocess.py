@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +26,15 @@ def numeric_columns(df: DataFrame, categorical: list[str], exclude: list[str] =
     return [c for c in df.columns if c not in categorical and c not in exclude]
 
 
-def scaling_parameters(df: DataFrame, columns: list[str], method: str) -> dict[str, tuple]:
+def scaling_parameters(df: DataFrame, columns: list[str], method: str,
+                       quantiles: Callable = exact_quantiles) -> dict[str, tuple]:
     """(centre, divisor) per column; a zero spread divides by 1."""
     if method not in SCALINGS:
         raise ValueError(f"scaling must be one of {SCALINGS}, not {method!r}")
     if not columns:
         return {}
     if method == "robust":
-        quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
+        quartiles = quantiles(df, columns, [0.25, 0.5, 0.75])
         pairs = {c: (q[1], q[2] - q[0]) for c, q in quartiles.items()}
     else:
         stats = column_stats(df, columns)
@@ -80,12 +82,14 @@ class FlowPreprocessor:
     Slots: scaled numerics in column order, then each categorical's encoding in the order given
     (sorted categories, unseen ones all zero; or one slot with the class number, unseen ones -1).
     NULL and NaN are left out of the fit. A NULL category counts as unseen; a NULL number stays
-    NULL, which scoring rejects. ``max_categories`` makes a wider column an error.
+    NULL, which scoring rejects. ``max_categories`` makes a wider column an error. ``quantiles`` may
+    be ``sketches.approximate_quantiles`` for robust scaling in one pass.
     """
 
     def __init__(self, categorical: list[str] | None = None, scaling: str = "standard",
                  encoding: str = "onehot", exclude: list[str] | None = None,
-                 output: str = "features", max_categories: int | None = None):
+                 output: str = "features", max_categories: int | None = None,
+                 quantiles: Callable = exact_quantiles):
         if scaling not in SCALINGS:
             raise ValueError(f"scaling must be one of {SCALINGS}, not {scaling!r}")
         if encoding not in ENCODINGS:
@@ -93,13 +97,14 @@ class FlowPreprocessor:
         self.categorical = list(categorical or [])
         self.scaling, self.encoding, self.output = scaling, encoding, output
         self.exclude = [LABEL] if exclude is None else list(exclude)
-        self.max_categories = max_categories
+        self.max_categories, self.quantiles = max_categories, quantiles
 
     def fit(self, df: DataFrame) -> FlowPreprocessorModel:
         numeric = numeric_columns(df, self.categorical, self.exclude)
         return FlowPreprocessorModel({
             "scaling": self.scaling, "encoding": self.encoding, "output": self.output,
-            "numeric": [[c, *p] for c, p in scaling_parameters(df, numeric, self.scaling).items()],
+            "numeric": [[c, *p] for c, p in scaling_parameters(
+                df, numeric, self.scaling, self.quantiles).items()],
             "categorical": [[c, v] for c, v in category_values(
                 df, self.categorical, self.max_categories).items()],
         })

@@ -20,6 +20,7 @@ from tidewatch.operators.preprocess import (
 )
 from tidewatch.operators.quantiles import exact_quantiles
 from tidewatch.operators.random_forest import RandomForestModel, fit_random_forest, top_features
+from tidewatch.operators.sketches import merge_sketches, rank_error, sketch_columns, sketched_quantiles
 from tidewatch.operators.sparse import SparseFlowPreprocessor, SparseIsolationForest
 from tidewatch.operators.traffic import HOST_FEATURES, TIME_FEATURES, flow_features
 from tidewatch.plans.models import load_model, publish_model
@@ -254,6 +255,25 @@ def encode_label(spark, sf_dir):
     return _encoded(spark, sf_dir, "label", ["flag_code", "status_code"])
 
 
+@query
+def sketched_quartiles(spark, sf_dir):
+    """Quartiles by sketches of each flag, put together: whether their ranks are within the bound."""
+    rows = lineitem(spark, sf_dir).select("l_returnflag", *[F.col(c).cast("double").alias(c) for c in NUMERIC])
+    path, k = scratch_path(spark, "sketches"), 400
+    sketch_columns(rows, NUMERIC, ["l_returnflag"], k).write.parquet(path)
+    found = sketched_quantiles(merge_sketches(spark.read.parquet(path), NUMERIC, k=k), NUMERIC, [0.25, 0.5, 0.75])
+    asked = spark.createDataFrame([(c, p, v) for c in NUMERIC for p, v in zip([0.25, 0.5, 0.75], found[c], strict=True)],
+                                  "column string, prob double, value double")
+    cells = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in NUMERIC])))
+    # Twelve rows are broadcast to the cells.
+    counts = cells.join(F.broadcast(asked), "column").groupBy("column", "prob").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("x") < F.col("value")).alias("below"),
+        F.count_if(F.col("x") <= F.col("value")).alias("upto"))
+    error = rank_error(k)
+    return counts.select("column", "prob", "n", (
+        (F.col("below") / F.col("n") <= F.col("prob") + error) & (F.col("upto") / F.col("n") >= F.col("prob") - error)).alias("within"))
+
+
 @query
 def encode_wide(spark, sf_dir):
     """One-hot of a column with a value per order: sparse, by a lookup table."""

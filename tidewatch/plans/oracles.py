@@ -552,3 +552,6 @@ ORACLES["stream_sessions"] = f"""{SESSIONS} SELECT dst_ip, session_start, sessio
 WHERE session_end + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM c)"""
 ORACLES["stream_alerts_resent"] = ORACLES["stream_alerts"]
 ORACLES["detect_flows_sparse"] = ORACLES["detect_flows"]
+ORACLES["sketched_quartiles"] = f"""
+SELECT c AS "column", p::double AS prob, (SELECT count(*) FROM lineitem) AS n, true AS within
+FROM unnest([{', '.join(text(c) for c in NUMERIC)}]) AS a(c), unnest([0.25, 0.5, 0.75]) AS b(p)"""
