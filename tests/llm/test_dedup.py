@@ -70,7 +70,7 @@ def plain_lines(rows):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
     before, out = [], {}
     for i in order:
-        lines = (rows[i][1] or "").split("\n") if rows[i][1] is not None else []
+        lines = (rows[i][1] or "").split("\n")          # a null text is one empty line, as in the query's SQL
         left, equal, close = [], 0, 0
         for line in lines:
             words = WORD.findall(line)
@@ -309,3 +309,25 @@ def test_simhash_empty(spark):
     assert simhash_groups(documents(spark, [])).count() == 0
 
 
+def test_lines_equal_their_sql_on_hard_rows(spark):
+    """Null, empty and very long texts as the query's SQL has them; ids once, as it merges by id."""
+    import duckdb
+
+    from tidewatch.llm.queries import LLM_ORACLES
+
+    rows = list({r[0]: r for r in HARD if r[0] is not None}.values()) + [(20, "one two three four five\n\nmill"), (21, "one two four five")]
+    documents_ = documents(spark, rows)
+    got = dedup_lines(documents_).select("doc_id", "lines.all", "lines.dropped", "lines.near",
+                                         F.sha2(F.coalesce("text", F.lit("")), 256)).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(r[0], r[1]) for r in rows])
+    assert sorted(map(tuple, got)) == sorted(con.execute(LLM_ORACLES["op1_line_dedup"]).fetchall())
+
+
+def test_kept_columns_may_have_any_name(spark):
+    names = ["_row", "_gone", "_kept", "_left", "h1", "line"]
+    docs = documents(spark, [(1, "a b"), (2, "a b"), (3, None)])
+    docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names if n not in docs.columns])
+    got = {r["doc_id"]: r for r in dedup_lines(docs, ["doc_id", *names]).collect()}
+    assert [got[1][n] for n in names] == [f"{n}-1" for n in names] and got[2]["text"] == "" and got[3]["text"] is None

@@ -24,7 +24,7 @@ RESULT = {
 
 def test_all_are_registered():
     assert set(LLM_QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES) == list(range(1, 14))
     assert set(LLM_ORACLES) <= set(entry.oracle_sql())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "lines", "simhash", "mixing", "packing"]
 

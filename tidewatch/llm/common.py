@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tidewatch
-from tidewatch.session import scratch_path
+from tidewatch.session import drop_path, scratch_path
 
 _SHIPPED: set[str] = set()
+#: Paths written by the operators that run within ``alone``, innermost last.
+_WRITTEN: list[list[str]] = []
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -49,10 +52,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def alone(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``make`` describes, written; all that was written on the way to it is dropped."""
+    _WRITTEN.append([])
+    try:
+        out = make()
+    finally:
+        before = _WRITTEN.pop()
+    out = written(out, name)
+    for path in before:
+        drop_path(out.sparkSession, path)
+    return out
+
+
 def numbered(docs: DataFrame, name: str = "_row") -> DataFrame:
     """``docs`` written once with a number per row: jobs that read it see the same numbers.
 

@@ -272,7 +272,7 @@ def dedup_lines(docs: DataFrame, keep: list[str] | None = None, most: int = 500_
     they are dropped themselves. Lines without words always stay.
 
     Returns the columns ``keep`` (doc_id) of every row, text (the lines left, joined by line feeds; null stays null), and in
-    a struct ``lines`` all (lines), dropped, near (dropped with no equal line before) and words
+    a struct ``lines`` all (lines; a null text is one empty line), dropped, near (dropped with no equal line before) and words
     (whether a line with words is left). Null doc_ids come last; rows with
     equal ids or texts are rows of their own, in the order of the scan. Empty table: no rows.
     Tables of line numbers by row are broadcast if they have at most ``most`` rows (some 50 MB);
@@ -283,16 +283,19 @@ def dedup_lines(docs: DataFrame, keep: list[str] | None = None, most: int = 500_
         raise ValueError("the column lines would be overwritten")
     if per_edit is not None and per_edit < FIVE:
         raise ValueError("per_edit must be 5 or more")
-    text = numbered(docs.select(*dict.fromkeys([*keep, "doc_id", "text"])))
-    marks = small(line_marks(text, most, per_edit), most)
-    every = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(_lines(F.col("text")))
+    # What is kept goes along as one column, so its names meet none of those here.
+    kept = F.struct(F.lit(0).alias("0"), *[F.col(f"`{c}`").alias(f"{i + 1}") for i, c in enumerate(keep)])
+    text = numbered(docs.select(kept.alias("_kept"), "doc_id", "text"))
+    marks = small(line_marks(text.drop("_kept"), most, per_edit), most)
+    every = _lines(text_of())
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     parted = text.join(marks, "_row", "left").withColumn("_every", every).withColumn("_gone", gone)
     number = F.size("_every")
     stay = F.array_except(F.sequence(F.lit(0), number - 1), F.col("_gone"))
     rest = F.array_join(F.transform(stay, lambda i: F.element_at(F.col("_every"), i + 1)), "\n")
     left = F.when(F.size("_gone") == 0, F.col("text")).otherwise(rest)
-    return parted.withColumn("_left", left).select(*keep, F.col("_left").alias("text"), F.struct(
+    back = [F.col("_kept")[f"{i + 1}"].alias(c) for i, c in enumerate(keep)]
+    return parted.withColumn("_left", left).select(*back, F.col("_left").alias("text"), F.struct(
         number.cast("long").alias("all"), F.size("_gone").cast("long").alias("dropped"),
         F.coalesce("_near", F.lit(0)).cast("long").alias("near"),
         F.coalesce(F.col("_left").rlike(WORD), F.lit(False)).alias("words")).alias("lines"))

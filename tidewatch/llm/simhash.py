@@ -168,7 +168,8 @@ def fingerprint_links(fingerprints: DataFrame, bits: int = 4, chunk: int = 4096)
         raise ValueError("the keys are complete up to 4 differing bits")
     # Eight bytes become some 170 keys: not as few tasks as the fingerprints alone would get.
     tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    emitted = fingerprints.select("fp").repartition(tasks, "fp").mapInArrow(_emit_keys, "key long, fp long")
+    # Dealt by a hash of fp: by fp itself they are dealt already, to few tasks.
+    emitted = fingerprints.select("fp").repartition(tasks, F.xxhash64("fp")).mapInArrow(_emit_keys, "key long, fp long")
     found = written(emitted.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(
         _verify(bits, chunk), "a long, b long, part long"), "golay")
     return found.filter("part IS NULL").select("a", "b").unionByName(_chunk_pairs(found, bits)).distinct()
