@@ -155,6 +155,18 @@ def test_notices_by_their_wording(spark):
     assert [(s.start, s.label) for s in spans] == [(50, "bsd")]
 
 
+def test_short_notices_one_behind_another_stay_apart(spark):
+    notice = "Licensed under CC BY 4.0."
+    rows = [(1, " ".join([notice] * 4)), (2, notice + " and " + notice), (3, notice), (4, "CC BY 4.0"),
+            (5, " ".join([notice] * 300))]
+    spans = find_spans(documents(spark, rows)).filter("label = 'cc-by'").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list("start")).alias("starts"))
+    got = {r.doc_id: r.starts for r in spans.collect()}
+    assert got == {1: [0, 6, 12, 18], 2: [0, 7], 3: [0], 5: list(range(0, 1800, 6))}
+    assert {r.doc_id: r.n_notices for r in scan_licenses(documents(spark, rows)).collect()} == {
+        1: 4, 2: 2, 3: 1, 4: 0, 5: 300}
+
+
 def test_templates_and_empty_tables(spark):
     assert scan_licenses(documents(spark, [])).count() == 0
     for wrong in ({"k": 1}, {"k": 6}, {"phrases": [("one", "x")]}):

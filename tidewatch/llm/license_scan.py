@@ -109,7 +109,9 @@ def find_spans(docs: DataFrame, templates: Templates | None = None, slack: int =
     sent). Hits of one template vote for the diagonal document place minus template place. A
     phrase stands where all its 2-grams vote. For notices, diagonals no more than ``slack`` words
     apart are merged, as an inserted or dropped word shifts the rest; the words of the template
-    under the merged votes are counted, and a span with a share of at least ``least`` counts.
+    under the merged votes are counted, and a span with a share of at least ``least`` counts. Two
+    spans of one template that do not overlap lie ``2 * least - 1`` of its words apart at least, so
+    diagonals of short templates merge only below that: notices one behind another stay apart.
 
     Returns _row, doc_id, n_words, template, label, phrase, start, share.
     """
@@ -126,7 +128,9 @@ def find_spans(docs: DataFrame, templates: Templates | None = None, slack: int =
         F.first("label").alias("label"), F.first("phrase").alias("phrase"), F.first("size").alias("size"),
         F.collect_set("place").alias("places"))
     by_template = Window.partitionBy(*doc, "template").orderBy("diagonal")
-    near = F.col("diagonal") - F.lag("diagonal").over(by_template) <= F.when(F.col("phrase"), 0).otherwise(slack)
+    apart = F.ceil((2 * least - 1) * F.col("size")) - 1
+    near = F.col("diagonal") - F.lag("diagonal").over(by_template) <= F.when(F.col("phrase"), 0).otherwise(
+        F.least(F.lit(slack), apart))
     runs = diagonals.withColumn("new", F.when(near, 0).otherwise(1)).withColumn(
         "run", F.sum("new").over(by_template.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy(*doc, "template", "run").agg(
