@@ -131,8 +131,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                       shard_ids: int = 1 << 25, index_keys: int = 1 << 16, seed: int = 11) -> int:
     """Encode whole texts and write them with their index; gives the number of documents.
 
-    Documents are dealt by ranges of doc_id and sorted, so that file order is id order; every
-    task streams its range into files of at least ``shard_ids`` ids each. The index is cut into
+    Documents are dealt by ranges of doc_id and a hash of the text and sorted by both, so that file
+    order is id order, a repeated task writes rows of one id in the same order, and an id with very
+    many rows is dealt to many tasks; every task streams its range into files of at least ``shard_ids`` ids each. The index is cut into
     buckets of about ``index_keys`` keys by hash, each one task and one file: bit arrays of a
     minimal perfect hash, a 32-bit fingerprint per key that tells strangers, file, place and
     length. Keys are (doc_id, number among rows of that id), so repeated ids stay apart; a null
@@ -140,7 +141,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     empty tables and no file.
     """
     spark = docs.sparkSession
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn(
+        "digest", F.xxhash64("text"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _files(path)
@@ -171,7 +173,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if shard is not None:
             shard.close()
 
-    entries = written(ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(
+    order = ["doc_id", "digest"]
+    entries = written(ids.repartitionByRange(*order).sortWithinPartitions(*order).drop("digest").mapInArrow(
         write, "doc_id long, shard long, at long, n long"), "token-entries")
     # One row per file; the files are in order, so their sums give every file's first place.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
