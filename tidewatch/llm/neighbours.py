@@ -164,7 +164,9 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, id_column: str
     distances of a hot cell are many tasks. Each gives its k + 1 nearest, which are merged.
 
     Returns query_id, rank (from 1), vec_id, score (Euclidean distance in doubles), nearest
-    first, ties to the smaller id; a row never finds its own id. Empty table: no rows.
+    first, ties to the smaller id; a row never finds its own id. Rows of one id with equal vectors
+    count once; with other vectors each is a query of its own with its own list, and a candidate of
+    its own, so an id may stand twice in a list. Empty table: no rows.
     """
     rows = written(usable(embeddings, id_column, vector_column), "vectors")
     few = Window.partitionBy("h1", "h2").orderBy("vec_id")
@@ -180,9 +182,11 @@ def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, id_column: str
     cells = 1
     while cells * 2 <= min(most_cells, np.sqrt(n) / 2, sample / 8):
         cells *= 2
-    share = min(1.0, 2 * sample / n)
+    # The smallest hashes: a rerun draws the same. The filter leaves few more than are taken.
+    share = min(1.0, 2.5 * sample / n)
     draw = F.pmod(F.xxhash64("h2", "h1"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = classes.filter(draw < share).select("h1", "v").limit(2 * sample).toArrow().sort_by("h1")
+    drawn = classes.filter(draw < share).select("h1", "h2", "v", draw.alias("draw")).orderBy("draw", "h1", "h2").limit(
+        2 * sample).toArrow()
     taken = vectors_of(drawn.column("v"))
     router = fit_router(taken[::2], taken[1::2], cells, k, target)
     sent = embeddings.sparkSession.sparkContext.broadcast(router)
