@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 from tidewatch.llm.mixing import _pivot, _settle, mix_sources, source_targets
 from tidewatch.llm.neighbours import balanced_parts, nearest, neighbour_graph
-from tidewatch.llm.packing import Shard, pack_documents
+from tidewatch.llm.packing import Shard, Statistics, pack_documents
 from tidewatch.llm.token_files import build_hash, find_slots, read_token_files, write_token_files
 from tidewatch.llm.tokens import Encoder
 
@@ -171,6 +171,16 @@ def test_token_files_round_trip(spark, tmp_path, tokenizer, clash):
     assert np.frombuffer(raw, "<u2").tolist() == [i for _, t in rows for i in plain_ids(tokenizer, t, 2)]
 
 
+def test_token_files_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    rows = [(7, f"text {i} of one id") for i in range(60)] + [(None, f"no id {i}") for i in range(60)]
+    files = []
+    for i, some in enumerate((rows, rows[::-1])):
+        path = tmp_path / f"f{i}"
+        write_token_files(stored(spark, documents(spark, some, partitions=1 + 4 * i), tmp_path / f"d{i}"), str(path), TOKENIZER, 2)
+        files.append(b"".join(p.read_bytes() for p in sorted(path.glob("ids-*.bin"))))
+    assert files[0] == files[1]
+
+
 def test_token_files_of_no_documents(spark, tmp_path):
     assert write_token_files(documents(spark, []), str(tmp_path / "f"), TOKENIZER, 2) == 0
     assert read_token_files(spark, str(tmp_path / "f"), spark.createDataFrame([(1, 0)], "doc_id long, copy long")).count() == 0
@@ -232,9 +242,10 @@ def test_related_texts_share_windows(spark, tmp_path, tokenizer):
 def test_bm25_beside_a_plain_version():
     rng = np.random.default_rng(4)
     docs = [rng.integers(0, 30, rng.integers(1, 40)).astype(np.uint32) for _ in range(25)]
-    shard = Shard(docs, 30)
-    shard.unused[3] = False
     mean = np.mean([len(d) for d in docs])
+    whole = Statistics(25, mean, np.array([sum(t in x for x in docs) for t in range(30)]))
+    shard = Shard(docs, whole.idf, mean)
+    shard.unused[3] = False
     scores = {}
     for j, d in enumerate(docs):
         total = 0.0
@@ -247,6 +258,26 @@ def test_bm25_beside_a_plain_version():
     want = sorted((j for j in scores if j != 3 and scores[j] > 0), key=lambda j: -scores[j])
     got = shard.neighbours(3, terms=30, most=25)
     assert [round(scores[j], 9) for j in got] == [round(scores[j], 9) for j in want]
+    # A pair scores alike in a shard that holds but a part of the documents.
+    part = Shard(docs[3:12], whole.idf, mean)
+    part.unused[0] = False
+    assert [j + 3 for j in part.neighbours(0, terms=30, most=25)] == [j for j in got if 3 <= j < 12]
+
+
+def test_statistics_are_those_of_all_documents(spark, tmp_path, tokenizer, monkeypatch):
+    from tidewatch.llm import packing
+
+    seen = []
+    told = packing._statistics
+    monkeypatch.setattr(packing, "_statistics", lambda *a: seen.append(told(*a)) or seen[-1])
+    rows = [*HARD, *((1000 + i, prose(i, i % 90)) for i in range(300))]
+    pack_documents(stored(spark, documents(spark, rows, partitions=7), tmp_path / "d"), TOKENIZER, 1).count()
+    texts = [plain_ids(tokenizer, t, 1) for _, t, *_ in rows]
+    df = np.zeros(len(seen[0].df), np.int64)
+    for t in texts:
+        df[np.unique(t)] += 1
+    assert seen[0].n == len(rows) and (seen[0].df == df).all()
+    assert abs(seen[0].mean - np.mean([len(t) for t in texts])) < 1e-9
 
 
 # -- search ------------------------------------------------------------------------------------
@@ -289,6 +320,13 @@ def test_search_recall(spark, sf_dir):
     assert hits >= 0.9 * 10 * len(want)
 
 
+def test_search_of_repeated_ids_with_other_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (0, [5.0]), (3, [2.0]), (3, [4.0]), (7, [9.0])],
+                               "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest(df, k=2).collect())
+    assert got == [(0, 1, 3, 1.0), (0, 1, 3, 1.0), (0, 2, 3, 3.0), (0, 2, 3, 3.0)]
+
+
 def test_search_with_too_few_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest(empty).columns == ["query_id", "rank", "vec_id", "score"] and nearest(empty).count() == 0
@@ -318,7 +356,8 @@ def test_marks_beside_a_plain_version():
     rng = np.random.default_rng(6)
     races = rng.exponential(size=(2, 50))
     texts = [rng.integers(0, 50, n).astype("<u2") for n in (0, 1, 7, 300, 0, 40)]
-    got = _marks([t.tobytes() for t in texts], np.dtype("<u2"), races)
+    got, df = _marks([t.tobytes() for t in texts], np.dtype("<u2"), races)
+    assert df.tolist() == [sum(i in t for t in texts) for i in range(50)]
     for i, t in enumerate(texts):
         tokens, counts = np.unique(t, return_counts=True)
         for race, marks in zip(races, got):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,28 @@ from tidewatch.llm.tokens import encoder
 _K1, _B = 1.2, 0.75
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 needs of all documents: their number, mean length, and how many hold each term."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @property
+    def idf(self) -> np.ndarray:
+        out = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+        out[self.df < 2] = 0.0              # a term of one document finds nobody
+        return out
+
+
 class Shard:
-    """A BM25 index over the token ids of a bounded number of documents, and who is unused."""
+    """A part of the BM25 index: postings of a bounded number of documents, and who is unused.
+
+    Weights are by the statistics of the whole table, so a pair scores alike in any shard.
+    """
 
-    def __init__(self, documents: list[np.ndarray], terms: int):
+    def __init__(self, documents: list[np.ndarray], idf: np.ndarray, mean: float):
         n = len(documents)
         lengths = np.array([len(d) for d in documents], np.int64)
         # Sorted pairs (term, document): their runs are the postings and the frequencies.
@@ -29,11 +48,9 @@ class Shard:
         tf = np.diff(np.append(at, len(pairs)))
         term = (pairs[at] >> np.uint64(32)).astype(np.int64)
         self.document = (pairs[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.begin = np.searchsorted(term, np.arange(terms + 1))
-        df = np.diff(self.begin)
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.idf[df < 2] = 0.0              # a term of one document finds nobody
-        norm = _K1 * (1 - _B + _B * lengths / lengths.mean())
+        self.begin = np.searchsorted(term, np.arange(len(idf) + 1))
+        self.idf = idf
+        norm = _K1 * (1 - _B + _B * lengths / mean)
         self.weight = self.idf[term] * tf * (_K1 + 1) / (tf + norm[self.document])
         self.documents, self.unused = documents, np.ones(n, bool)
 
@@ -130,14 +147,17 @@ def _tail(rows: list, window: int) -> list:
     return out
 
 
-def _marks(texts: list[bytes], dtype: np.dtype, races: np.ndarray) -> list[np.ndarray]:
-    """For each race and text the token id that wins it, times divided by counts; -1 if empty."""
+def _marks(texts: list[bytes], dtype: np.dtype, races: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each race and text the token id that wins it, times divided by counts; -1 if empty.
+
+    Also how many of the texts hold each token id.
+    """
     lengths = [len(x) // dtype.itemsize for x in texts]
     ids = np.frombuffer(b"".join(texts), dtype).astype(np.uint64)
     pairs = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths) << np.uint64(32) | ids
     out = [np.full(len(texts), -1, np.int64) for _ in races]
     if not len(pairs):
-        return out
+        return out, np.zeros(races.shape[1], np.int64)
     pairs.sort()
     at = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
     counts = np.diff(np.append(at, len(pairs)))
@@ -149,7 +169,29 @@ def _marks(texts: list[bytes], dtype: np.dtype, races: np.ndarray) -> list[np.nd
         best = np.minimum.reduceat(times, begin)
         first = np.flatnonzero(times == np.repeat(best, np.diff(np.append(begin, len(text)))))[::-1]
         winner[text[first]] = token[first]      # of equal times the smallest id is written last
-    return out
+    return out, np.bincount(token, minlength=races.shape[1])
+
+
+def _statistics(encoded: DataFrame, terms: int, end_id: int) -> Statistics:
+    """The frequencies that every run of texts left beside its first row, summed.
+
+    Tasks add theirs up, Spark sums by term: no more rows than the vocabulary has reach the driver.
+    """
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(terms, np.int64)
+        for batch in batches:
+            for token, count in zip(batch.column("tokens").to_pylist(), batch.column("holders").to_pylist(), strict=True):
+                df[np.frombuffer(token, "<u4")] += np.frombuffer(count, "<u2")
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(df[term])], names=["term", "df"])
+
+    found = encoded.filter(F.col("tokens").isNotNull()).select("tokens", "holders").mapInArrow(
+        partial, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    total = encoded.agg(F.count("*").alias("n"), F.sum("n_ids").alias("ids")).first()
+    df = np.zeros(terms, np.int64)
+    df[found.column("term").to_numpy()] = found.column("df").to_numpy()
+    df[end_id] = total["n"]                 # behind every document
+    return Statistics(total["n"], (total["ids"] or 0) / max(total["n"], 1) + 1, df)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: int = 2048,
@@ -183,17 +225,24 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
                 found = enc.encode(part.column("text").to_pylist())
-                marks = _marks(found, enc.dtype, races)
+                marks, df = _marks(found, enc.dtype, races)
+                token, rest = np.flatnonzero(df), [None] * (len(found) - 1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_row"), part.column("doc_id"), *map(pa.array, marks),
-                     pa.array(found, pa.binary())], names=["_row", "doc_id", "mark", "second", "ids"])
+                     pa.array([len(x) // enc.dtype.itemsize for x in found], pa.int64()), pa.array(found, pa.binary()),
+                     pa.array([token.astype("<u4").tobytes(), *rest], pa.binary()),
+                     pa.array([df[token].astype("<u2").tobytes(), *rest], pa.binary())],
+                    names=["_row", "doc_id", "mark", "second", "n_ids", "ids", "tokens", "holders"])
 
     encoded = written(with_row(docs).select("_row", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        encode, "_row long, doc_id long, mark long, second long, ids binary"), "encoded")
+        encode, "_row long, doc_id long, mark long, second long, n_ids long, ids binary, tokens binary, holders binary"), "encoded")
+    whole = _statistics(encoded, max(encoder(tokenizer_path).size, end_id + 1), end_id)
+    # As many numbers as the vocabulary has.
+    sent = docs.sparkSession.sparkContext.broadcast((whole.idf, whole.mean))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
-        terms = max(enc.size, end_id + 1)
+        idf, mean = sent.value
         packer = _Packer(TaskContext.get().partitionId() << 40, window)
         keys, held, size = [], [], 0
 
@@ -202,7 +251,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
             nonlocal keys, held, size
             if held:
                 begin = len(packer.rows)
-                _pack_shard(packer, Shard(held, terms), query_terms, most)
+                _pack_shard(packer, Shard(held, idf, mean), query_terms, most)
                 for i in range(begin, len(packer.rows)):
                     document, *rest = packer.rows[i]
                     packer.rows[i] = ((*keys[document], held[document]), *rest)
