@@ -12,7 +12,7 @@ import public_tokenizers
 from tidewatch.llm.mixing import _pivot, _settle, mix_sources, source_targets
 from tidewatch.llm.neighbours import balanced_parts, nearest, neighbour_graph
 from tidewatch.llm.packing import Shard, Statistics, pack_documents
-from tidewatch.llm.token_files import build_hash, find_slots, read_token_files, write_token_files
+from tidewatch.llm.token_files import Index, _pack_index, build_hash, find_slots, read_token_files, write_token_files
 from tidewatch.llm.tokens import Encoder
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -151,6 +151,25 @@ def test_minimal_perfect_hash():
         build_hash(np.array([5, 5], np.uint64))
 
 
+@pytest.mark.parametrize("n", [1, 5, 223, 5000])
+def test_index_reads_a_few_places_of_its_file(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64)).astype(np.uint64)
+    columns = [rng.integers(0, 1 << 31, len(keys)) for _ in range(4)]
+    raw, reads = _pack_index(keys, *columns), []
+    index = Index(lambda at, length: reads.append(length) or raw[at:at + length])
+    slots = index.slots(keys)
+    assert sorted(slots) == list(range(len(keys))) and (slots == find_slots(build_hash(keys), keys)).all()
+    found = index.entries(slots)
+    assert all((found[c] == column).all() for c, column in zip(("mark", "shard", "at", "n"), columns, strict=True))
+    assert sum(reads) < 200 + 8 * 64 + 160 * len(keys)
+    reads.clear()
+    for key in keys[:50]:
+        index.entries(index.slots(np.array([key])))
+    assert len(reads) <= 4 * min(50, len(keys)) + 8 and max(reads) == 32       # whatever the size
+    assert len(index.slots(np.zeros(0, np.uint64))) == 0
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_token_files_round_trip(spark, tmp_path, tokenizer, clash):
     docs = stored(spark, documents(spark, [*HARD, *((100 + i, t) for i, t in enumerate(ODD))], clash), tmp_path / "d")
@@ -160,6 +179,7 @@ def test_token_files_round_trip(spark, tmp_path, tokenizer, clash):
     keys = spark.createDataFrame([(d, sum(x[0] == d for x in rows[:i])) for i, (d, _) in enumerate(rows)] + [(12345, 0), (7, 3)],
                                  "doc_id long, copy long")
     got = sorted(read_token_files(spark, path, keys).collect(), key=lambda r: r.start)
+    assert got == sorted(read_token_files(spark, path, keys, once=1).collect(), key=lambda r: r.start)
     at = 0
     assert len(got) == len(rows)                       # strangers give no row
     for r, (doc, text) in zip(got, rows):

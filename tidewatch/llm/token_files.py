@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import text_of, written
 from tidewatch.llm.tokens import encoder
 
-MAGIC = b"TWMPH001"
+MAGIC = b"TWMPH002"
+_BITS = 224                             # of a block, behind four bytes that number the keys ahead
+_ENTRY = np.dtype([("mark", "<u4"), ("shard", "<i8"), ("at", "<i8"), ("n", "<i8")])
 _GAMMA = 1.5
 _MASK = (1 << 64) - 1
 
@@ -65,38 +67,72 @@ def find_slots(bits: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _blocks(alone: np.ndarray, before: int) -> np.ndarray:
+    """A level's bits in blocks of 32 bytes, each with the number of keys ahead of it."""
+    count = -(-len(alone) // _BITS)
+    bits = np.zeros(count * _BITS, bool)
+    bits[:len(alone)] = alone
+    bits = bits.reshape(count, _BITS)
+    ahead = (before + np.cumsum(bits.sum(1)) - bits.sum(1)).astype("<u4")
+    return np.hstack([ahead.view(np.uint8).reshape(count, 4), np.packbits(bits, axis=1)])
+
+
 def _pack_index(keys, marks, shards, offsets, counts) -> bytes:
     bits = build_hash(keys)
+    entries = np.empty(len(keys), _ENTRY)
     slots = find_slots(bits, keys)
-    order = np.empty(len(keys), np.int64)
-    order[slots] = np.arange(len(keys))
+    for name, column in zip(_ENTRY.names, (marks, shards, offsets, counts), strict=True):
+        entries[name][slots] = column
     out = io.BytesIO()
     out.write(MAGIC + struct.pack("<QI", len(keys), len(bits)))
     out.write(np.array([len(b) for b in bits], "<u8").tobytes())
+    before = 0
     for b in bits:
-        out.write(np.packbits(b).tobytes())
-    for column, kind in ((marks, "<u4"), (shards, "<u8"), (offsets, "<u8"), (counts, "<u8")):
-        out.write(column[order].astype(kind).tobytes())
+        out.write(_blocks(b, before).tobytes())
+        before += int(b.sum())
+    out.write(entries.tobytes())
     return out.getvalue()
 
 
-def _unpack_index(raw: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    if raw[:8] != MAGIC:
-        raise ValueError("not an index of token files")
-    n, levels = struct.unpack_from("<QI", raw, 8)
-    at = 20
-    sizes = np.frombuffer(raw, "<u8", levels, at)
-    at += 8 * levels
-    bits = []
-    for size in sizes.tolist():
-        length = -(-size // 8)
-        bits.append(np.unpackbits(np.frombuffer(raw, np.uint8, length, at))[:size].astype(bool))
-        at += length
-    columns = []
-    for kind, width in (("<u4", 4), ("<u8", 8), ("<u8", 8), ("<u8", 8)):
-        columns.append(np.frombuffer(raw, kind, n, at))
-        at += width * n
-    return bits, columns
+class Index:
+    """Looks keys up in an index file: one block a level and one entry for each key.
+
+    ``read(at, length)`` gives bytes of the file. A key is found in about two levels on average whatever
+    the size of the bucket, so few keys cost few short reads; for many keys ``read`` is over bytes
+    that were read at once.
+    """
+
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        head = read(0, 20)
+        if head[:8] != MAGIC:
+            raise ValueError("not an index of token files")
+        self.n, levels = struct.unpack_from("<QI", head, 8)
+        self.sizes = np.frombuffer(read(20, 8 * levels), "<u8").tolist()
+        self.begins = np.cumsum([20 + 8 * levels, *(32 * -(-size // _BITS) for size in self.sizes)]).tolist()
+
+    def _rows(self, begin: int, width: int, numbers: np.ndarray) -> np.ndarray:
+        raw = b"".join(self.read(begin + width * i, width) for i in numbers.tolist())
+        return np.frombuffer(raw, np.uint8).reshape(len(numbers), width)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """As ``find_slots``, from the blocks."""
+        out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
+        for level, size in enumerate(self.sizes):
+            if not len(left):
+                break
+            places = _place(keys[left], level, size)
+            blocks = self._rows(self.begins[level], 32, places // _BITS)
+            bits, inside = np.unpackbits(blocks[:, 4:], axis=1), places % _BITS
+            ahead = np.where(np.arange(_BITS) < inside[:, None], bits, 0).sum(1)
+            hit = bits[np.arange(len(left)), inside] == 1
+            rank = np.ascontiguousarray(blocks[:, :4]).view("<u4")[:, 0].astype(np.int64) + ahead
+            out[left[hit]] = rank[hit]
+            left = left[~hit]
+        return out
+
+    def entries(self, slots: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self._rows(self.begins[-1], _ENTRY.itemsize, slots)).view(_ENTRY)[:, 0]
 
 
 # -- files ------------------------------------------------------------------------------------
@@ -219,11 +255,12 @@ def _keyed(df: DataFrame, buckets: int, seed: int) -> DataFrame:
         "bucket": F.pmod(F.xxhash64("doc_id", "copy", F.lit(seed + 2)), F.lit(buckets))})
 
 
-def read_token_files(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, keys: DataFrame, once: int = 1 << 12) -> DataFrame:
     """Documents by key, from the files: doc_id, copy, start, n_tokens, ids (binary).
 
     ``keys`` has doc_id and copy. The index gives each key's file, place and length in constant
-    time; keys that are not in the files have another fingerprint and give no row (a stranger
+    time, by a few short reads; a bucket asked for more than one key in ``once`` bytes of it is read
+    whole. Keys that are not in the files have another fingerprint and give no row (a stranger
     passes with a chance of 2^-32). ``ids`` are little-endian unsigned 32-bit integers.
     """
     layout = spark.read.parquet(f"{path}/layout").first()
@@ -233,15 +270,21 @@ def read_token_files(spark: SparkSession, path: str, keys: DataFrame) -> DataFra
     def look_up(group: pd.DataFrame) -> pd.DataFrame:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
         name = f"{root}/index-{int(group['bucket'].iloc[0]):06d}.mph"
-        if fs.get_file_info(name).type == pyarrow.fs.FileType.NotFound:
+        file = fs.get_file_info(name)
+        if file.type == pyarrow.fs.FileType.NotFound:
             return pd.DataFrame({"doc_id": [], "copy": [], "shard": [], "at": [], "n": []})
-        with fs.open_input_stream(name) as f:
-            bits, (marks, *columns) = _unpack_index(f.read())
-        slots = find_slots(bits, group["key"].to_numpy(np.int64).view(np.uint64))
-        right = (slots >= 0) & (marks[slots] == group["mark"].to_numpy())
-        at = slots[right]
-        found = {c: pd.Series(column[at].astype(np.int64)) for c, column in zip(("shard", "at", "n"), columns, strict=True)}
-        return pd.DataFrame({c: group.loc[right, c].reset_index(drop=True) for c in ("doc_id", "copy")} | found)
+        with fs.open_input_file(name) as f:
+            read = lambda at, length: f.read_at(length, at)
+            if len(group) * once > file.size:       # many keys: cheaper read as a whole
+                raw = f.read_at(file.size, 0)
+                read = lambda at, length: raw[at:at + length]
+            index = Index(read)
+            slots = index.slots(group["key"].to_numpy(np.int64).view(np.uint64))
+            known = np.flatnonzero(slots >= 0)
+            entries = index.entries(slots[known])
+        right = entries["mark"] == group["mark"].to_numpy()[known]
+        rows, entries = group.iloc[known[right]], entries[right]
+        return pd.DataFrame({c: rows[c].to_numpy() for c in ("doc_id", "copy")} | {c: entries[c] for c in ("shard", "at", "n")})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(path)
