@@ -78,7 +78,9 @@ def _words_of(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
     wanted = numbered.groupBy(F.col("first._row").alias("_row")).agg(
         F.collect_list(F.struct("no", "first", "h1")).alias("lines"))
     text = docs.select("_row", text_of().alias("text"))
-    again = text.join(small(written(wanted, "line-wanted"), most), "_row").select(
+    wanted = written(wanted, "line-wanted")
+    # A row holds all lines of its text, so the lines are counted and not the rows.
+    again = text.join(F.broadcast(wanted) if numbered.count() <= most else wanted, "_row").select(
         _lines(F.col("text")).alias("all"), F.explode("lines").alias("one"))
     return written(again.select("one.no", "one.first", "one.h1", F.split(
         _spelling(F.element_at("all", F.col("one.first.line") + 1)), " ").alias("words")), "line-candidates")
