@@ -1,5 +1,8 @@
 """Mixing, token files, search and packing beside plain versions and round trips."""
 
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -382,3 +385,21 @@ def test_marks_beside_a_plain_version():
         tokens, counts = np.unique(t, return_counts=True)
         for race, marks in zip(races, got):
             assert marks[i] == (tokens[(race[tokens] / counts).argmin()] if len(t) else -1)
+
+
+def test_encoder_starts_no_threads_of_its_own():
+    code = ("import os; import sys; from tidewatch.llm.tokens import Encoder; "
+            "enc = Encoder(sys.argv[1]); before = len(os.listdir('/proc/self/task')); "
+            "enc.encode(['Some words, %d.' % i for i in range(500)]); print(len(os.listdir('/proc/self/task')) - before)")
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code, TOKENIZER], env=env, cwd=root, capture_output=True, text=True, timeout=120, check=True)
+    assert done.stdout.split() == ["0"]
+
+
+def test_encoder_with_a_small_store_equals_the_tokenizer(tokenizer):
+    enc = Encoder(TOKENIZER, most=40, letters=200)
+    texts = [prose(i, 30) + f" end{i}. {i},{i} .. , x%, Éß. ΣΑΣ a.,b" for i in range(40)] + ["", ".", " , "]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)] == want

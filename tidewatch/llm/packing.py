@@ -236,12 +236,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
 
     encoded = written(with_row(docs).select("_row", F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
         encode, "_row long, doc_id long, mark long, second long, n_ids long, ids binary, tokens binary, holders binary"), "encoded")
-    whole = _statistics(encoded, max(encoder(tokenizer_path).size, end_id + 1), end_id)
+    enc = encoder(tokenizer_path)
+    dtype, whole = enc.dtype, _statistics(encoded, max(enc.size, end_id + 1), end_id)
     # As many numbers as the vocabulary has.
     sent = docs.sparkSession.sparkContext.broadcast((whole.idf, whole.mean))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
         idf, mean = sent.value
         packer = _Packer(TaskContext.get().partitionId() << 40, window)
         keys, held, size = [], [], 0
@@ -267,8 +267,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("_row", "doc_id", "ids"))
             for row, doc, raw in zip(*columns, strict=True):
-                ids = np.empty(len(raw) // enc.dtype.itemsize + 1, np.uint32)
-                ids[:-1], ids[-1] = np.frombuffer(raw, enc.dtype), end_id
+                ids = np.empty(len(raw) // dtype.itemsize + 1, np.uint32)
+                ids[:-1], ids[-1] = np.frombuffer(raw, dtype), end_id
                 keys.append((row, doc))
                 held.append(ids)
                 size += len(ids)

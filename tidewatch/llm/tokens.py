@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: ASCII white space, which ends a piece.
 _GAPS = np.zeros(256, bool)
@@ -48,7 +50,9 @@ class Encoder:
     before those. Other tokenizers encode whole texts.
     """
 
-    def __init__(self, path: str, most: int = 300_000, letters: int = 1 << 23):
+    def __init__(self, path: str, most: int = 300_000, letters: int = 1 << 22):
+        # Spark's tasks are the parallel part: threads of the library's own would share their cores.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,15 +86,21 @@ class Encoder:
         """All steps go over a batch of texts or its distinct pieces, none over its words."""
         pieces, ends = _pieces(texts)
         coded = pieces.dictionary_encode()
-        distinct = [piece[:-1] for piece in coded.dictionary.cast(pa.string()).to_pylist()]
+        distinct = pc.binary_slice(coded.dictionary, 0, -1).cast(pa.string()).to_numpy(zero_copy_only=False).tolist()
         if len(self.pieces) > self.most:
             self.former, self.pieces = self.pieces, {"": b""}
-        new = {piece for piece in distinct if piece not in self.pieces}
-        former = self.former
-        again = {piece for piece in new if piece in former}
-        self.pieces.update({piece: former[piece] for piece in again})
-        self._learn(new - again)
-        found = list(map(self.pieces.__getitem__, distinct))
+        found = list(map(self.pieces.get, distinct))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        former, new = self.former, []
+        for piece in map(distinct.__getitem__, missing):
+            ids = former.get(piece)
+            if ids is None:
+                new.append(piece)
+            else:
+                self.pieces[piece] = ids
+        self._learn(new)
+        for i in missing:
+            found[i] = self.pieces[distinct[i]]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
         store, begins = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
         piece = coded.indices.to_numpy()
@@ -112,17 +122,23 @@ class Encoder:
                     text = lower
         return text.encode()
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Letters with a full stop or comma behind are two words of the tokenizer."""
-        words = {piece for piece in new if piece.isalpha()}
-        ended, single = [], []
-        for piece in new - words:
-            stem = piece[:-1]
-            (ended if piece[-1] in ".," and stem.isalpha() else single).append(piece)
-        stems = {piece[:-1] for piece in ended}.difference(self.pieces)
-        again = {stem for stem in stems if stem in self.former}
-        self.pieces.update({stem: self.former[stem] for stem in again})
-        self._encode_words(sorted(words | stems - again))
+        words, ended, single = set(), [], []
+        for piece in new:
+            if piece.isalpha():
+                words.add(piece)
+            elif piece[-1] in ".," and piece[:-1].isalpha():
+                ended.append(piece)
+            else:
+                single.append(piece)
+        for stem in {piece[:-1] for piece in ended}.difference(self.pieces):
+            ids = self.former.get(stem)
+            if ids is None:
+                words.add(stem)
+            else:
+                self.pieces[stem] = ids
+        self._encode_words(list(words))
         self._encode_each([*single, *{".", ","}.difference(self.pieces)])
         pieces = self.pieces
         pieces.update({piece: pieces[piece[:-1]] + pieces[piece[-1]] for piece in ended})
