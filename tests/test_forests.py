@@ -275,3 +275,77 @@ def test_random_forest_default_names(classes):
     assert model.params["slots"] == ["feature_0", "feature_1", "feature_2"]
     with pytest.raises(ValueError):
         fit_random_forest(classes, trees=1, max_depth=1, slots=["one"])
+
+
+def _grown(rows, classes, **settings):
+    from tidewatch.operators.grown_forest import grow_forest
+
+    names = sorted({r["label"] for r in classes.select("label").distinct().collect()})
+    y = (F.array_position(F.lit(names), F.col("label")) - 1).cast("int").alias("y")
+    args = {"trees": 8, "max_depth": 30, "min_leaf": 1, "bins": 256, "seed": 42, "bootstrap": True, "subset": "auto",
+            "slots": None} | settings
+    return grow_forest(rows.select(y, "features"), names, [1.0] * len(names),
+                       {"classes": names, "features": "features", "label": "label"}, **args)
+
+
+def test_forest_to_purity_passes_over_the_rows_a_few_times(spark, classes, tmp_path, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda *_: pytest.fail("a pass per group of nodes"))
+    # Labels that no feature tells: every row drawn has to be told apart.
+    noisy = classes.withColumn("label", F.when(F.xxhash64("id") % 2 == 0, "a").otherwise("b"))
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    model = fit_random_forest(noisy, trees=12)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(before) < 25
+    rows = model.transform(noisy)
+    assert rows.columns == [*noisy.columns, "predicted", "class_probability"]
+    assert rows.filter("label = predicted").count() > 570
+    for r in rows.limit(50).collect():
+        assert sum(r["class_probability"]) == pytest.approx(1.0)
+        assert r["predicted"] == model.classes[int(np.argmax(r["class_probability"]))]
+    assert sum(r["importance"] for r in model.importances().collect()) == pytest.approx(1.0)
+    model.save(str(tmp_path / "rf"))
+    loaded = load_model(spark, str(tmp_path / "rf"))
+    assert loaded.transform(noisy).orderBy("id").collect() == rows.orderBy("id").collect()
+    assert loaded.importances().collect() == model.importances().collect()
+    for tree in model.trees:                # some rows share their bins, or what a node tries
+        assert np.mean(np.diff(tree["start"])[tree["feature"] < 0] == 1) > 0.9
+
+
+def test_grown_forest_is_the_same_with_and_without_histograms(classes):
+    rows = classes.coalesce(1)
+    # All features tried: the splits do not depend on where a node is grown.
+    plain = _grown(rows, classes, subset="all")
+    top = _grown(rows, classes, subset="all", task_rows=60, histogram_mb=1)
+    order = [m.transform(rows).orderBy("id").select("predicted", "class_probability").collect() for m in (plain, top)]
+    assert [r["predicted"] for r in order[0]] == [r["predicted"] for r in order[1]]
+    for a, b in zip(*order, strict=True):
+        assert a["class_probability"] == pytest.approx(b["class_probability"])
+    for a, b in zip(plain.importances().collect(), top.importances().collect(), strict=True):
+        assert a["importance"] == pytest.approx(b["importance"])
+
+
+def test_grown_tree_splits_as_spark_ml_does(classes):
+    stump = fit_random_forest(classes, trees=1, max_depth=1, bootstrap=False, feature_subset="all", balanced=False)
+    for task_rows in (100_000, 10):
+        mine = _grown(classes, classes, trees=1, max_depth=1, bootstrap=False, subset="all", task_rows=task_rows)
+        want = stump.transform(classes).orderBy("id").select("predicted", "class_probability").collect()
+        got = mine.transform(classes).orderBy("id").select("predicted", "class_probability").collect()
+        same = sum(a["predicted"] == b["predicted"] for a, b in zip(want, got, strict=True))
+        assert same > 590                   # Spark ML's thresholds are quantiles of its own
+        assert mine.importances().orderBy(F.desc("importance")).first()["slot"] == int(np.argmax(
+            stump.forest.featureImportances.toArray()))
+
+
+def test_grown_forest_of_odd_rows(spark):
+    one = spark.createDataFrame([("a", [1.0, 2.0])] * 3, "label string, features array<double>")
+    model = fit_random_forest(one, trees=3)
+    assert {(r["predicted"], tuple(r["class_probability"])) for r in model.transform(one).collect()} == {("a", (1.0,))}
+    tied = one.unionByName(one.withColumn("label", F.lit("b")).limit(1))
+    rows = fit_random_forest(tied, trees=40, balanced=False).transform(tied).collect()
+    assert {r["predicted"] for r in rows} == {"a"} and 0.5 < rows[0]["class_probability"][0] < 1
+    assert _grown(tied, tied, task_rows=1).transform(tied).count() == 4
+    with pytest.raises(ValueError):
+        fit_random_forest(one, trees=1, slots=["one"])
+    with pytest.raises(Exception, match="2 features"):
+        model.transform(spark.createDataFrame([([1.0],)], "features array<double>")).collect()

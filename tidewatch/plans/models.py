@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tidewatch.operators import isolation_forest, random_forest
+from tidewatch.operators import grown_forest, isolation_forest, random_forest
+from tidewatch.operators.grown_forest import GrownForestModel
 from tidewatch.operators.isolation_forest import IsolationForestModel, read_params
 from tidewatch.operators.random_forest import RandomForestModel
 
@@ -16,10 +17,11 @@ LOG = logging.getLogger(__name__)
 LOADERS = {
     isolation_forest.KIND: IsolationForestModel.load,
     random_forest.KIND: RandomForestModel.load,
+    grown_forest.KIND: GrownForestModel.load,
 }
 
 
-def load_model(spark: SparkSession, path: str) -> IsolationForestModel | RandomForestModel:
+def load_model(spark: SparkSession, path: str) -> IsolationForestModel | RandomForestModel | GrownForestModel:
     """The model saved at ``path``; its metadata says of which kind it is."""
     kind = read_params(spark, path)["kind"]
     if kind not in LOADERS:
