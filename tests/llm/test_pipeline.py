@@ -103,3 +103,18 @@ def test_rows_stay_the_same_when_the_scan_is_cut_otherwise(spark, tmp_path, monk
         assert result(True) == result(False)
     finally:
         spark.conf.set(bytes_, was)
+
+
+def test_shuffles_of_a_written_table_are_removed(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = blocks.getAllFiles().iterator()
+        return {name for name in iter(lambda: found.next().getName() if found.hasNext() else None, None)
+                if name.startswith("shuffle_")}
+
+    before, was = shuffles(), spark.conf.get(common.CLEANUP)
+    rows = common.written(spark.range(1000).repartition(3, "id"), "test")
+    assert shuffles() <= before
+    assert rows.count() == 1000
+    assert spark.conf.get(common.CLEANUP) == was

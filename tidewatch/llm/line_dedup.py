@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import WORD, numbered, small, text_of, written
+from tidewatch.session import drop_scratch
 
 #: A line of this many words or more has deletion variants: one edit leaves a similarity of 0.8.
 FIVE = 5
@@ -82,8 +83,11 @@ def _words_of(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
     # A row holds all lines of its text, so the lines are counted and not the rows.
     again = text.join(F.broadcast(wanted) if numbered.count() <= most else wanted, "_row").select(
         _lines(F.col("text")).alias("all"), F.explode("lines").alias("one"))
-    return written(again.select("one.no", "one.first", "one.h1", F.split(
+    found = written(again.select("one.no", "one.first", "one.h1", F.split(
         _spelling(F.element_at("all", F.col("one.first.line") + 1)), " ").alias("words")), "line-candidates")
+    drop_scratch(numbered, "line-numbers")
+    drop_scratch(wanted, "line-wanted")
+    return found
 
 
 def near_classes(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int) -> DataFrame:
