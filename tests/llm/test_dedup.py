@@ -10,7 +10,7 @@ import xxhash
 from helpers import ASCII, HARD, WORD, documents, prose, stored
 from pyspark.sql import functions as F
 
-from tidewatch.llm import golay
+from tidewatch.llm import golay, line_dedup
 from tidewatch.llm.components import components
 from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.line_dedup import dedup_lines
@@ -331,3 +331,29 @@ def test_kept_columns_may_have_any_name(spark):
     docs = docs.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in names if n not in docs.columns])
     got = {r["doc_id"]: r for r in dedup_lines(docs, ["doc_id", *names]).collect()}
     assert [got[1][n] for n in names] == [f"{n}-1" for n in names] and got[2]["text"] == "" and got[3]["text"] is None
+
+
+def test_lines_longer_than_a_key_tells(spark):
+    """Of a line of over ``LONG`` words neither length nor place goes with its keys."""
+    long = [f"w{i}" for i in range(line_dedup.LONG + 500)]
+    edited = ["x" if i % 7 == 0 else w for i, w in enumerate(long)]
+    other = ["x" if i % 4 == 0 else w for i, w in enumerate(long)]
+    shorter = edited[:line_dedup.LONG - 100]
+    rows = [(i, " ".join(words)) for i, words in enumerate([long, edited, other, shorter])]
+    found = line_dedup.dedup_lines(documents(spark, rows), per_edit=5).collect()
+    assert {r.doc_id: r.lines.near for r in found} == {0: 0, 1: 1, 2: 0, 3: 0}
+
+
+def test_candidate_lines_are_stored_as_texts(spark, monkeypatch):
+    """Lists of words and unused digests took more disk than the lines."""
+    put, kinds = line_dedup.written, {}
+
+    def write(df, name):
+        kinds[name] = dict(df.dtypes)
+        return put(df, name)
+
+    monkeypatch.setattr(line_dedup, "written", write)
+    rows = [(i, f"{prose(1, 12)} {i}") for i in range(4)]
+    found = line_dedup.dedup_lines(documents(spark, rows), per_edit=5).collect()
+    assert {r.doc_id: r.lines.near for r in found} == {0: 0, 1: 1, 2: 1, 3: 1}
+    assert set(kinds["line-candidates"]) == {"no", "first", "s"} and kinds["line-candidates"]["s"] == "string"

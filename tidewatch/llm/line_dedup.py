@@ -15,6 +15,9 @@ from tidewatch.session import drop_scratch
 FIVE = 5
 #: Buckets of words whose rough counts order the word pairs of a line.
 BUCKETS = 1 << 16
+#: Bits of the number of words of a line, and of a place in it, that go with a pair's hash, and the most they tell.
+PLACE = 11
+LONG = (1 << PLACE) - 1
 
 
 def _lines(text: Column) -> Column:
@@ -61,7 +64,7 @@ def line_table(docs: DataFrame, halves: bool = True) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int) -> DataFrame:
-    """Classes that share a half with another: no (ascending with first), first, h1, words."""
+    """Classes that share a half with another: no (ascending with first), first, words."""
     halves = seen.filter("halves IS NOT NULL").select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi")
     # Copies of a line have one h1, and a task sends each (line, half) once.
@@ -70,24 +73,25 @@ def _candidates(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int)
 
 
 def _words_of(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
-    """The words of the first lines of classes, read again: no (ascending with first), first, h1, words.
+    """The words of the first lines of classes, read again: no (ascending with first), first, words.
 
     The numbers come from ranges of ``first``, sorted within, so their order is that of ``first``.
     """
-    numbered = written(chosen.select("first", "h1").repartitionByRange("first").sortWithinPartitions("first").select(
-        F.monotonically_increasing_id().alias("no"), "first", "h1"), "line-numbers")
+    numbered = written(chosen.select("first").repartitionByRange("first").sortWithinPartitions("first").select(
+        F.monotonically_increasing_id().alias("no"), "first"), "line-numbers")
     wanted = numbered.groupBy(F.col("first._row").alias("_row")).agg(
-        F.collect_list(F.struct("no", "first", "h1")).alias("lines"))
+        F.collect_list(F.struct("no", "first")).alias("lines"))
     text = docs.select("_row", text_of().alias("text"))
     wanted = written(wanted, "line-wanted")
     # A row holds all lines of its text, so the lines are counted and not the rows.
     again = text.join(F.broadcast(wanted) if numbered.count() <= most else wanted, "_row").select(
         _lines(F.col("text")).alias("all"), F.explode("lines").alias("one"))
-    found = written(again.select("one.no", "one.first", "one.h1", F.split(
-        _spelling(F.element_at("all", F.col("one.first.line") + 1)), " ").alias("words")), "line-candidates")
+    # A line takes less room than the list of its words.
+    found = written(again.select("one.no", "one.first", _spelling(F.element_at(
+        "all", F.col("one.first.line") + 1)).alias("s")), "line-candidates")
     drop_scratch(numbered, "line-numbers")
     drop_scratch(wanted, "line-wanted")
-    return found
+    return found.select("no", "first", F.split("s", " ").alias("words"))
 
 
 def near_classes(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int) -> DataFrame:
@@ -220,16 +224,20 @@ def similar_classes(docs: DataFrame, classes: DataFrame, most: int, per_edit: in
     n = F.size("words")
     pairs = _rare_pairs(F.col("words"), n, per_edit, _rarity(docs))
     # Not explode: it adds a filter that works the pairs out a second time. No line here is without.
-    keys = read.select("no", n.alias("n"), F.explode_outer(pairs).alias("p")).select(
-        "p.key", "no", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p.i")).alias("at"))
+    # Two numbers a row are shuffled: the pair's hash has n and place behind it, each up to LONG.
+    at = F.shiftleft(F.least("n", F.lit(LONG)).cast("long"), PLACE).bitwiseOR(F.least("p.i", F.lit(LONG)).cast("long"))
+    sent = read.select("no", n.alias("n"), F.explode_outer(pairs).alias("p")).select(
+        F.shiftleft("p.key", 2 * PLACE).bitwiseOR(at).alias("sent"), "no").repartition(F.shiftrightunsigned("sent", 2 * PLACE))
+    keys = sent.select(F.shiftrightunsigned("sent", 2 * PLACE).alias("key"), "no", F.col("sent").bitwiseAND((1 << 2 * PLACE) - 1).alias("at"))
     of_key = Window.partitionBy("key")
     met = keys.withColumns({"lo": F.first(F.struct("no", "at")).over(of_key.orderBy("no")), "hi": F.max("no").over(of_key)})
     met = written(met.filter(F.col("lo.no") < F.col("hi")).drop("hi"), "line-met")
 
     def fits(a: str, b: str) -> Column:
-        (n, i), (m, j) = [(F.shiftright(x, 32), F.col(x).bitwiseAND(0xFFFFFFFF)) for x in (a, b)]
+        (n, i), (m, j) = [(F.shiftright(x, PLACE), F.col(x).bitwiseAND(LONG)) for x in (a, b)]
         bound = _within(n, m, per_edit)
-        return (F.abs(n - m) <= bound) & (F.abs(i - j) <= bound)
+        # Of a line that long, n and place are not known: its words decide.
+        return (F.greatest(n, m) == LONG) | (F.abs(n - m) <= bound) & (F.abs(i - j) <= bound)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """The later line of each pair within the bound: no, first."""
