@@ -15,6 +15,8 @@ from tidewatch.llm.common import text_of, with_row, written
 from tidewatch.llm.tokens import encoder
 
 _K1, _B = 1.2, 0.75
+#: Texts whose token ids are sorted at once.
+MARKED = 64
 
 
 @dataclass(frozen=True)
@@ -225,7 +227,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, window: in
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
                 found = enc.encode(part.column("text").to_pylist())
-                marks, df = _marks(found, enc.dtype, races)
+                # Few texts at a time are sorted within the processor's cache.
+                some = [_marks(found[i:i + MARKED], enc.dtype, races) for i in range(0, len(found), MARKED)]
+                marks, df = [np.concatenate(m) for m in zip(*(m for m, _ in some), strict=True)], sum(df for _, df in some)
                 token, rest = np.flatnonzero(df), [None] * (len(found) - 1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("_row"), part.column("doc_id"), *map(pa.array, marks),

@@ -101,14 +101,12 @@ class Encoder:
         self._learn(new)
         for i in missing:
             found[i] = self.pieces[distinct[i]]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        store, begins = np.frombuffer(b"".join(found), self.dtype), np.cumsum(sizes) - sizes
-        piece = coded.indices.to_numpy()
-        size = sizes[piece]
-        stops = np.cumsum(size)
-        ids = store[np.arange(stops[-1] if len(stops) else 0) + np.repeat(begins[piece] - (stops - size), size)]
-        cuts = np.append(0, stops)[ends].tolist()
-        return [ids[i:j].tobytes() for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
+        # Taken by piece, the ids of all texts lie one behind the other.
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, raw = ids.buffers()
+        store = memoryview(raw if raw is not None else b"")
+        cuts = np.frombuffer(offsets, np.int64)[ends].tolist()
+        return [store[i:j].tobytes() for i, j in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def _plain(self, text: str) -> bytes:
         # The tokenizer drops case itself; doing so before makes fewer pieces. Where that might
