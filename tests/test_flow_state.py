@@ -85,3 +85,24 @@ def test_idle_hosts_expire(spark, tmp_path):
         feed.add(f"conn_id IN {ids}")
     got = {r["conn_id"]: r["dst_host_count"] for r in feed.run(idle_seconds=45.0, late="1 second").collect()}
     assert got == {0: 1, 1: 1, 2: 2, 3: 3, 4: 1, 5: 4}      # "old" was forgotten, "new" was not
+
+
+@pytest.mark.parametrize("buckets", [1, 2])
+def test_hosts_that_share_a_state_are_apart(spark, tmp_path, buckets):
+    """One state for all hosts, and one for all services, gives what a state of each would."""
+    rows = sorted(log(240, 7))
+    feed = Log(spark, rows, tmp_path)
+    for a, b in [(0, 12), (12, 33), (33, 61)]:
+        feed.add((F.col("ts").cast("double") >= 1704067200 + a) & (F.col("ts").cast("double") < 1704067200 + b))
+    check(feed.run(buckets=buckets).select("conn_id", *FEATURES), brute(rows, 2.0, 10))
+
+
+def test_hosts_that_share_a_state_expire_apart(spark, tmp_path):
+    t0 = 1704067200.0
+    rows = [(t0 + t, i, "s", 1, h, 80, "http", "SF", 1.0) for i, (t, h) in enumerate(
+        [(0, "old"), (1, "new"), (2, "late"), (50, "new"), (90, "new"), (95, "old"), (96, "new"), (97, "late")])]
+    feed = Log(spark, rows, tmp_path)
+    for ids in ("(0, 1, 2)", "(3)", "(4)", "(5, 6, 7)"):
+        feed.add(f"conn_id IN {ids}")
+    got = {r["conn_id"]: r["dst_host_count"] for r in feed.run(idle_seconds=45.0, late="1 second", buckets=1).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 2, 4: 3, 5: 1, 6: 4, 7: 1}
