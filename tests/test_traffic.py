@@ -81,6 +81,21 @@ def test_batch(spark, cell, block):
     check(df, brute(rows, 2.0, 10))
 
 
+@pytest.mark.parametrize("block", [11, 10_000])
+def test_earlier_connections_count_for_the_last_n_only(spark, block):
+    """Rows from a window after ``since`` on are as without it; earlier ones are in no time window."""
+    rows, t0 = log(300, 4), 1704067200.0
+    df = flow_features(frame(spark, rows), 2.0, 10, block=block, since=int((t0 + 40) * 1_000_000)).cache()
+    late = {cid: row for cid, row in brute(rows, 2.0, 10).items() if rows_at(rows, cid) >= t0 + 42}
+    assert df.count() == 300 and len(late) > 50
+    check(df.filter(F.col("ts").cast("double") >= t0 + 42), late)
+    assert df.filter(F.col("ts").cast("double") < t0 + 40).filter("srv_count IS NOT NULL").count() == 0
+
+
+def rows_at(rows, cid):
+    return next(r[0] for r in rows if r[1] == cid)
+
+
 @pytest.mark.parametrize("cell,block", [(1.0, 16), (70.0, 10_000)])
 def test_host_features_alone(spark, cell, block):
     rows = log(300, 8)

@@ -46,10 +46,12 @@ def rejected(flag: Column) -> Column:
 
 def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 100,
                   cell_seconds: float = CELL_SECONDS, block: int = BLOCK,
-                  time_windows: bool = True, cell_ids: int = CELL_IDS) -> DataFrame:
+                  time_windows: bool = True, cell_ids: int = CELL_IDS, since: int | None = None) -> DataFrame:
     """The connections plus the 9 time-window and 10 last-n host features.
 
-    Without ``time_windows`` the last-n host features only, by a shorter plan.
+    Without ``time_windows`` the last-n host features only, by a shorter plan. ``since`` (microseconds)
+    is for a caller that has no use for the connections before it but as the last n of later ones:
+    time windows hold none of them and are not worked out for them.
 
     Needs ``conn_id`` (unique), ``ts``, ``src_ip``, ``src_port``, ``dst_ip``, ``service``, ``flag``.
     ``cell_seconds``, ``cell_ids`` and ``block`` only set the size of tasks, never a result.
@@ -58,7 +60,7 @@ def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 1
     if last_n > block:
         raise ValueError("last_n must not exceed block")
     timed = _flow_features(conns.filter(F.col("ts").isNotNull()), window_seconds, last_n,
-                           cell_seconds, block, time_windows, cell_ids)
+                           cell_seconds, block, time_windows, cell_ids, since)
     names = TIME_FEATURES + HOST_FEATURES if time_windows else HOST_FEATURES
     # A connection without a time is in no window, its own included.
     untimed = conns.filter(F.col("ts").isNull())
@@ -67,15 +69,18 @@ def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 1
 
 
 def _flow_features(conns: DataFrame, window_seconds: float, last_n: int, cell_seconds: float,
-                   block: int, time_windows: bool, cell_ids: int) -> DataFrame:
+                   block: int, time_windows: bool, cell_ids: int, since: int | None) -> DataFrame:
     payload = conns.columns
     base = conns.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))) \
         .withColumn("_syn", syn_error(F.col("flag"))).withColumn("_rej", rejected(F.col("flag")))
     span, cell = int(window_seconds * MICROS), max(1, int(cell_seconds * MICROS))
-    pairs = base.groupBy("dst_ip", "service", "_t").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_syn").alias("_syn"), F.sum("_rej").alias("_rej"))
+    totals = [F.count(F.lit(1)).alias("_n"), F.sum("_syn").alias("_syn"), F.sum("_rej").alias("_rej")]
     sums = [F.sum(c).alias(c) for c in ("_n", "_syn", "_rej")]
-    hosts = _window_sums(pairs.groupBy("dst_ip", "_t").agg(*sums), ["dst_ip"], span, cell, "_h")
+    reached = base if since is None else base.filter(F.col("_t") >= since)
+    pairs = reached.groupBy("dst_ip", "service", "_t").agg(*totals)
+    # The host's sums number its connections too, so they are of all.
+    peers = pairs.groupBy("dst_ip", "_t").agg(*sums) if since is None else base.groupBy("dst_ip", "_t").agg(*totals)
+    hosts = _window_sums(peers, ["dst_ip"], span, cell, "_h")
     if not time_windows:
         return _last_connections(_numbered(base, hosts, cell_ids), last_n, block).select(
             *payload, *_host_features())
@@ -84,7 +89,7 @@ def _flow_features(conns: DataFrame, window_seconds: float, last_n: int, cell_se
         "dst_ip", "service", "_t", "_p_n")
     # A service's sums are joined to its pairs, of which there are fewer than connections.
     both = _attached(both, services.drop("_s_before"), ["service", "_t"])
-    timed = _attached(_numbered(base, hosts, cell_ids), both, ["dst_ip", "service", "_t"])
+    timed = _attached(_numbered(base, hosts, cell_ids), both, ["dst_ip", "service", "_t"], "inner" if since is None else "left")
     counted = _last_connections(timed, last_n, block)
     return counted.select(*payload, *window_features())
 
@@ -120,12 +125,12 @@ def _host_features() -> list[Column]:
     ]
 
 
-def _attached(rows: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:
+def _attached(rows: DataFrame, sums: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """``rows`` with the sums of their keys, which may be NULL; Spark splits a key with many rows."""
     renamed = sums.select(*[F.col(k).alias(f"_of_{k}") for k in keys],
                           *[c for c in sums.columns if c not in keys])
     same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
-    return rows.join(renamed, same).drop(*[f"_of_{k}" for k in keys])
+    return rows.join(renamed, same, how).drop(*[f"_of_{k}" for k in keys])
 
 
 def _window_sums(peers: DataFrame, keys: list[str], span: int, cell: int, prefix: str) -> DataFrame:
@@ -180,8 +185,11 @@ def _last_connections(rows: DataFrame, last_n: int, block: int) -> DataFrame:
     late = place % block >= block - (last_n - 1)
     homes = F.when(late, F.array(own, own + 1)).otherwise(F.array(own))
     spread = rows.withColumn("_own", own).withColumn("_block", F.explode(homes))
-    in_host = Window.partitionBy("dst_ip", "_block")
-    by_number = in_host.orderBy("_number").rowsBetween(-(last_n - 1), Window.currentRow)
+    by_number = Window.partitionBy("dst_ip", "_block").orderBy("_number")
+    # A frame that slides is summed anew for each row; a running sum less an earlier one is not.
+    so_far = by_number.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    spread = spread.withColumns({"_l_n": F.least(F.row_number().over(by_number), F.lit(last_n)).cast("long"),
+                                 "_all_syn": F.sum("_syn").over(so_far), "_all_rej": F.sum("_rej").over(so_far)})
 
     def recent(*keys: str) -> Window:
         return Window.partitionBy("dst_ip", "_block", *keys).orderBy("_number").rangeBetween(
@@ -190,13 +198,12 @@ def _last_connections(rows: DataFrame, last_n: int, block: int) -> DataFrame:
     same = recent("service")
     out = spread.select(
         "*",
-        F.count(F.lit(1)).over(by_number).alias("_l_n"),
-        F.sum("_syn").over(by_number).alias("_l_syn"),
-        F.sum("_rej").over(by_number).alias("_l_rej"),
+        *[(F.col(f"_all_{c}") - F.coalesce(F.lag(f"_all_{c}", last_n).over(by_number), F.lit(0))).alias(f"_l_{c}")
+          for c in ("syn", "rej")],
         F.count(F.lit(1)).over(same).alias("_ls_n"),
         F.sum("_syn").over(same).alias("_ls_syn"),
         F.sum("_rej").over(same).alias("_ls_rej"),
         F.count(F.lit(1)).over(recent("service", "src_ip")).alias("_li_n"),
         F.count(F.lit(1)).over(recent("src_port")).alias("_lp_n"),
     )
-    return out.filter(F.col("_block") == F.col("_own")).drop("_own", "_block")
+    return out.filter(F.col("_block") == F.col("_own")).drop("_own", "_block", "_all_syn", "_all_rej")

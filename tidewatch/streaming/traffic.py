@@ -93,22 +93,25 @@ def flow_features_stream(stream: DataFrame, path: str, state: str, checkpoint: s
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("ts", F.col("ts").cast("timestamp")).persist()
         entries = _entries(spark, state, batch_id)
-        seen, kept = rows.withColumn("_new", F.lit(True)), None
+        seen, kept, since = rows.withColumn("_new", F.lit(True)), None, None
         if entries:
             schema = T.StructType([*rows.schema.fields, T.StructField("bucket", T.IntegerType())])
             kept = spark.read.schema(schema).option("basePath", state).parquet(
                 *[f"{state}/batch={i}" for i, _ in entries])
             reached = within_reach(kept, rows, window_seconds, last_n)
             seen = seen.unionByName(reached.select(*rows.columns).withColumn("_new", F.lit(False)))
+            start = rows.agg(F.min(F.unix_micros("ts"))).first()[0]
+            since = None if start is None else start - int(window_seconds * MICROS)
         # Several scans follow; the micro-batch is matched with the log once.
         seen = seen.persist()
-        (flow_features(seen, window_seconds, last_n).filter("_new").drop("_new")
+        (flow_features(seen, window_seconds, last_n, since=since).filter("_new").drop("_new")
          .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
         merge = kept is not None and len(entries) >= merge_every
         log = rows.unionByName(kept.select(*rows.columns)) if merge else rows
         (_worth_keeping(log.filter(F.col("ts").isNotNull()), window_seconds, last_n,
                         idle_seconds if merge else None)
-         .withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket")
+         # Few files a bucket, not one of each task.
+         .withColumn("bucket", _bucket()).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
          .parquet(f"{state}/batch={batch_id}"))
         spark.createDataFrame([(merge,)], "merged boolean").coalesce(1).write.mode(
             "overwrite").parquet(f"{state}/entries/batch={batch_id}")
