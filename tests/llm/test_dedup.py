@@ -10,7 +10,7 @@ import xxhash
 from helpers import ASCII, HARD, WORD, documents, prose, stored
 from pyspark.sql import functions as F
 
-from tidewatch.llm import golay, line_dedup
+from tidewatch.llm import common, golay, line_dedup
 from tidewatch.llm.components import components
 from tidewatch.llm.exact_dedup import exact_dedup
 from tidewatch.llm.line_dedup import dedup_lines
@@ -357,3 +357,38 @@ def test_candidate_lines_are_stored_as_texts(spark, monkeypatch):
     found = line_dedup.dedup_lines(documents(spark, rows), per_edit=5).collect()
     assert {r.doc_id: r.lines.near for r in found} == {0: 0, 1: 1, 2: 1, 3: 1}
     assert set(kinds["line-candidates"]) == {"no", "first", "s"} and kinds["line-candidates"]["s"] == "string"
+
+
+def test_lines_meet_in_parts_and_their_tables_go(spark, monkeypatch):
+    """One join shuffled all candidate lines at once, and their tables stayed until the stage had ended."""
+    put, made = line_dedup.written, []
+
+    def write(df, name):
+        out = put(df, name)
+        made.append((name, out))
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", write)
+    rows = [(i, f"{prose(i // 3, 12)} {'x ' * (i % 3)}{i}\n{prose(i // 4, 15)}") for i in range(60)]
+    seen = []
+    for most in (100_000, 4):
+        made.clear()
+        seen.append(sorted((r.doc_id, r.text) for r in line_dedup.dedup_lines(documents(spark, rows), most=most, per_edit=5).collect()))
+        parts = {n: sum(name == n for name, _ in made) for n in ("line-candidates", "line-near-words", "line-near", "line-shared")}
+        assert set(parts.values()) == {1 if most == 100_000 else line_dedup.PARTS}
+    assert seen[0] == seen[1] and sum(len(text) for _, text in seen[0]) < sum(len(text) for _, text in rows) / 2
+    for name, table in made:
+        if name in ("line-candidates", "line-met", "line-shared", "line-near-words"):
+            with pytest.raises(Exception, match="not exist|NOT_EXIST"):
+                table.count()
+
+
+def test_tables_written_alone_are_compressed(spark):
+    names = []
+
+    def make():
+        names.extend(common.written(spark.range(10), "inner").inputFiles())
+        return spark.range(5)
+
+    names.extend(common.alone("outer", make).inputFiles())
+    assert names and all(".zstd." in name for name in names)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,24 @@ BUCKETS = 1 << 16
 #: Bits of the number of words of a line, and of a place in it, that go with a pair's hash, and the most they tell.
 PLACE = 11
 LONG = (1 << PLACE) - 1
+#: Joins with texts are made in so many parts at most, one after another: a part's shuffle files go before the next begins.
+PARTS = 8
+#: So many rows of keys take as much room as a row of line numbers.
+KEYS = 8
+
+
+def _parts(n: int, most: int) -> int:
+    """Parts of ``n`` rows: of fewer than ``most`` each, if that takes no more than ``PARTS``."""
+    return 1 if n <= most else min(PARTS, math.ceil(1.25 * n / most))
+
+
+def _of_part(df: DataFrame, key: str, part: int, parts: int) -> DataFrame:
+    return df if parts == 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+
+
+def _written_parts(parts: Iterable[DataFrame], name: str) -> DataFrame:
+    """All ``parts``, each written before the next is made."""
+    return reduce(DataFrame.union, [written(part, name) for part in parts])
 
 
 def _lines(text: Column) -> Column:
@@ -69,29 +88,34 @@ def _candidates(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int)
     shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo <> hi")
     # Copies of a line have one h1, and a task sends each (line, half) once.
     alike = written(halves.distinct().join(shared.select("half"), "half", "left_semi").select("h1").distinct(), "line-halves")
-    return _words_of(docs, classes.join(alike, "h1", "left_semi"), most)
+    return _words_of(docs, classes.join(alike, "h1", "left_semi"), most).select("no", "first", F.split("s", " ").alias("words"))
 
 
 def _words_of(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
-    """The words of the first lines of classes, read again: no (ascending with first), first, words.
+    """The words of the first lines of classes, read again: no (ascending with first), first, s (the words, spaced).
 
     The numbers come from ranges of ``first``, sorted within, so their order is that of ``first``.
     """
     numbered = written(chosen.select("first").repartitionByRange("first").sortWithinPartitions("first").select(
         F.monotonically_increasing_id().alias("no"), "first"), "line-numbers")
-    wanted = numbered.groupBy(F.col("first._row").alias("_row")).agg(
-        F.collect_list(F.struct("no", "first")).alias("lines"))
+    wanted = written(numbered.groupBy(F.col("first._row").alias("_row")).agg(
+        F.collect_list(F.struct("no", "first")).alias("lines")), "line-wanted")
     text = docs.select("_row", text_of().alias("text"))
-    wanted = written(wanted, "line-wanted")
-    # A row holds all lines of its text, so the lines are counted and not the rows.
-    again = text.join(F.broadcast(wanted) if numbered.count() <= most else wanted, "_row").select(
-        _lines(F.col("text")).alias("all"), F.explode("lines").alias("one"))
-    # A line takes less room than the list of its words.
-    found = written(again.select("one.no", "one.first", _spelling(F.element_at(
-        "all", F.col("one.first.line") + 1)).alias("s")), "line-candidates")
+    parts = _parts(numbered.count(), most)
+
+    def again(part: int) -> DataFrame:
+        own = _of_part(wanted, "_row", part, parts)
+        # A row holds all lines of its text, so the lines are counted and not the rows.
+        few = own.agg(F.sum(F.size("lines"))).first()[0] or 0
+        both = _of_part(text, "_row", part, parts).join(F.broadcast(own) if 0 < few <= most else own, "_row").select(
+            _lines(F.col("text")).alias("all"), F.explode("lines").alias("one"))
+        # A line takes less room than the list of its words.
+        return both.select("one.no", "one.first", _spelling(F.element_at("all", F.col("one.first.line") + 1)).alias("s"))
+
+    found = _written_parts(map(again, range(parts)), "line-candidates")
     drop_scratch(numbered, "line-numbers")
     drop_scratch(wanted, "line-wanted")
-    return found.select("no", "first", F.split("s", " ").alias("words"))
+    return found
 
 
 def near_classes(docs: DataFrame, seen: DataFrame, classes: DataFrame, most: int) -> DataFrame:
@@ -226,7 +250,7 @@ def similar_classes(docs: DataFrame, classes: DataFrame, most: int, per_edit: in
     # Not explode: it adds a filter that works the pairs out a second time. No line here is without.
     # Two numbers a row are shuffled: the pair's hash has n and place behind it, each up to LONG.
     at = F.shiftleft(F.least("n", F.lit(LONG)).cast("long"), PLACE).bitwiseOR(F.least("p.i", F.lit(LONG)).cast("long"))
-    sent = read.select("no", n.alias("n"), F.explode_outer(pairs).alias("p")).select(
+    sent = read.select("no", F.split("s", " ").alias("words")).select("no", n.alias("n"), F.explode_outer(pairs).alias("p")).select(
         F.shiftleft("p.key", 2 * PLACE).bitwiseOR(at).alias("sent"), "no").repartition(F.shiftrightunsigned("sent", 2 * PLACE))
     keys = sent.select(F.shiftrightunsigned("sent", 2 * PLACE).alias("key"), "no", F.col("sent").bitwiseAND((1 << 2 * PLACE) - 1).alias("at"))
     of_key = Window.partitionBy("key")
@@ -240,23 +264,55 @@ def similar_classes(docs: DataFrame, classes: DataFrame, most: int, per_edit: in
         return (F.greatest(n, m) == LONG) | (F.abs(n - m) <= bound) & (F.abs(i - j) <= bound)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The later line of each pair within the bound: no, first."""
-        wanted = written(pairs.select("no").union(pairs.select("other")).distinct(), f"{name}-wanted")
-        few = written(read.join(small(wanted, most), "no", "left_semi").select(
-            "no", "first", F.array_join("words", " ").alias("s")), f"{name}-words")
-        own = few.select("no", "first", "s").join(pairs, "no")
-        both = own.join(few.select(F.col("no").alias("other"), F.col("s").alias("t")), "other")
-        w, v = F.split("s", " "), F.split("t", " ")
-        return written(both.filter(word_edits(w, v, _within(F.size(w), F.size(v), per_edit)) >= 0).select("no", "first").distinct(), name)
+        """The later line of each pair within the bound: no, first (once for each part that finds it).
+
+        The words of the later lines are written with their pairs, then they meet those of the earlier ones.
+        """
+        rows = pairs.count()
+        parts = _parts(rows, most)
+
+        def few(chosen: DataFrame) -> DataFrame:
+            return F.broadcast(chosen) if rows <= most * parts else chosen
+
+        def later(part: int) -> DataFrame:
+            return _of_part(read, "no", part, parts).join(few(_of_part(pairs, "no", part, parts)), "no").select("no", "other", "first", "s")
+
+        own = _written_parts(map(later, range(parts)), f"{name}-words")
+
+        def near(part: int) -> DataFrame:
+            mine = _of_part(own, "other", part, parts)
+            asked = _of_part(pairs.select("other"), "other", part, parts).distinct()
+            theirs = _of_part(read.select(F.col("no").alias("other"), F.col("s").alias("t")), "other", part, parts).join(
+                few(asked), "other", "left_semi")
+            w, v = F.split("s", " "), F.split("t", " ")
+            bound = _within(F.size(w), F.size(v), per_edit)
+            # A word that the other line lacks takes an edit: that settles most pairs at little cost.
+            lacked = F.greatest(F.size(F.array_except(w, v)), F.size(F.array_except(v, w)))
+            return mine.join(theirs, "other").filter(F.when(lacked <= bound, word_edits(w, v, bound) >= 0)).select("no", "first").distinct()
+
+        found = _written_parts(map(near, range(parts)), name)
+        drop_scratch(own, f"{name}-words")
+        return found
 
     tried = written(met.filter(F.col("lo.no") < F.col("no")).filter(fits("at", "lo.at")).select(
         "no", F.col("lo.no").alias("other")).distinct(), "line-pairs")
     one = verified(tried, "line-near")
-    left = met.select("key", "no", "at").join(one.select("no"), "no", "left_anti")
-    others = met.select("key", F.col("no").alias("other"), F.col("at").alias("there"))
-    rest = left.join(others, "key").filter(F.col("other") < F.col("no")).filter(fits("at", "there")).groupBy(
-        "no", "other").count().filter("count > 1").join(tried, ["no", "other"], "left_anti").select("no", "other")
-    return one.union(verified(written(rest, "line-pairs-rest"), "line-near-rest")).select("first")
+    parts = _parts(met.count(), KEYS * most)
+
+    def meetings(part: int) -> DataFrame:
+        here = _of_part(met.select("key", "no", "at"), "key", part, parts)
+        left = here.join(one.select("no").distinct(), "no", "left_anti")
+        others = here.select("key", F.col("no").alias("other"), F.col("at").alias("there"))
+        return left.join(others, "key").filter(F.col("other") < F.col("no")).filter(fits("at", "there")).select("no", "other")
+
+    shared = _written_parts(map(meetings, range(parts)), "line-shared")
+    drop_scratch(met, "line-met")
+    rest = shared.groupBy("no", "other").count().filter("count > 1").join(tried, ["no", "other"], "left_anti").select("no", "other")
+    rest = written(rest, "line-pairs-rest")
+    drop_scratch(shared, "line-shared")
+    out = written(one.union(verified(rest, "line-near-rest")).select("first").distinct(), "line-similar")
+    drop_scratch(read, "line-candidates")
+    return out
 
 
 def line_marks(docs: DataFrame, most: int, per_edit: int | None = None) -> DataFrame:
