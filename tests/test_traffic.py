@@ -216,3 +216,29 @@ def test_idle_hosts_are_forgotten(spark):
     kept = _worth_keeping(rows, 2.0, 100, 30.0)
     assert {r["dst_ip"] for r in kept.collect()} == {"new"}
     assert _worth_keeping(rows, 2.0, 100, None).count() == 3
+
+
+def test_a_micro_batch_leaves_no_shuffle_files_and_no_steps(spark, tmp_path):
+    """Those of all micro-batches stayed till the driver collected its garbage."""
+    import gc
+    from pathlib import Path
+
+    from tidewatch.session import CLEANUP, shared_dir
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = blocks.getAllFiles().iterator()
+        names = iter(lambda: found.next().getName() if found.hasNext() else None, None)
+        return {name for name in names if name.startswith("shuffle_")}
+
+    rows, source = log(120, 7), str(tmp_path / "log")
+    for i in range(3):
+        frame(spark, rows[i::3]).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(CONNECTION_SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    gc.collect()
+    before, was = shuffles(), spark.conf.get(CLEANUP)
+    flow_features_stream(stream, *(str(tmp_path / n) for n in ("out", "state", "checkpoint")), 2.0, 10).awaitTermination()
+    assert shuffles() <= before and spark.conf.get(CLEANUP) == was
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 120
+    assert not list(Path(shared_dir(spark).removeprefix("file:"), "tidewatch").glob("traffic-*"))

@@ -14,6 +14,8 @@ that no row can change for another:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,12 +48,14 @@ def rejected(flag: Column) -> Column:
 
 def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 100,
                   cell_seconds: float = CELL_SECONDS, block: int = BLOCK,
-                  time_windows: bool = True, cell_ids: int = CELL_IDS, since: int | None = None) -> DataFrame:
+                  time_windows: bool = True, cell_ids: int = CELL_IDS, since: int | None = None,
+                  stored: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """The connections plus the 9 time-window and 10 last-n host features.
 
     Without ``time_windows`` the last-n host features only, by a shorter plan. ``since`` (microseconds)
     is for a caller that has no use for the connections before it but as the last n of later ones:
-    time windows hold none of them and are not worked out for them.
+    time windows hold none of them and are not worked out for them. ``stored`` may write the tables
+    on the way and give them back, so that a step's shuffle files need not last till the end.
 
     Needs ``conn_id`` (unique), ``ts``, ``src_ip``, ``src_port``, ``dst_ip``, ``service``, ``flag``.
     ``cell_seconds``, ``cell_ids`` and ``block`` only set the size of tasks, never a result.
@@ -60,7 +64,7 @@ def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 1
     if last_n > block:
         raise ValueError("last_n must not exceed block")
     timed = _flow_features(conns.filter(F.col("ts").isNotNull()), window_seconds, last_n,
-                           cell_seconds, block, time_windows, cell_ids, since)
+                           cell_seconds, block, time_windows, cell_ids, since, stored)
     names = TIME_FEATURES + HOST_FEATURES if time_windows else HOST_FEATURES
     # A connection without a time is in no window, its own included.
     untimed = conns.filter(F.col("ts").isNull())
@@ -69,7 +73,8 @@ def flow_features(conns: DataFrame, window_seconds: float = 2.0, last_n: int = 1
 
 
 def _flow_features(conns: DataFrame, window_seconds: float, last_n: int, cell_seconds: float,
-                   block: int, time_windows: bool, cell_ids: int, since: int | None) -> DataFrame:
+                   block: int, time_windows: bool, cell_ids: int, since: int | None,
+                   stored: Callable[[DataFrame], DataFrame]) -> DataFrame:
     payload = conns.columns
     base = conns.withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp"))) \
         .withColumn("_syn", syn_error(F.col("flag"))).withColumn("_rej", rejected(F.col("flag")))
@@ -77,19 +82,20 @@ def _flow_features(conns: DataFrame, window_seconds: float, last_n: int, cell_se
     totals = [F.count(F.lit(1)).alias("_n"), F.sum("_syn").alias("_syn"), F.sum("_rej").alias("_rej")]
     sums = [F.sum(c).alias(c) for c in ("_n", "_syn", "_rej")]
     reached = base if since is None else base.filter(F.col("_t") >= since)
-    pairs = reached.groupBy("dst_ip", "service", "_t").agg(*totals)
+    pairs = stored(reached.groupBy("dst_ip", "service", "_t").agg(*totals))
     # The host's sums number its connections too, so they are of all.
     peers = pairs.groupBy("dst_ip", "_t").agg(*sums) if since is None else base.groupBy("dst_ip", "_t").agg(*totals)
-    hosts = _window_sums(peers, ["dst_ip"], span, cell, "_h")
+    hosts = stored(_window_sums(peers, ["dst_ip"], span, cell, "_h"))
     if not time_windows:
         return _last_connections(_numbered(base, hosts, cell_ids), last_n, block).select(
             *payload, *_host_features())
-    services = _window_sums(pairs.groupBy("service", "_t").agg(*sums), ["service"], span, cell, "_s")
+    services = stored(_window_sums(pairs.groupBy("service", "_t").agg(*sums), ["service"], span, cell, "_s"))
     both = _window_sums(pairs, ["dst_ip", "service"], span, cell, "_p").select(
         "dst_ip", "service", "_t", "_p_n")
     # A service's sums are joined to its pairs, of which there are fewer than connections.
-    both = _attached(both, services.drop("_s_before"), ["service", "_t"])
-    timed = _attached(_numbered(base, hosts, cell_ids), both, ["dst_ip", "service", "_t"], "inner" if since is None else "left")
+    both = stored(_attached(both, services.drop("_s_before"), ["service", "_t"]))
+    numbers = stored(_numbered(base, hosts, cell_ids))
+    timed = stored(_attached(numbers, both, ["dst_ip", "service", "_t"], "inner" if since is None else "left"))
     counted = _last_connections(timed, last_n, block)
     return counted.select(*payload, *window_features())
 

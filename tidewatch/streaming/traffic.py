@@ -10,6 +10,8 @@ and services stay split over many tasks, as in the batch operator.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
 from tidewatch.operators.traffic import flow_features
-from tidewatch.session import drop_path
+from tidewatch.session import drop_path, scratch_path, shuffles_removed
 from tidewatch.streaming.scoring import _each_batch
 
 MICROS = 1_000_000
@@ -91,6 +93,21 @@ def flow_features_stream(stream: DataFrame, path: str, state: str, checkpoint: s
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        steps: list[str] = []
+
+        def stored(df: DataFrame) -> DataFrame:
+            steps.append(scratch_path(df.sparkSession, "traffic"))
+            df.write.parquet(steps[-1])
+            return df.sparkSession.read.schema(df.schema).parquet(steps[-1])
+
+        try:
+            with shuffles_removed(batch.sparkSession):
+                _write(batch, batch_id, stored)
+        finally:
+            for step in steps:
+                drop_path(spark, step)
+
+    def _write(batch: DataFrame, batch_id: int, stored: Callable[[DataFrame], DataFrame]) -> None:
         rows = batch.withColumn("ts", F.col("ts").cast("timestamp")).persist()
         entries = _entries(spark, state, batch_id)
         seen, kept, since = rows.withColumn("_new", F.lit(True)), None, None
@@ -99,12 +116,11 @@ def flow_features_stream(stream: DataFrame, path: str, state: str, checkpoint: s
             kept = spark.read.schema(schema).option("basePath", state).parquet(
                 *[f"{state}/batch={i}" for i, _ in entries])
             reached = within_reach(kept, rows, window_seconds, last_n)
-            seen = seen.unionByName(reached.select(*rows.columns).withColumn("_new", F.lit(False)))
+            # Several scans follow; the micro-batch is matched with the log once.
+            seen = stored(seen.unionByName(reached.select(*rows.columns).withColumn("_new", F.lit(False))))
             start = rows.agg(F.min(F.unix_micros("ts"))).first()[0]
             since = None if start is None else start - int(window_seconds * MICROS)
-        # Several scans follow; the micro-batch is matched with the log once.
-        seen = seen.persist()
-        (flow_features(seen, window_seconds, last_n, since=since).filter("_new").drop("_new")
+        (flow_features(seen, window_seconds, last_n, since=since, stored=stored).filter("_new").drop("_new")
          .write.mode("overwrite").parquet(f"{path}/batch={batch_id}"))
         merge = kept is not None and len(entries) >= merge_every
         log = rows.unionByName(kept.select(*rows.columns)) if merge else rows
@@ -115,7 +131,6 @@ def flow_features_stream(stream: DataFrame, path: str, state: str, checkpoint: s
          .parquet(f"{state}/batch={batch_id}"))
         spark.createDataFrame([(merge,)], "merged boolean").coalesce(1).write.mode(
             "overwrite").parquet(f"{state}/entries/batch={batch_id}")
-        seen.unpersist()
         rows.unpersist()
         if merge:
             # A repeated micro-batch reads what this one read; what came before that can go.
